@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 RANGES = 256
 
 
-def _range_of(counts: DataFrame, value: str, ranges: int) -> Column:
-    """Range number of a value.
+def _with_range(counts: DataFrame, value: str, ranges: int) -> DataFrame:
+    """Add ``_range``, the number of the value's range.
 
     Edges are a sample of the distinct values, picked by smallest hash, so they
     are the same in every run of the plan; they arrive as one array through a
@@ -31,7 +31,8 @@ def _range_of(counts: DataFrame, value: str, ranges: int) -> Column:
         .agg(F.array_sort(F.collect_list(value)).alias("edges"))
         .scalar()
     )
-    return F.size(F.filter(edges, lambda e: e < F.col(value)))
+    below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
+    return counts.withColumn("_edges", edges).withColumn("_range", below).drop("_edges")
 
 
 def value_ranks(
@@ -43,7 +44,7 @@ def value_ranks(
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("_range", _range_of(counts, value, ranges))
+    counts = _with_range(counts, value, ranges)
     per_range = counts.groupBy(*keys, "_range").agg(F.sum("n").alias("_in_range"))
     whole = Window.partitionBy(*keys)
     per_range = per_range.select(

@@ -1,0 +1,14 @@
+"""Registered queries over the driver's tables."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ["analysis"]
+
+
+def load():
+    """Import every query module once and return the registry."""
+    for name in MODULES:
+        importlib.import_module(f"landspan.queries.{name}")
+    return importlib.import_module("landspan.queries.registry")
