@@ -25,6 +25,11 @@ def point(x, y) -> Column:
     )
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used."""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def ring_literal(points: Sequence[tuple[float, float]]) -> Column:
     return F.array(*[point(x, y) for x, y in points])
 
@@ -52,8 +57,12 @@ def ring_box(ring: Column) -> Column:
 
 def edges(ring: Column) -> Column:
     """Edges p -> q around the ring."""
-    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    return F.zip_with(ring, following, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    def pairs(r: Column) -> Column:
+        following = F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
+        return F.zip_with(r, following, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    return bind(ring, pairs)
 
 
 def _sum(values: Column, term) -> Column:
@@ -70,7 +79,7 @@ def signed_area(ring: Column) -> Column:
 
 def area(ring: Column) -> Column:
     """GEO01: shoelace; 0 for an empty or degenerate ring."""
-    return F.when(F.size(ring) >= 3, F.abs(signed_area(ring))).otherwise(0.0)
+    return bind(ring, lambda r: F.when(F.size(r) >= 3, F.abs(signed_area(r))).otherwise(0.0))
 
 
 def acres(ring: Column) -> Column:
@@ -78,24 +87,44 @@ def acres(ring: Column) -> Column:
 
 
 def counter_clockwise(ring: Column) -> Column:
-    return F.when(signed_area(ring) < 0, F.reverse(ring)).otherwise(ring)
+    return bind(ring, lambda r: F.when(signed_area(r) < 0, F.reverse(r)).otherwise(r))
 
 
 def centroid(ring: Column) -> Column:
     """GEO06: area centroid (struct x, y), the vertex mean of a degenerate ring."""
-    twice = _sum(edges(ring), _cross)
-    sx = _sum(edges(ring), lambda e: (e["p"]["x"] + e["q"]["x"]) * _cross(e))
-    sy = _sum(edges(ring), lambda e: (e["p"]["y"] + e["q"]["y"]) * _cross(e))
-    n = F.nullif(F.size(ring), F.lit(0)).cast("double")
-    ok = twice != 0
-    return F.struct(
-        F.when(ok, sx / (F.nullif(twice, F.lit(0.0)) * 3.0))
-        .otherwise(_sum(ring, lambda p: p["x"]) / n)
-        .alias("x"),
-        F.when(ok, sy / (F.nullif(twice, F.lit(0.0)) * 3.0))
-        .otherwise(_sum(ring, lambda p: p["y"]) / n)
-        .alias("y"),
-    )
+
+    def from_sums(t: Column) -> Column:
+        ok = t["twice"] != 0
+        third = F.nullif(t["twice"], F.lit(0.0)) * 3.0
+        return F.struct(
+            F.when(ok, t["sx"] / third).otherwise(t["mx"]).alias("x"),
+            F.when(ok, t["sy"] / third).otherwise(t["my"]).alias("y"),
+        )
+
+    def sums(r: Column) -> Column:
+        n = F.nullif(F.size(r), F.lit(0)).cast("double")
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in ("twice", "sx", "sy")])
+
+        def add(acc: Column, e: Column) -> Column:
+            c = _cross(e)
+            return F.struct(
+                (acc["twice"] + c).alias("twice"),
+                (acc["sx"] + (e["p"]["x"] + e["q"]["x"]) * c).alias("sx"),
+                (acc["sy"] + (e["p"]["y"] + e["q"]["y"]) * c).alias("sy"),
+            )
+
+        return bind(
+            F.aggregate(edges(r), zero, add),
+            lambda a: F.struct(
+                a["twice"].alias("twice"),
+                a["sx"].alias("sx"),
+                a["sy"].alias("sy"),
+                (_sum(r, lambda p: p["x"]) / n).alias("mx"),
+                (_sum(r, lambda p: p["y"]) / n).alias("my"),
+            ),
+        )
+
+    return bind(bind(ring, sums), from_sums)
 
 
 def perimeter(ring: Column) -> Column:
@@ -157,26 +186,33 @@ def box_area(b: Column) -> Column:
 # --- clipping ------------------------------------------------------------------
 
 
+def _side(a: Column, b: Column, p: Column) -> Column:
+    """Positive on the left of the directed line a -> b."""
+    return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+
 def _keep_left(ring: Column, a: Column, b: Column) -> Column:
     """Part of the ring on the left of the directed line a -> b."""
-
-    def side(p: Column) -> Column:
-        return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+    sided = F.transform(
+        ring, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), _side(a, b, p).alias("s"))
+    )
 
     def step(e: Column) -> Column:
         p, q = e["p"], e["q"]
-        sp, sq = side(p), side(q)
-        t = sp / F.nullif(sp - sq, F.lit(0.0))
-        cut = point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t)
-        none = F.array().cast(RING)
+
+        def cut(t: Column) -> Column:
+            return point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t)
+
+        end = point(q["x"], q["y"])
+        t = p["s"] / F.nullif(p["s"] - q["s"], F.lit(0.0))
         return (
-            F.when((sp >= 0) & (sq >= 0), F.array(q))
-            .when(sp >= 0, F.array(cut))
-            .when(sq >= 0, F.array(cut, q))
-            .otherwise(none)
+            F.when((p["s"] >= 0) & (q["s"] >= 0), F.array(end))
+            .when(p["s"] >= 0, F.array(bind(t, cut)))
+            .when(q["s"] >= 0, F.array(bind(t, cut), end))
+            .otherwise(F.array().cast(RING))
         )
 
-    return F.flatten(F.transform(edges(ring), step))
+    return F.flatten(F.transform(edges(sided), step))
 
 
 def clip_convex(ring: Column, window: Column) -> Column:
@@ -197,8 +233,10 @@ def overlap_area(ring: Column, window: Column) -> Column:
 
 def overlap_ratio(ring: Column, window: Column) -> Column:
     """GEO07: overlap / own area, at most 1."""
-    own = area(ring)
-    return F.when(own > 0, F.least(F.lit(1.0), overlap_area(ring, window) / own)).otherwise(0.0)
+    return bind(
+        area(ring),
+        lambda own: F.when(own > 0, F.least(F.lit(1.0), overlap_area(ring, window) / own)).otherwise(0.0),
+    )
 
 
 def segment_length_in(p: Column, q: Column, window: Column) -> Column:
@@ -209,18 +247,16 @@ def segment_length_in(p: Column, q: Column, window: Column) -> Column:
     full = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
 
     def narrow(acc: Column, e: Column) -> Column:
-        a, b = e["p"], e["q"]
+        ends = F.struct(_side(e["p"], e["q"], p).alias("p"), _side(e["p"], e["q"], q).alias("q"))
 
-        def side(pt: Column) -> Column:
-            return (b["x"] - a["x"]) * (pt["y"] - a["y"]) - (b["y"] - a["y"]) * (pt["x"] - a["x"])
+        def cut(s: Column) -> Column:
+            t = s["p"] / F.nullif(s["p"] - s["q"], F.lit(0.0))
+            outside = (s["p"] < 0) & (s["q"] < 0)
+            lo = F.when(outside, F.lit(1.0)).when(s["p"] < 0, F.greatest(acc["lo"], t))
+            hi = F.when(outside, F.lit(0.0)).when(s["q"] < 0, F.least(acc["hi"], t))
+            return F.struct(lo.otherwise(acc["lo"]).alias("lo"), hi.otherwise(acc["hi"]).alias("hi"))
 
-        sp, sq = side(p), side(q)
-        t = sp / F.nullif(sp - sq, F.lit(0.0))
-        entering, leaving = (sp < 0) & (sq >= 0), (sp >= 0) & (sq < 0)
-        outside = (sp < 0) & (sq < 0)
-        lo = F.when(outside, F.lit(1.0)).when(entering, F.greatest(acc["lo"], t)).otherwise(acc["lo"])
-        hi = F.when(outside, F.lit(0.0)).when(leaving, F.least(acc["hi"], t)).otherwise(acc["hi"])
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
+        return bind(ends, cut)
 
     kept = F.aggregate(
         edges(window), full, narrow, lambda acc: F.greatest(acc["hi"] - acc["lo"], F.lit(0.0))
@@ -265,7 +301,7 @@ def clean_ring(ring: Column) -> Column:
         F.filter(edges(ring), lambda e: (e["p"]["x"] != e["q"]["x"]) | (e["p"]["y"] != e["q"]["y"])),
         lambda e: e["p"],
     )
-    return F.when((F.size(kept) >= 3) & (area(kept) > 0), counter_clockwise(kept))
+    return bind(kept, lambda k: F.when((F.size(k) >= 3) & (area(k) > 0), counter_clockwise(k)))
 
 
 def convex_hull(points: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["analysis"]
+MODULES = ["analysis", "spatial"]
 
 
 def load():
