@@ -70,6 +70,11 @@ def typed_null(type_name: str) -> Column:
     return F.lit(None).cast(type_name)
 
 
+def round_decimal(x: ColumnLike, digits: int) -> Column:
+    """PRJ05 with halves as in exact decimals: 15.05 computed as 15.049999... rounds up."""
+    return F.round(F.round(c(x), 9), digits)
+
+
 def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
     """PRJ05 over every double column of a result."""
     return df.select(
@@ -175,7 +180,7 @@ def zero_pad(x: ColumnLike, width: int) -> Column:
 
 def first_field(array_col: str, field: str) -> Column:
     """Field of the first struct of an array; NULL for an empty array."""
-    return F.try_element_at(F.col(array_col), F.lit(1))[field]
+    return F.get(F.col(array_col), F.lit(0))[field]
 
 
 def differs(a: ColumnLike, b: ColumnLike) -> Column:

@@ -27,7 +27,7 @@ def point(x, y) -> Column:
 
 def bind(value: Column, use) -> Column:
     """``use(value)`` with the value computed once per row, however often it is used."""
-    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def ring_literal(points: Sequence[tuple[float, float]]) -> Column:
