@@ -3,8 +3,7 @@
 An unpartitioned window sorts the whole table in one task, and a window over a
 hot key sorts that key in one task.  The operators here first collapse the table
 to distinct (key, value) counts, then number them in two levels: value ranges get
-running totals (a few hundred rows per key), and every range is numbered on its
-own.  A value shared by a third of all rows is one counted row from the start.
+running totals (at most 256 rows per key), and every range is numbered on its own.  A value shared by a third of all rows is one counted row from the start.
 """
 
 from __future__ import annotations
@@ -14,50 +13,78 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+from landspan.session import cut
 
+MAX_RANGES = 256
+RANGE_ROWS = 10_000
 
-def _with_range(counts: DataFrame, value: str, ranges: int) -> DataFrame:
-    """Add ``_range``, the number of the value's range.
 
-    Edges are a sample of the distinct values, picked by smallest hash, so they
-    are the same in every run of the plan; they arrive as one array through a
-    scalar subquery.  Which edges are picked affects balance only.
+def _same_keys(keys: Sequence[str], prefix: str = "_k_") -> Column:
+    cond = None
+    for k in keys:
+        part = F.col(k).eqNullSafe(F.col(prefix + k))
+        cond = part if cond is None else cond & part
+    return cond
+
+
+def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: "_k_" + k for k in keys})
+
+
+def _with_range(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add ``_range``: number of the value's range within its key.
+
+    Keys with many distinct values are cut at up to 255 of them, the ones with the
+    smallest hash, so the cuts are the same in every run; which values are picked
+    affects balance only.  Small keys are one range.
     """
-    edges = (
-        counts.select(value)
-        .orderBy(F.xxhash64(value), value)
-        .limit(ranges - 1)
-        .agg(F.array_sort(F.collect_list(value)).alias("edges"))
-        .scalar()
+    sizes = counts.groupBy(*keys).agg(F.count("*").alias("_d"))
+    ranges = F.least(F.ceil(F.col("_d") / RANGE_ROWS), F.lit(MAX_RANGES))
+    big = _renamed(sizes.where(F.col("_d") > RANGE_ROWS).select(*keys, (ranges - 1).alias("_cuts")), keys)
+    drop = ["_k_" + k for k in keys]
+    sample = counts.join(big, _same_keys(keys)).drop(*drop)
+    sample = sample.withColumn("_h", F.xxhash64(value))
+    sample = top_per(sample, keys, [F.asc("_h"), F.asc(value)], MAX_RANGES, "_i")
+    edges = _renamed(
+        sample.where(F.col("_i") <= F.col("_cuts"))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(value)).alias("_edges")),
+        keys,
     )
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    return counts.withColumn("_edges", edges).withColumn("_range", below).drop("_edges")
+    return (
+        counts.join(edges, _same_keys(keys), "left")
+        .withColumn("_range", F.when(F.col("_edges").isNotNull(), below).otherwise(0))
+        .drop("_edges", *drop)
+    )
 
 
-def value_ranks(
-    df: DataFrame, value: str, keys: Sequence[str] = (), ranges: int = RANGES
-) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct values per key with ``n`` (copies), ``less`` (rows below), ``total``.
 
-    NULL values are left out.
+    NULL values are left out.  The counted values are written once, since the rest
+    reads them several times.
     """
-    keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    counts = _with_range(counts, value, ranges)
-    per_range = counts.groupBy(*keys, "_range").agg(F.sum("n").alias("_in_range"))
-    whole = Window.partitionBy(*keys)
-    per_range = per_range.select(
-        *[F.col(k).alias("_k_" + k) for k in keys],
-        F.col("_range").alias("_r"),
-        (F.sum("_in_range").over(whole.orderBy("_range")) - F.col("_in_range")).alias("_before"),
-        F.sum("_in_range").over(whole).alias("total"),
+    names = list(keys)
+    if not names:
+        df, names = df.withColumn("_all", F.lit(0)), ["_all"]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*names, value).agg(F.count("*").alias("n"))
+    counts = cut(counts)
+    counts = _with_range(counts, names, value)
+    per_range = counts.groupBy(*names, "_range").agg(F.sum("n").alias("_in_range"))
+    whole = Window.partitionBy(*names)
+    before = F.sum("_in_range").over(whole.orderBy("_range")) - F.col("_in_range")
+    per_range = _renamed(
+        per_range.select(
+            *names,
+            F.col("_range").alias("_r"),
+            before.alias("_before"),
+            F.sum("_in_range").over(whole).alias("total"),
+        ),
+        names,
     )
-    cond = F.col("_range") == F.col("_r")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col("_k_" + k))
-    inside = Window.partitionBy(*keys, "_range").orderBy(value)
-    return counts.join(per_range, cond).select(
+    inside = Window.partitionBy(*names, "_range").orderBy(value)
+    return counts.join(per_range, _same_keys(names) & (F.col("_range") == F.col("_r"))).select(
         *keys,
         value,
         "n",
@@ -66,28 +93,28 @@ def value_ranks(
     )
 
 
-def with_percent_rank(df: DataFrame, value: str, out: str, ranges: int = RANGES) -> DataFrame:
-    """WIN04: percent_rank over the whole table, joined back on the value."""
-    ranks = value_ranks(df, value, ranges=ranges).select(
-        F.col(value).alias("_v"),
-        F.when(F.col("total") > 1, F.col("less") / (F.col("total") - 1)).otherwise(0.0).alias(out),
-    )
-    return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
+def _long(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """One row per (key, column name, value)."""
+    pairs = [F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns]
+    return df.select(*keys, F.explode(F.array(*pairs)).alias("_s")).select(*keys, "_s.*")
 
 
-def with_percent_ranks_in_group(
-    df: DataFrame, keys: Sequence[str], value: str, out: str
-) -> DataFrame:
-    """Percent rank inside each key."""
-    ranks = value_ranks(df, value, keys).select(
-        *[F.col(k).alias("_k_" + k) for k in keys],
-        F.col(value).alias("_v"),
-        F.when(F.col("total") > 1, F.col("less") / (F.col("total") - 1)).otherwise(0.0).alias(out),
-    )
-    cond = F.col(value) == F.col("_v")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col("_k_" + k))
-    return df.join(ranks, cond, "left").drop("_v", *["_k_" + k for k in keys])
+def with_percent_ranks(df: DataFrame, outputs: dict[str, str]) -> DataFrame:
+    """WIN04: percent_rank over the whole table for each {value column: new column}.
+
+    All columns are ranked in one pass and joined back on the value.
+    """
+    ranks = value_ranks(_long(df, list(outputs)), "_v", ["_c"])
+    share = F.when(F.col("total") > 1, F.col("less") / (F.col("total") - 1)).otherwise(0.0)
+    for value, out in outputs.items():
+        one = ranks.where(F.col("_c") == value).select(F.col("_v"), share.alias(out))
+        df = df.join(one, F.col(value).cast("double") == F.col("_v"), "left").drop("_v")
+    return df
+
+
+def with_percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """WIN04 for one column."""
+    return with_percent_ranks(df, {value: out})
 
 
 def _tile_of(row: Column, total: Column, n: int) -> Column:
@@ -138,6 +165,15 @@ def percentiles(
     return ranks.groupBy(*keys).agg(*aggs).select(*keys, *picks)
 
 
+def medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str], prefix: str = "median_") -> DataFrame:
+    """AGG07: medians of several columns per key in one pass."""
+    keys = list(keys)
+    one = percentiles(_long(df, columns, keys), "_v", {"_m": 0.5}, [*keys, "_c"])
+    return one.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_c") == c, F.col("_m"))).alias(prefix + c) for c in columns]
+    )
+
+
 def modes(df: DataFrame, keys: Sequence[str], value: str, out: str = "mode") -> DataFrame:
     """AGG08: most frequent known value per key, the smallest on a tie."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))

@@ -12,6 +12,7 @@ from landspan.functions import geometry as G
 from landspan.operators import ranking, spatial
 from landspan.operators.knn import nearest_k
 from landspan.params import SQFT_PER_ACRE, SQM_PER_ACRE, SQM_TO_SQFT
+from landspan.session import cut
 
 # Category of two-character use codes, and of code beginnings.
 USE_CODES = {
@@ -106,10 +107,8 @@ def building_medians(sales: DataFrame) -> DataFrame:
         "property_type", F.coalesce(X.blank_to_null("property_type"), F.lit("Other"))
     )
     out = known.groupBy("property_type").agg(F.count("*").alias("parcel_count"))
-    for name in ("living_area", "building_sf", "lot_size_acres"):
-        median = ranking.percentiles(known, name, {"median_" + name: 0.5}, ["property_type"])
-        out = out.join(median, "property_type", "left")
-    return out
+    middle = ranking.medians(known, ["living_area", "building_sf", "lot_size_acres"], ["property_type"])
+    return out.join(middle, "property_type", "left")
 
 
 # --- buildings -------------------------------------------------------------------------
@@ -345,6 +344,8 @@ def _tier(unknown: DataFrame, known: DataFrame, keys: list[str], tier: int, near
         z = X.or_zero(X.ratio(F.col("q." + f) - F.col("p." + f), "q._s_" + f))
         square = square + z * z
     cols = [*group, *FEATURES, *["z_" + f for f in FEATURES], *["_s_" + f for f in FEATURES], "x", "y"]
+    if unknown.isEmpty():
+        return unknown.select("apn", F.col("apn").alias("neighbour"), F.lit(tier).alias("tier"))
     pairs = nearest_k(
         scaled(unknown).select("apn", *cols),
         known_z.select(F.col("apn").alias("neighbour"), *cols),
@@ -361,7 +362,11 @@ def impute_from_similar(stats: DataFrame, zones: DataFrame, known: DataFrame) ->
     category.  A parcel that found a neighbour in one tier skips the next.
     """
     zone = latest_zone(zones).select("apn", "block_group_geoid", "tract_geoid")
-    unknown = stats.where("footprint_ratio > 0").join(zone, "apn").join(known.select("apn"), "apn", "left_anti")
+    # both sides are read by every tier and round: write them once
+    features = ["apn", "land_development_category", *FEATURES, "x", "y"]
+    known = cut(known)
+    unknown = stats.where("footprint_ratio > 0").select(*features).join(zone, "apn")
+    unknown = cut(unknown.join(known.select("apn"), "apn", "left_anti"))
     cat = "land_development_category"
     pairs = None
     for tier, (keys, near) in enumerate(
@@ -369,7 +374,7 @@ def impute_from_similar(stats: DataFrame, zones: DataFrame, known: DataFrame) ->
     ):
         got = _tier(unknown, known, keys, tier, near)
         pairs = got if pairs is None else pairs.unionByName(got)
-        unknown = unknown.join(got.select("apn"), "apn", "left_anti")
+        unknown = cut(unknown.join(got.select("apn"), "apn", "left_anti"))
     n = known.select(
         F.col("apn").alias("neighbour"), "property_type", "units", "living_sqft", "building_sqft"
     )

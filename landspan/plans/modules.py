@@ -697,8 +697,9 @@ def sprawl_index(wide: DataFrame, _inputs: Inputs, p: Params) -> DataFrame:
             "_links": X.or_zero(es("intersection_density")),
         }
     )
-    scored = ranking.with_percent_rank(scored, "_density", "_density_rank")
-    scored = ranking.with_percent_rank(scored, "_links", "_links_rank")
+    scored = ranking.with_percent_ranks(
+        scored, {"_density": "_density_rank", "_links": "_links_rank"}
+    )
     mixed = F.when(
         X.positive(es("population")) & X.positive(es("employment_total")), 1.0
     ).otherwise(0.0)
