@@ -98,6 +98,7 @@ def _pair_sums(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFr
     tile, so pairs of places are never written as rows.
     """
     others = F.sequence(F.lit(0), F.col("_n") - 1)
+    right = right.select([F.col(c).alias(c) for c in right.columns])  # a side of its own
     a = left.withColumn("other", F.explode(others)).withColumnRenamed("tile", "mine")
     b = right.withColumn("mine", F.explode(others)).withColumnRenamed("tile", "other")
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["analysis", "spatial", "alloc", "sources", "relational", "employment", "assessor"]
+MODULES = ["analysis", "spatial", "alloc", "sources", "relational", "employment", "assessor", "base", "scenario"]
 
 
 def load():
