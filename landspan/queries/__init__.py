@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["analysis", "spatial", "alloc", "sources", "relational", "employment", "assessor", "base", "scenario"]
+MODULES = [
+    "analysis", "spatial", "alloc", "sources", "relational", "employment", "assessor", "base",
+    "scenario", "quality",
+]
 
 
 def load():
