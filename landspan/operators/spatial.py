@@ -20,6 +20,7 @@ from landspan.session import cut
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 HOT_ROWS = 200_000
+HOT_BYTES = 1 << 30
 FEW_CELLS = 16
 
 
@@ -50,8 +51,8 @@ def _cell(v: Column, size) -> Column:
     return F.floor(v / size).cast("bigint")
 
 
-def _spread(df: DataFrame, sizes: list[float]) -> DataFrame:
-    """One row per touched cell on the row's home level and on every coarser one."""
+def _home(sizes: list[float]) -> Column:
+    """Level of a box: the first on which it touches few cells."""
 
     def count(size: float) -> Column:
         return (_cell(F.col("xmax"), size) - _cell(F.col("xmin"), size) + 1) * (
@@ -61,21 +62,48 @@ def _spread(df: DataFrame, sizes: list[float]) -> DataFrame:
     home = F.lit(len(sizes) - 1)
     for level in reversed(range(len(sizes) - 1)):
         home = F.when(count(sizes[level]) <= FEW_CELLS, level).otherwise(home)
-    df = df.where(F.col("xmin").isNotNull() & F.col("ymin").isNotNull()).withColumn("_home", home)
+    return home
+
+
+def _located(df: DataFrame) -> DataFrame:
+    return df.where(F.col("xmin").isNotNull() & F.col("ymin").isNotNull())
+
+
+def _spread(df: DataFrame, sizes: list[float], points: bool) -> DataFrame:
+    """One row per touched cell on the row's home level and on every coarser one."""
+    df = _located(df).withColumn("_home", F.lit(0) if points else _home(sizes))
     if len(sizes) > 1:
         df = df.withColumn("_level", F.explode(F.sequence("_home", F.lit(len(sizes) - 1))))
+        size = F.element_at(F.array(*[F.lit(float(s)) for s in sizes]), F.col("_level") + 1)
+        df = df.withColumn("_size", size)
     else:
-        df = df.withColumn("_level", F.lit(0))
-    size = F.element_at(F.array(*[F.lit(float(s)) for s in sizes]), F.col("_level") + 1)
-    df = df.withColumn("_size", size)
+        df = df.withColumns({"_level": F.lit(0), "_size": F.lit(float(sizes[0]))})
+    size = F.col("_size")
+    if points:
+        return df.withColumns({"_cx": _cell(F.col("xmin"), size), "_cy": _cell(F.col("ymin"), size)})
     return df.withColumn(
-        "_cx", F.explode(F.sequence(_cell(F.col("xmin"), F.col("_size")), _cell(F.col("xmax"), F.col("_size"))))
-    ).withColumn(
-        "_cy", F.explode(F.sequence(_cell(F.col("ymin"), F.col("_size")), _cell(F.col("ymax"), F.col("_size"))))
-    )
+        "_cx", F.explode(F.sequence(_cell(F.col("xmin"), size), _cell(F.col("xmax"), size)))
+    ).withColumn("_cy", F.explode(F.sequence(_cell(F.col("ymin"), size), _cell(F.col("ymax"), size))))
 
 
 CELL = ["_level", "_cx", "_cy"]
+COARSER = 16
+
+
+def _levels_used(sides: list[DataFrame], sizes: list[float]) -> int:
+    """How many of the levels any box lives on (one narrow scan of the box columns)."""
+    homes = [_located(s).select(_home(sizes).alias("h")) for s in sides]
+    both = homes[0] if len(homes) == 1 else homes[0].unionByName(homes[1])
+    return (both.agg(F.max("h")).first()[0] or 0) + 1
+
+
+def _could_be_hot(df: DataFrame) -> bool:
+    """False where the whole table is smaller than one hot cell may be.
+
+    The optimizer's size estimate errs on the large side for anything it cannot see.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) > HOT_BYTES
 
 
 def box_join(
@@ -85,36 +113,44 @@ def box_join(
     levels: int = 1,
     how_far: Column | None = None,
     hot_rows: int = HOT_ROWS,
+    points: bool = False,
 ) -> DataFrame:
     """JOI14 / JOI15: all pairs whose boxes meet (each once), plus ``how_far``.
 
-    Hot cells are found by a count of the left rows per cell; there can be at most
-    rows / hot_rows of them.  Their left rows get a salt and their right rows are
-    repeated per salt.  All other cells have salt 0.
+    With ``levels`` > 1 boxes too large for the cell live on cells 16 times as wide;
+    levels nobody lives on are dropped.  ``points`` says that left boxes are points.
+
+    Hot cells of a large left table are found by a count of its rows per cell; there
+    can be at most rows / hot_rows of them.  Their left rows get a salt and their
+    right rows are repeated per salt.  All other cells have salt 0.
     """
-    sizes = [cell * 16**i for i in range(levels)]
-    a, b = _spread(left, sizes), _spread(right, sizes)
-    hot = (
-        a.groupBy(*CELL)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(*CELL, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    )
-    a = a.join(hot, CELL, "left").withColumn(
-        "_salt",
-        F.when(
-            F.col("_salts") > 1, F.floor(F.rand(7) * F.col("_salts")).cast("int")
-        ).otherwise(0),
-    )
-    b = b.join(hot, CELL, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    )
-    a, b = a.drop("_salts").alias("l"), b.drop("_salts").alias("r")
+    sizes = [cell * COARSER**i for i in range(levels)]
+    if levels > 1:
+        sizes = sizes[: _levels_used([right] if points else [left, right], sizes)]
+    a, b = _spread(left, sizes, points), _spread(right, sizes, False)
+    same_cell = F.lit(True)
+    if len(sizes) > 1:
+        same_cell = (F.col("l._home") == F.col("l._level")) | (F.col("r._home") == F.col("r._level"))
+    keys = list(CELL)
+    if _could_be_hot(left):
+        hot = (
+            a.groupBy(*CELL)
+            .agg(F.count("*").alias("_n"))
+            .where(F.col("_n") > hot_rows)
+            .select(*CELL, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
+        )
+        # the salt follows from the row itself, so a rerun of a lost task repeats it
+        own = F.xxhash64(*[n for n, t in left.dtypes if "map<" not in t])
+        a = a.join(hot, CELL, "left").withColumn(
+            "_salt", F.coalesce(F.pmod(own, F.col("_salts").cast("bigint")), F.lit(0).cast("bigint"))
+        ).drop("_salts")
+        b = b.join(hot, CELL, "left").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)).cast("bigint") - 1))
+        ).drop("_salts")
+        keys.append("_salt")
+    a, b = a.alias("l"), b.alias("r")
     l, r = box_of("l"), box_of("r")
-    same_cell = (F.col("l._salt") == F.col("r._salt")) & (
-        (F.col("l._home") == F.col("l._level")) | (F.col("r._home") == F.col("r._level"))
-    )
-    for n in CELL:
+    for n in keys:
         same_cell = same_cell & (F.col("l." + n) == F.col("r." + n))
     owner = (
         _cell(F.greatest(l["xmin"], r["xmin"]), F.col("l._size")) == F.col("l._cx")
@@ -138,14 +174,14 @@ def inside(points: DataFrame, areas: DataFrame, cell: float, levels: int = 2) ->
         a = areas
         r = box_of("r")
         hit = (x >= r["xmin"]) & (x < r["xmax"]) & (y >= r["ymin"]) & (y < r["ymax"])
-    return box_join(p, a, cell, levels, hit)
+    return box_join(p, a, cell, levels, hit, points=True)
 
 
 def near(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """JOI17: pairs of points at most ``radius`` apart; adds ``distance``."""
     d = F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y"))
     pairs = box_join(
-        with_point_box(left), with_point_box(right, radius), radius, how_far=d <= radius
+        with_point_box(left), with_point_box(right, radius), radius, how_far=d <= radius, points=True
     )
     return pairs.withColumn("distance", d)
 
@@ -161,7 +197,7 @@ def near_degrees(left: DataFrame, right: DataFrame, radius_m: float) -> DataFram
         {"xmin": F.col("x") - lon, "xmax": F.col("x") + lon, "ymin": F.col("y") - lat, "ymax": F.col("y") + lat}
     )
     d = G.haversine_m(F.col("l.x"), F.col("l.y"), F.col("r.x"), F.col("r.y"))
-    pairs = box_join(with_point_box(left), wide, 2 * lat, levels=2, how_far=d <= radius_m)
+    pairs = box_join(with_point_box(left), wide, 2 * lat, 2, d <= radius_m, points=True)
     return pairs.withColumn("distance", d)
 
 

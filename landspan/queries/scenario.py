@@ -84,7 +84,7 @@ NAMES = ["sf detached", "townhouse row", "apartment 5plus", "mf 2to4", "multi fa
 @query(
     "SCN03_paint_place_type",
     ctes("parcels", "built_forms", m="SELECT id % 5 AS place_type, id AS type_id, 10e0 + id / 7e0 AS percentage FROM built_forms", w="SELECT *, sum(percentage) OVER (PARTITION BY place_type) AS whole FROM m",
-         j=f"SELECT parcel_id, gross_acres / 3e0 * 0.75e0 * (percentage / whole) AS a, b.*, ({NAMES!r})[1 + b.id % 6] AS nm FROM parcels JOIN w ON place_type = parcel_id % 5 JOIN built_forms b ON b.id = type_id",
+         j=f"SELECT parcel_id, sqrt(gross_acres + 0.003e0) * 0.75e0 * (percentage / whole) AS a, b.*, ({NAMES!r})[1 + b.id % 6] AS nm FROM parcels JOIN w ON place_type = parcel_id % 5 JOIN built_forms b ON b.id = type_id",
          u="SELECT parcel_id, nm, CASE WHEN du_per_acre > 0 THEN a * du_per_acre ELSE 0e0 END AS du, CASE WHEN emp_per_acre > 0 THEN a * emp_per_acre ELSE 0e0 END AS emp, coalesce(nullif(household_size, 0e0), 2.5e0) AS s, coalesce(nullif(vacancy_rate, 0e0), 5e0) AS v FROM j",
          g="""SELECT parcel_id, sum(du) AS du, sum(du * s) AS pop, sum(du * (1e0 - v / 100e0)) AS hh, sum(emp) AS emp, sum(CASE WHEN nm = 'sf detached' THEN du END) AS du_detsf, sum(CASE WHEN nm = 'townhouse row' THEN du END) AS du_attsf,
            sum(CASE WHEN nm = 'mf 2to4' THEN du WHEN nm = 'multi family' THEN du * 0.4e0 END) AS du_mf2to4, sum(CASE WHEN nm = 'apartment 5plus' THEN du WHEN nm = 'multi family' THEN du * 0.6e0 END) AS du_mf5p, sum(CASE WHEN nm IN ('mf 2to4', 'multi family', 'apartment 5plus') THEN du END) AS du_mf FROM u GROUP BY parcel_id""")
@@ -94,7 +94,7 @@ def paint_place_type(t: Tables):
     types = building_types(t).withColumnRenamed("id", "type_id").drop("key")
     types = types.withColumn("name", F.element_at(F.array(*map(F.lit, NAMES)), (F.col("type_id") % 6 + 1).cast("int")))
     mixes = t.built_forms.select((F.col("id") % 5).alias("place_type"), F.col("id").alias("type_id"), (10.0 + F.col("id") / 7.0).alias("percentage"), F.lit(25.0).alias("row_pct"))
-    features = t.parcels.select("parcel_id", (F.col("gross_acres") / 3.0).alias("acres"), (F.col("parcel_id") % 5).cast("int").alias("place_type"))
+    features = t.parcels.select("parcel_id", F.sqrt(F.col("gross_acres") + 0.003).alias("acres"), (F.col("parcel_id") % 5).cast("int").alias("place_type"))
     return rounded(C.paint_place_type(features, mixes, types, 2), 6)
 
 
