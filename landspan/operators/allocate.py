@@ -195,9 +195,11 @@ def dasymetric_employment(pairs: DataFrame, subs: Sequence[str] = SUB_SECTORS) -
         base = F.when(F.col("_t_w_" + sector) > 0, F.col("_t_w_" + sector)).otherwise(F.col("_t_w_all"))
         return X.ratio("w_" + sector, base)
 
-    aggs = [F.sum(F.col("emp") * X.ratio("w_all", "_t_w_all")).alias("emp")]
-    aggs += [F.sum(F.col("emp_" + s) * share(s)).alias("emp_" + s) for s in SECTORS]
-    aggs += [F.sum(F.col("emp_" + n) * share(sector_of(n))).alias("emp_" + n) for n in subs]
+    # the six shares are computed once per pair, not once per sub-sector
+    p = p.withColumns({"_s_" + s: share(s) for s in SECTORS} | {"_s_all": X.ratio("w_all", "_t_w_all")})
+    aggs = [F.sum(F.col("emp") * F.col("_s_all")).alias("emp")]
+    aggs += [F.sum(F.col("emp_" + s) * F.col("_s_" + s)).alias("emp_" + s) for s in SECTORS]
+    aggs += [F.sum(F.col("emp_" + n) * F.col("_s_" + sector_of(n))).alias("emp_" + n) for n in subs]
     return p.groupBy("parcel_id").agg(*aggs)
 
 
@@ -243,11 +245,12 @@ def crosswalk(
         pairs.select(source, target, area), [source], [F.sum(area).alias("_whole")]
     )
     p = p.withColumn("share", share).join(values.select(source, *scalars, *labels, *ratios), source)
-    biggest = F.struct(F.col(area), F.col(source) * -1)
+    # largest area first, the lowest source on a tie
+    biggest = F.struct((-F.col(area)).alias("area"), F.col(source))
     aggs = [F.sum(F.col(n) * F.col("share")).alias(n) for n in scalars]
-    aggs += [F.max_by(n, biggest).alias(n) for n in labels]
+    aggs += [F.min_by(n, biggest).alias(n) for n in labels]
     aggs += [X.ratio(F.sum(F.col(n) * F.col("share")), F.sum("share")).alias(n) for n in ratios]
-    return p.groupBy(target).agg(*aggs, F.max_by(source, biggest).alias(source))
+    return p.groupBy(target).agg(*aggs, F.min_by(source, biggest).alias(source))
 
 
 # --- built forms -------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landspan.functions import expr as X
+from landspan.session import cut
 
 MIN_DISTANCE = 1e-10
 
@@ -42,7 +43,8 @@ def gravity(od: DataFrame, zones: DataFrame, decay: float = 2.0) -> DataFrame:
     map task); the pairs are joined a second time only for the inbound trips, and
     the per-origin factor is one number per place.
     """
-    zones = zones.select("parcel_id", X.or_zero("trips").alias("trips"), "emp", "du")
+    # four narrow columns, read four times: written once instead of rebuilt each time
+    zones = cut(zones.select("parcel_id", X.or_zero("trips").alias("trips"), "emp", "du"))
     pull_of = zones.select(
         F.col("parcel_id").alias("dest"), attraction("emp", "du").alias("attraction")
     )
