@@ -207,15 +207,17 @@ FAST = {"maxIter": 3, "maxDepth": 3}
 def model_query(name: str, targets: list[str], derive, total: str | None, whole: bool):
     @query(name)
     def _run(t: Tables):
-        train = training(t).withColumns(derive)
+        train = training(t)
+        if derive:
+            train = train.withColumns({k: F.expr(v) for k, v in derive.items()})
         e = ml.learn_encoding(train)
         model = ml.fit(train, targets, e, **FAST)
         return ml.predict(model, parcels(t), e, targets, total, whole)
 
 
 model_query("ML03_du_regressor", TARGETS, {}, "du_total", True)
-model_query("ML04_sqft_regressor", ["bldg_sqft_detsf_sl", "bldg_sqft_attsf"], {"bldg_sqft_detsf_sl": F.col("du_detsf_sl") * 900.0, "bldg_sqft_attsf": F.col("du_detsf_ll") * 700.0}, None, False)
-model_query("ML05_jobs_regressor", ["emp_ret_per_acre", "emp_off_per_acre"], {"emp_ret_per_acre": F.col("du_detsf_sl") / 3.0, "emp_off_per_acre": F.col("du_detsf_ll") * 2.0}, None, False)
+model_query("ML04_sqft_regressor", ["bldg_sqft_detsf_sl", "bldg_sqft_attsf"], {"bldg_sqft_detsf_sl": "du_detsf_sl * 900", "bldg_sqft_attsf": "du_detsf_ll * 700"}, None, False)
+model_query("ML05_jobs_regressor", ["emp_ret_per_acre", "emp_off_per_acre"], {"emp_ret_per_acre": "du_detsf_sl / 3", "emp_off_per_acre": "du_detsf_ll * 2"}, None, False)
 
 
 @query("ML06_transfer")

@@ -289,12 +289,15 @@ def shortest_paths(t: Tables):
 _Z = "SELECT s_suppkey AS parcel_id, (s_suppkey * 37 % 101) * 1e0 AS x, (s_suppkey * 53 % 97) * 1e0 AS y, abs(s_acctbal) AS trips, (s_suppkey % 13) * 10e0 AS emp, (s_suppkey % 7) * 4e0 AS du FROM supplier"
 
 
-@query(
-    "TRN02_gravity_all_pairs",
+ALL_PAIRS = (
     f"""WITH z AS ({_Z}), p AS (SELECT a.parcel_id AS o, b.parcel_id AS t, a.trips, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, b.emp + b.du * 0.5e0 AS att FROM z a, z b),
     q AS (SELECT *, CASE WHEN d > 1e-10 THEN att * pow(d, -2e0) ELSE 0e0 END AS pull FROM p), s AS (SELECT o, sum(pull) AS s, sum(pull * d) AS sd FROM q GROUP BY o), i AS (SELECT t, sum(q.trips * pull / s) AS inbound FROM q JOIN s ON s.o = q.o WHERE s > 0 GROUP BY t)
     SELECT z.parcel_id, """ + nums(trips_outbound="CASE WHEN s > 0 THEN trips ELSE 0e0 END", trips_inbound="coalesce(inbound, 0e0)", trips_internal="CASE WHEN s > 0 THEN 0e0 ELSE trips END",
-                                   avg_trip_length_km="CASE WHEN s > 0 AND trips > 0 THEN sd / s ELSE 0e0 END") + " FROM z JOIN s ON s.o = z.parcel_id LEFT JOIN i ON i.t = z.parcel_id",
+                                   avg_trip_length_km="CASE WHEN s > 0 AND trips > 0 THEN sd / s ELSE 0e0 END") + " FROM z JOIN s ON s.o = z.parcel_id LEFT JOIN i ON i.t = z.parcel_id"
 )
+
+
+@query("JOI20_all_pairs", ALL_PAIRS)
+@query("TRN02_gravity_all_pairs", ALL_PAIRS)
 def gravity_all_pairs(t: Tables):
     return rounded(T.gravity_all(t.supplier.selectExpr(*_Z.removeprefix("SELECT ").removesuffix(" FROM supplier").split(", ")), tile=256))

@@ -14,7 +14,11 @@ from landspan.sources import sinks as K
 
 WINDOW = (5000.0, 400.0, 30000.0, 8000.0)
 IN_WINDOW = "xmin < 30000 AND xmax > 5000 AND ymin < 8000 AND ymax > 400"
-BOX = F.struct("xmin", "ymin", "xmax", "ymax")
+
+
+def box():
+    return F.struct("xmin", "ymin", "xmax", "ymax")
+
 
 
 def landed(t: Tables, df, name: str) -> str:
@@ -27,7 +31,7 @@ BUILDING_KEYS = ["parcel_id", "line", "supplier", "part"]
 
 
 def with_id(df):
-    return df.withColumn("id", F.concat_ws("-", *BUILDING_KEYS)).withColumn("geometry", G.box_ring(BOX)).withColumn("bbox", BOX)
+    return df.withColumn("id", F.concat_ws("-", *BUILDING_KEYS)).withColumn("geometry", G.box_ring(box())).withColumn("bbox", box())
 
 
 ID_SQL = "concat_ws('-', parcel_id, line, supplier, part)"
@@ -45,15 +49,15 @@ def building_scan(t: Tables):
 
 @query("SRC02_land_cover_scan", ctes("blocks") + f"SELECT geoid AS id, category AS subtype FROM blocks WHERE {IN_WINDOW}")
 def land_cover_scan(t: Tables):
-    raw = t.blocks.select(F.col("geoid").alias("id"), G.box_ring(BOX).alias("geometry"), F.col("category").alias("subtype"), BOX.alias("bbox"))
+    raw = t.blocks.select(F.col("geoid").alias("id"), G.box_ring(box()).alias("geometry"), F.col("category").alias("subtype"), box().alias("bbox"))
     return S.land_cover(t.spark, landed(t, raw, "cover"), WINDOW).select("id", "subtype")
 
 
 @query("SRC03_land_use_scan", ctes("blocks") + f"SELECT geoid AS id, category AS subtype, cast(size AS varchar) AS class FROM blocks WHERE {IN_WINDOW}")
 def land_use_scan(t: Tables):
     raw = t.blocks.select(
-        F.col("geoid").alias("id"), G.box_ring(BOX).alias("geometry"), F.col("category").alias("subtype"),
-        F.col("size").cast("string").alias("class"), BOX.alias("bbox"),
+        F.col("geoid").alias("id"), G.box_ring(box()).alias("geometry"), F.col("category").alias("subtype"),
+        F.col("size").cast("string").alias("class"), box().alias("bbox"),
     )
     return S.land_use(t.spark, landed(t, raw, "use"), WINDOW).select("id", "subtype", "class")
 
@@ -170,7 +174,7 @@ def planning_database_json(t: Tables):
 )
 def tiger_outlines(t: Tables):
     path = scratch_path(t.spark, "tiger")
-    raw = t.block_groups.select(F.lit(6).alias("STATEFP"), F.col("county_id").alias("COUNTYFP"), F.col("geoid").alias("TRACTCE"), F.lit(1).alias("BLKGRPCE"), G.ring_wkt(G.box_ring(BOX)).alias("geometry"))
+    raw = t.block_groups.select(F.lit(6).alias("STATEFP"), F.col("county_id").alias("COUNTYFP"), F.col("geoid").alias("TRACTCE"), F.lit(1).alias("BLKGRPCE"), G.ring_wkt(G.box_ring(box())).alias("geometry"))
     for year in (2020, 2023):
         S.tiger(raw, S.BLOCK_GROUP_PARTS, year).write.mode("append").partitionBy("vintage").parquet(path)
     ring = G.wkt_ring(F.col("geometry"))
@@ -201,7 +205,7 @@ def poi_elements(t: Tables):
 @query("SRC13_paged_features", ctes("parcels") + f"SELECT parcel_id, land_use, {num('value', 'value', 2)}, {num('(xmax - xmin) * (ymax - ymin)', 'area')} FROM parcels")
 def paged_features(t: Tables):
     path = scratch_path(t.spark, "features")
-    ring = G.box_ring(BOX)
+    ring = G.box_ring(box())
     closed = F.transform(F.concat(ring, F.slice(ring, 1, 1)), lambda p: F.array(p["x"], p["y"]))
     geometry = F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates"))
     item = F.struct(
@@ -240,7 +244,7 @@ def optional_columns(t: Tables):
 
 @query("SRC17_store_copy", ctes("parcels") + "SELECT parcel_id, ymin AS x0, xmin AS y0 FROM parcels")
 def store_copy(t: Tables):
-    raw = t.parcels.select("parcel_id", G.swap_axes(G.box_ring(BOX)).alias("ring"))
+    raw = t.parcels.select("parcel_id", G.swap_axes(G.box_ring(box())).alias("ring"))
     copy = t.spark.read.parquet(landed(t, raw, "copy"))
     return copy.select("parcel_id", F.col("ring")[0]["x"].alias("x0"), F.col("ring")[0]["y"].alias("y0"))
 
