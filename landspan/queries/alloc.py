@@ -153,7 +153,7 @@ _MIX = "SELECT concat('Brand#', cast(1 + (id * 5) % 25 AS string)) AS place_type
     ctes(
         "parcels", "built_forms", bt=BT_SQL, mix0=_MIX,
         mix="SELECT *, sum(percentage) OVER (PARTITION BY place_type) AS whole, max(row_pct0) OVER (PARTITION BY place_type) AS row_pct FROM (SELECT * FROM mix0 UNION ALL SELECT concat('Brand#', cast(1 + (type_id * 3) % 25 AS string)), type_id, 5e0 + type_id % 4, CASE WHEN type_id % 3 = 0 THEN 0e0 ELSE 20e0 END FROM mix0)",
-        j="SELECT p.parcel_id, p.gross_acres, mix.type_id, percentage, whole, row_pct, bt.* EXCLUDE (id), gross_acres * (1e0 - coalesce(nullif(row_pct, 0e0), 25e0) / 100e0) AS dev FROM parcels p JOIN mix ON place_type = built_form_key JOIN bt ON bt.id = type_id",
+        j="SELECT p.parcel_id, sqrt(p.gross_acres + 0.003e0) AS gross_acres, mix.type_id, percentage, whole, row_pct, bt.* EXCLUDE (id), sqrt(p.gross_acres + 0.003e0) * (1e0 - coalesce(nullif(row_pct, 0e0), 25e0) / 100e0) AS dev FROM parcels p JOIN mix ON place_type = built_form_key JOIN bt ON bt.id = type_id",
         j2="SELECT *, dev * coalesce(percentage / nullif(whole, 0e0), 0e0) AS part FROM j",
         o=_bt_sql("part", "0e0", "j2"),
     )
@@ -177,7 +177,7 @@ def place_type(t: Tables):
     mix = mix.unionByName(more)
     row = mix.groupBy("place_type").agg(F.max("row_pct0").alias("row_pct"))
     mix = mix.drop("row_pct0").join(row, "place_type")
-    parcels = t.parcels.select("parcel_id", F.col("gross_acres").alias("acres"), F.col("built_form_key").alias("place_type"))
+    parcels = t.parcels.select("parcel_id", F.sqrt(F.col("gross_acres") + 0.003).alias("acres"), F.col("built_form_key").alias("place_type"))
     types = building_types(t).withColumnRenamed("id", "type_id").drop("key")
     out = A.place_type_allocation(parcels, mix, types)
     part = F.transform(

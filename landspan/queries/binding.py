@@ -123,10 +123,10 @@ TABLES: dict[str, Table] = {
         {
             "geoid": "s_suppkey",
             "county_id": "s_nationkey",
-            "pop": "floor(abs(s_acctbal) / 2e0)",
-            "hh": "floor(abs(s_acctbal) / 5e0)",
-            "du": "floor(abs(s_acctbal) / 4.5e0)",
-            "emp": "floor(abs(s_acctbal) / 3e0)",
+            "pop": "cast(floor(abs(s_acctbal) / 2e0) AS double)",
+            "hh": "cast(floor(abs(s_acctbal) / 5e0) AS double)",
+            "du": "cast(floor(abs(s_acctbal) / 4.5e0) AS double)",
+            "emp": "cast(floor(abs(s_acctbal) / 3e0) AS double)",
             "median_income": _null_every(9, "s_suppkey", "20000e0 + floor(abs(s_acctbal) * 8e0)"),
             "rent_burden_pct": _null_every(7, "s_suppkey", "20e0 + (s_suppkey % 30)"),
             "pct_minority": "(s_suppkey * 7 % 100) * 1e0",
@@ -188,8 +188,8 @@ TABLES: dict[str, Table] = {
         {
             "apn": "l_orderkey",
             "sale_id": "l_partkey * 1000000 + l_suppkey * 100 + l_linenumber",
-            "living_area": _null_every(3, "l_partkey", "floor(l_extendedprice / 20e0)"),
-            "building_sf": _null_every(4, "l_partkey", "floor(l_extendedprice / 15e0)"),
+            "living_area": _null_every(3, "l_partkey", "cast(floor(l_extendedprice / 20e0) AS double)"),
+            "building_sf": _null_every(4, "l_partkey", "cast(floor(l_extendedprice / 15e0) AS double)"),
             "units": _null_every(5, "l_suppkey", "cast(l_quantity AS int) % 6"),
             "year_built": _null_every(11, "l_partkey", "1950 + l_partkey % 70"),
             "lot_size_acres": "l_quantity / 50e0",
