@@ -158,7 +158,7 @@ _MIX = "SELECT concat('Brand#', cast(1 + (id * 5) % 25 AS string)) AS place_type
         o=_bt_sql("part", "0e0", "j2"),
     )
     + f"""SELECT parcel_id, {num('max(dev)', 'developable_acres')}, {num('max(gross_acres - dev)', 'row_acres')}, """
-    + ", ".join(num(f"sum({v})", k, 6) for k, v in dict(
+    + ", ".join(num(f"sum({v})", k, 3) for k, v in dict(
         dwelling_units="dwelling_units", population="population", households="households", employment="employment", floor_area_m2="floor_area_m2",
         building_footprint_m2="ground", water_indoor_l="CASE WHEN indoor_water_rate > 0 THEN population * indoor_water_rate * 365e0 ELSE 0e0 END",
         water_outdoor_l="water_outdoor_l", electricity_kwh="coalesce(floor_area_m2 * electricity_eui, 0e0)", gas_kwh="coalesce(floor_area_m2 * gas_eui, 0e0)",
@@ -187,7 +187,7 @@ def place_type(t: Tables):
     head = ["developable_acres", "row_acres"]
     body = [n for n in out.columns if n not in ("parcel_id", "breakdown", *head)]
     return out.select(
-        "parcel_id", *[rd(n).alias(n) for n in head], *[rd(n, 6).alias(n) for n in body],
+        "parcel_id", *[rd(n).alias(n) for n in head], *[rd(n, 3).alias(n) for n in body],
         F.array_join(part, ",").alias("parts"),
     )
 
