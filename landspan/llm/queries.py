@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landspan.llm import exact_dedup
+from landspan.llm import exact_dedup, positional_index
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -23,13 +23,39 @@ FROM d WINDOW w AS (PARTITION BY body)
 """
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.decontaminate(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+
+
+WORDS_8 = f"regexp_extract_all({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL_8 = f"""
+WITH d AS (SELECT doc_id, {WORDS_8} AS w FROM documents),
+b AS (SELECT item_id, {WORDS_8} AS w FROM benchmark),
+bw AS (SELECT item_id, list_aggregate(list_slice(w, s, s + least(10, len(w)) - 1), 'string_agg', ' ') AS win, least(10, len(w)) AS n
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, s, n, list_aggregate(list_slice(w, s, s + n - 1), 'string_agg', ' ') AS win
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT doc_id, s, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2,
+        "op8_positional_index": op8,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": SQL_2,
+        "op8_positional_index": SQL_8,
     }
