@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landspan.llm import exact_dedup, positional_index
+from landspan.llm import exact_dedup, mixing, positional_index
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -47,10 +47,15 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2,
         "op8_positional_index": op8,
+        "op9_block_mixing": op9,
     }
 
 
