@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landspan.llm import exact_dedup, mixing, positional_index
+from landspan.llm import count_tree, exact_dedup, mixing, positional_index
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -23,6 +23,24 @@ FROM d WINDOW w AS (PARTITION BY body)
 """
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tree.join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+WORDS = f"regexp_extract_all({FOLDED}, '[^\\x20\\x09-\\x0D]+')"
+SQL_6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_aggregate(list_slice(w, i, i + 4), 'string_agg', ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(root) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.decontaminate(
         spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -54,6 +72,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2,
+        "op6_count_vector_tree": op6,
         "op8_positional_index": op8,
         "op9_block_mixing": op9,
     }
@@ -62,5 +81,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": SQL_2,
+        "op6_count_vector_tree": SQL_6,
         "op8_positional_index": SQL_8,
     }
