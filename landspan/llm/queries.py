@@ -5,12 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from landspan.llm import count_tree, exact_dedup, mixing, positional_index
+from landspan.llm import count_tree, exact_dedup, line_templates, mixing, positional_index
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, dropped (line numbers, comma-joined), text_sha256 of what remains."""
+    out = line_templates.cleaned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("dropped").cast("long").alias("n_dropped"),
+        F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
+B = "\\x20\\x09-\\x0D"
+SQL_1 = f"""
+WITH d AS (SELECT doc_id, text, string_split(regexp_replace({FOLDED}, '[^{B}]*[0-9][^{B}]*', '<*>', 'g'), chr(10)) AS ls FROM documents),
+l0 AS (SELECT doc_id, unnest(range(len(ls))) AS line, regexp_extract_all(unnest(ls), '[^{B}]+') AS t FROM d),
+l1 AS (SELECT *, len(t) AS tokens, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf, array_to_string(t, ' ') AS body FROM l0),
+l AS (SELECT *, coalesce(lag(leaf) OVER w, '') || chr(10) || coalesce(lead(leaf) OVER w, '') AS context
+      FROM l1 WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+shared AS (SELECT leaf, tokens FROM l WHERE tokens >= 3 GROUP BY 1, 2
+           HAVING count(DISTINCT context) >= greatest(3, ceil(24.0 / tokens))),
+known AS (SELECT leaf, body, any_value(t) AS t, count(DISTINCT doc_id) AS docs FROM l JOIN shared USING (leaf) GROUP BY 1, 2),
+pat AS (SELECT DISTINCT leaf, first_value(t) OVER (PARTITION BY leaf ORDER BY docs DESC, t) AS p FROM known),
+tmpl AS (SELECT leaf, body, CASE WHEN len(list_filter(list_zip(t, p), lambda x: x[1] = x[2])) >= 0.8 * len(t) THEN p ELSE t END AS template
+         FROM known JOIN pat USING (leaf)),
+rec AS (SELECT leaf, template FROM l JOIN tmpl USING (leaf, body) GROUP BY leaf, template, tokens
+        HAVING least(count(DISTINCT context), count(DISTINCT doc_id)) >= greatest(3, ceil(24.0 / tokens))
+           AND 2 * count(DISTINCT context) >= count(DISTINCT doc_id)),
+gone AS (SELECT doc_id, line FROM l JOIN tmpl USING (leaf, body) JOIN rec USING (leaf, template)),
+g AS (SELECT doc_id, list(line ORDER BY line) AS xs FROM gone GROUP BY 1)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS n_lines, coalesce(len(xs), 0) AS n_dropped, coalesce(array_to_string(xs, ','), '') AS dropped,
+       sha256(CASE WHEN xs IS NULL THEN coalesce(text, '') ELSE
+           coalesce(array_to_string(list_transform(list_filter(range(len(ls)), lambda i: NOT list_contains(xs, i)),
+                                                   lambda i: string_split(text, chr(10))[i + 1]), chr(10)), '') END) AS text_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -71,6 +110,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_templates": op1,
         "op2_exact_dedup": op2,
         "op6_count_vector_tree": op6,
         "op8_positional_index": op8,
@@ -80,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_templates": SQL_1,
         "op2_exact_dedup": SQL_2,
         "op6_count_vector_tree": SQL_6,
         "op8_positional_index": SQL_8,
