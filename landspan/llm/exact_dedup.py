@@ -32,6 +32,8 @@ STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else each small store claims megabytes of disk ahead of need
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
