@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landspan.llm import count_tree, exact_dedup, line_templates, mixing, positional_index
+from landspan.llm import (
+    count_tree, deobfuscate, exact_dedup, language_bits, line_templates, mixing, positional_index, zstd_quality,
+)
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -62,6 +64,10 @@ FROM d WINDOW w AS (PARTITION BY body)
 """
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deobfuscate.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tree.join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -80,6 +86,10 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(root) AS comp
 """
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zstd_quality.quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.decontaminate(
         spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -108,13 +118,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_bits.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_templates": op1,
         "op2_exact_dedup": op2,
+        "op4_deobfuscated_toxicity": op4,
         "op6_count_vector_tree": op6,
+        "op7_zstd_quality": op7,
         "op8_positional_index": op8,
         "op9_block_mixing": op9,
+        "op10_language_bits": op10,
     }
 
 
