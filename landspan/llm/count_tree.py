@@ -338,3 +338,12 @@ def join(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
     )
+
+
+def first_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``documents`` without those that are linked, at whatever length, to a smaller doc_id."""
+    gone = join(documents, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = save(gone, "linked")
+    if gone.count() <= FEW_IDS:
+        gone = F.broadcast(gone)
+    return documents.join(gone, "doc_id", "left_anti")

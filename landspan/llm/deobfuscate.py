@@ -328,5 +328,22 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     ).select("doc_id", held_out(2, 4).alias("held_out"), "score", "predicted", "evidence")
 
 
+def tolerable(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents`` that score below the threshold, with all their columns."""
+    at = documents.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        known: dict[str, str] = {}
+        for batch in batches:
+            done = 0
+            for part, data, offsets in slices(batch.column(at), batch.column(at)):
+                data, offsets = restored(part, data, offsets, model.chars, known)
+                p = np.interp(evidence(data, offsets, model.keys, model.weights), *model.curve)
+                yield batch.slice(done, len(part)).filter(pa.array(p < threshold))
+                done += len(part)
+
+    return documents.mapInArrow(work, documents.schema)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return score(documents, fit(training(documents, labels, "toxic", 2, 4)))

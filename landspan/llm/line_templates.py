@@ -48,7 +48,7 @@ def masked(text: Column) -> Column:
 
 
 def parsed(documents: DataFrame) -> DataFrame:
-    """doc, line, tokens (number), leaf, body, context: hashes of each line, its leaf and its neighbours' leaves."""
+    """_doc, line, tokens (number), leaf, body, context: hashes of each line, its leaf and its neighbours' leaves."""
     lines = F.transform(F.split(masked(F.col("text")), "\n"), lambda x: words(x))
     shape = F.transform(
         F.col("lines"),
@@ -61,11 +61,11 @@ def parsed(documents: DataFrame) -> DataFrame:
     return (
         numbered(documents)
         .where("text is not null")
-        .select("doc", lines.alias("lines"))
-        .select("doc", shape.alias("s"))
-        .select("doc", "s", F.posexplode("s").alias("line", "one"))
+        .select("_doc", lines.alias("lines"))
+        .select("_doc", shape.alias("s"))
+        .select("_doc", "s", F.posexplode("s").alias("line", "one"))
         .select(
-            "doc",
+            "_doc",
             "line",
             "one.tokens",
             "one.leaf",
@@ -76,7 +76,7 @@ def parsed(documents: DataFrame) -> DataFrame:
 
 
 def numbered(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("doc", F.xxhash64("doc_id", "text"))
+    return documents.withColumn("_doc", F.xxhash64("doc_id", "text"))
 
 
 def enough(n: Column) -> Column:
@@ -92,7 +92,7 @@ def templates(documents: DataFrame, lines: DataFrame) -> DataFrame:
         .where(enough(F.col("contexts")))
     )
     shared = save(shared, "leaves")
-    spread = lines.join(shared.select("leaf"), "leaf", "left_semi").groupBy("leaf", "body").agg(F.countDistinct("doc").alias("docs"))
+    spread = lines.join(shared.select("leaf"), "leaf", "left_semi").groupBy("leaf", "body").agg(F.countDistinct("_doc").alias("docs"))
     spread = save(spread, "bodies")
     # the tokens of each of those lines, once
     few = shared.select("leaf")
@@ -118,30 +118,30 @@ def recurring(lines: DataFrame, found: DataFrame) -> DataFrame:
     return (
         lines.join(found.select("leaf", "body", "template"), ["leaf", "body"])
         .groupBy("leaf", "template", "tokens")
-        .agg(F.countDistinct("doc").alias("docs"), F.countDistinct("context").alias("contexts"))
+        .agg(F.countDistinct("_doc").alias("docs"), F.countDistinct("context").alias("contexts"))
         .where(enough(F.least("docs", "contexts")) & (2 * F.col("contexts") >= F.col("docs")))
     )
 
 
 def drops(documents: DataFrame) -> DataFrame:
-    """doc, dropped: the numbers of the lines that go, per document that has any."""
+    """_doc, _dropped: the numbers of the lines that go, per document that has any."""
     lines = save(parsed(documents), "parsed")
     found = save(templates(documents, lines), "templates")
     gone = found.join(recurring(lines, found).select("leaf", "template"), ["leaf", "template"], "left_semi").select("leaf", "body")
     return save(
-        lines.join(gone, ["leaf", "body"], "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("dropped")), "drops"
+        lines.join(gone, ["leaf", "body"], "left_semi").groupBy("_doc").agg(F.sort_array(F.collect_set("line")).alias("_dropped")), "drops"
     )
 
 
 def cleaned(documents: DataFrame) -> DataFrame:
-    """``documents`` with recurring lines dropped, and with ``n_lines`` and ``dropped`` (line numbers)."""
+    """``documents`` with recurring lines dropped, and with ``_n_lines`` and ``_dropped`` (line numbers)."""
     gone = drops(documents)
     gone = F.broadcast(gone) if gone.count() <= FEW_LEAVES // 10 else gone
     split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
-    out = numbered(documents).join(gone, "doc", "left").drop("doc")
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
+    out = numbered(documents).join(gone, "_doc", "left").drop("_doc")
     return (
-        out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)))
-        .withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept))
-        .withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+        out.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)))
+        .withColumn("text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept))
+        .withColumn("_dropped", F.coalesce("_dropped", F.array().cast("array<int>")))
     )

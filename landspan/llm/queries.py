@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from landspan.llm import (
-    count_tree, deobfuscate, exact_dedup, language_bits, line_templates, mixing, positional_index, zstd_quality,
+    count_tree, deobfuscate, exact_dedup, language_bits, line_templates, mixing, pitman_yor,
+    positional_index, secret_forest, zstd_quality,
 )
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -19,9 +21,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_templates.cleaned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(
         "doc_id",
-        F.col("n_lines").cast("long").alias("n_lines"),
-        F.size("dropped").cast("long").alias("n_dropped"),
-        F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped"),
+        F.col("_n_lines").cast("long").alias("n_lines"),
+        F.size("_dropped").cast("long").alias("n_dropped"),
+        F.array_join(F.transform("_dropped", lambda x: x.cast("string")), ",").alias("dropped"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
 
@@ -64,10 +66,22 @@ FROM d WINDOW w AS (PARTITION BY body)
 """
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deobfuscate.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, finding_sha256, known, held_out, score, predicted of every candidate."""
+    found = secret_forest.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(
+        "doc_id", "start", "length", F.sha2("finding", 256).alias("finding_sha256"), "known", "held_out", "score", "predicted"
+    )
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tree.join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -126,17 +140,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_templates": op1,
         "op2_exact_dedup": op2,
+        "op3_pitman_yor": op3,
         "op4_deobfuscated_toxicity": op4,
+        "op5_secret_forest": op5,
         "op6_count_vector_tree": op6,
         "op7_zstd_quality": op7,
         "op8_positional_index": op8,
         "op9_block_mixing": op9,
         "op10_language_bits": op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return own | {
         "op1_line_templates": SQL_1,
         "op2_exact_dedup": SQL_2,
         "op6_count_vector_tree": SQL_6,
