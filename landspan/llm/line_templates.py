@@ -36,8 +36,8 @@ MIN_TOKENS = 3
 MIN_CONTEXTS = 3
 #: Lines of few tokens need at least this many tokens in all their contexts together.
 CONTEXT_TOKENS = 24
-#: Rows sent to every task at most: leaves, or lines to drop.
-FEW_LEAVES = 500_000
+#: Rows sent to every task at most: documents with a few line numbers each.
+FEW_ROWS = 500_000
 VARIABLE = "<*>"
 
 
@@ -136,7 +136,7 @@ def drops(documents: DataFrame) -> DataFrame:
 def cleaned(documents: DataFrame) -> DataFrame:
     """``documents`` with recurring lines dropped, and with ``_n_lines`` and ``_dropped`` (line numbers)."""
     gone = drops(documents)
-    gone = F.broadcast(gone) if gone.count() <= FEW_LEAVES // 10 else gone
+    gone = F.broadcast(gone) if gone.count() <= FEW_ROWS else gone
     split = F.split("text", "\n")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
     out = numbered(documents).join(gone, "_doc", "left").drop("_doc")
