@@ -45,6 +45,7 @@ MIN_SUPPORT, GRANTED, LEAST_ODDS = 3, 2.5, 5
 #: Word beginnings of these many letters are features too.
 BEGINNINGS = (3, 4, 5, 6)
 THRESHOLD = 0.3
+RANK = 0.02
 #: What a look-alike character may stand for.
 LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -306,7 +307,10 @@ def fit(train: DataFrame) -> Model:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of a rising calibration curve: pooled adjacent violators, each pool smoothed by half a row of each label."""
+    """Knots of a rising calibration curve: pooled adjacent violators, each pool smoothed by half a row of each label.
+
+    A small share of the rank of x keeps the curve strictly rising, so that a pool's rows stay ordered.
+    """
     pools: list[list[float]] = []  # positives, rows, least and largest x
     order = np.argsort(x, kind="stable")
     for a, b, c in zip(x[order], y[order], n[order]):
@@ -316,7 +320,10 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
             pools[-1] = [pools[-1][0] + positives, pools[-1][1] + rows, pools[-1][2], largest]
     at = np.array([e for p in pools for e in p[2:]])
     share = np.repeat([(p[0] + 0.5) / (p[1] + 1) for p in pools], 2)
-    return at, np.maximum.accumulate(share)
+    share = np.maximum.accumulate(share)
+    knots = np.unique(np.concatenate([at, x]))
+    rank = np.interp(knots, x[order], np.cumsum(n[order]) / n.sum())
+    return knots, (1 - RANK) * np.interp(knots, at, share) + RANK * rank
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
