@@ -3,7 +3,12 @@
 A ring is ``array<struct<x:double,y:double>>`` without the repeated last point; a
 box is ``struct<xmin,ymin,xmax,ymax>``.  Everything is built from higher-order
 functions, so it runs in the JVM next to the data; there is no geometry library
-and no Python per row.  Clipping is exact for convex windows.
+and no Python per row.
+
+A polygon of several rings (holes, parts) is one ring too: ``join_rings`` walks the
+rings in turn, shells counter-clockwise and holes clockwise, over bridges from the first
+point that are walked once each way.  What bridges add to area, centroid, ray cast and
+clipping cancels out, so all of these are exact for it; only ``perimeter`` counts them.
 """
 
 from __future__ import annotations
@@ -226,9 +231,69 @@ def clip_box(ring: Column, b: Column) -> Column:
     return clip_convex(ring, box_ring(b))
 
 
+def is_convex(ring: Column) -> Column:
+    """Whether a ring never turns right (counter-clockwise and convex)."""
+
+    def turns(es: Column) -> Column:
+        following = F.concat(F.slice(es, 2, F.size(es)), F.slice(es, 1, 1))
+        return F.forall(F.zip_with(es, following, lambda a, b: _side(a["p"], a["q"], b["q"]) >= 0), lambda ok: ok)
+
+    return bind(edges(ring), turns) & (signed_area(ring) > 0)
+
+
+def _fan(window: Column) -> Column:
+    """Triangles from the first point over every edge, counter-clockwise, with the sign they count by.
+
+    Their signed sum is the window, whatever its shape.
+    """
+
+    def triangles(w: Column) -> Column:
+        o = F.get(w, F.lit(0))
+
+        def triangle(e: Column) -> Column:
+            side = _side(o, e["p"], e["q"])
+            q = F.when(side > 0, e["p"]).otherwise(e["q"])
+            r = F.when(side > 0, e["q"]).otherwise(e["p"])
+            corners = F.array(point(o["x"], o["y"]), point(q["x"], q["y"]), point(r["x"], r["y"]))
+            return F.struct(corners.alias("ring"), F.signum(side).alias("sign"))
+
+        return F.filter(F.transform(edges(w), triangle), lambda t: t["sign"] != 0)
+
+    return bind(window, triangles)
+
+
 def overlap_area(ring: Column, window: Column) -> Column:
-    """GEO02: area of ring ∩ convex window (0 if unknown)."""
-    return F.coalesce(area(clip_convex(ring, window)), F.lit(0.0))
+    """GEO02: area of ring ∩ window, of any shapes (0 if unknown)."""
+    convex = F.abs(signed_area(clip_convex(ring, window)))
+    pieces = F.abs(_sum(_fan(window), lambda t: t["sign"] * signed_area(clip_convex(ring, t["ring"]))))
+    return F.coalesce(F.when(is_convex(window), convex).otherwise(pieces), F.lit(0.0))
+
+
+def rings_meet(a: Column, b: Column) -> Column:
+    """JOI14: the polygons share a point: an edge of one crosses or touches one of the other, or one holds the other."""
+
+    def touch(e: Column, f: Column) -> Column:
+        s1, s2 = _side(e["p"], e["q"], f["p"]), _side(e["p"], e["q"], f["q"])
+        t1, t2 = _side(f["p"], f["q"], e["p"]), _side(f["p"], f["q"], e["q"])
+        near = (
+            (F.least(e["p"]["x"], e["q"]["x"]) <= F.greatest(f["p"]["x"], f["q"]["x"]))
+            & (F.least(f["p"]["x"], f["q"]["x"]) <= F.greatest(e["p"]["x"], e["q"]["x"]))
+            & (F.least(e["p"]["y"], e["q"]["y"]) <= F.greatest(f["p"]["y"], f["q"]["y"]))
+            & (F.least(f["p"]["y"], f["q"]["y"]) <= F.greatest(e["p"]["y"], e["q"]["y"]))
+        )
+        return near & (F.signum(s1) * F.signum(s2) <= 0) & (F.signum(t1) * F.signum(t2) <= 0)
+
+    # a bridge is no edge: it is walked both ways, and only there
+    def outline(r: Column) -> Column:
+        return bind(
+            edges(r),
+            lambda es: F.filter(es, lambda e: ~F.exists(es, lambda g: (g["p"] == e["q"]) & (g["q"] == e["p"]))),
+        )
+
+    crossing = bind(outline(b), lambda fs: F.exists(outline(a), lambda e: F.exists(fs, lambda f: touch(e, f))))
+    first = lambda r: F.get(r, F.lit(0))
+    held = point_in_ring(first(a)["x"], first(a)["y"], b) | point_in_ring(first(b)["x"], first(b)["y"], a)
+    return F.coalesce(crossing | held, F.lit(False))
 
 
 def overlap_ratio(ring: Column, window: Column) -> Column:
@@ -240,10 +305,17 @@ def overlap_ratio(ring: Column, window: Column) -> Column:
 
 
 def segment_length_in(p: Column, q: Column, window: Column) -> Column:
-    """GEO09: length of segment p -> q inside a convex window.
+    """GEO09: length of segment p -> q inside a window of any shape.
 
-    The parameter range of the segment is narrowed by every window edge.
+    A window that is not convex counts as the signed sum of its triangles; a segment that
+    runs along the edge of such a triangle may count half or double.
     """
+    pieces = _sum(_fan(window), lambda t: t["sign"] * _length_in_convex(p, q, t["ring"]))
+    return F.when(is_convex(window), _length_in_convex(p, q, window)).otherwise(F.abs(pieces))
+
+
+def _length_in_convex(p: Column, q: Column, window: Column) -> Column:
+    """The parameter range of the segment is narrowed by every window edge."""
     full = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
 
     def narrow(acc: Column, e: Column) -> Column:
@@ -427,21 +499,46 @@ def unproject_3857(x: Column, y: Column) -> Column:
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
-def wkt_ring(wkt: Column) -> Column:
-    """First ring (or the line / point list) of a WKT text, closing point dropped."""
-    body = F.regexp_extract(wkt, r"\(+([^()]*)\)", 1)
-    pts = F.transform(
-        F.regexp_extract_all(body, F.lit(rf"({NUMBER}\s+{NUMBER})"), F.lit(1)),
-        lambda s: point(F.split(s, r"\s+")[0].cast("double"), F.split(s, r"\s+")[1].cast("double")),
-    )
-    closed = (
-        wkt.rlike(r"(?i)POLYGON")
-        & (F.size(pts) > 1)
-        & (F.try_element_at(pts, F.lit(1)) == F.try_element_at(pts, F.lit(-1)))
+def _points(text: Column, between: str) -> Column:
+    """Number pairs of a text as points."""
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(rf"({NUMBER}{between}{NUMBER})"), F.lit(1)),
+        lambda s: point(F.split(s, between)[0].cast("double"), F.split(s, between)[1].cast("double")),
     )
+
+
+def _open(pts: Column) -> Column:
+    """Without the closing point."""
+    closed = (F.size(pts) > 1) & (F.try_element_at(pts, F.lit(1)) == F.try_element_at(pts, F.lit(-1)))
+    return F.when(closed, F.slice(pts, 1, F.size(pts) - 1)).otherwise(pts)
+
+
+def join_rings(rings: Column) -> Column:
+    """One ring from ``array<struct<ring, shell:boolean>>``: shells counter-clockwise, holes clockwise, bridged."""
+
+    def turned(r: Column) -> Column:
+        return bind(r["ring"], lambda p: F.when((signed_area(p) < 0) == r["shell"], F.reverse(p)).otherwise(p))
+
+    def walk(rs: Column) -> Column:
+        start = F.slice(F.get(rs, F.lit(0)), 1, 1)
+        return F.aggregate(
+            F.slice(rs, 2, F.greatest(F.size(rs) - 1, F.lit(0))),
+            F.get(rs, F.lit(0)),
+            lambda acc, r: F.concat(acc, start, r, F.slice(r, 1, 1)),
+        )
+
     return F.when(
-        F.size(pts) > 0, F.when(closed, F.slice(pts, 1, F.size(pts) - 1)).otherwise(pts)
-    )
+        F.size(rings) == 1, F.get(rings, F.lit(0))["ring"]
+    ).otherwise(bind(F.transform(rings, turned), walk))
+
+
+def wkt_ring(wkt: Column) -> Column:
+    """All rings of a POLYGON or MULTIPOLYGON text as one, or the points of a line or point text."""
+    parts = F.regexp_extract_all(F.regexp_replace(wkt, r"\(\s+", "("), F.lit(r"(\(+[^()]+\))"), F.lit(1))
+    rings = F.transform(parts, lambda t: F.struct(_open(_points(t, r"\s+")).alias("ring"), t.startswith("((").alias("shell")))
+    line = _points(F.get(parts, F.lit(0)), r"\s+")
+    pts = F.when(wkt.rlike(r"(?i)POLYGON"), join_rings(F.filter(rings, lambda r: F.size(r["ring"]) > 0))).otherwise(line)
+    return bind(pts, lambda p: F.when(F.size(p) > 0, p))
 
 
 def ring_wkt(ring: Column) -> Column:
@@ -457,12 +554,10 @@ GEOJSON_SCHEMA = "type string, coordinates string"
 
 
 def geojson_ring(geometry: Column) -> Column:
-    """First ring of a GeoJSON geometry text (Polygon or MultiPolygon)."""
-    coords = F.get_json_object(geometry, "$.coordinates")
-    first = F.regexp_extract(coords, r"^\[+(.*?)\]\]", 1)
-    pts = F.transform(
-        F.regexp_extract_all(first, F.lit(rf"({NUMBER}\s*,\s*{NUMBER})"), F.lit(1)),
-        lambda s: point(F.split(s, r"\s*,\s*")[0].cast("double"), F.split(s, r"\s*,\s*")[1].cast("double")),
-    )
-    closed = (F.size(pts) > 1) & (F.try_element_at(pts, F.lit(1)) == F.try_element_at(pts, F.lit(-1)))
-    return F.when(F.size(pts) > 0, F.when(closed, F.slice(pts, 1, F.size(pts) - 1)).otherwise(pts))
+    """All rings of a GeoJSON Polygon or MultiPolygon text as one."""
+    coords = F.regexp_replace(F.get_json_object(geometry, "$.coordinates"), r"\s+", "")
+    parts = F.regexp_extract_all(coords, F.lit(r"(\[+[^\[\]]+\](?:,\[[^\[\]]+\])*\])"), F.lit(1))
+    # a shell opens its polygon: one bracket more than a hole, and one more for the list in front
+    rings = F.transform(parts, lambda t: F.struct(_open(_points(t, r"\s*,\s*")).alias("ring"), t.startswith("[[[").alias("shell")))
+    pts = join_rings(F.filter(rings, lambda r: F.size(r["ring"]) > 0))
+    return bind(pts, lambda p: F.when(F.size(p) > 0, p))

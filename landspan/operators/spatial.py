@@ -247,7 +247,7 @@ def box_overlaps(
 def ring_overlaps(
     left: DataFrame, right: DataFrame, cell: float, levels: int = 2
 ) -> DataFrame:
-    """GEO02 / GEO15: ring pairs with their ``overlap`` area; the right ring is convex."""
+    """GEO02 / GEO15: pairs of polygons of any shape with their ``overlap`` area."""
     l = left if "xmin" in left.columns else with_ring_box(left)
     r = right if "xmin" in right.columns else with_ring_box(right)
     r = r.withColumn("ring", G.counter_clockwise(F.col("ring")))
@@ -255,6 +255,13 @@ def ring_overlaps(
     return only_positive(box_join(l, r, cell, levels), "overlap", overlap)
 
 
+def polygons_meet(left: DataFrame, right: DataFrame, cell: float, levels: int = 2) -> DataFrame:
+    """JOI14: pairs of polygons that share a point, tested on their edges after their boxes."""
+    l = left if "xmin" in left.columns else with_ring_box(left)
+    r = right if "xmin" in right.columns else with_ring_box(right)
+    return box_join(l, r, cell, levels).where(G.rings_meet(F.col("l.ring"), F.col("r.ring")))
+
+
 def only_positive(pairs: DataFrame, name: str, measure: Column) -> DataFrame:
     """Add a costly measure and keep rows above 0, computing it once per row.
 

@@ -34,6 +34,71 @@ def intersects(t: Tables):
     )
 
 
+# Blocks with a hole in the middle: half as wide and as high.
+_IN = "(b.xmax - b.xmin) / 4e0", "(b.ymax - b.ymin) / 4e0"
+HOLE = f"least(a.xmax, b.xmax - {_IN[0]}) - greatest(a.xmin, b.xmin + {_IN[0]})", f"least(a.ymax, b.ymax - {_IN[1]}) - greatest(a.ymin, b.ymin + {_IN[1]})"
+HOLE_OVERLAP = f"(greatest(0e0, {HOLE[0]}) * greatest(0e0, {HOLE[1]}))"
+WITHIN_HOLE = f"(a.xmin > b.xmin + {_IN[0]} AND a.xmax < b.xmax - {_IN[0]} AND a.ymin > b.ymin + {_IN[1]} AND a.ymax < b.ymax - {_IN[1]})"
+
+
+def frames(t: Tables):
+    """geoid, box and ring of every block around its hole."""
+    w, h = (F.col("xmax") - F.col("xmin")) / 4.0, (F.col("ymax") - F.col("ymin")) / 4.0
+    hole = G.box(F.col("xmin") + w, F.col("ymin") + h, F.col("xmax") - w, F.col("ymax") - h)
+    ring = lambda b, shell: F.struct(G.box_ring(b).alias("ring"), F.lit(shell).alias("shell"))
+    return t.blocks.select("geoid", *BOX, G.join_rings(F.array(ring(F.struct(*BOX), True), ring(hole, False))).alias("ring"))
+
+
+def lot_rings(t: Tables):
+    return t.parcels.select("parcel_id", *BOX, G.box_ring(F.struct(*BOX)).alias("ring"))
+
+
+@query(
+    "JOI14_polygons_meet",
+    ctes("parcels", "blocks")
+    + f"SELECT b.geoid, count(*) AS parcels FROM parcels a JOIN blocks b ON {MEET} AND NOT {WITHIN_HOLE} GROUP BY b.geoid",
+)
+def polygons_meet(t: Tables):
+    pairs = S.polygons_meet(lot_rings(t), frames(t), 200.0)
+    return pairs.groupBy(F.col("r.geoid").alias("geoid")).agg(F.count("*").alias("parcels"))
+
+
+@query(
+    "GEO02_polygon_overlap",
+    ctes("parcels", "blocks")
+    + f"""SELECT b.geoid, {rds(f'sum({OVERLAP} - {HOLE_OVERLAP})', 3)} AS overlap FROM parcels a JOIN blocks b ON {MEET}
+    WHERE {OVERLAP} - {HOLE_OVERLAP} > 1e-6 GROUP BY b.geoid""",
+)
+def polygon_overlap(t: Tables):
+    pairs = S.ring_overlaps(lot_rings(t), frames(t), 200.0).where("overlap > 1e-6")
+    return pairs.groupBy(F.col("r.geoid").alias("geoid")).agg(rd(F.sum("overlap"), 3).alias("overlap"))
+
+
+@query(
+    "GEO17_parse_all_rings",
+    ctes("parcels")
+    + f"SELECT parcel_id, {rds('(xmax - xmin) * (ymax - ymin) * 1.75e0', 3)} AS wkt_area, {rds('(xmax - xmin) * (ymax - ymin) * 1.75e0', 3)} AS json_area FROM parcels",
+)
+def parse_all_rings(t: Tables):
+    # the lot around a hole, and the lot once more beside it
+    w, h = (F.col("xmax") - F.col("xmin")) / 4.0, (F.col("ymax") - F.col("ymin")) / 4.0
+    hole = G.box(F.col("xmin") + w, F.col("ymin") + h, F.col("xmax") - w, F.col("ymax") - h)
+    beside = G.box(F.col("xmin") + 8 * w, F.col("ymin"), F.col("xmax") + 8 * w, F.col("ymax"))
+    rings = [G.box_ring(b) for b in (F.struct(*BOX), hole, beside)]
+
+    def text(ring, pair, between):
+        return F.concat_ws(between, F.transform(F.concat(ring, F.slice(ring, 1, 1)), lambda p: F.format_string(pair, p["x"], p["y"])))
+
+    wkt = F.format_string("MULTIPOLYGON (((%s), (%s)), ((%s)))", *[text(r, "%s %s", ", ") for r in rings])
+    json = F.format_string('{"type": "MultiPolygon", "coordinates": [[[%s], [%s]], [[%s]]]}', *[text(r, "[%s, %s]", ", ") for r in rings])
+    p = t.parcels.select("parcel_id", wkt.alias("wkt"), json.alias("json"))
+    return p.select(
+        "parcel_id",
+        rd(G.area(G.wkt_ring(F.col("wkt"))), 3).alias("wkt_area"),
+        rd(G.area(G.geojson_ring(F.col("json"))), 3).alias("json_area"),
+    )
+
+
 @query(
     "JOI15_box_prefilter",
     ctes("parcels", "block_groups")
