@@ -3,7 +3,8 @@
 An unpartitioned window sorts the whole table in one task, and a window over a
 hot key sorts that key in one task.  The operators here first collapse the table
 to distinct (key, value) counts, then number them in two levels: value ranges get
-running totals (at most 256 rows per key), and every range is numbered on its own.  A value shared by a third of all rows is one counted row from the start.
+running totals (a row per shuffle partition and key), and every range is numbered on
+its own.  A value shared by a third of all rows is one counted row from the start.
 """
 
 from __future__ import annotations
@@ -15,10 +16,6 @@ from pyspark.sql import functions as F
 
 from landspan.session import cut
 
-MAX_RANGES = 256
-RANGE_ROWS = 10_000
-
-
 def _same_keys(keys: Sequence[str], prefix: str = "_k_") -> Column:
     cond = None
     for k in keys:
@@ -32,31 +29,13 @@ def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _with_range(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Add ``_range``: number of the value's range within its key.
+    """Add ``_range``: number of the value's range.
 
-    Keys with many distinct values are cut at up to 255 of them, the ones with the
-    smallest hash, so the cuts are the same in every run; which values are picked
-    affects balance only.  Small keys are one range.
+    Spark samples the (key, value) order and cuts it into as many ranges as it shuffles
+    to, so a key with many distinct values spans many of them.  The table is written
+    once, which fixes the numbers.
     """
-    sizes = counts.groupBy(*keys).agg(F.count("*").alias("_d"))
-    ranges = F.least(F.ceil(F.col("_d") / RANGE_ROWS), F.lit(MAX_RANGES))
-    big = _renamed(sizes.where(F.col("_d") > RANGE_ROWS).select(*keys, (ranges - 1).alias("_cuts")), keys)
-    drop = ["_k_" + k for k in keys]
-    sample = counts.join(big, _same_keys(keys)).drop(*drop)
-    sample = sample.withColumn("_h", F.xxhash64(value))
-    sample = top_per(sample, keys, [F.asc("_h"), F.asc(value)], MAX_RANGES, "_i")
-    edges = _renamed(
-        sample.where(F.col("_i") <= F.col("_cuts"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(value)).alias("_edges")),
-        keys,
-    )
-    below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    return (
-        counts.join(edges, _same_keys(keys), "left")
-        .withColumn("_range", F.when(F.col("_edges").isNotNull(), below).otherwise(0))
-        .drop("_edges", *drop)
-    )
+    return cut(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
 
 
 def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -69,7 +48,6 @@ def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFram
     if not names:
         df, names = df.withColumn("_all", F.lit(0)), ["_all"]
     counts = df.where(F.col(value).isNotNull()).groupBy(*names, value).agg(F.count("*").alias("n"))
-    counts = cut(counts)
     counts = _with_range(counts, names, value)
     per_range = counts.groupBy(*names, "_range").agg(F.sum("n").alias("_in_range"))
     whole = Window.partitionBy(*names)

@@ -20,7 +20,6 @@ from landspan.session import cut
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 HOT_ROWS = 200_000
-HOT_BYTES = 1 << 30
 FEW_CELLS = 16
 
 
@@ -97,13 +96,28 @@ def _levels_used(sides: list[DataFrame], sizes: list[float]) -> int:
     return (both.agg(F.max("h")).first()[0] or 0) + 1
 
 
-def _could_be_hot(df: DataFrame) -> bool:
-    """False where the whole table is smaller than one hot cell may be.
+def _hot_cells(side: DataFrame, hot_rows: int, name: str) -> DataFrame:
+    """Cells with more than ``hot_rows`` rows of one side, and into how many parts they are cut."""
+    counts = side.groupBy(*CELL).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    return counts.select(*CELL, F.ceil(F.col("_n") / hot_rows).cast("bigint").alias(name))
 
-    The optimizer's size estimate errs on the large side for anything it cannot see.
+
+def _cut_hot(a: DataFrame, b: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with parts ``_pa`` and ``_pb``: a left row has one part and goes to all parts of the right, and so on.
+
+    The part follows from the row itself, so a rerun of a lost task repeats it.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) > HOT_BYTES
+    hot = cut(_hot_cells(a, hot_rows, "_na").join(_hot_cells(b, hot_rows, "_nb"), CELL, "full"))
+    if hot.isEmpty():
+        return a, b
+    out = []
+    for side, own, other in ((a, "a", "b"), (b, "b", "a")):
+        h = F.xxhash64(*[n for n, t in side.dtypes if "map<" not in t])
+        side = side.join(hot, CELL, "left")
+        mine, theirs = (F.coalesce(F.col(f"_n{x}"), F.lit(1).cast("bigint")) for x in (own, other))
+        parts = F.explode(F.sequence(F.lit(0).cast("bigint"), theirs - 1))
+        out.append(side.withColumn(f"_p{own}", F.pmod(h, mine)).withColumn(f"_p{other}", parts).drop("_na", "_nb"))
+    return out[0], out[1]
 
 
 def box_join(
@@ -120,9 +134,9 @@ def box_join(
     With ``levels`` > 1 boxes too large for the cell live on cells 16 times as wide;
     levels nobody lives on are dropped.  ``points`` says that left boxes are points.
 
-    Hot cells of a large left table are found by a count of its rows per cell; there
-    can be at most rows / hot_rows of them.  Their left rows get a salt and their
-    right rows are repeated per salt.  All other cells have salt 0.
+    Hot cells are found by a count of each side's rows per cell; there can be at most
+    rows / hot_rows of them.  Either side's rows of such a cell are cut into parts and
+    meet every part of the other side.
     """
     sizes = [cell * COARSER**i for i in range(levels)]
     if levels > 1:
@@ -131,23 +145,8 @@ def box_join(
     same_cell = F.lit(True)
     if len(sizes) > 1:
         same_cell = (F.col("l._home") == F.col("l._level")) | (F.col("r._home") == F.col("r._level"))
-    keys = list(CELL)
-    if _could_be_hot(left):
-        hot = (
-            a.groupBy(*CELL)
-            .agg(F.count("*").alias("_n"))
-            .where(F.col("_n") > hot_rows)
-            .select(*CELL, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-        )
-        # the salt follows from the row itself, so a rerun of a lost task repeats it
-        own = F.xxhash64(*[n for n, t in left.dtypes if "map<" not in t])
-        a = a.join(hot, CELL, "left").withColumn(
-            "_salt", F.coalesce(F.pmod(own, F.col("_salts").cast("bigint")), F.lit(0).cast("bigint"))
-        ).drop("_salts")
-        b = b.join(hot, CELL, "left").withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)).cast("bigint") - 1))
-        ).drop("_salts")
-        keys.append("_salt")
+    a, b = _cut_hot(a, b, hot_rows)
+    keys = [*CELL, *[p for p in ("_pa", "_pb") if p in a.columns]]
     a, b = a.alias("l"), b.alias("r")
     l, r = box_of("l"), box_of("r")
     for n in keys:

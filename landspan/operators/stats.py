@@ -144,15 +144,12 @@ def std_deviation(mean: float, sd: float, classes: int) -> list[float]:
     return [mean + (i - half) * sd for i in range(classes + 1)]
 
 
-COPIES_PER_BIN = 50
-
-
 def natural_breaks(values: Sequence[tuple[float, int]], classes: int) -> list[float]:
     """STA06: least squared deviation from class means over (value, copies), in order.
 
     The input is a histogram (a handful of mid points), so this stays on the driver.
     """
-    points = sorted((v, min(n, COPIES_PER_BIN)) for v, n in values if n > 0)
+    points = sorted((v, n) for v, n in values if n > 0)
     if not points:
         return [0.0]
     if len(points) <= classes:

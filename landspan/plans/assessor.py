@@ -16,10 +16,10 @@ from landspan.session import cut
 
 # Category of two-character use codes, and of code beginnings.
 USE_CODES = {
-    "urban": "10 11 12 13 14 15 16 17 18",
-    "industrial": "20 21 22 23 24 30 31 32 80 81 82 83 90",
-    "agricultural": "40 41 42 43 44 45 46",
-    "undeveloped": "50 51 52 53 60 61 62 63 70 71",
+    "urban": ["10", "11", "12", "13", "14", "15", "16", "17", "18"],
+    "industrial": ["20", "21", "22", "23", "24", "30", "31", "32", "80", "81", "82", "83", "90"],
+    "agricultural": ["40", "41", "42", "43", "44", "45", "46"],
+    "undeveloped": ["50", "51", "52", "53", "60", "61", "62", "63", "70", "71"],
 }
 VACANT_M_CODES = ("MP", "MR", "MW", "MD", "MF", "MG", "ML")
 FIRST_LETTER = {
@@ -31,7 +31,7 @@ FIRST_LETTER = {
 def use_code_category(code: Column) -> Column:
     """Category of a numeric two-character use code, NULL if unknown."""
     two = F.substring(code, 1, 2)
-    return X.ladder([(two.isin(codes.split()), cat) for cat, codes in USE_CODES.items()])
+    return X.ladder([(two.isin(codes), cat) for cat, codes in USE_CODES.items()])
 
 
 def land_category(code: Column) -> Column:

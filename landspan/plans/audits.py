@@ -178,6 +178,7 @@ def jobs_on_empty_land(df: DataFrame) -> DataFrame:
 
 # --- AUD07 ---------------------------------------------------------------------------
 
+# Keys of the multi-family building types.
 MULTI_FAMILY = (
     "bt__medium_density_attached_residential", "bt__medium_high_density_attached_residential",
     "bt__high_density_attached_residential", "bt__very_high_density_attached_residential",

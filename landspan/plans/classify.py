@@ -204,31 +204,71 @@ def closest_form(parcels: DataFrame, forms: DataFrame) -> DataFrame:
     return df.withColumn("built_form_key", F.array_min(gaps)["id"]).drop("_forms", "_d")
 
 
-# Point-of-interest categories by tag, in order of precedence.
-POI_TAGS = {
-    "restaurants": "amenity=restaurant amenity=fast_food amenity=cafe amenity=bar amenity=pub",
-    "schools": "amenity=school amenity=university amenity=college amenity=library",
-    "hospitals": "amenity=hospital amenity=clinic amenity=pharmacy amenity=doctors",
-    "parks": "leisure=park leisure=playground leisure=garden leisure=nature_reserve landuse=recreation_ground",
-    "transit": "amenity=bus_station amenity=ferry_terminal amenity=taxi railway=station railway=halt highway=bus_stop",
-    "shopping": "shop=supermarket shop=convenience shop=mall shop=department_store shop=retail",
-    "lodging": "tourism=hotel tourism=motel tourism=hostel tourism=guest_house tourism=camp_site",
-    "entertainment": "amenity=cinema amenity=theatre amenity=nightclub tourism=museum tourism=attraction tourism=zoo",
-    "public_services": "amenity=police amenity=fire_station amenity=post_office amenity=townhall amenity=courthouse amenity=community_centre",
-    "sports": "leisure=sports_centre leisure=fitness_centre leisure=stadium leisure=pitch sport=swimming",
-    "places_of_worship": "amenity=place_of_worship amenity=cemetery",
-}
+# Fixed values: (key, value, category) of points of interest, in order of precedence.
+POI_TAGS = [
+    ("amenity", "restaurant", "restaurants"),
+    ("amenity", "fast_food", "restaurants"),
+    ("amenity", "cafe", "restaurants"),
+    ("amenity", "bar", "restaurants"),
+    ("amenity", "pub", "restaurants"),
+    ("amenity", "school", "schools"),
+    ("amenity", "university", "schools"),
+    ("amenity", "college", "schools"),
+    ("amenity", "library", "schools"),
+    ("amenity", "hospital", "hospitals"),
+    ("amenity", "clinic", "hospitals"),
+    ("amenity", "pharmacy", "hospitals"),
+    ("amenity", "doctors", "hospitals"),
+    ("leisure", "park", "parks"),
+    ("leisure", "playground", "parks"),
+    ("leisure", "garden", "parks"),
+    ("leisure", "nature_reserve", "parks"),
+    ("landuse", "recreation_ground", "parks"),
+    ("amenity", "bus_station", "transit"),
+    ("amenity", "ferry_terminal", "transit"),
+    ("amenity", "taxi", "transit"),
+    ("railway", "station", "transit"),
+    ("railway", "halt", "transit"),
+    ("highway", "bus_stop", "transit"),
+    ("shop", "supermarket", "shopping"),
+    ("shop", "convenience", "shopping"),
+    ("shop", "mall", "shopping"),
+    ("shop", "department_store", "shopping"),
+    ("shop", "retail", "shopping"),
+    ("tourism", "hotel", "lodging"),
+    ("tourism", "motel", "lodging"),
+    ("tourism", "hostel", "lodging"),
+    ("tourism", "guest_house", "lodging"),
+    ("tourism", "camp_site", "lodging"),
+    ("amenity", "cinema", "entertainment"),
+    ("amenity", "theatre", "entertainment"),
+    ("amenity", "nightclub", "entertainment"),
+    ("tourism", "museum", "entertainment"),
+    ("tourism", "attraction", "entertainment"),
+    ("tourism", "zoo", "entertainment"),
+    ("amenity", "police", "public_services"),
+    ("amenity", "fire_station", "public_services"),
+    ("amenity", "post_office", "public_services"),
+    ("amenity", "townhall", "public_services"),
+    ("amenity", "courthouse", "public_services"),
+    ("amenity", "community_centre", "public_services"),
+    ("leisure", "sports_centre", "sports"),
+    ("leisure", "fitness_centre", "sports"),
+    ("leisure", "stadium", "sports"),
+    ("leisure", "pitch", "sports"),
+    ("sport", "swimming", "sports"),
+    ("amenity", "place_of_worship", "places_of_worship"),
+    ("amenity", "cemetery", "places_of_worship"),
+]
 
 
 def poi_category(pois: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
     """CLS10: category and deciding tag of the first matching tag, else unknown."""
-    order = [(c, t) for c, tags in POI_TAGS.items() for t in tags.split()]
-    key = [F.lit(t.split("=")[0]) for _, t in order]
-    hits = [F.try_element_at("tags", k) == t.split("=")[1] for k, (_, t) in zip(key, order)]
+    hits = [F.try_element_at("tags", F.lit(key)) == value for key, value, _ in POI_TAGS]
     out = pois.withColumns(
         {
-            "category": X.ladder([(h, c) for h, (c, _) in zip(hits, order)], "unknown"),
-            "subcategory": X.ladder([(h, t) for h, (_, t) in zip(hits, order)], "unknown"),
+            "category": X.ladder([(h, category) for h, (_, _, category) in zip(hits, POI_TAGS)], "unknown"),
+            "subcategory": X.ladder([(h, f"{key}={value}") for h, (key, value, _) in zip(hits, POI_TAGS)], "unknown"),
         }
     )
     return out if categories is None else out.where(F.col("category").isin(list(categories)))

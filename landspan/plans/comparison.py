@@ -59,7 +59,7 @@ def summary(
     """
     parts = [
         totals(reference, metrics, "ref_"),
-        totals(computed, metrics, "brew_"),
+        totals(computed, metrics, "computed_"),
         correlations(comparison_rows(computed, reference, key, metrics), metrics, weight),
     ]
     row = weighted_means(computed, rates)
@@ -82,7 +82,7 @@ def grade(summary_row: DataFrame, metrics: Sequence[str]) -> DataFrame:
                     F.struct(
                         F.lit(m).alias("metric"),
                         F.col("ref_" + m).alias("ref"),
-                        F.col("brew_" + m).alias("computed"),
+                        F.col("computed_" + m).alias("computed"),
                         F.col("r_" + m).alias("r"),
                     )
                     for m in metrics

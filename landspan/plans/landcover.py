@@ -13,27 +13,54 @@ from landspan.operators import spatial
 from landspan.operators.ranking import first_per
 from landspan.params import SQM_PER_ACRE, SQM_PER_SQMI
 
-# Category of (subtype, class); class * stands for the subtype alone.
-LAND_USE_MAP = {
-    "agricultural": "agriculture/* aquaculture/* horticulture/*",
-    "urban": "residential/* developed/* developed/commercial developed/retail developed/office developed/mixed_use "
-    "education/* medical/* religious/* entertainment/* recreation/* golf/* cemetery/* pedestrian/*",
-    "industrial": "industrial/* industrial/quarry industrial/quarry_storage industrial/mineral_pile industrial/refinery "
-    "resource_extraction/* resource_extraction/quarry resource_extraction/mine landfill/* landfill/landfill military/* "
-    "transportation/* transportation/airport transportation/port transportation/railway",
-    "undeveloped": "construction/* park/* protected/* grass/* managed/* campground/* winter_sports/*",
-    "conservation": "protected/conservation",
-}
+# Fixed values: (subtype, class, category); without a class for the subtype alone.
+LAND_USE_MAP = [
+    ("agriculture", None, "agricultural"),
+    ("aquaculture", None, "agricultural"),
+    ("horticulture", None, "agricultural"),
+    ("residential", None, "urban"),
+    ("developed", None, "urban"),
+    ("developed", "commercial", "urban"),
+    ("developed", "retail", "urban"),
+    ("developed", "office", "urban"),
+    ("developed", "mixed_use", "urban"),
+    ("education", None, "urban"),
+    ("medical", None, "urban"),
+    ("religious", None, "urban"),
+    ("entertainment", None, "urban"),
+    ("recreation", None, "urban"),
+    ("golf", None, "urban"),
+    ("cemetery", None, "urban"),
+    ("pedestrian", None, "urban"),
+    ("industrial", None, "industrial"),
+    ("industrial", "quarry", "industrial"),
+    ("industrial", "quarry_storage", "industrial"),
+    ("industrial", "mineral_pile", "industrial"),
+    ("industrial", "refinery", "industrial"),
+    ("resource_extraction", None, "industrial"),
+    ("resource_extraction", "quarry", "industrial"),
+    ("resource_extraction", "mine", "industrial"),
+    ("landfill", None, "industrial"),
+    ("landfill", "landfill", "industrial"),
+    ("military", None, "industrial"),
+    ("transportation", None, "industrial"),
+    ("transportation", "airport", "industrial"),
+    ("transportation", "port", "industrial"),
+    ("transportation", "railway", "industrial"),
+    ("construction", None, "undeveloped"),
+    ("park", None, "undeveloped"),
+    ("protected", None, "undeveloped"),
+    ("grass", None, "undeveloped"),
+    ("managed", None, "undeveloped"),
+    ("campground", None, "undeveloped"),
+    ("winter_sports", None, "undeveloped"),
+    ("protected", "conservation", "conservation"),
+]
 
 
 def land_use_table(spark) -> DataFrame:
     """The lookup as rows (subtype, class or NULL, category)."""
-    rows = [
-        (*[p if p != "*" else None for p in pair.split("/")], cat)
-        for cat, pairs in LAND_USE_MAP.items()
-        for pair in pairs.split()
-    ]
-    return spark.createDataFrame(rows, "subtype string, class string, category string")
+    return spark.createDataFrame(LAND_USE_MAP, "subtype string, class string, category string")
 
 
 def lookup_category(df: DataFrame, table: DataFrame, default: str = "urban") -> DataFrame:
@@ -188,8 +215,8 @@ def food_index(parcels: DataFrame, shops: DataFrame, radius_m: float = 1000.0) -
 
 
 # Tags of food shops.
-HEALTHY_TAGS = ("shop=supermarket", "shop=grocery", "shop=farmers_market", "shop=grocer")
-UNHEALTHY_TAGS = ("shop=convenience", "shop=convenience_store", "amenity=fast_food")
+HEALTHY_TAGS = [("shop", "supermarket"), ("shop", "grocery"), ("shop", "farmers_market"), ("shop", "grocer")]
+UNHEALTHY_TAGS = [("shop", "convenience"), ("shop", "convenience_store"), ("amenity", "fast_food")]
 
 
 def food_shops(pois: DataFrame) -> DataFrame:
@@ -197,8 +224,7 @@ def food_shops(pois: DataFrame) -> DataFrame:
 
     def any_of(tags) -> Column:
         hit = F.lit(False)
-        for t in tags:
-            k, v = t.split("=")
+        for k, v in tags:
             hit = hit | F.coalesce(F.try_element_at("tags", F.lit(k)) == v, F.lit(False))
         return hit
 

@@ -17,13 +17,17 @@ from landspan.operators.allocate import (
 from landspan.plans.canvas import HOME_AREAS, JOB_AREAS
 
 # Columns that may be painted (every measure but the static areas).
-_USES = "res_detsf res_detsf_sl res_detsf_ll res_attsf res_mf res emp emp_ret emp_off emp_pub emp_ind emp_ag emp_military mixed_use no_use"
-PAINTABLE = (
-    "area_parcel area_dev_condition area_row pop pop_groupquarter hh du median_income rent_burden_pct pct_minority "
-    "pct_college_educated cost_burden_pct du_detsf du_detsf_sl du_detsf_ll du_attsf du_mf du_mf2to4 du_mf5p emp "
-    "residential_irrigated_area commercial_irrigated_area"
-).split()
-PAINTABLE += ["area_parcel_" + u for u in _USES.split()]
+_USES = [
+    "res_detsf", "res_detsf_sl", "res_detsf_ll", "res_attsf", "res_mf", "res", "emp", "emp_ret", "emp_off",
+    "emp_pub", "emp_ind", "emp_ag", "emp_military", "mixed_use", "no_use",
+]
+PAINTABLE = [
+    "area_parcel", "area_dev_condition", "area_row", "pop", "pop_groupquarter", "hh", "du", "median_income",
+    "rent_burden_pct", "pct_minority", "pct_college_educated", "cost_burden_pct", "du_detsf", "du_detsf_sl",
+    "du_detsf_ll", "du_attsf", "du_mf", "du_mf2to4", "du_mf5p", "emp", "residential_irrigated_area",
+    "commercial_irrigated_area",
+]
+PAINTABLE += ["area_parcel_" + u for u in _USES]
 PAINTABLE += ["emp_" + s for s in [*SECTORS, *SUB_SECTORS]]
 PAINTABLE += ["bldg_area_" + s for s in [*HOME_AREAS, "mf", *JOB_AREAS]]
 KEY = ["scenario_id", "feature_id", "column_name"]

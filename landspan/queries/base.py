@@ -46,7 +46,7 @@ _SUB = ["residential", "developed", "industrial", "protected", "water"]
 _CLS = ["retail", "quarry", "conservation", "none"]
 LU = f"SELECT geoid AS id, {pick_sql('geoid', _SUB)} AS subtype, {pick_sql('size', _CLS)} AS class, xmin, ymin, xmin + (size % 7) * 60e0 + 40e0 AS xmax, ymin + 300e0 AS ymax FROM blocks"
 _LUT = " UNION ALL ".join(
-    f"SELECT '{p.split('/')[0]}' AS subtype, {'NULL' if p.endswith('*') else repr(p.split('/')[1])} AS class, '{cat}' AS category" for cat, ps in L.LAND_USE_MAP.items() for p in ps.split()
+    f"SELECT '{subtype}' AS subtype, {'NULL' if kind is None else repr(kind)} AS class, '{category}' AS category" for subtype, kind, category in L.LAND_USE_MAP
 )
 
 
@@ -358,7 +358,7 @@ def summary_row(t: Tables):
 
 @query(
     "BAS39_comparison_summary",
-    ctes("base", **CMP) + "SELECT " + ", ".join([num(f"(SELECT coalesce(sum({m}), 0e0) FROM ref)", "ref_" + m, 2) for m in MET] + [num(f"(SELECT coalesce(sum({m}), 0e0) FROM base)", "brew_" + m, 2) for m in MET]
+    ctes("base", **CMP) + "SELECT " + ", ".join([num(f"(SELECT coalesce(sum({m}), 0e0) FROM ref)", "ref_" + m, 2) for m in MET] + [num(f"(SELECT coalesce(sum({m}), 0e0) FROM base)", "computed_" + m, 2) for m in MET]
     + [num(f"(SELECT {_r_sql(m)} FROM j)", "r_" + m, 6) for m in MET] + [num(f"(SELECT coalesce(sum({m} * population), 0e0) / nullif(sum(population), 0e0) FROM base)", m + "_wavg", 4) for m in ("households", "intersection_density")]),
 )
 def comparison_summary(t: Tables):

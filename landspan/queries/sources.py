@@ -320,8 +320,8 @@ def view(t: Tables):
 def upsert(t: Tables):
     path = scratch_path(t.spark, "upsert")
     ok, price = F.col("o_orderkey"), F.col("o_totalprice")
-    K.upsert(t.orders.select(ok.alias("k"), price.alias("v"), F.lit("old").alias("origin")), path, ["k"], 8)
-    return K.upsert(t.orders.select((ok * 3).alias("k"), (price + 1.0).alias("v"), F.lit("new").alias("origin")), path, ["k"], 8)
+    K.upsert(t.orders.select(ok.alias("k"), price.alias("v"), F.lit("old").alias("origin")), path, ["k"])
+    return K.upsert(t.orders.select((ok * 3).alias("k"), (price + 1.0).alias("v"), F.lit("new").alias("origin")), path, ["k"])
 
 
 @query("SNK04_list_partitioned", "SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority ELSE 'default' END AS part, count(*) AS n FROM orders GROUP BY 1")

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SCRATCH = "spark.landspan.scratch"
+
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests on one machine) a local folder is made and recorded in the session.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset, as on one
+    machine, ``spark.landspan.scratch`` must name a folder that all executors see.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.landspan.scratch", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="landspan-")
-        spark.conf.set("spark.landspan.scratch", root)
+        raise ValueError(f"set spark.checkpoint.dir, or {SCRATCH} on one machine, to a folder that all executors see")
     return root.rstrip("/")
 
 

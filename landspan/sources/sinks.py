@@ -8,6 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landspan.operators.ranking import first_per
+from landspan.session import cut
+
 
 def replace(df: DataFrame, path: str) -> DataFrame:
     """SNK01: replace a whole table."""
@@ -29,36 +32,44 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-BUCKET = "_bucket"
+BUCKET = "_bucket_of_"
+#: Rows of a new table that one bucket holds, about.
+BUCKET_ROWS = 1_000
 
 
-def upsert(new: DataFrame, path: str, keys: Sequence[str], buckets: int = 64) -> DataFrame:
+def upsert(new: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str] = (), rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """SNK03: replace rows by unique key, add the others.
 
-    The table is partitioned by a hash bucket of the key.  Only buckets that the new
-    rows fall into are read and rewritten (dynamic partition overwrite swaps them in
-    on commit), so the cost follows the new rows and not the table.
+    The table is partitioned by a hash bucket of the key; its first load sets how many
+    there are, and the partition column's name keeps the number.  Only buckets that the
+    new rows fall into are read and rewritten (dynamic partition overwrite swaps them in
+    on commit), so the cost follows the new rows and not the table.  Of new rows with one
+    key the last by ``newest`` counts, by all their columns where that is not given.
     """
     spark = new.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    new = new.withColumn(BUCKET, bucket)
-    if not exists(spark, path):
-        rows = new
+    order = list(newest) or [n for n, t in new.dtypes if n not in keys and "map<" not in t]
+    new = first_per(new, list(keys), [F.desc(c) for c in order] or [F.lit(0)])
+    old = spark.read.parquet(path) if exists(spark, path) else None
+    if old is None:
+        buckets = max(1, -(-new.count() // rows_per_bucket))
+        column = f"{BUCKET}{buckets}"
     else:
-        old = spark.read.parquet(path)
-        touched = new.select(BUCKET).distinct()
-        rows = (
-            old.join(touched, BUCKET, "left_semi")
-            .join(new.select(*keys), list(keys), "left_anti")
-            .unionByName(new, allowMissingColumns=True)
-        )
+        column = next(c for c in old.columns if c.startswith(BUCKET))
+        buckets = int(column.removeprefix(BUCKET))
+    new = cut(new.withColumn(column, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    rows = new
+    if old is not None:
+        # at most one number per bucket reaches the driver; the scan then skips the other folders
+        touched = [r[0] for r in new.select(column).distinct().collect()]
+        kept = old.where(F.col(column).isin(touched)).join(new.select(*keys), list(keys), "left_anti")
+        rows = kept.unionByName(new, allowMissingColumns=True)
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET)
+        .partitionBy(column)
         .parquet(path)
     )
-    return spark.read.parquet(path).drop(BUCKET)
+    return spark.read.parquet(path).drop(column)
 
 
 DEFAULT_PART = "default"

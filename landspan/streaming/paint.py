@@ -46,7 +46,7 @@ def continuous_overlay(events: DataFrame, table: str, checkpoint: str) -> Stream
             last = last.join(old, scenario.KEY, "left").where(
                 F.col("_old").isNull() | (F.struct(*LAST) > F.col("_old"))
             ).drop("_old")
-        sinks.upsert(last, table, scenario.KEY, buckets=16)
+        sinks.upsert(last, table, scenario.KEY, LAST)
 
     return (
         events.writeStream.foreachBatch(apply)

@@ -48,9 +48,9 @@ def test_page_limits(spark):
 def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
     path = str(tmp_path / "t")
     first = spark.range(100).select(F.col("id").alias("k"), F.lit("old").alias("v"))
-    sinks.upsert(first, path, ["k"], 8)
+    sinks.upsert(first, path, ["k"], rows_per_bucket=10)
     before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
-    out = sinks.upsert(spark.createDataFrame([(5, "new"), (500, "new")], "k bigint, v string"), path, ["k"], 8)
+    out = sinks.upsert(spark.createDataFrame([(5, "a"), (5, "new"), (500, "new")], "k bigint, v string"), path, ["k"])
     got = {r["k"]: r["v"] for r in out.collect()}
     assert len(got) == 101 and got[5] == got[500] == "new" and got[6] == "old"
     same = [f for f in before if f.exists() and f.stat().st_mtime_ns == before[f]]

@@ -113,26 +113,24 @@ def meets(a, b):
     return a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]
 
 
-def test_box_join_against_brute_force(spark, monkeypatch):
+def test_box_join_against_brute_force(spark):
     rng = np.random.default_rng(3)
     small, left = boxes(spark, rng, 150, 6, "a")
     # large boxes use the coarse level
     large, right = boxes(spark, rng, 60, 70, "b")
     want = sorted((p[0], q[0]) for p in small for q in large if meets(p, q))
-    for hot in (False, True):
-        monkeypatch.setattr(S, "HOT_BYTES", 0 if hot else 1 << 40)
+    for hot_rows in (5, S.HOT_ROWS):
         for levels in (1, 2):
-            got = S.box_join(left, right, 2.0, levels, hot_rows=5).select("l.a", "r.b").collect()
+            got = S.box_join(left, right, 2.0, levels, hot_rows=hot_rows).select("l.a", "r.b").collect()
             assert sorted((r["a"], r["b"]) for r in got) == want
 
 
-def test_hot_cell_is_split_and_complete(spark, monkeypatch):
-    monkeypatch.setattr(S, "HOT_BYTES", 0)
+def test_hot_cell_is_split_and_complete(spark):
     points = spark.range(3000).select(F.col("id"), F.lit(5.0).alias("x"), F.lit(5.0).alias("y"))
     area = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0)], "b int, xmin double, ymin double, xmax double, ymax double")
     joined = S.box_join(S.with_point_box(points), area, 10.0, hot_rows=500, points=True)
     assert joined.count() == 3000
-    assert joined.select("l._salt").distinct().count() > 3
+    assert joined.select("l._pa").distinct().count() > 3
 
 
 def test_nearest_against_brute_force(spark):
@@ -161,3 +159,41 @@ def test_intersections_snap_and_count(spark):
     )
     got = S.intersections(lines).collect()
     assert [(r["x"], r["y"], r["degree"]) for r in got] == [(100.0, 0.0, 3)]
+
+
+FRAME = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 2 8, 8 8, 8 2, 2 2))"
+PARTS = "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)), ((5 5, 5 9, 9 9, 9 5, 5 5)))"
+ELL = "POLYGON ((0 0, 10 0, 10 4, 4 4, 4 10, 0 10, 0 0))"
+
+
+def test_all_rings_are_read(spark):
+    window, small = [(1, 1), (9, 1), (9, 9), (1, 9)], [(3, 3), (5, 3), (5, 5), (3, 5)]
+    df = spark.createDataFrame([(FRAME,), (PARTS,), (ELL,)], "wkt string").select("wkt", G.wkt_ring(F.col("wkt")).alias("r"))
+    ell = G.wkt_ring(F.lit(ELL))
+    got = {
+        r["wkt"]: tuple(round(v, 6) if isinstance(v, float) else v for v in r[1:])
+        for r in df.select(
+            "wkt",
+            G.area(F.col("r")),
+            G.point_in_ring(F.lit(5.0), F.lit(5.5), F.col("r")),
+            G.overlap_area(F.col("r"), G.ring_literal(window)),
+            G.overlap_area(F.col("r"), ell),
+            G.overlap_area(G.ring_literal(small), F.col("r")),
+            G.rings_meet(F.col("r"), G.ring_literal(small)),
+            G.segment_length_in(G.point(-1, 1.5), G.point(11, 1.5), F.col("r")),
+        ).collect()
+    }
+    assert got[FRAME] == (64.0, False, 28.0, 44.0, 0.0, False, 10.0)
+    assert got[PARTS] == (17.0, True, 16.0, 1.0, 0.0, True, 0.0)
+    assert got[ELL] == (64.0, False, 39.0, 64.0, 3.0, True, 10.0)
+
+
+def test_hot_cells_on_both_sides(spark):
+    from landspan.operators import spatial
+
+    left = spark.range(60).selectExpr("id AS a", "id % 5 * 1e0 AS x", "1e0 AS y")
+    right = spark.range(50).selectExpr("id AS b", "0e0 AS xmin", "0e0 AS ymin", "id % 4 + 0.5e0 AS xmax", "2e0 AS ymax")
+    want = spatial.box_join(spatial.with_point_box(left), right, 10.0, points=True).select("a", "b")
+    got = spatial.box_join(spatial.with_point_box(left), right, 10.0, points=True, hot_rows=7).select("a", "b")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert want.count() > 500
