@@ -13,6 +13,7 @@ from landspan.plans import audits as Q
 from landspan.plans import classify as K
 from landspan.plans import ml
 from landspan.plans import modules as M
+from landspan.plans.canvas import HOME_AREAS, JOB_AREAS
 from landspan.queries import alloc
 from landspan.queries import analysis as AN
 from landspan.queries import assessor as AS
@@ -201,23 +202,30 @@ def feature_build(t: Tables):
     return ml.encode(train, e).select("apn", "n_building_count", *[F.col(v).alias(k) for k, v in hot.items()])
 
 
-FAST = {"maxIter": 3, "maxDepth": 3}
+# Every target of the three models, as a function of the two that the training set carries.
+DU_TARGETS = {
+    "du_detsf_sl": "du_detsf_sl", "du_detsf_ll": "du_detsf_ll", "du_attsf": "du_detsf_sl / 2", "du_mf2to4": "du_detsf_ll * 2",
+    "du_mf5p": "du_detsf_sl * 3",
+}
+SQFT_TARGETS = {f"bldg_area_{n}": f"du_detsf_sl * {100 + 10 * i} + du_detsf_ll * {50 + 5 * i}" for i, n in enumerate([*HOME_AREAS, "mf", *JOB_AREAS])}
+JOBS_TARGETS = {f"{n}_per_acre": f"du_detsf_sl / {i + 2} + du_detsf_ll" for i, n in enumerate(["emp_ret", "emp_off", "emp_pub", "emp_ind", "emp_ag"])}
 
 
-def model_query(name: str, targets: list[str], derive, total: str | None, whole: bool):
+def modelled(t: Tables, derive: dict[str, str]):
+    train = training(t).withColumns({k: F.expr(v) for k, v in derive.items() if k != v})
+    return train, ml.learn_encoding(train), list(derive)
+
+
+def model_query(name: str, derive: dict[str, str], total: str | None, whole: bool):
     @query(name)
     def _run(t: Tables):
-        train = training(t)
-        if derive:
-            train = train.withColumns({k: F.expr(v) for k, v in derive.items()})
-        e = ml.learn_encoding(train)
-        model = ml.fit(train, targets, e, **FAST)
-        return ml.predict(model, parcels(t), e, targets, total, whole)
+        train, e, targets = modelled(t, derive)
+        return ml.predict(ml.fit(train, targets, e), parcels(t), e, targets, total, whole)
 
 
-model_query("ML03_du_regressor", TARGETS, {}, "du_total", True)
-model_query("ML04_sqft_regressor", ["bldg_sqft_detsf_sl", "bldg_sqft_attsf"], {"bldg_sqft_detsf_sl": "du_detsf_sl * 900", "bldg_sqft_attsf": "du_detsf_ll * 700"}, None, False)
-model_query("ML05_jobs_regressor", ["emp_ret_per_acre", "emp_off_per_acre"], {"emp_ret_per_acre": "du_detsf_sl / 3", "emp_off_per_acre": "du_detsf_ll * 2"}, None, False)
+model_query("ML03_du_regressor", DU_TARGETS, "du_total", True)
+model_query("ML04_sqft_regressor", SQFT_TARGETS, None, False)
+model_query("ML05_jobs_regressor", JOBS_TARGETS, None, False)
 
 
 @query("ML06_transfer")
@@ -226,18 +234,35 @@ def transfer(t: Tables):
     train = training(t)
     e = ml.learn_encoding(train)
     folder = scratch_path(t.spark, "models")
-    ml.cached_fit(train, TARGETS, e, folder, **FAST)
-    model, _ = ml.cached_fit(train, TARGETS, e, folder, **FAST)
+    ml.cached_fit(train, TARGETS, e, folder)
+    model, _ = ml.cached_fit(train, TARGETS, e, folder)
     other = t.customer.select(F.col("c_custkey").alias("apn"), F.lit("A1Q").alias("landuse"), F.lit(None).cast("string").alias("zone"), F.col("c_mktsegment").alias("land_development_category"))
     return ml.predict(model, other, e, TARGETS, "du_total", True)
 
 
-@query("ML07_batch_prediction", "SELECT p_partkey AS apn, 0e0 AS du_detsf_sl, 0e0 AS du_detsf_ll, 0e0 AS du_total FROM part")
+@query(
+    "ML07_batch_prediction",
+    "SELECT count(*) AS n, 0 AS negative, 0 AS fractional, 0 AS unequal_totals, 0 AS changed, true AS varied FROM part",
+)
 def batch_prediction(t: Tables):
-    """Too little training data: every prediction is 0."""
-    train = training(t)
-    e = ml.learn_encoding(train)
-    return ml.predict(ml.fit(train.where("apn < 0"), TARGETS, e), parcels(t), e, TARGETS, "du_total", True)
+    """All parcels by a trained model and by the same one loaded from its folder: what must hold of the result."""
+    train, e, targets = modelled(t, DU_TARGETS)
+    folder = scratch_path(t.spark, "models")
+    fitted, _ = ml.cached_fit(train, targets, e, folder)
+    loaded, _ = ml.cached_fit(train, targets, e, folder)
+    one, two = (ml.predict(m, parcels(t), e, targets, "du_total", True) for m in (fitted, loaded))
+    both = one.alias("l").join(two.alias("r"), "apn")
+    parts = [F.col("l." + x) for x in targets]
+    count = lambda cond: F.count_if(cond).alias
+    any_of = lambda cs: F.greatest(*[c.cast("int") for c in cs]) == 1
+    return both.agg(
+        F.count("*").alias("n"),
+        count(any_of([p < 0 for p in parts]))("negative"),
+        count(any_of([p != F.round(p) for p in parts]))("fractional"),
+        count(sum(parts[1:], parts[0]) != F.col("l.du_total"))("unequal_totals"),
+        count(any_of([F.col("l." + x) != F.col("r." + x) for x in targets]))("changed"),
+        (F.count_distinct("l.du_total") > 1).alias("varied"),
+    )
 
 
 @query("ML08_holdout_r2")
