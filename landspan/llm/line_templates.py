@@ -41,15 +41,18 @@ FEW_ROWS = 500_000
 VARIABLE = "<*>"
 
 
-def masked(text: Column) -> Column:
-    """Folded text with each token that has a digit replaced."""
-    folded = fold(text)
-    return F.when(folded.rlike("[0-9]"), F.regexp_replace(folded, f"[^{BLANK}]*[0-9][^{BLANK}]*", VARIABLE)).otherwise(folded)
+def tokens(line: Column) -> Column:
+    """The tokens of a folded line, each with a digit replaced."""
+    return words(F.when(line.rlike("[0-9]"), F.regexp_replace(line, f"[^{BLANK}]*[0-9][^{BLANK}]*", VARIABLE)).otherwise(line))
+
+
+def folded_lines() -> Column:
+    return F.split(fold(F.col("text")), "\n")
 
 
 def parsed(documents: DataFrame) -> DataFrame:
     """_doc, line, tokens (number), leaf, body, context: hashes of each line, its leaf and its neighbours' leaves."""
-    lines = F.transform(F.split(masked(F.col("text")), "\n"), lambda x: words(x))
+    lines = F.transform(folded_lines(), tokens)
     shape = F.transform(
         F.col("lines"),
         lambda t: F.struct(
@@ -92,21 +95,24 @@ def templates(documents: DataFrame, lines: DataFrame) -> DataFrame:
         .where(enough(F.col("contexts")))
     )
     shared = save(shared, "leaves")
-    spread = lines.join(shared.select("leaf"), "leaf", "left_semi").groupBy("leaf", "body").agg(F.countDistinct("_doc").alias("docs"))
-    spread = save(spread, "bodies")
-    # the tokens of each of those lines, once
-    few = shared.select("leaf")
-    few = F.broadcast(few) if few.count() <= FEW_LEAVES else few
-    tokens = F.explode(F.transform(F.split(masked(F.col("text")), "\n"), lambda x: words(x))).alias("t")
-    texts = (
-        documents.where("text is not null")
-        .select(tokens)
-        .select(F.xxhash64(F.size("t"), F.slice("t", 1, DEPTH)).alias("leaf"), F.xxhash64("t").alias("body"), "t")
-        .join(few, "leaf", "left_semi")
+    # where each distinct line of those leaves is found first, and its tokens from there
+    spread = (
+        lines.join(shared.select("leaf"), "leaf", "left_semi")
         .groupBy("leaf", "body")
-        .agg(F.min("t").alias("t"))
+        .agg(F.countDistinct("_doc").alias("docs"), F.min(F.struct("_doc", "line")).alias("at"))
+        .select("leaf", "body", "docs", "at._doc", "at.line")
+    )
+    spread = save(spread, "bodies")
+    wanted = save(spread.groupBy("_doc").agg(F.collect_list(F.struct("line", "leaf", "body", "docs")).alias("wanted")), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_ROWS else wanted
+    known = (
+        numbered(documents.where("text is not null").select("doc_id", "text"))
+        .join(wanted, "_doc")
+        .dropDuplicates(["_doc"])
+        .select(folded_lines().alias("ls"), F.explode("wanted").alias("w"))
+        .select("w.leaf", "w.body", "w.docs", tokens(F.get(F.col("ls"), F.col("w.line"))).alias("t"))
     )
-    known = save(texts.join(spread, ["leaf", "body"]), "lines")
+    known = save(known, "lines")
     pattern = known.groupBy("leaf").agg(F.min(F.struct(-F.col("docs"), F.col("t"))).alias("p")).select("leaf", F.col("p.t").alias("pattern"))
     agree = F.size(F.filter(F.zip_with("t", "pattern", lambda a, b: a == b), lambda x: x))
     mine = F.when(agree >= SIMILAR * F.size("t"), F.col("pattern")).otherwise(F.col("t"))
