@@ -10,15 +10,17 @@ shingle: a document is filed under those of its shingles that come first in one
 order, enough of them that two documents that reach the similarity must meet under one
 (of n shingles, n - ceil(0.75 n) + 1).  Shingles that are frequent in a sample come last in
 that order, so a passage that many documents share is an axis only where it makes up most
-of a document; any order gives the same links.  Below an axis, documents are packed by
-size into leaves of ``LEAF`` points with the box of each.
-
-Links are found in two passes.  First each axis compares its documents with its smallest
-one, which ties a group of near copies together with as many pairs as documents.  Then,
-under axes whose documents are not all connected yet, leaves whose boxes can reach the
-similarity are joined, point by point where the components differ.  A pair that the bound
-lets through is verified on the full shingle sets.  Components are exact; no pair is
-skipped but those within the bound of dissimilarity or already connected.
+of a document; any order gives the same links.  Axes whose smallest document is the same
+are one cell, and a cell's documents are packed by size into leaves of ``LEAF`` points with
+the box of each.
+
+Links are found in two passes.  First each cell compares its documents with its smallest
+one, which ties a group of near copies together with as many pairs as documents.  Then, in
+cells whose documents are not all connected yet, leaves whose boxes can reach the
+similarity are joined, point by point where nothing connects them yet.  A pair that the
+bound lets through is verified on the full shingle sets.  What comes out connects all that
+is connected, with at most a link per document and pair of leaves; no pair is skipped but
+those that the bound rules out or that are connected already.
 
 Equal sets are one point from the start.  Sets are compared by 64-bit hashes of shingles.
 
@@ -44,16 +46,17 @@ from landspan.llm.text import C, hashes, mix, runs, slices, spans
 
 SHINGLE = 5
 PERCENT = 75
+#: Groups of a point, points of a leaf.
 GROUPS = 256
-LEAF = 128
+LEAF = 512
 #: Rows sent to every task at most: ids of documents whose texts are fetched.
 FEW_IDS = 1_000_000
 #: The sample that finds frequent shingles, and how many of them are ordered last.
 SAMPLE_DOCS = 20_000
 FREQUENT_IN_SAMPLE = 8
 MOST_FREQUENT = 200_000
-#: Pairs verified against one copy of a leader's set.
-SALT_ROWS = 1000
+#: Documents of a block, about; pairs are verified by pairs of blocks.
+BLOCK = 256
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +91,11 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 def _points(frequent: np.ndarray, groups: int, percent: int):
     """Batches (doc_id, text) to (id, n, digest_1, digest_2, axes, point)."""
 
+    def packed(counts: np.ndarray, m: int) -> pa.Array:
+        width = 2 * len(counts) // max(m, 1)
+        ends = pa.py_buffer((np.arange(m + 1) * width).astype(np.int32))
+        return pa.Array.from_buffers(pa.binary(), m, [None, ends, pa.py_buffer(np.minimum(counts, 65535).astype("<u2"))])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, data, offsets in slices(batch.column(0), batch.column(1)):
@@ -109,7 +117,6 @@ def _points(frequent: np.ndarray, groups: int, percent: int):
                 keep = np.where(n > 0, prefix_length(n, percent), 0)
                 axes = value[order][rank < keep[row]]
                 point = np.bincount(row * groups + (value % np.uint64(groups)).astype(np.int64), minlength=m * groups)
-                width = 2 * groups
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
@@ -117,10 +124,7 @@ def _points(frequent: np.ndarray, groups: int, percent: int):
                         pa.array(d1.view(np.int64)),
                         pa.array(d2.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(axes.view(np.int64))),
-                        pa.Array.from_buffers(
-                            pa.binary(), m,
-                            [None, pa.py_buffer((np.arange(m + 1) * width).astype(np.int32)), pa.py_buffer(np.minimum(point, 65535).astype("<u2"))],
-                        ),
+                        packed(point, m),
                     ],
                     ["id", "n", "digest_1", "digest_2", "axes", "point"],
                 )
@@ -177,150 +181,187 @@ def bounded(pairs: DataFrame, pts: DataFrame, percent: int = PERCENT) -> DataFra
 
 
 def _verify(percent: int):
-    """Sorted rows (a, salt, b, text), the leader's own text first in each (a, salt): the pairs that link."""
-
-    def work(batches):
-        key, leader, empty = None, None, np.zeros(0, np.uint64)
-        for batch in batches:
-            at = 0
-            for ids, data, offsets in slices(batch.column("b"), batch.column("text")):
-                m = len(ids)
-                row, value = shingles(data, offsets)
-                cut = np.searchsorted(row, np.arange(m + 1))
-                a, salt = (batch.column(c).slice(at, m).to_pylist() for c in ("a", "salt"))
-                out = []
-                for i, b in enumerate(ids.to_pylist()):
-                    mine = value[cut[i] : cut[i + 1]]
-                    if a[i] == b:
-                        key, leader = (a[i], salt[i]), mine
-                        continue
-                    other = leader if key == (a[i], salt[i]) else empty
-                    both = len(np.intersect1d(other, mine, assume_unique=True))
-                    if both and 100 * both >= percent * (len(other) + len(mine) - both):
-                        out.append((a[i], b))
-                at += m
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"]
-                )
+    """The pairs of two blocks, and their documents' texts, to the pairs that link."""
+
+    def work(pairs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        sets: dict[int, np.ndarray] = {}
+        for ids, data, offsets in slices(pa.array(docs["id"], pa.int64()), pa.array(docs["text"], pa.string())):
+            row, value = shingles(data, offsets)
+            cut = np.searchsorted(row, np.arange(len(ids) + 1))
+            sets.update((d, value[cut[i] : cut[i + 1]]) for i, d in enumerate(ids.to_pylist()))
+        none = np.zeros(0, np.uint64)
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        ok = np.zeros(len(pairs), bool)
+        for i in range(len(pairs)):
+            x, y = sets.get(a[i], none), sets.get(b[i], none)
+            if len(x) and len(y):
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                ok[i] = both and 100 * both >= percent * (len(x) + len(y) - both)
+        return pd.DataFrame({"a": a[ok], "b": b[ok]})
 
     return work
 
 
 def verified(pairs: DataFrame, documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b), a the leader, whose shingle sets reach the similarity.
+    """The pairs (a, b) whose shingle sets reach the similarity.
 
-    Texts travel once per pair, to the leader's partition; a leader with many pairs is salted.
+    The documents that pairs connect are dealt into blocks of about ``BLOCK``; a text travels
+    once to each pair of blocks that needs it, not once per pair.
     """
     pairs = save(pairs, "pairs")
-    # the hub of each pair is whichever of the two is in more pairs
-    use = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("uses"))
-    hubs = (
-        pairs.join(use.select(F.col("id").alias("a"), F.col("uses").alias("ua")), "a")
-        .join(use.select(F.col("id").alias("b"), F.col("uses").alias("ub")), "b")
-        .select(
-            F.when(F.col("ua") >= F.col("ub"), F.col("a")).otherwise(F.col("b")).alias("a"),
-            F.when(F.col("ua") >= F.col("ub"), F.col("b")).otherwise(F.col("a")).alias("b"),
-            F.greatest("ua", "ub").alias("uses"),
-        )
+    label = components(pairs)
+    sizes = label.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    place = label.join(sizes, "label").select("node", "label", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    side = lambda x: place.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"), F.col("block").alias(f"block_{x}"))
+    tiles = save(
+        pairs.join(side("a"), "a")
+        .join(side("b"), "b")
+        .select("a", "b", F.col("label_a").alias("label"), F.least("block_a", "block_b").alias("lo"), F.greatest("block_a", "block_b").alias("hi")),
+        "tiles",
     )
-    salted = save(hubs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("uses") / SALT_ROWS)).cast("int")), "salted")
-    wanted = salted.select("a", "salt", "b").union(salted.select("a", "salt", F.col("a").alias("b"))).distinct()
-    ids = save(wanted.select(F.col("b").alias("doc_id")).distinct(), "ids")
+    tile = ["label", "lo", "hi"]
+    wanted = tiles.select(*[F.col(c).alias(f"{c}_of") for c in tile], F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = place.select(F.col("node").alias("id"))
     if ids.count() <= FEW_IDS:
         ids = F.broadcast(ids)
-    texts = (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(ids, "doc_id", "left_semi")
-        .withColumnRenamed("doc_id", "b")
-    )
-    laid = (
-        wanted.join(texts, "b")
-        .select("a", "salt", "b", "text")
-        .repartition("a", "salt")
-        .sortWithinPartitions("a", "salt", F.col("a") != F.col("b"))
-    )
-    return save(laid.mapInArrow(_verify(percent), "a long, b long"), "links")
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    laid = wanted.join(texts, "id").groupBy(*[f"{c}_of" for c in tile])
+    return save(tiles.groupBy(*tile).cogroup(laid).applyInPandas(_verify(percent), "a long, b long"), "links")
+
 
+def _may_link(percent: int):
+    """Pairs of packed leaves to the documents that the boxes and points leave a partner not connected yet.
 
-def _leaf_links(percent: int):
-    """Rows of two leaves to the pairs of points in different components that may link."""
+    At most one row per document and pair of leaves comes out, however many partners it has.
+    """
 
     def work(batches):
         for pdf in batches:
-            low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            out = []
             for r in pdf.itertuples(index=False):
-                a, b = _counts(r.points_1), _counts(r.points_2)
-                n, m = np.asarray(r.ns_1), np.asarray(r.ns_2)
+                one = r.ids_2 is None
+                a, n, la = _counts(r.points_1), np.asarray(r.ns_1), np.asarray(r.labels_1)
+                b, m, lb = (a, n, la) if one else (_counts(r.points_2), np.asarray(r.ns_2), np.asarray(r.labels_2))
                 corner = np.minimum(a.max(axis=0), b.max(axis=0)).sum(dtype=np.int64)
                 if (100 + percent) * int(corner) < percent * int(n.min() + m.min()):
                     continue  # no point of one box can link with one of the other
-                ids, others = np.asarray(r.ids_1), np.asarray(r.ids_2)
-                for x in range(len(ids)):
-                    y = np.flatnonzero(
-                        (r.labels_1[x] != r.labels_2)
-                        & (100 * np.minimum(n[x], m) >= percent * np.maximum(n[x], m))
-                        & ((ids[x] < others) | (r.leaf_1 != r.leaf_2))
-                    )
+                left, right = np.zeros(len(n), bool), np.zeros(len(m), bool)
+                for x in range(len(n)):
+                    y = np.flatnonzero((la[x] != lb) & (100 * np.minimum(n[x], m) >= percent * np.maximum(n[x], m)))
                     most = np.minimum(a[x], b[y]).sum(axis=1, dtype=np.int64)
                     y = y[(100 + percent) * most >= percent * (n[x] + m[y])]
-                    low.append(np.minimum(ids[x], others[y]))
-                    high.append(np.maximum(ids[x], others[y]))
-            yield pd.DataFrame({"a": np.concatenate(low), "b": np.concatenate(high)}).drop_duplicates()
+                    left[x], right[y] = left[x] or len(y) > 0, True
+                if one:
+                    left |= right
+                for keep, leaf, ids, ns, labels in ((left, r.leaf_1, r.ids_1, n, la), *(() if one else ((right, r.leaf_2, r.ids_2, m, lb),))):
+                    out.append(
+                        pd.DataFrame(
+                            {"leader": r.leader, "leaf_1": r.leaf_1, "leaf_2": r.leaf_2, "leaf": leaf, "id": np.asarray(ids)[keep], "n": ns[keep], "label": labels[keep]}
+                        )
+                    )
+            if out:
+                yield pd.concat(out)
 
     return work
 
 
-def links(documents: DataFrame, pts: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+def _leaf_links(percent: int, groups: int):
+    """Documents of two leaves (leader, leaf_1, leaf_2, leaf, id, n, label, text) to links that connect what is connected.
+
+    Point by point: the sum of coordinate minima first, then the sets.  Points that links of
+    this pair of leaves already connect are not compared again.
+    """
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["n", "id"], kind="stable")
+        ids, n, side = (rows[c].to_numpy() for c in ("id", "n", "leaf"))
+        sets, counts = [], np.zeros((len(rows), groups), np.int32)
+        for part, data, offsets in slices(pa.array(ids, pa.int64()), pa.array(rows["text"], pa.string())):
+            row, value = shingles(data, offsets)
+            begin = len(sets)
+            np.add.at(counts, (row + begin, (value % np.uint64(groups)).astype(np.int64)), 1)
+            sets += np.split(value, np.searchsorted(row, np.arange(1, len(part))))
+        root = pd.factorize(rows["label"])[0]
+        one = rows["leaf_1"].iloc[0] == rows["leaf_2"].iloc[0]
+        a, b = [], []
+        for x in range(len(ids)):
+            # later points are larger, up to a size at which they cannot link
+            end = np.searchsorted(n, n[x] * 100 // percent, "right")
+            y = np.arange(x + 1, end)
+            y = y[(root[y] != root[x]) & (one | (side[y] != side[x]))]
+            most = np.minimum(counts[x], counts[y]).sum(axis=1)
+            for z in y[(100 + percent) * most >= percent * (n[x] + n[y])]:
+                if root[x] == root[z]:
+                    continue
+                p, q = sets[x], sets[z]
+                both = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    a.append(min(ids[x], ids[z]))
+                    b.append(max(ids[x], ids[z]))
+                    root[root == root[z]] = root[x]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return work
+
+
+def links(documents: DataFrame, pts: DataFrame, percent: int = PERCENT, leaf: int = LEAF, groups: int = GROUPS) -> DataFrame:
     """a, b: links between representatives (the smallest id of equal sets) that connect all that are connected."""
-    reps = pts.where("n > 0").groupBy("digest_1", "digest_2", "n").agg(F.min("id").alias("id"))
-    reps = save(reps.select("id").join(pts, "id").dropDuplicates(["id"]), "representatives")
+    first = pts.where("n > 0").groupBy("digest_1", "digest_2", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    copies = save(
+        pts.select("id", "digest_1", "digest_2", "n").join(first, ["digest_1", "digest_2", "n"]).where("id <> first").select("id").distinct(), "copies"
+    )
+    reps = pts.where("n > 0 and id is not null").join(F.broadcast(copies) if copies.count() <= FEW_IDS else copies, "id", "left_anti")
     filed = reps.select("id", "n", F.explode("axes").alias("axis"))
     smallest = F.first(F.struct("n", "id")).over(Window.partitionBy("axis").orderBy("n", "id"))
+    # documents under one axis are of one cell, named by the smallest of them; axes with the same smallest are one cell
     cells = save(
         filed.withColumn("leader", smallest)
         .where(F.col("id") != F.col("leader.id"))
-        .select("axis", "id", "n", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n")),
+        .select(F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n"), "id", "n")
+        .distinct(),
         "cells",
     )
     near = cells.where(F.col("leader_n") * 100 >= F.col("n") * percent)
     stars = near.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     found = verified(bounded(stars, reps, percent), documents, percent)
-    # axes whose documents are not yet all connected
+    # cells whose documents are not yet all connected
     label = components(found)
-    members = cells.select("axis", "id", "n").union(
-        cells.select("axis", F.col("leader").alias("id"), F.col("leader_n").alias("n")).distinct()
-    )
+    members = cells.select("leader", "id", "n").union(cells.select("leader", F.col("leader").alias("id"), F.col("leader_n").alias("n")).distinct())
     members = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     open_ = (
-        members.groupBy("axis")
-        .agg(
-            F.count(F.lit(1)).alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi"),
-            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x"),
-        )
+        members.groupBy("leader")
+        .agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("k > 2 and lo <> hi")
-        .groupBy("k", "s", "x")
-        .agg(F.min("axis").alias("axis"))  # of axes with the same documents, one
+        .select("leader")
     )
-    rank = F.row_number().over(Window.partitionBy("axis").orderBy("n", "id")) - 1
-    packed = (
-        members.join(open_.select("axis"), "axis")
+    rank = F.row_number().over(Window.partitionBy("leader").orderBy("n", "id")) - 1
+    packed = save(
+        members.join(open_, "leader")
         .withColumn("leaf", F.floor(rank / leaf).cast("int"))
         .join(reps.select("id", "point"), "id")
-        .groupBy("axis", "leaf")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "id", "label", "point"))).alias("m"))
-        .select(
-            "axis", "leaf", F.col("m.id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.label").alias("labels"), F.col("m.point").alias("points")
-        )
+        .groupBy("leader", "leaf")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "id", "label", "point"))).alias("m"))  # of at most ``leaf`` rows
+        .select("leader", "leaf", F.col("m.id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.label").alias("labels"), F.col("m.point").alias("points")),
+        "leaves",
+    )
+    fields = ("leaf", "ids", "ns", "labels", "points")
+    side = lambda x, df: df.select("leader", *[F.col(c).alias(f"{c}_{x}") for c in fields])
+    # a leaf with itself, and with the later leaves of cells that have several
+    alone = side(1, packed).withColumn("leaf_2", F.col("leaf_1"))
+    alone = alone.select("*", *[F.lit(None).cast(packed.schema[c].dataType).alias(f"{c}_2") for c in fields[1:]])
+    several = packed.join(packed.where("leaf = 1").select("leader"), "leader", "left_semi")
+    meet = F.expr(f"leaf_1 < leaf_2 and 100 * ns_1[size(ns_1) - 1] >= {percent} * ns_2[0]")
+    tiles = side(1, several).join(side(2, several), "leader").where(meet).unionByName(alone)
+    wanted = save(
+        tiles.mapInPandas(_may_link(percent), "leader long, leaf_1 int, leaf_2 int, leaf int, id long, n long, label long"), "wanted"
+    )
+    ids = wanted.select("id").distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(
+        F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi"
     )
-    packed = save(packed, "leaves")
-    one = packed.select("axis", *[F.col(c).alias(f"{c}_1") for c in ("leaf", "ids", "ns", "labels", "points")])
-    two = packed.select("axis", *[F.col(c).alias(f"{c}_2") for c in ("leaf", "ids", "ns", "labels", "points")])
-    meet = F.expr(f"leaf_1 <= leaf_2 and 100 * ns_1[size(ns_1) - 1] >= {percent} * ns_2[0]")
-    tiles = one.join(two, "axis").where(meet)
-    rest = save(tiles.mapInPandas(_leaf_links(percent), "a long, b long").distinct(), "rest")
-    if rest.isEmpty():
-        return found
-    return found.unionByName(verified(rest, documents, percent))
+    rows = wanted.join(texts.dropDuplicates(["id"]), "id")
+    rest = rows.groupBy("leader", "leaf_1", "leaf_2").applyInPandas(_leaf_links(percent, groups), "a long, b long")
+    return found.unionByName(save(rest, "rest"))
 
 
 def join(documents: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -260,7 +260,7 @@ def near_copies(seed, n=260):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_are_exact(spark, seed, monkeypatch):
-    monkeypatch.setattr(count_tree, "SALT_ROWS", 7)
+    monkeypatch.setattr(count_tree, "BLOCK", 16)
     monkeypatch.setattr(count_tree, "FREQUENT_IN_SAMPLE", 6)
     texts = near_copies(seed)
     sizes, roots = brute_components(texts)
