@@ -252,7 +252,9 @@ def training(documents: DataFrame, labels: DataFrame, label: str, rest: int, mod
     marked = marked.where(~held_out(rest, modulus))
     n = max(1, marked.count())
     marked = marked.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(n)) < fit_rows)
-    return documents.select("doc_id", "text").join(marked, "doc_id").select(F.col("doc_id").cast("long").alias("key"), "label", "text")
+    # the chosen labels are few by construction, so the documents' texts stay where they are
+    rows = documents.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    return save(rows.select(F.col("doc_id").cast("long").alias("key"), "label", "text"), "training")
 
 
 def weighed(counts: DataFrame, bad: str, good: str, n_bad: int, n_good: int) -> tuple[np.ndarray, np.ndarray]:
