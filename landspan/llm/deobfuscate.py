@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landspan.llm.store import save
-from landspan.llm.text import hashes, slices, spans
+from landspan.llm.text import Hasher, runs, slices, spans
 
 FIT_ROWS = 40_000
 MOST_WEIGHTS = 200_000
@@ -55,6 +55,7 @@ LOOK_ALIKES = {
 REPLACED, DROPPED, REPEATED = -1.0, -0.7, -0.5
 LETTER = re.compile(r"[^\W\d_]")
 STRIP = " .,;:!?\"'|()[]{}*#%&$-_~`<>/\\=+"
+FRONT = " .,;:?\"'()[]{}*#%&-_~`>/\\="
 
 
 def held_out(rest: int, modulus: int) -> Column:
@@ -106,26 +107,71 @@ def restore(word: str, chars: CharModel) -> str:
     return max((score + chars(last, "$"), text) for last, (score, text) in best.items())[1]
 
 
-_APART = re.compile(r"(?<!\S)[^\W\d_](?:[ \t]+[^\W\d_]){3,}(?!\S)")
-_NOISY = re.compile(r"[^\W\d_][0-9@$!|+(<€£¥.*_\-]+[^\W\d_]|(?<!\S)[0-9@$!][^\W\d_]{2}|([^\W\d_])\1\1")
-_FRAME = re.compile(r"(?<!\S)\S+(?!\S)")
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_STANDS = np.zeros(256, bool)
+_STANDS[[ord(c) for c in LOOK_ALIKES if ord(c) < 128]] = True
+LONGEST, APART = 40, 4
+
+
+def noisy(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the words that may be noisy forms, and of runs of ``APART`` single letters.
+
+    A word may be noisy if something else stands between its letters, if a look-alike stands
+    before them, or if a letter comes three times in a row.
+    """
+    starts, ends, row = spans(data, offsets)
+    if not len(starts):
+        return starts, ends, row
+    letter = _LETTERS[data]
+    count = np.concatenate([[0], np.cumsum(letter)])
+    letters = count[ends] - count[starts]
+    at = np.arange(len(data))
+    inside = np.zeros(len(data), bool)
+    inside[starts] = True
+    word = np.cumsum(inside) - 1  # of each byte; blanks belong to the word before
+    at, word = at[letter], word[letter]
+    first, last = np.full(len(starts), -1), np.full(len(starts), -2)
+    begin = runs(word)
+    first[word[begin]] = at[begin]
+    last[word[begin]] = at[np.append(begin[1:], len(at)) - 1] if len(at) else at[:0]
+    odd = last - first + 1 > letters
+    odd |= _STANDS[data[starts]] & (letters > 1)
+    if len(data) > 2:
+        low = data | np.where(data < 128, 32, 0).astype(np.uint8)
+        three = np.flatnonzero((low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & letter[:-2] & letter[1:-1] & letter[2:])
+        hit = np.searchsorted(starts, three, "right") - 1
+        odd[hit[three + 2 < ends[hit]]] = True
+    odd &= (letters > 1) & (ends - starts <= 2 * LONGEST)
+    # words of one letter, next to each other
+    size = ends - starts
+    single = (letters == size) & ((size == 1) | (size == 2) & (data[starts] >= 0xC0))
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
+    edge = np.unique(np.concatenate([edge, runs(row)]))
+    group = np.append(edge, len(single))
+    apart = [(a, b) for a, b in zip(group, group[1:]) if b - a >= APART and single[a]]
+    s = np.concatenate([starts[odd], [starts[a] for a, _ in apart]]).astype(np.int64)
+    e = np.concatenate([ends[odd], [ends[b - 1] for _, b in apart]]).astype(np.int64)
+    return s, e, np.concatenate([row[odd], [row[a] for a, _ in apart]]).astype(np.int64)
+
+
+def reading(written: str, chars: CharModel, known: dict[str, str]) -> str:
+    """The restored form of a noisy word, or of letters set apart; ``known`` remembers what was decoded."""
+    if written not in known:
+        if len(known) > 200_000:
+            known.clear()
+        letters = written.lower().split()
+        word = letters[0].rstrip(STRIP).lstrip(FRONT)
+        known[written] = "".join(letters) if len(letters) > 1 else restore(word, chars) if 3 <= len(word) <= LONGEST else ""
+    return known[written]
 
 
 def readings(text: str, chars: CharModel, known: dict[str, str]) -> list[str]:
-    """The restored form of every noisy word of a text; ``known`` remembers what was decoded."""
-    out = []
-    for m in _APART.finditer(text):
-        out.append("".join(m.group().split()))
-    if _NOISY.search(text):
-        for m in _FRAME.finditer(text):
-            word = m.group().strip(STRIP)
-            if 3 <= len(word) <= 40 and _NOISY.search(word):
-                if word not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[word] = restore(word, chars)
-                out.append(known[word])
-    return out
+    """The restored forms of all noisy words of one text."""
+    raw = text.encode()
+    starts, ends, _ = noisy(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    found = (reading(raw[a:b].decode("utf-8", "replace"), chars, known) for a, b in zip(starts, ends))
+    return [x for x in found if x]
 
 
 # Plain words are seen as hashes of bytes: a word without its surrounding marks, and its beginnings.
@@ -133,16 +179,19 @@ _MARK = np.ones(256, bool)
 _MARK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct words and word beginnings of every text, sorted."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray):
+    """(rows, hashes) of the words, then of the beginnings of longer words, one pair per length."""
     starts, ends, row = spans(data, offsets, _MARK)
-    lengths = ends - starts
-    hs, rows = [hashes(data, starts, ends)], [row]
+    lengths, h = ends - starts, Hasher(data)
+    yield row, h(starts, ends)
     for k in BEGINNINGS:
         long = lengths > k
-        hs.append(hashes(data, starts[long], starts[long] + k) ^ np.uint64(k))
-        rows.append(row[long])
-    h, row = np.concatenate(hs), np.concatenate(rows)
+        yield row[long], h(starts[long], starts[long] + k) ^ np.uint64(k)
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct words and word beginnings of every text, sorted."""
+    row, h = (np.concatenate(x) for x in zip(*word_hashes(data, offsets)))
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
@@ -162,40 +211,39 @@ class Model:
     curve: tuple[np.ndarray, np.ndarray]  # evidence and its probability, rising
 
 
+#: Slots of a table that says of most hashes that they are no feature.
+SIEVE = 1 << 20
+
+
 def evidence(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The largest weight among each text's features, 0 without any."""
-    m = len(offsets) - 1
+    out = np.zeros(len(offsets) - 1)
     if not len(keys) or not len(data):
-        return np.zeros(m)
-    starts, ends, row = spans(data, offsets, _MARK)
-    lengths = ends - starts
-    found_row, found_at = [], []
-    for k in (0, *BEGINNINGS):
-        use = slice(None) if not k else lengths > k
-        s = starts[use]
-        h = hashes(data, s, ends[use] if not k else s + k) ^ np.uint64(k)
+        return out
+    low = np.uint64(SIEVE - 1)
+    sieve = np.zeros(SIEVE, bool)
+    sieve[(keys & low).astype(np.int64)] = True
+    for row, h in word_hashes(data, offsets):
+        some = sieve[(h & low).astype(np.int64)]
+        row, h = row[some], h[some]
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         hit = keys[at] == h
-        found_row.append(row[use][hit])
-        found_at.append(at[hit])
-    row, weight = np.concatenate(found_row), weights[np.concatenate(found_at)]
-    out = np.zeros(m)
-    np.maximum.at(out, row, weight)
+        np.maximum.at(out, row[hit], weights[at[hit]])
     return out
 
 
-def restored(ids, data: np.ndarray, offsets: np.ndarray, chars: CharModel, known: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+def restored(data: np.ndarray, offsets: np.ndarray, chars: CharModel, known: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the texts with the readings of their noisy words added at the end."""
-    raw, parts, changed = data.tobytes(), [], False
-    for i in range(len(offsets) - 1):
-        body = raw[offsets[i] : offsets[i + 1]]
-        more = readings(body.decode("utf-8", "replace").lower(), chars, known)
-        changed |= bool(more)
-        parts.append(body + b"\n" + "\n".join(dict.fromkeys(more)).encode() if more else body)
-    if not changed:
+    starts, ends, row = noisy(data, offsets)
+    if not len(starts):
         return data, offsets
-    lengths = np.array([len(p) for p in parts])
-    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(lengths)])
+    raw, more = data.tobytes(), {}
+    for a, b, r in zip(starts.tolist(), ends.tolist(), row.tolist()):
+        word = reading(raw[a:b].decode("utf-8", "replace"), chars, known)
+        if word:
+            more.setdefault(r, set()).add(word)
+    parts = [raw[offsets[i] : offsets[i + 1]] + (b"\n" + "\n".join(sorted(more[i])).encode() if i in more else b"") for i in range(len(offsets) - 1)]
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def _char_model(texts: DataFrame) -> CharModel:
@@ -225,7 +273,7 @@ def _feature_rows(chars: CharModel):
             kind = batch.column(1).to_numpy(zero_copy_only=False)
             at = 0
             for part, data, offsets in slices(batch.column(1), batch.column(0)):
-                data, offsets = restored(part, data, offsets, chars, known)
+                data, offsets = restored(data, offsets, chars, known)
                 row, h = features(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(kind[at : at + len(part)][row].astype(np.int64))], ["feature", "kind"])
                 at += len(part)
@@ -238,7 +286,7 @@ def _score_rows(model: Model):
         known: dict[str, str] = {}
         for batch in batches:
             for ids, data, offsets in slices(batch.column(0), batch.column(1)):
-                data, offsets = restored(ids, data, offsets, model.chars, known)
+                data, offsets = restored(data, offsets, model.chars, known)
                 total = evidence(data, offsets, model.keys, model.weights)
                 score = np.interp(total, *model.curve)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(total), pa.array(score)], ["key", "evidence", "score"])
@@ -346,7 +394,7 @@ def tolerable(documents: DataFrame, model: Model, threshold: float = THRESHOLD)
         for batch in batches:
             done = 0
             for part, data, offsets in slices(batch.column(at), batch.column(at)):
-                data, offsets = restored(part, data, offsets, model.chars, known)
+                data, offsets = restored(data, offsets, model.chars, known)
                 p = np.interp(evidence(data, offsets, model.keys, model.weights), *model.curve)
                 yield batch.slice(done, len(part)).filter(pa.array(p < threshold))
                 done += len(part)

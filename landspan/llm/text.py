@@ -95,15 +95,23 @@ def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _IS_BLA
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+class Hasher:
+    """64-bit hashes of spans of one slice of bytes, A-Z as a-z: a polynomial over the bytes, then spread."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers(max(SLICE, 1 << max(len(data) - 1, 0).bit_length()))
+        self.total = np.empty(len(data) + 1, np.uint64)
+        self.total[0] = 0
+        np.cumsum(_byte_values()[data] * up[: len(data)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * C)
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, A-Z as a-z: a polynomial over the bytes, then spread."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(max(SLICE, 1 << int(len(data) - 1).bit_length()))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_byte_values()[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * C)
+    return Hasher(data)(starts, ends)
 
 
 def runs(sorted_values: np.ndarray) -> np.ndarray:
