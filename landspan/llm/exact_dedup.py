@@ -27,6 +27,8 @@ from landspan.session import scratch_path
 
 #: Copies compared with one copy of the kept text; larger groups are salted.
 SALT_ROWS = 2000
+#: Digests that more than one document has, sent to every task up to this many, shuffled beyond.
+FEW_DIGESTS = 200_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
@@ -83,7 +85,8 @@ def collisions(docs: DataFrame, state: DataFrame) -> DataFrame:
     ``docs``: doc_id, digest, body.  Large groups are salted, with the kept text once per salt.
     """
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-    held = docs.join(state.where("group_size > 1").select("digest", "group_size", "keep_id"), "digest")
+    shared = state.where("group_size > 1").select("digest", "group_size", "keep_id")
+    held = docs.join(F.broadcast(shared) if shared.count() <= FEW_DIGESTS else shared, "digest")
     is_kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     kept = (
         held.where(is_kept)
