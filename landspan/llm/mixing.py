@@ -92,7 +92,7 @@ def segments(sized: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     counts = sized.groupBy("number").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("buckets"))
     rows = (
         sized.where("size > 0")
-        .join(counts, "number")
+        .join(F.broadcast(counts), "number")  # a row per source; a shuffle by source would be as uneven as they are
         .withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "row"), F.col("buckets")).cast("int"))
     )
     laid = running(rows, "number", "size", "bucket", ["doc_id", "row"], "begin")
@@ -146,8 +146,6 @@ def slots(src: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHA
     # slots whose words add up to the target when all blocks, the short last one too, are equally likely
     want = F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(0.0)
     src = src.select("number", blocks.alias("blocks"), want.alias("want"))
-    if (n := src.count()) > MOST_SOURCES:
-        raise ValueError(f"{n} sources; the shares of at most {MOST_SOURCES} fit the driver")
     shares = [r["want"] for r in src.orderBy("number").collect()]
     total = round(sum(shares))
     if not total:
@@ -174,7 +172,9 @@ def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
         "sizes",
     )
     src = save(targets(rows), "targets")
-    rows = rows.join(src, rows["source"].eqNullSafe(src["source"])).drop(src["source"])
+    if (n := src.count()) > MOST_SOURCES:
+        raise ValueError(f"{n} sources; at most {MOST_SOURCES} fit the driver and a broadcast")
+    rows = rows.join(F.broadcast(src), rows["source"].eqNullSafe(src["source"])).drop(src["source"])
     return rows, slots(src, block_words, shard_slots), segments(rows, block_words)
 
 
