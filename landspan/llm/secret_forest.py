@@ -1,19 +1,23 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are long runs of key-like characters with a digit, or very long runs without
-one.  The forest sees, of each: its length and character classes, how often the class
-changes from one character to the next and how likely its characters follow each other in
-the corpus, how much of it dictionary words cover, the path it was found under, and the
-words beside it.  It is trained from labelled findings, (doc_id, start, secret), and scores
+Candidates are all long runs of key-like characters, with or without a digit, all spans of
+known formats, and all values assigned to a cue, whatever characters they hold.  A span
+within a longer one is part of it.  The forest sees, of each: its length and character
+classes, how often the class changes from one character to the next and how likely its
+characters follow each other in the corpus, how much of it dictionary words cover, the path
+it was found under, and the words beside it.  It is trained from labelled findings, (doc_id, start, secret), and scores
 every candidate; those above a threshold remain.
 
 ``known_formats`` labels findings by published key formats and unmistakable assignments;
 the registered query trains on such labels of the documents that its hash does not hold
-out.  Another table of findings can be passed.
+out.  Assigned values of which no format says anything are scored and not trained on.
+Another table of findings can be passed.
 
-The character model, the dictionary and the forest are fitted on bounded samples
-(``SAMPLE_DOCS`` documents, ``FIT_ROWS`` findings of each label), documented bounds, chosen
-by hash; every document is scanned whole.
+Letter pairs and words are counted over all documents.  The dictionary holds every word of
+at least ``WORD_LETTERS`` letters found in ``WORD_DOCS`` documents; it is a table that is
+joined to the pieces of the distinct candidates and to the words beside them, so that no
+task holds it whole unless it is small.  The forest is fitted on at most about ``FIT_ROWS``
+findings of each label, a documented bound, chosen by hash; every document is scanned whole.
 
 Defined results: null and empty texts have no candidates; rows without ``doc_id`` are
 scanned and never trained on.  Repeated rows give repeated findings.  A null path is an
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +42,6 @@ from landspan.llm.deobfuscate import held_out
 from landspan.llm.store import save
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}")
-LONG = 24
 #: Words that often stand before a secret.
 CUES = ("token", "password", "passwd", "pwd", "secret", "key", "apikey", "api_key", "auth", "bearer", "credential")
 #: Published formats of keys, and assignments of hexadecimal or base64 values to a cue.
@@ -46,7 +50,17 @@ FORMATS = re.compile(
     r"|(?:token|password|passwd|pwd|secret|api_?key)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_\-]{12,})",
     re.I,
 )
-SAMPLE_DOCS, FIT_ROWS, MOST_WORDS = 4000, 20_000, 20_000
+#: A value assigned to a cue: at least 6 characters without blanks, quotes, brackets or separators of lists.
+ASSIGNED = re.compile(r"(?:token|password|passwd|pwd|secret|api_?key)[\"']?\s*[=:]\s*[\"']?([^\s\"'`,;<>(){}\[\]]{6,})", re.I)
+#: Marks that end a sentence rather than a value.
+CLOSING = ".:!?"
+FIT_ROWS = 20_000
+#: Documents that hold a word of the dictionary, and its letters, at least; letters of a piece, at most.
+WORD_DOCS, WORD_LETTERS, PIECE = 3, 4, 12
+#: Words, or candidates, sent to every task at most.
+FEW_ROWS = 500_000
+#: Words that a task counts before their counts travel.
+COUNT_WORDS = 500_000
 TREES, DEPTH, SEED, THRESHOLD = 40, 8, 7, 0.5
 FEATURES = ["length", "digits", "upper", "lower", "marks", "changes", "distinct", "likely", "covered", "path_depth", "path_length", "cue", "cue_near", "assigned", "quoted", "before_known", "after_known"]
 
@@ -59,7 +73,7 @@ def covered(word: str, dictionary: set[str]) -> float:
     """Share of the word that dictionary words of at least 4 letters cover, the longest first from the left."""
     at = done = 0
     while at < len(word):
-        for n in range(min(12, len(word) - at), 3, -1):
+        for n in range(min(PIECE, len(word) - at), WORD_LETTERS - 1, -1):
             if word[at : at + n] in dictionary:
                 at, done = at + n, done + n
                 break
@@ -68,28 +82,35 @@ def covered(word: str, dictionary: set[str]) -> float:
     return done / max(1, len(word))
 
 
-def features(text: str, start: int, end: int, path: str, pairs: dict[str, float], dictionary: set[str]) -> list[float]:
+def beside(text: str, start: int, end: int) -> tuple[str, str]:
+    """The words before and after a span, empty if there is none."""
+    before = re.findall(r"\w+", text[max(0, start - 80) : start].lower())
+    after = re.findall(r"\w+", text[end : end + 40])
+    return before[-1] if before else "", after[0].lower() if after else ""
+
+
+def features(text: str, start: int, end: int, path: str) -> list[float]:
+    """The features that need neither letter pairs nor the dictionary; 0 for the others."""
     word = text[start:end]
     n, low = len(word), word.lower()
     kinds = [kind(c) for c in word]
     before = text[max(0, start - 80) : start]
-    after = re.findall(r"\w+", text[end : end + 40])
     words = re.findall(r"\w+", before.lower())
     return [
         float(n),
         *(kinds.count(k) / n for k in range(4)),
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
         len(set(word)) / n,
-        sum(pairs.get(low[i : i + 2], -9.0) for i in range(n - 1)) / max(1, n - 1),
-        covered(low, dictionary),
+        0.0,
+        0.0,
         float(path.count("/")),
         float(len(path)),
         float(any(c in low or (words and words[-1] == c) for c in CUES)),
         float(any(w in CUES for w in words[-4:])),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))),
         float(before[-1:] in "\"'" and before != ""),
-        float(bool(words) and words[-1] in dictionary),
-        float(bool(after) and after[0].lower() in dictionary),
+        0.0,
+        0.0,
     ]
 
 
@@ -98,48 +119,134 @@ def secret_spans(text: str) -> list[tuple[int, int]]:
     return [m.span(1) if m.group(1) else m.span() for m in FORMATS.finditer(text)]
 
 
-def candidates(documents: DataFrame, pairs: dict[str, float], dictionary: set[str], path: str = "source") -> DataFrame:
-    """doc_id, start, length, finding, known, features of every candidate; ``known``: a format marks it as a secret."""
+def assigned_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of the values assigned to a cue, without the marks that end a sentence."""
+    found = ((m.start(1), m.start(1) + len(m.group(1).rstrip(CLOSING))) for m in ASSIGNED.finditer(text))
+    return [(a, b) for a, b in found if b > a]
+
+
+def spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, known) of all candidates; ``known``: 1 if a format marks it, -1 if it is assigned and none does, else 0."""
+    marked, assigned = secret_spans(text), assigned_spans(text)
+    every = sorted({m.span() for m in CANDIDATE.finditer(text)} | {*marked, *assigned}, key=lambda s: (s[0], -s[1]))
+    out, last = [], 0
+    for a, b in every:
+        if b <= last:
+            continue
+        last = b
+        touches = lambda others: any(x < b and a < y for x, y in others)  # noqa: B023, E731
+        out.append((a, b, 1 if touches(marked) else -1 if touches(assigned) else 0))
+    return out
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for id_, where, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, b, known in spans(text or ""):
+                word = text[a:b]
+                out.append((id_, a, b - a, word, int(known == 1), known < 0, features(text, a, b, where or ""), word.lower(), *beside(text, a, b)))
+        cols = list(zip(*out)) or [()] * len(FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, FOUND)], schema=FOUND)
+
+
+FOUND = pa.schema(
+    [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("finding", pa.string()), ("known", pa.int32())]
+    + [("undecided", pa.bool_()), ("features", pa.list_(pa.float64())), ("low", pa.string()), ("before", pa.string()), ("after", pa.string())]
+)
+FOUND_DDL = (
+    "doc_id long, start long, length long, finding string, known int, undecided boolean, features array<double>, "
+    "low string, before string, after string"
+)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pieces of a candidate that may be a word."""
+    for batch in batches:
+        low, piece = [], []
+        for x in batch.column(0).to_pylist():
+            # a piece of letters: words of the dictionary hold nothing else
+            mine = {
+                r[i : i + n]
+                for r in re.findall(r"[^\W\d_]+", x)
+                for i in range(len(r) - WORD_LETTERS + 1)
+                for n in range(WORD_LETTERS, min(PIECE, len(r) - i) + 1)
+            }
+            low += [x] * len(mine)
+            piece += mine
+        yield pa.RecordBatch.from_arrays([pa.array(low, pa.string()), pa.array(piece, pa.string())], ["low", "word"])
+
+
+def _word_features(pairs: dict[str, float]):
+    """Of every distinct candidate, how likely its characters follow each other and how much of it words cover."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for id_, where, text in zip(*(c.to_pylist() for c in batch.columns)):
-                text = text or ""
-                marked = None
-                for m in CANDIDATE.finditer(text):
-                    word = m.group()
-                    if len(word) < LONG and not any(c.isdigit() for c in word):
-                        continue
-                    if marked is None:
-                        marked = secret_spans(text)
-                    known = any(a < m.end() and m.start() < b for a, b in marked)
-                    out.append((id_, m.start(), len(word), word, int(known), features(text, m.start(), m.end(), where or "", pairs, dictionary)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64())]
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc_id", "start", "length", "finding", "known", "features"]
-            )
+            low, parts = (c.to_pylist() for c in batch.columns)
+            likely = [sum(pairs.get(x[i : i + 2], -9.0) for i in range(len(x) - 1)) / max(1, len(x) - 1) for x in low]
+            cover = [covered(x, set(p or ())) for x, p in zip(low, parts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(likely, pa.float64()), pa.array(cover, pa.float64())], ["low", "likely", "covered"])
+
+    return work
+
+
+def small(df: DataFrame, few: int) -> DataFrame:
+    """``df``, sent to every task if it has at most ``few`` rows."""
+    return F.broadcast(df) if df.count() <= few else df
 
+
+def candidates(documents: DataFrame, pairs: dict[str, float], dictionary: DataFrame, path: str = "source", few: int = FEW_ROWS) -> DataFrame:
+    """doc_id, start, length, finding, known, undecided, features of every candidate.
+
+    ``known``: a format marks it as a secret; ``undecided``: it is assigned and no format says anything.
+    """
     where = F.col(path).cast("string") if path in documents.columns else F.lit("")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), "text")
-    return rows.mapInArrow(work, "doc_id long, start long, length long, finding string, known int, features array<double>")
+    found = save(rows.mapInArrow(_found, FOUND_DDL), "found")
+    words = small(dictionary, few)
+    low = found.select("low").distinct()
+    pieces = low.mapInArrow(_pieces, "low string, word string").join(words, "word", "left_semi")
+    of_word = low.join(pieces.groupBy("low").agg(F.collect_set("word").alias("parts")), "low", "left")
+    of_word = small(save(of_word.mapInArrow(_word_features(pairs), "low string, likely double, covered double"), "found_words"), few)
+    out = found.join(of_word, "low")
+    for side in ("before", "after"):
+        near = found.select(F.col(side).alias("word")).distinct().join(words, "word", "left_semi")
+        near = small(save(near.select(F.col("word").alias(side), F.lit(1.0).alias(f"{side}_known")), f"found_{side}"), few)
+        out = out.join(near, side, "left")
+    put = {"likely": F.col("likely"), "covered": F.col("covered")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("before_known", "after_known")}
+    whole = F.array(*(put.get(name, F.col("features")[i]) for i, name in enumerate(FEATURES)))
+    return out.select("doc_id", "start", "length", "finding", "known", "undecided", whole.alias("features"))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted():
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[w] for w in n], pa.int64())], ["word", "n", "docs"])
+
+    n, docs = Counter(), Counter()
+    for batch in batches:
+        for text in batch.column(0):
+            here = Counter(re.findall(r"[^\W\d_]+", (text.as_py() or "").lower()))
+            n.update(here)
+            docs.update(here.keys())
+            if len(n) >= COUNT_WORDS:
+                yield counted()
+                n, docs = Counter(), Counter()
+    yield counted()
 
 
-def background(documents: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[dict[str, float], set[str]]:
-    """Log probabilities of letter pairs, and frequent words, of a bounded sample."""
-    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    n = max(1, docs.count())
-    docs = docs.where(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(n)) < sample)
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = words.orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()
-    count: dict[str, int] = {}
+def background(documents: DataFrame) -> tuple[dict[str, float], DataFrame]:
+    """Log probabilities of letter pairs, and the dictionary (word), of all documents."""
+    words = documents.select("text").mapInArrow(_count_words, "word string, n long, docs long")
+    words = save(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "words")
+    at = F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i")
+    pair = words.where(F.length("word") > 1).select("word", "n", at).select(F.expr("substring(word, i, 2)").alias("pair"), "n")
+    # as many rows as letters follow each other
+    rows = pair.groupBy("pair").agg(F.sum("n").alias("n")).collect()
     first: dict[str, int] = {}
-    for w, n in top:
-        for i in range(len(w) - 1):
-            count[w[i : i + 2]] = count.get(w[i : i + 2], 0) + n
-            first[w[i]] = first.get(w[i], 0) + n
-    return {p: math.log(n / first[p[0]]) for p, n in count.items()}, {w for w, _ in top if len(w) > 3}
+    for p, n in rows:
+        first[p[0]] = first.get(p[0], 0) + n
+    known = words.where((F.length("word") >= WORD_LETTERS) & (F.col("docs") >= WORD_DOCS))
+    return {p: math.log(n / first[p[0]]) for p, n in rows}, known.select("word")
 
 
 def scan(documents: DataFrame, findings: DataFrame | None = None, path: str = "source") -> DataFrame:
@@ -150,7 +257,7 @@ def scan(documents: DataFrame, findings: DataFrame | None = None, path: str = "s
     """
     found = save(candidates(documents, *background(documents), path), "candidates").withColumn("held_out", held_out(0, 5))
     if findings is None:
-        train = found.withColumn("secret", F.col("known"))
+        train = found.where(~F.col("undecided")).withColumn("secret", F.col("known"))
     else:
         train = found.join(findings.select("doc_id", "start", "secret").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"])
     train = train.where("doc_id is not null and not held_out")

@@ -217,6 +217,28 @@ def test_forest_keeps_keys_and_removes_numbers(spark):
     assert {0, 1} == {r["predicted"] for r in found}
 
 
+def test_secrets_without_digits_short_or_with_marks_are_candidates(spark):
+    values = ["correcthorsebat", "hunter2", "p@ss.w0rd!x=9", "tr0ub4dor&3"]
+    plain = ["the extraordinarily long word", *(f"password = {v}" for v in values), "my secret: hunter2."]
+    found = secret_forest.scan(frame(spark, plain)).collect()
+    assert {(r["doc_id"], r["finding"], r["known"]) for r in found} == {
+        (0, "extraordinarily", 0), (1, "correcthorsebat", 1), (2, "hunter2", 0), (3, "p@ss.w0rd!x=9", 0), (4, "tr0ub4dor&3", 0), (5, "hunter2", 0)
+    }
+    assert all(plain[r["doc_id"]][r["start"] :].startswith(r["finding"]) for r in found)
+
+
+def test_words_are_counted_over_all_documents(spark):
+    n = 6000
+    rare = ["zyxwvuts", "qponmlkj"]
+    texts = [f"common words stand here {'' if i % 2000 else rare[0]}" for i in range(n)] + [f"key={rare[0]}{rare[1]}"]
+    docs = frame(spark, texts)
+    pairs, words = secret_forest.background(docs)
+    assert {r["word"] for r in words.collect()} == {"common", "words", "stand", "here", rare[0]} and "zy" in pairs and "qp" in pairs
+    one = docs.where(F.col("doc_id") == n)
+    got = [secret_forest.candidates(one, pairs, words, few=few).first()["features"] for few in (0, 500_000)]
+    assert got[0] == got[1] and got[0][secret_forest.FEATURES.index("covered")] == 0.5
+
+
 # ---- 6
 
 
