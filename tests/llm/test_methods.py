@@ -341,6 +341,28 @@ def test_filters_hold_what_was_put_in(spark):
     assert list(best[:2]) == [0, 1]
 
 
+def test_any_number_of_languages_and_rare_words(spark):
+    rng = random.Random(8)
+    rows, rare = [], {}
+    for k in range(150):
+        v = vocabulary(rng, 12)
+        rare[f"l{k:03}"] = "".join(rng.choice("klmnopqrstuvwxyz") for _ in range(9))
+        rows += [(100 * k + i, f"l{k:03}", " ".join(rng.choice(v) for _ in range(40))) for i in range(4)]
+        rows.append((100 * k + 50, f"l{k:03}", f"{' '.join(v)} {rare[f'l{k:03}']}"))
+    model = language_bits.fit(spark.createDataFrame(rows, "key long, lang string, text string"))
+    assert len(model.languages) == 150
+    best, score = language_bits.decide(*batch(list(rare.values())), model)
+    assert [model.languages[i] for i in best] == list(rare) and (score > 0).all()
+
+
+def test_texts_without_a_known_gram_back_off(spark):
+    rows = [(1, "aa", "hello world"), (2, "bb", "szczypiorek"), (3, "bb", "szczypiorek")]
+    model = language_bits.fit(spark.createDataFrame(rows, "key long, lang string, text string"))
+    best, score = language_bits.decide(*batch(["zczxx", "wqqo", "w", "Ж", "HELLO"]), model)
+    assert [model.languages[i] for i in best] == ["bb", "aa", "aa", "bb", "aa"]
+    assert abs(score[3] - 2 / 3) < 1e-12
+
+
 # ---- 8
 
 
