@@ -8,6 +8,11 @@ a mark between letters for nothing.  Viterbi decoding picks the path with the be
 the channel's cost and the log probability under a character bigram model of plain words
 learned from the training texts.  Plain words have one path and stay as they are.
 
+Runs of tokens of one character, look-alikes and marks among them, go through the same
+lattice, where a blank stands for nothing or for a word border, as does a mark in a long
+chain.  They are decoded once for each of a few costs of a border; what is then no word of the
+training texts is also split into such words, and every word of these readings counts.  Words and runs of any length are decoded.
+
 The restored words are scored by what the labels teach: the log odds of words and of the
 beginnings of words (so that inflected forms count) in toxic against other documents.  A
 document's evidence is the strongest of its restored words, so that a long text gathers no
@@ -53,6 +58,14 @@ LOOK_ALIKES = {
 }
 #: Log costs of the channel: a replaced, a dropped and a repeated character.
 REPLACED, DROPPED, REPEATED = -1.0, -0.7, -0.5
+#: Log costs of a word border at a blank; a text set apart is read once with each.
+BORDERS = (0.0, -2.0, 1.0)
+#: Characters of a word, and marks in it, from which its marks may be borders as well.
+CHAIN, CHAIN_MARKS = 12, 4
+#: Letters of a known word, at most, and the log probability of a letter that belongs to none.
+WORD, UNKNOWN = 30, -16.0
+#: Longer texts are not remembered.
+REMEMBERED = 100
 LETTER = re.compile(r"[^\W\d_]")
 STRIP = " .,;:!?\"'|()[]{}*#%&$-_~`<>/\\=+"
 FRONT = " .,;:?\"'()[]{}*#%&-_~`>/\\="
@@ -65,10 +78,11 @@ def held_out(rest: int, modulus: int) -> Column:
 
 @dataclass
 class CharModel:
-    """Log probabilities of a letter after another, from plain words; ``^`` and ``$`` are the borders."""
+    """Log probabilities of a letter after another, from plain words (``^`` and ``$`` are the borders), and of the words."""
 
     pairs: dict[str, float] = field(default_factory=dict)
     floor: float = -8.0
+    words: dict[str, float] = field(default_factory=dict)
 
     def __call__(self, a: str, b: str) -> float:
         return self.pairs.get(a + b, self.floor)
@@ -90,32 +104,93 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(word: str, chars: CharModel) -> str:
-    """The most probable plain reading (Viterbi over the lattice; the state is the last letter)."""
-    best: dict[str, tuple[float, str]] = {"^": (0.0, "")}
-    for paths in lattice(word):
-        after: dict[str, tuple[float, str]] = {}
-        for last, (score, text) in best.items():
+def decoded(steps: list[list[tuple[str, float]]], chars: CharModel) -> str:
+    """The best path (Viterbi; the state is the last letter, ``^`` at a border); a blank in a piece is a border."""
+    best, back = {"^": 0.0}, []
+    for paths in steps:
+        after: dict[str, float] = {}
+        came: dict[str, tuple[str, str]] = {}
+        for last, score in best.items():
             for piece, cost in paths:
                 s, at = score + cost, last
                 for letter in piece:
-                    s += chars(at, letter)
-                    at = letter
-                if at not in after or s > after[at][0]:
-                    after[at] = (s, text + piece)
+                    s += chars(at, "$" if letter == " " else letter)
+                    at = "^" if letter == " " else letter
+                if at not in after or s > after[at]:
+                    after[at], came[at] = s, (last, piece)
         best = after
-    return max((score + chars(last, "$"), text) for last, (score, text) in best.items())[1]
+        back.append(came)
+    at = max((score + chars(last, "$"), last) for last, score in best.items())[1]
+    out = []
+    for came in reversed(back):
+        at, piece = came[at]
+        out.append(piece)
+    return "".join(reversed(out))
+
+
+def restore(word: str, chars: CharModel) -> str:
+    """The most probable plain reading of a word."""
+    return decoded(lattice(word), chars)
+
+
+def split(glued: str, words: dict[str, float]) -> list[str]:
+    """The known words of the most probable division of some letters into words; the rest are letters by themselves."""
+    best, back = [0.0], [0]
+    for j in range(1, len(glued) + 1):
+        best.append(best[j - 1] + UNKNOWN)
+        back.append(j - 1)
+        for i in range(max(0, j - WORD), j - 1):
+            p = words.get(glued[i:j])
+            if p is not None and best[i] + p > best[j]:
+                best[j], back[j] = best[i] + p, i
+    out, j = [], len(glued)
+    while j:
+        out.append(glued[back[j] : j])
+        j = back[j]
+    return [w for w in reversed(out) if len(w) > 1]
+
+
+def apart(written: str, chars: CharModel) -> list[str]:
+    """The words of the most probable readings of characters set apart, one reading per cost of a border."""
+    gaps, tokens = [], []
+    for m in re.finditer(r"(\s*)(\S)", written):
+        gaps.append(len(m.group(1)))
+        tokens.append(m.group(2))
+    found: dict[str, None] = {}
+    for border in BORDERS:
+        steps, i = [], 0
+        while i < len(tokens):
+            j = i + 1
+            while j < len(tokens) and tokens[j] == tokens[i] and gaps[j] < 2:
+                j += 1
+            if i:
+                steps.append([("", 0.0), (" ", 0.0 if gaps[i] > 1 else border)] if gaps[i] or not LETTER.match(tokens[i]) or not LETTER.match(tokens[i - 1]) else [("", 0.0)])
+            paths = lattice(tokens[i] * (j - i))[0]
+            if tokens[i] in LOOK_ALIKES and (tokens[i].isdigit() or gaps[i] or not i):
+                paths = [(p, c) for p, c in paths if p]  # a look-alike that stands alone stands for a letter
+            # a letter that comes twice may close one word and open the next
+            steps.append(paths + [(f"{p} {p}", c + border) for p, c in paths if len(p) == 1 and j - i > 1])
+            i = j
+        for w in decoded(steps, chars).split():
+            if len(w) > 1 and w not in found:
+                found[w] = None
+                if chars.words and w not in chars.words:
+                    found |= dict.fromkeys(split(w, chars.words))
+    return list(found)
 
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STANDS = np.zeros(256, bool)
 _STANDS[[ord(c) for c in LOOK_ALIKES if ord(c) < 128]] = True
-LONGEST, APART = 40, 4
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+#: Tokens of a run set apart and letters in it, at least; bytes of such a token, at most.
+APART, APART_LETTERS, TOKEN_BYTES = 3, 2, 5
 
 
 def noisy(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of the words that may be noisy forms, and of runs of ``APART`` single letters.
+    """Start, end and row of the words that may be noisy forms, and of runs of ``APART`` single characters.
 
     A word may be noisy if something else stands between its letters, if a look-alike stands
     before them, or if a letter comes three times in a row.
@@ -142,28 +217,38 @@ def noisy(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         three = np.flatnonzero((low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & letter[:-2] & letter[1:-1] & letter[2:])
         hit = np.searchsorted(starts, three, "right") - 1
         odd[hit[three + 2 < ends[hit]]] = True
-    odd &= (letters > 1) & (ends - starts <= 2 * LONGEST)
-    # words of one letter, next to each other
-    size = ends - starts
-    single = (letters == size) & ((size == 1) | (size == 2) & (data[starts] >= 0xC0))
+    odd &= letters > 1
+    # tokens of one letter or look-alike, with or without marks, next to each other
+    within = lambda which: (total := np.concatenate([[0], np.cumsum(which)]))[ends] - total[starts]
+    begun = within((letter & (data < 128)) | (data >= 0xC0))  # letters, not their bytes
+    single = (begun + within(_DIGIT[data]) <= 1) & (ends - starts <= TOKEN_BYTES)
+    sign = begun + within(_STANDS[data]) > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
     edge = np.unique(np.concatenate([edge, runs(row)]))
-    group = np.append(edge, len(single))
-    apart = [(a, b) for a, b in zip(group, group[1:]) if b - a >= APART and single[a]]
-    s = np.concatenate([starts[odd], [starts[a] for a, _ in apart]]).astype(np.int64)
-    e = np.concatenate([ends[odd], [ends[b - 1] for _, b in apart]]).astype(np.int64)
-    return s, e, np.concatenate([row[odd], [row[a] for a, _ in apart]]).astype(np.int64)
+    group = np.append(edge[edge < len(single)], len(single))
+    signs, plain = np.concatenate([[0], np.cumsum(sign)]), np.concatenate([[0], np.cumsum(begun)])
+    a, b = group[:-1], group[1:]
+    a, b = (x[single[a] & (signs[b] - signs[a] >= APART) & (plain[b] - plain[a] >= APART_LETTERS)] for x in (a, b))
+    return np.concatenate([starts[odd], starts[a]]), np.concatenate([ends[odd], ends[b - 1]]), np.concatenate([row[odd], row[a]])
 
 
 def reading(written: str, chars: CharModel, known: dict[str, str]) -> str:
-    """The restored form of a noisy word, or of letters set apart; ``known`` remembers what was decoded."""
-    if written not in known:
+    """The restored form of a noisy word, or the words of characters set apart; ``known`` remembers what was decoded."""
+    if written in known:
+        return known[written]
+    low = written.lower().strip()
+    if len(low.split()) > 1:
+        out = " ".join(apart(low, chars))
+    else:
+        word = low.rstrip(STRIP).lstrip(FRONT)
+        out = restore(word, chars) if len(word) >= 3 else ""
+        if len(word) > CHAIN and sum(not c.isalnum() for c in word) >= CHAIN_MARKS:
+            out = " ".join(dict.fromkeys([out, *apart(word, chars)]))
+    if len(written) <= REMEMBERED:
         if len(known) > 200_000:
             known.clear()
-        letters = written.lower().split()
-        word = letters[0].rstrip(STRIP).lstrip(FRONT)
-        known[written] = "".join(letters) if len(letters) > 1 else restore(word, chars) if 3 <= len(word) <= LONGEST else ""
-    return known[written]
+        known[written] = out
+    return out
 
 
 def readings(text: str, chars: CharModel, known: dict[str, str]) -> list[str]:
@@ -247,23 +332,29 @@ def restored(data: np.ndarray, offsets: np.ndarray, chars: CharModel, known: dic
 
 
 def _char_model(texts: DataFrame) -> CharModel:
-    """Counts letter pairs of plain words, in Spark; a model has as many pairs as the alphabet allows."""
+    """Counts letter pairs and words of the training rows, in Spark; a model has as many pairs as the alphabet allows."""
     def count(batches):
         for batch in batches:
             seen: dict[str, int] = {}
             for t in batch.column(0).to_pylist():
                 for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+                    if 2 <= len(w) <= WORD:
+                        seen[" " + w] = seen.get(" " + w, 0) + 1
                     w = f"^{w}$"
                     for a, b in zip(w, w[1:]):
                         seen[a + b] = seen.get(a + b, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pair", "n"])
 
-    rows = texts.mapInArrow(count, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(20_000).collect()
+    plain = save(texts.mapInArrow(count, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")), "plain")
+    word = F.col("pair").startswith(" ")
+    rows = plain.where(~word).orderBy(F.desc("n")).limit(20_000).collect()
+    words = {w[1:]: n for w, n in plain.where(word & (F.col("n") > 1)).collect()}  # of the bounded training rows
+    total = sum(words.values())
     first: dict[str, int] = {}
     for pair, n in rows:
         first[pair[0]] = first.get(pair[0], 0) + n
     size = len(first) + 1
-    return CharModel({pair: math.log((n + 0.1) / (first[pair[0]] + 0.1 * size)) for pair, n in rows})
+    return CharModel({pair: math.log((n + 0.1) / (first[pair[0]] + 0.1 * size)) for pair, n in rows}, words={w: math.log(n / total) for w, n in words.items()})
 
 
 def _feature_rows(chars: CharModel):

@@ -185,6 +185,23 @@ def test_restores_noisy_words():
     assert deobfuscate.readings("a good room, 12 rooms", chars, {}) == []
 
 
+def test_restores_long_words_and_text_set_apart():
+    words = "the loser was an idiot and a stupid pathetic moron with trash in better rooms look good you you".split()
+    pair, first = Counter(), Counter()
+    for w in words * 3:
+        for a, b in zip(f"^{w}$", f"^{w}$"[1:]):
+            pair[a + b] += 1
+            first[a] += 1
+    chars = deobfuscate.CharModel({p: math.log(n / first[p[0]]) for p, n in pair.items()}, words={w: -3.0 for w in words})
+    hits = lambda text: set(" ".join(deobfuscate.readings(text, chars, {})).split())
+    assert hits("a st" + "u" * 90 + "pid one") == {"stupid"}
+    assert "loser" in hits("-".join(["l.o.s.e.r"] * 20))
+    for spaced in ("i d 1 0 t", "i, d, i, o, t", "i d d i o t", "1 d ! o t", "i - d - i - o - t", "i d i o t " * 5000):
+        assert "idiot" in hits(f"some {spaced} there"), spaced[:40]
+    assert {"you", "idiot"} <= hits("so y o u i d i o t there") and {"loser", "idiot"} <= hits("l o s e r i d i o t")
+    assert hits("page 1 2 3 4 of 5 6") == set()
+
+
 def test_toxic_documents_are_found_also_in_disguise(spark):
     rng = random.Random(3)
     v = vocabulary(rng)
