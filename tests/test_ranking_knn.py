@@ -1,14 +1,22 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from landspan.operators import ranking as R
 from landspan.operators.knn import nearest_k
 
 
-def frame(spark, monkeypatch, n=700, skew=0.4):
-    # small ranges, so that the two-level numbering is exercised
-    monkeypatch.setattr(R, "RANGE_ROWS", 20)
+@pytest.fixture(autouse=True)
+def several_ranges(spark):
+    """Small ranges stay apart, so that the two-level numbering is exercised."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def frame(spark, n=700, skew=0.4):
     rng = np.random.default_rng(11)
     v = np.where(rng.uniform(size=n) < skew, 7.0, rng.integers(0, 300, n).astype(float))
     k = np.where(rng.uniform(size=n) < 0.4, "hot", rng.integers(0, 4, n).astype(str))
@@ -16,22 +24,28 @@ def frame(spark, monkeypatch, n=700, skew=0.4):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_percent_rank(spark, monkeypatch):
-    pdf, df = frame(spark, monkeypatch)
+def test_values_span_several_ranges(spark):
+    _, df = frame(spark)
+    counts = df.groupBy("v").agg(F.count("*").alias("n"))
+    assert R._with_range(counts, [], "v").select("_range").distinct().count() > 1
+
+
+def test_percent_rank(spark):
+    pdf, df = frame(spark)
     got = R.with_percent_rank(df, "v", "pr").select("id", "pr").toPandas().set_index("id")["pr"]
     want = (pdf["v"].rank(method="min") - 1) / (len(pdf) - 1)
     assert np.allclose(got.sort_index(), want)
 
 
-def test_percentiles_per_key(spark, monkeypatch):
-    pdf, df = frame(spark, monkeypatch)
+def test_percentiles_per_key(spark):
+    pdf, df = frame(spark)
     got = R.percentiles(df, "v", {"m": 0.5, "p9": 0.9}, ["k"]).toPandas().set_index("k").sort_index()
     want = pdf.groupby("k")["v"].quantile([0.5, 0.9]).unstack()
     assert np.allclose(got["m"], want[0.5]) and np.allclose(got["p9"], want[0.9])
 
 
-def test_ntile_edges(spark, monkeypatch):
-    pdf, df = frame(spark, monkeypatch, n=103)
+def test_ntile_edges(spark):
+    pdf, df = frame(spark, n=103)
     got = R.ntile_ranges(df, "v", 7).orderBy("tile").toPandas()
     parts = np.array_split(np.sort(pdf["v"].to_numpy()), 7)
     assert got["low"].tolist() == [p[0] for p in parts]
