@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landspan.llm.store import save
+from landspan.llm.store import bounded_batches, save
 from landspan.llm.text import Hasher, runs, slices, spans
 
 FIT_ROWS = 40_000
@@ -347,7 +347,7 @@ def _char_model(texts: DataFrame) -> CharModel:
 
     plain = save(texts.mapInArrow(count, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")), "plain")
     word = F.col("pair").startswith(" ")
-    rows = plain.where(~word).orderBy(F.desc("n")).limit(20_000).collect()
+    rows = plain.where(~word).collect()
     words = {w[1:]: n for w, n in plain.where(word & (F.col("n") > 1)).collect()}  # of the bounded training rows
     total = sum(words.values())
     first: dict[str, int] = {}
@@ -389,6 +389,7 @@ def training(documents: DataFrame, labels: DataFrame, label: str, rest: int, mod
     """key, label, text of at most about ``fit_rows`` labelled rows that are not held out."""
     marked = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     marked = marked.where(~held_out(rest, modulus))
+    bounded_batches(documents.sparkSession)
     n = max(1, marked.count())
     marked = marked.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(n)) < fit_rows)
     # the chosen labels are few by construction, so the documents' texts stay where they are
@@ -469,6 +470,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence of every row."""
+    bounded_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("key"), "text")
     out = rows.mapInArrow(_score_rows(model), "key long, evidence double, score double")
     return out.select(
@@ -477,20 +479,23 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
 
 def tolerable(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``documents`` that score below the threshold, with all their columns."""
-    at = documents.columns.index("text")
+    """The rows of ``documents`` that score below the threshold, with all their columns.
 
-    def work(batches: Iterator[pa.RecordBatch]):
+    Only the text goes to Python and only the score comes back.
+    """
+    bounded_batches(documents.sparkSession)
+
+    @F.arrow_udf("double")
+    def probability(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, str] = {}
-        for batch in batches:
-            done = 0
-            for part, data, offsets in slices(batch.column(at), batch.column(at)):
+        for text in texts:
+            found = [np.zeros(0)]
+            for _, data, offsets in slices(text, text):
                 data, offsets = restored(data, offsets, model.chars, known)
-                p = np.interp(evidence(data, offsets, model.keys, model.weights), *model.curve)
-                yield batch.slice(done, len(part)).filter(pa.array(p < threshold))
-                done += len(part)
+                found.append(np.interp(evidence(data, offsets, model.keys, model.weights), *model.curve))
+            yield pa.array(np.concatenate(found))
 
-    return documents.mapInArrow(work, documents.schema)
+    return documents.where(probability("text") < threshold)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from landspan.llm import (
     count_tree, deobfuscate, exact_dedup, language_bits, line_templates, mixing, pitman_yor,
     positional_index, secret_forest, zstd_quality,
@@ -148,13 +147,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_positional_index": op8,
         "op9_block_mixing": op9,
         "op10_language_bits": op10,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return own | {
+    return {
         "op1_line_templates": SQL_1,
         "op2_exact_dedup": SQL_2,
         "op6_count_vector_tree": SQL_6,

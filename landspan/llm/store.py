@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from landspan.session import scratch_path
 
@@ -15,3 +15,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound this session's Arrow batches by bytes, so that long texts do not fill a Python worker.
+
+    A batch ends with the row that passes the bound; the results do not depend on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)

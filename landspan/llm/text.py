@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANK = "\\x20\\x09-\\x0D"
 #: Bytes of text worked on at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 A, B, C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,13 +49,13 @@ def _byte_values() -> np.ndarray:
     return values
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd multiplier modulo 2**64, and of its inverse."""
     base = int(C)
     up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 2**64), np.uint64)
     up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
 
 
 def slices(ids: pa.Array, text: pa.Array, most: int = SLICE) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -102,7 +102,9 @@ class Hasher:
         up, self.down = _powers(max(SLICE, 1 << max(len(data) - 1, 0).bit_length()))
         self.total = np.empty(len(data) + 1, np.uint64)
         self.total[0] = 0
-        np.cumsum(_byte_values()[data] * up[: len(data)], out=self.total[1:])
+        np.take(_byte_values(), data, out=self.total[1:])
+        self.total[1:] *= up[: len(data)]
+        np.cumsum(self.total[1:], out=self.total[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts):
