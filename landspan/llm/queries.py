@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landspan.llm import (
-    count_tree, deobfuscate, exact_dedup, language_bits, line_templates, mixing, pitman_yor,
-    positional_index, secret_forest, zstd_quality,
+    automaton_ranking, count_tree, deobfuscate, exact_dedup, interleaving, language_bits, line_templates, mixing,
+    pitman_yor, positional_index, secret_forest, strassen, zstd_quality,
 )
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -135,6 +135,71 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_bits.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strassen.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL_11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.c, b.c)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton_ranking.rank(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+TERMS = f"regexp_extract_all({FOLDED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SQL_12 = f"""
+WITH d AS (SELECT doc_id, {TERMS} AS t FROM documents),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+c AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS total FROM d WHERE len(t) > 0),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d)
+       WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY 1),
+x AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))) AS part
+      FROM tf JOIN w USING (term), c),
+s AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM x JOIN q USING (term) GROUP BY 1, 2)
+SELECT item_id, (row_number() OVER o)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER o <= 50
+"""
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleaving.shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL_13 = """
+WITH crc AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                 lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END) ORDER BY n) AS steps
+             FROM range(256) r(n)),
+d AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
+             xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(regexp_replace(rtrim(regexp_replace(hex(coalesce(text, '')), '(..)', '\\1 ', 'g')), '^$', '0'), ' '), lambda h: ('0x' || h)::BIGINT),
+                 lambda a, b: xor(a // 256, steps[xor(a, b) % 256 + 1])), 4294967295) AS raw,
+             ('0x' || md5('13:' || coalesce(doc_id::VARCHAR, ''))[1:15])::BIGINT AS shuffle
+      FROM documents, crc),
+e AS (SELECT * REPLACE (CASE WHEN size = 1 THEN 0 ELSE raw END AS raw) FROM d),
+r AS (SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY shuffle, doc_id, size, raw) - 1) + 1) / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM e),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, CASE WHEN source IS NULL THEN '' ELSE '=' || source END) - 1 AS place, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, raw::BIGINT AS text_crc32, 'rows' AS law, (16 * place // n)::INTEGER AS shard,
+       place - (16 * place // n * n + 15) // 16 AS slot, NULL::INTEGER AS grown_shard
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_templates": op1,
@@ -147,6 +212,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_positional_index": op8,
         "op9_block_mixing": op9,
         "op10_language_bits": op10,
+        "op11_strassen_negatives": op11,
+        "op12_automaton_ranking": op12,
+        "op13_stratified_interleaving": op13,
     }
 
 
@@ -156,4 +224,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": SQL_2,
         "op6_count_vector_tree": SQL_6,
         "op8_positional_index": SQL_8,
+        "op11_strassen_negatives": SQL_11,
+        "op12_automaton_ranking": SQL_12,
+        "op13_stratified_interleaving": SQL_13,
     }
