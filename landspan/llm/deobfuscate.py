@@ -347,14 +347,14 @@ def _char_model(texts: DataFrame) -> CharModel:
 
     plain = save(texts.mapInArrow(count, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")), "plain")
     word = F.col("pair").startswith(" ")
-    rows = plain.where(~word).collect()
-    words = {w[1:]: n for w, n in plain.where(word & (F.col("n") > 1)).collect()}  # of the bounded training rows
+    counts = lambda df: dict(zip(*(c.to_pylist() for c in df.toArrow().columns)))  # noqa: E731  of the bounded training rows
+    pairs, words = counts(plain.where(~word)), counts(plain.where(word & (F.col("n") > 1)))
     total = sum(words.values())
     first: dict[str, int] = {}
-    for pair, n in rows:
+    for pair, n in pairs.items():
         first[pair[0]] = first.get(pair[0], 0) + n
     size = len(first) + 1
-    return CharModel({pair: math.log((n + 0.1) / (first[pair[0]] + 0.1 * size)) for pair, n in rows}, words={w: math.log(n / total) for w, n in words.items()})
+    return CharModel({pair: math.log((n + 0.1) / (first[pair[0]] + 0.1 * size)) for pair, n in pairs.items()}, words={w[1:]: math.log(n / total) for w, n in words.items()})
 
 
 def _feature_rows(chars: CharModel):
@@ -406,11 +406,11 @@ def weighed(counts: DataFrame, bad: str, good: str, n_bad: int, n_good: int) ->
         .where(F.col("weight") > math.log(LEAST_ODDS))
         .orderBy(F.desc("weight"), "feature")
         .limit(MOST_WEIGHTS)
-        .collect()
+        .toArrow()
     )
-    keys = np.array([r["feature"] for r in kept], np.int64).view(np.uint64)
+    keys = np.asarray(kept["feature"]).astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], np.array([r["weight"] for r in kept], float)[order]
+    return keys[order], np.asarray(kept["weight"], float)[order]
 
 
 def fit(train: DataFrame) -> Model:
