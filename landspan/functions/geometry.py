@@ -231,42 +231,61 @@ def clip_box(ring: Column, b: Column) -> Column:
     return clip_convex(ring, box_ring(b))
 
 
-def is_convex(ring: Column) -> Column:
-    """Whether a ring never turns right (counter-clockwise and convex)."""
+def _uprights(ring: Column) -> Column:
+    """Edges that are not vertical, left end first, with ``w``: +1 where the ring runs to the right."""
 
-    def turns(es: Column) -> Column:
-        following = F.concat(F.slice(es, 2, F.size(es)), F.slice(es, 1, 1))
-        return F.forall(F.zip_with(es, following, lambda a, b: _side(a["p"], a["q"], b["q"]) >= 0), lambda ok: ok)
+    def turned(e: Column) -> Column:
+        right = e["p"]["x"] < e["q"]["x"]
+        a, b = F.when(right, e["p"]).otherwise(e["q"]), F.when(right, e["q"]).otherwise(e["p"])
+        w = F.when(right, 1.0).otherwise(-1.0)
+        return F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"), w.alias("w"))
 
-    return bind(edges(ring), turns) & (signed_area(ring) > 0)
+    return F.transform(F.filter(edges(ring), lambda e: e["p"]["x"] != e["q"]["x"]), turned)
 
 
-def _fan(window: Column) -> Column:
-    """Triangles from the first point over every edge, counter-clockwise, with the sign they count by.
+def _y_at(e: Column, x: Column) -> Column:
+    return F.when(x == e["x1"], e["y1"]).otherwise(e["y0"] + (e["y1"] - e["y0"]) * (x - e["x0"]) / (e["x1"] - e["x0"]))
 
-    Their signed sum is the window, whatever its shape.
+
+def overlap_area(ring: Column, window: Column) -> Column:
+    """GEO02: area of ring ∩ window, of any shapes (0 if unknown).
+
+    A ring is the sum, with sign, of what lies above each of its edges, so the overlap is
+    the sum over pairs of edges of what lies above both.
     """
 
-    def triangles(w: Column) -> Column:
-        o = F.get(w, F.lit(0))
+    def above(e: Column, f: Column, top: Column) -> Column:
+        """Signed area above both edges up to ``top``, which cancels out."""
+        l, r = F.greatest(e["x0"], f["x0"]), F.least(e["x1"], f["x1"])
 
-        def triangle(e: Column) -> Column:
-            side = _side(o, e["p"], e["q"])
-            q = F.when(side > 0, e["p"]).otherwise(e["q"])
-            r = F.when(side > 0, e["q"]).otherwise(e["p"])
-            corners = F.array(point(o["x"], o["y"]), point(q["x"], q["y"]), point(r["x"], r["y"]))
-            return F.struct(corners.alias("ring"), F.signum(side).alias("sign"))
+        def measure(s: Column) -> Column:
+            dl, dr = s["el"] - s["fl"], s["er"] - s["fr"]
+            high = F.greatest(dl, dr)
+            over = F.when((dl >= 0) & (dr >= 0), (dl + dr) / 2.0).when((dl <= 0) & (dr <= 0), 0.0)
+            over = over.otherwise(high * high / (F.abs(dl - dr) * 2.0))
+            return e["w"] * f["w"] * (r - l) * (top - (s["fl"] + s["fr"]) / 2.0 - over)
 
-        return F.filter(F.transform(edges(w), triangle), lambda t: t["sign"] != 0)
+        ends = F.struct(_y_at(e, l).alias("el"), _y_at(e, r).alias("er"), _y_at(f, l).alias("fl"), _y_at(f, r).alias("fr"))
+        return F.when(l < r, bind(ends, measure)).otherwise(0.0)
 
-    return bind(window, triangles)
+    top = F.get(ring, F.lit(0))["y"]
+    total = bind(_uprights(window), lambda fs: _sum(_uprights(ring), lambda e: _sum(fs, lambda f: above(e, f, top))))
+    return F.coalesce(F.abs(total), F.lit(0.0))
 
 
-def overlap_area(ring: Column, window: Column) -> Column:
-    """GEO02: area of ring ∩ window, of any shapes (0 if unknown)."""
-    convex = F.abs(signed_area(clip_convex(ring, window)))
-    pieces = F.abs(_sum(_fan(window), lambda t: t["sign"] * signed_area(clip_convex(ring, t["ring"]))))
-    return F.coalesce(F.when(is_convex(window), convex).otherwise(pieces), F.lit(0.0))
+def _back(es: Column) -> Column:
+    return F.transform(es, lambda e: F.struct(e["q"].alias("p"), e["p"].alias("q")))
+
+
+def outline(ring: Column) -> Column:
+    """The edges without bridges, which are walked both ways."""
+    return bind(edges(ring), lambda es: F.array_except(es, _back(es)))
+
+
+def ring_starts(ring: Column) -> Column:
+    """A corner of each of the rings that were joined: the first point and the ends of bridges."""
+    ends = bind(edges(ring), lambda es: F.transform(F.array_intersect(es, _back(es)), lambda e: e["q"]))
+    return F.array_distinct(F.concat(F.slice(ring, 1, 1), ends))
 
 
 def rings_meet(a: Column, b: Column) -> Column:
@@ -283,17 +302,11 @@ def rings_meet(a: Column, b: Column) -> Column:
         )
         return near & (F.signum(s1) * F.signum(s2) <= 0) & (F.signum(t1) * F.signum(t2) <= 0)
 
-    # a bridge is no edge: it is walked both ways, and only there
-    def outline(r: Column) -> Column:
-        return bind(
-            edges(r),
-            lambda es: F.filter(es, lambda e: ~F.exists(es, lambda g: (g["p"] == e["q"]) & (g["q"] == e["p"]))),
-        )
+    def held(r: Column, by: Column) -> Column:
+        return F.exists(ring_starts(r), lambda p: point_in_ring(p["x"], p["y"], by))
 
     crossing = bind(outline(b), lambda fs: F.exists(outline(a), lambda e: F.exists(fs, lambda f: touch(e, f))))
-    first = lambda r: F.get(r, F.lit(0))
-    held = point_in_ring(first(a)["x"], first(a)["y"], b) | point_in_ring(first(b)["x"], first(b)["y"], a)
-    return F.coalesce(crossing | held, F.lit(False))
+    return F.coalesce(crossing | held(a, b) | held(b, a), F.lit(False))
 
 
 def overlap_ratio(ring: Column, window: Column) -> Column:
@@ -307,33 +320,36 @@ def overlap_ratio(ring: Column, window: Column) -> Column:
 def segment_length_in(p: Column, q: Column, window: Column) -> Column:
     """GEO09: length of segment p -> q inside a window of any shape.
 
-    A window that is not convex counts as the signed sum of its triangles; a segment that
-    runs along the edge of such a triangle may count half or double.
+    Along the axis that the segment runs along most, every edge of the window counts, with
+    sign, the part of the segment above it.  A segment on a border is inside if the window
+    lies above it (or to its right), so that it belongs to one of two neighbours.
     """
-    pieces = _sum(_fan(window), lambda t: t["sign"] * _length_in_convex(p, q, t["ring"]))
-    return F.when(is_convex(window), _length_in_convex(p, q, window)).otherwise(F.abs(pieces))
 
+    def inside(s: Column) -> Column:
+        a, b = F.when(s["p"]["x"] <= s["q"]["x"], s["p"]).otherwise(s["q"]), F.when(s["p"]["x"] <= s["q"]["x"], s["q"]).otherwise(s["p"])
+        own = F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"))
 
-def _length_in_convex(p: Column, q: Column, window: Column) -> Column:
-    """The parameter range of the segment is narrowed by every window edge."""
-    full = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+        def part(e: Column) -> Column:
+            l, r = F.greatest(a["x"], e["x0"]), F.least(b["x"], e["x1"])
 
-    def narrow(acc: Column, e: Column) -> Column:
-        ends = F.struct(_side(e["p"], e["q"], p).alias("p"), _side(e["p"], e["q"], q).alias("q"))
+            def share(d: Column) -> Column:
+                mixed = F.greatest(d["l"], d["r"]) / F.abs(d["l"] - d["r"])
+                return F.when((d["l"] >= 0) & (d["r"] >= 0), 1.0).when((d["l"] < 0) & (d["r"] < 0), 0.0).otherwise(mixed)
 
-        def cut(s: Column) -> Column:
-            t = s["p"] / F.nullif(s["p"] - s["q"], F.lit(0.0))
-            outside = (s["p"] < 0) & (s["q"] < 0)
-            lo = F.when(outside, F.lit(1.0)).when(s["p"] < 0, F.greatest(acc["lo"], t))
-            hi = F.when(outside, F.lit(0.0)).when(s["q"] < 0, F.least(acc["hi"], t))
-            return F.struct(lo.otherwise(acc["lo"]).alias("lo"), hi.otherwise(acc["hi"]).alias("hi"))
+            gap = F.struct((_y_at(own, l) - _y_at(e, l)).alias("l"), (_y_at(own, r) - _y_at(e, r)).alias("r"))
+            return F.when(l < r, e["w"] * (r - l) * bind(gap, share)).otherwise(0.0)
 
-        return bind(ends, cut)
+        whole = b["x"] - a["x"]
+        return F.when(whole > 0, F.abs(_sum(_uprights(s["ring"]), part)) / whole * distance(a, b)).otherwise(0.0)
 
-    kept = F.aggregate(
-        edges(window), full, narrow, lambda acc: F.greatest(acc["hi"] - acc["lo"], F.lit(0.0))
+    flip = lambda c: point(c["y"], c["x"])
+    steep = F.abs(q["y"] - p["y"]) > F.abs(q["x"] - p["x"])
+    turned = F.struct(
+        F.when(steep, flip(p)).otherwise(point(p["x"], p["y"])).alias("p"),
+        F.when(steep, flip(q)).otherwise(point(q["x"], q["y"])).alias("q"),
+        F.when(steep, swap_axes(window)).otherwise(F.transform(window, lambda c: point(c["x"], c["y"]))).alias("ring"),
     )
-    return kept * distance(p, q)
+    return bind(turned, inside)
 
 
 # --- lines, hulls, repair --------------------------------------------------------

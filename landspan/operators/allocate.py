@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from landspan.functions import expr as X
 from landspan.functions import geometry as G
-from landspan.operators import spatial
+from landspan.operators import overlay, spatial
 from landspan.operators.ranking import first_per, with_group_totals
 from landspan.params import SQFT_PER_ACRE, SQFT_TO_SQM, SQM_PER_ACRE
 
@@ -25,13 +25,11 @@ from landspan.params import SQFT_PER_ACRE, SQFT_TO_SQM, SQM_PER_ACRE
 def factors(
     sources: DataFrame, targets: DataFrame, source_id: str, target_id: str, cell: float
 ) -> DataFrame:
-    """GEO15: (source_id, target_id, weight = overlap / source area), convex targets."""
-    sources = sources.withColumn("_own", G.area(F.col("ring"))).where("_own > 0")
-    return spatial.ring_overlaps(sources, targets, cell).select(
-        F.col("l." + source_id).alias("source_id"),
-        F.col("r." + target_id).alias("target_id"),
-        (F.col("overlap") / F.col("l._own")).alias("weight"),
-    )
+    """GEO15: (source_id, target_id, weight = overlap / source area) of polygons of any shape."""
+    own = sources.select(F.col(source_id).alias("source_id"), "ring", G.area(F.col("ring")).alias("_own")).where("_own > 0")
+    targets = targets.select(F.col(target_id).alias("target_id"), "ring")
+    pairs = overlay.overlaps(own, targets, ["source_id", "_own"], ["target_id"], cell)
+    return pairs.select("source_id", "target_id", (F.col("overlap") / F.col("_own")).alias("weight"))
 
 
 def constraint_acres(overlaps: DataFrame, key: str) -> DataFrame:

@@ -28,6 +28,16 @@ def box_of(alias: str) -> dict[str, Column]:
     return {n: F.col(f"{alias}.{n}") for n in BOX}
 
 
+def ring_of(df: DataFrame) -> Column:
+    """The ring of a row: its own, or the corners of its box columns."""
+    return F.col("ring") if "ring" in df.columns else G.box_ring(F.struct(*BOX))
+
+
+def ringed(df: DataFrame) -> DataFrame:
+    """``df`` with its ``ring_of``."""
+    return df.withColumn("ring", ring_of(df))
+
+
 def with_ring_box(df: DataFrame, ring: str = "ring") -> DataFrame:
     """Add the box columns of a ring column."""
     b = G.ring_box(F.col(ring))
@@ -243,24 +253,16 @@ def box_overlaps(
     return box_join(left, right, cell, levels).withColumn("overlap", overlap).where("overlap > 0")
 
 
-def ring_overlaps(
-    left: DataFrame, right: DataFrame, cell: float, levels: int = 2
-) -> DataFrame:
-    """GEO02 / GEO15: pairs of polygons of any shape with their ``overlap`` area."""
-    l = left if "xmin" in left.columns else with_ring_box(left)
-    r = right if "xmin" in right.columns else with_ring_box(right)
-    r = r.withColumn("ring", G.counter_clockwise(F.col("ring")))
+def ring_overlaps(left: DataFrame, right: DataFrame, cell: float, levels: int = 2) -> DataFrame:
+    """GEO02: pairs of polygons of any shape (a ring, or boxes) with their ``overlap`` area, pair by pair.
+
+    For small polygons against small ones; ``overlay.overlaps`` cuts large ones up first.
+    """
+    l, r = (with_ring_box(ringed(side)) for side in (left, right))
     overlap = G.overlap_area(F.col("l.ring"), F.col("r.ring"))
     return only_positive(box_join(l, r, cell, levels), "overlap", overlap)
 
 
-def polygons_meet(left: DataFrame, right: DataFrame, cell: float, levels: int = 2) -> DataFrame:
-    """JOI14: pairs of polygons that share a point, tested on their edges after their boxes."""
-    l = left if "xmin" in left.columns else with_ring_box(left)
-    r = right if "xmin" in right.columns else with_ring_box(right)
-    return box_join(l, r, cell, levels).where(G.rings_meet(F.col("l.ring"), F.col("r.ring")))
-
-
 def only_positive(pairs: DataFrame, name: str, measure: Column) -> DataFrame:
     """Add a costly measure and keep rows above 0, computing it once per row.
 
@@ -402,25 +404,3 @@ def hulls(points: DataFrame, keys: list[str]) -> DataFrame:
         .agg(F.first("n").alias("n"), F.flatten(F.collect_list("_pts")).alias("_pts"))
         .select(*keys, "n", G.convex_hull(F.col("_pts")).alias("hull"))
     )
-
-
-# --- rasters ---------------------------------------------------------------------
-
-
-def zonal_histogram(pixels: DataFrame, areas: DataFrame, key: str, cell: float) -> DataFrame:
-    """JOI19 / GEO13: pixel centres per area and class."""
-    return (
-        inside(pixels, areas, cell)
-        .groupBy(F.col("r." + key).alias(key), F.col("l.value").alias("value"))
-        .agg(F.count("*").alias("pixels"))
-    )
-
-
-def zonal_mean(pixels: DataFrame, areas: DataFrame, key: str, cell: float) -> DataFrame:
-    """GEO14: mean per area and tile, then the mean of the tiles' means."""
-    per_tile = (
-        inside(pixels, areas, cell)
-        .groupBy(F.col("r." + key).alias(key), F.col("l.tile_id").alias("tile_id"))
-        .agg(F.avg("l.value").alias("mean"))
-    )
-    return per_tile.groupBy(key).agg(F.avg("mean").alias("mean"))

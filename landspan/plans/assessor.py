@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landspan.functions import expr as X
 from landspan.functions import geometry as G
-from landspan.operators import ranking, spatial
+from landspan.operators import overlay, ranking, spatial
 from landspan.operators.knn import nearest_k
 from landspan.params import SQFT_PER_ACRE, SQM_PER_ACRE, SQM_TO_SQFT
 from landspan.session import cut
@@ -116,36 +116,34 @@ def building_medians(sales: DataFrame) -> DataFrame:
 
 def combine_buildings(first: DataFrame, second: DataFrame, cell: float) -> DataFrame:
     """BAS04: all buildings of the first source and those of the second that are not
-    more than half covered by one of the first; both have id, box columns and labels.
+    more than half covered by one of the first; both have id, a ring or box columns, and labels.
 
     Second-source rows outside the first source's extent are dropped as well.
     """
-    window = spatial_extent(first)
-    second = second.withColumn("_w", window).where(G.boxes_meet(F.struct(*spatial.BOX), F.col("_w"))).drop("_w")
-    half = G.box_area(spatial.box_of("l")) * 0.5
-    covered = (
-        spatial.box_overlaps(second.select("id", *spatial.BOX), first.select(*spatial.BOX), cell)
-        .where(F.col("overlap") > half)
-        .select("l.id")
-    )
+    window = spatial_extent(spatial.ringed(first))
+    second = second.withColumn("_w", window).where(G.boxes_meet(G.ring_box(spatial.ring_of(second)), F.col("_w"))).drop("_w")
+    own = spatial.ringed(second).select("id", "ring").withColumn("_own", G.area(F.col("ring")))
+    pairs = spatial.ring_overlaps(own, spatial.ringed(first).select("ring"), cell)
+    covered = pairs.where(F.col("overlap") > F.col("l._own") * 0.5).select("l.id").distinct()
     return first.unionByName(second.join(covered, "id", "left_anti"), allowMissingColumns=True)
 
 
 def spatial_extent(df: DataFrame) -> Column:
-    """Extent of a table as a scalar box."""
+    """Extent of a table of rings as a scalar box."""
+    b = G.ring_box(F.col("ring"))
     return df.agg(
         F.struct(
-            F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"),
-            F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"),
+            F.min(b["xmin"]).alias("xmin"), F.min(b["ymin"]).alias("ymin"),
+            F.max(b["xmax"]).alias("xmax"), F.max(b["ymax"]).alias("ymax"),
         )
     ).scalar()
 
 
 # Building classes that are homes.
 HOME_CLASSES = (
-    "cabin dwelling_house ger houseboat stilt_house static_caravan trullo semi residential house "
-    "apartments dormitory detached semidetached terrace bungalow"
-).split()
+    "cabin", "dwelling_house", "ger", "houseboat", "stilt_house", "static_caravan", "trullo", "semi", "residential", "house",
+    "apartments", "dormitory", "detached", "semidetached", "terrace", "bungalow",
+)
 
 
 def classify_buildings(df: DataFrame) -> DataFrame:
@@ -153,7 +151,7 @@ def classify_buildings(df: DataFrame) -> DataFrame:
     c = F.col("class")
     category = X.ladder(
         [
-            (c.isin(HOME_CLASSES), "residential"),
+            (c.isin(list(HOME_CLASSES)), "residential"),
             (c == "commercial", "commercial"),
             (c == "industrial", "industrial"),
             ((c == "mixed") | c.isNull(), "mixed"),
@@ -221,13 +219,11 @@ def building_stats(parcels: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def building_pairs(parcels: DataFrame, buildings: DataFrame, cell: float) -> DataFrame:
-    """BAS06: parcel x building pairs with the building's share on the parcel (boxes)."""
-    pairs = spatial.box_overlaps(buildings, parcels.select("apn", *spatial.BOX), cell)
-    own = G.box_area(spatial.box_of("l"))
-    keep = [n for n in buildings.columns if n not in spatial.BOX]
-    return pairs.select(
-        "r.apn", *["l." + n for n in keep], (F.col("overlap") / own).alias("overlap_ratio")
-    )
+    """BAS06: parcel x building pairs with the building's share on the parcel; rings or boxes on either side."""
+    keep = [n for n in buildings.columns if n not in (*spatial.BOX, "ring")]
+    own = spatial.ringed(buildings).select(*keep, "ring").withColumn("_own", G.area(F.col("ring")))
+    pairs = spatial.ring_overlaps(own, spatial.ringed(parcels).select("apn", "ring"), cell)
+    return pairs.select("r.apn", *["l." + n for n in keep], (F.col("overlap") / F.col("l._own")).alias("overlap_ratio"))
 
 
 def sqft_by_type(stats: DataFrame) -> DataFrame:
@@ -266,17 +262,16 @@ def parcel_block_groups(parcels: DataFrame, zones: DataFrame, year: int, cell: f
 
 
 def parcel_zone_overlaps(parcels: DataFrame, zones: DataFrame, cell: float, keep: Sequence[str] = ()) -> DataFrame:
-    """BAS11: parcel x block-group overlaps in m2 (boxes), with the zone's measures."""
-    pairs = spatial.box_overlaps(
-        parcels.select("apn", *spatial.BOX), zones.select("geoid", *spatial.BOX, *keep), cell
-    )
-    return pairs.select("l.apn", "r.geoid", F.col("overlap").alias("intersect_area_m2"), *["r." + n for n in keep])
+    """BAS11: parcel x block-group overlaps in m2, with the zone's measures; rings or boxes on either side."""
+    own = spatial.ringed(parcels).select("apn", "ring")
+    pairs = overlay.overlaps(own, spatial.ringed(zones).select("geoid", "ring", *keep), ["apn"], ["geoid", *keep], cell)
+    return pairs.select("apn", "geoid", F.col("overlap").alias("intersect_area_m2"), *keep)
 
 
 def crosswalk_pairs(targets: DataFrame, parcels: DataFrame, cell: float) -> DataFrame:
-    """BAS42: unique (parcel_id, apn) pairs with their largest overlap."""
-    pairs = spatial.box_overlaps(
-        targets.select("parcel_id", *spatial.BOX), parcels.select("apn", *spatial.BOX), cell
+    """BAS42: unique (parcel_id, apn) pairs with their largest overlap; rings or boxes on either side."""
+    pairs = spatial.ring_overlaps(
+        spatial.ringed(targets).select("parcel_id", "ring"), spatial.ringed(parcels).select("apn", "ring"), cell
     )
     return pairs.groupBy("l.parcel_id", "r.apn").agg(F.max("overlap").alias("intersect_area_m2"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landspan.functions import expr as X
 from landspan.functions import geometry as G
-from landspan.operators import spatial
+from landspan.operators import overlay, spatial
 from landspan.operators.ranking import first_per
 from landspan.params import SQM_PER_ACRE, SQM_PER_SQMI
 
@@ -79,16 +79,15 @@ def land_use_of_parcels(parcels: DataFrame, areas: DataFrame, table: DataFrame,
     """BAS30: class of the smallest area holding the centre, else of the largest that meets
     the parcel; ties go to the lowest area id.
 
-    ``areas``: id, subtype, class, box columns.
+    ``areas``: id, subtype, class, and a ring or box columns, as ``parcels`` has, too.
     """
-    areas = areas.withColumn("size", G.box_area(F.struct(*spatial.BOX)))
-    keep = ["id", "subtype", "class", "size", *spatial.BOX]
-    hits = spatial.inside(parcels.select("parcel_id", "x", "y"), areas.select(*keep), cell)
-    hits = hits.select("l.parcel_id", "r.id", "r.subtype", "r.class", "r.size")
+    areas = spatial.ringed(areas).select("id", "subtype", "class", "ring")
+    areas = areas.withColumn("size", G.area(F.col("ring")))
+    keep = ["id", "subtype", "class", "size"]
+    hits = overlay.holds(parcels.select("parcel_id", "x", "y"), areas, ["parcel_id"], keep, cell)
     centre = first_per(hits, ["parcel_id"], [F.asc("size"), F.asc("id")])
-    rest = parcels.join(centre.select("parcel_id"), "parcel_id", "left_anti")
-    meets = spatial.box_join(rest.select("parcel_id", *spatial.BOX), areas.select(*keep), cell, 2)
-    meets = meets.select("l.parcel_id", "r.id", "r.subtype", "r.class", "r.size")
+    rest = spatial.ringed(parcels).select("parcel_id", "ring").join(centre.select("parcel_id"), "parcel_id", "left_anti")
+    meets = overlay.meeting(rest, areas, ["parcel_id"], keep, cell)
     vote = first_per(meets, ["parcel_id"], [F.desc("size"), F.asc("id")])
     both = centre.unionByName(vote).drop("size", "id")
     return lookup_category(both, table).select("parcel_id", "subtype", "class", "category")
@@ -143,7 +142,7 @@ def road_lengths(parcels: DataFrame, roads: DataFrame, cell: float) -> DataFrame
     """BAS33: road metres per surface kind inside each parcel, and the paved share."""
     pairs = spatial.lengths_inside(
         roads.select("x1", "y1", "x2", "y2", surface_class("surface").alias("kind")),
-        parcels.select("parcel_id", *spatial.BOX),
+        spatial.ringed(parcels).select("parcel_id", "ring"),
         cell,
     )
     kinds = ("paved", "unpaved", "other")
@@ -151,7 +150,7 @@ def road_lengths(parcels: DataFrame, roads: DataFrame, cell: float) -> DataFrame
         *[F.sum(F.when(F.col("l.kind") == k, F.col("length"))).alias(k) for k in kinds],
         F.sum("length").alias("total"),
     )
-    acres = G.box_area(F.struct(*spatial.BOX)) / SQM_PER_ACRE
+    acres = G.area(spatial.ring_of(parcels)) / SQM_PER_ACRE
     return parcels.withColumn("parcel_area_gross", acres).join(sums, "parcel_id", "left").select(
         "parcel_id",
         *[X.or_zero(k).alias(f"road_{k}_length_m") for k in kinds],
@@ -179,14 +178,13 @@ def intersection_density(parcels: DataFrame, points: DataFrame, key: str = "parc
 def jurisdiction_density(parcels: DataFrame, areas: DataFrame, points: DataFrame, cell: float) -> DataFrame:
     """BAS09: intersections per square mile of each jurisdiction, copied to its parcels.
 
-    ``areas``: jurisdiction and box columns (one or more boxes each); parcels without
-    a known jurisdiction get the default.
+    ``areas``: jurisdiction, and a ring or box columns (one or more rows each); parcels
+    without a known jurisdiction get the default.
     """
-    inside = spatial.inside(points.select("x", "y"), areas.select("jurisdiction", *spatial.BOX), cell)
+    areas = spatial.ringed(areas).select("jurisdiction", "ring")
+    inside = spatial.inside(points.select("x", "y"), areas, cell)
     hits = inside.groupBy("r.jurisdiction").agg(F.count("*").alias("n"))
-    sizes = areas.groupBy("jurisdiction").agg(
-        (F.sum(G.box_area(F.struct(*spatial.BOX))) / SQM_PER_SQMI).alias("square_miles")
-    )
+    sizes = areas.groupBy("jurisdiction").agg((F.sum(G.area(F.col("ring"))) / SQM_PER_SQMI).alias("square_miles"))
     density = sizes.join(hits, "jurisdiction", "left").select(
         "jurisdiction", F.round(X.or_zero(X.ratio("n", "square_miles")), 2).alias("intersection_density")
     )

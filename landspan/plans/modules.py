@@ -11,7 +11,7 @@ module's struct back into its own table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from landspan.functions import expr as X
 from landspan.functions import geometry as G
-from landspan.operators import ranking
+from landspan.operators import overlay, ranking
 from landspan.params import (
     DEFAULTS,
     KWH_PER_MWH,
     LITERS_PER_ACRE_FOOT,
     SQFT_PER_ACRE,
     SQFT_TO_SQM,
+    SQM_PER_ACRE,
     Params,
 )
 
@@ -84,10 +85,11 @@ def es(name: str) -> Column:
 
 # --- core --------------------------------------------------------------------
 
+# Uses whose floor area an untouched parcel reports as 0.
 ZERO_SQFT = (
-    "residential commercial office industrial public retail wholesale education "
-    "healthcare hotel_lodging entertainment other"
-).split()
+    "residential", "commercial", "office", "industrial", "public", "retail", "wholesale", "education",
+    "healthcare", "hotel_lodging", "entertainment", "other",
+)
 INCREMENT_MEASURES = (
     [
         "dwelling_units_total", "dwelling_units_sf_ll", "dwelling_units_sf_sl",
@@ -103,11 +105,21 @@ INCREMENT_MEASURES = (
 )
 
 
+def constraint_overlaps(parcels: DataFrame, constraints: DataFrame, types: Sequence[str], cell: float) -> DataFrame:
+    """ANA01: (parcel_id, overlap_acres) of the union of the constraint polygons of the given types.
+
+    ``parcels``: parcel_id and ring; ``constraints``: constraint_type and ring, of any shape.
+    """
+    wanted = constraints.where(F.col("constraint_type").isin(list(types)))
+    found = overlay.covered(parcels.select("parcel_id", "ring"), wanted, ["parcel_id"], cell)
+    return found.select("parcel_id", (F.col("covered") / SQM_PER_ACRE).alias("overlap_acres"))
+
+
 def env_constraint(parcels: DataFrame, overlaps: DataFrame | None, discount_pct: float) -> DataFrame:
     """ANA01: developable acres after a discount on the constrained overlap.
 
     ``overlaps`` holds (parcel_id, overlap_acres), the area of the union of all
-    constraint polygons inside each parcel (see operators.spatial.union_overlap).
+    constraint polygons inside each parcel (see ``constraint_overlaps``).
     """
     if overlaps is None:
         joined = parcels.withColumn("overlap_acres", F.lit(0.0))

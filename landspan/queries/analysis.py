@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landspan.functions import expr as X
-from landspan.params import DEFAULTS
+from landspan.functions import geometry as G
+from landspan.params import DEFAULTS, SQM_PER_ACRE
 from landspan.plans import modules as M
 from landspan.plans import transport
 from landspan.queries.binding import TABLES, Tables, ctes
 from landspan.queries.registry import query, rd, rds, rounded
+from landspan.queries.spatial import COVER_CTES, constraint_polygons, lot_rings
 
 # parcel-to-parcel trips: every line links two parcels
 OD_SQL = (
@@ -207,9 +209,19 @@ def module_query(name: str, key: str, select: str, upto: str):
         return module_table(t, key)
 
 
-@query("ANA01_env_constraint", sql(f"SELECT parcel_id, {same('gross_acres acres_developable developable_proportion')} FROM env", "env"))
+@query(
+    "ANA01_env_constraint",
+    ctes("parcels", **COVER_CTES)
+    + f""", e AS (SELECT p.parcel_id, (xmax - xmin) * (ymax - ymin) / {SQM_PER_ACRE}e0 AS gross_acres, coalesce(covered, 0e0) / {SQM_PER_ACRE}e0 AS acres FROM parcels p LEFT JOIN cov ON cov.parcel_id = p.parcel_id),
+    d AS (SELECT parcel_id, gross_acres, greatest(0e0, gross_acres - acres * 80e0 / 100e0) AS acres_developable FROM e)
+    SELECT parcel_id, {num('gross_acres', 'gross_acres')}, {num('acres_developable', 'acres_developable')}, {num('CASE WHEN gross_acres > 0 THEN acres_developable / gross_acres ELSE 0e0 END', 'developable_proportion')} FROM d""",
+)
 def env_constraint(t: Tables):
-    return rounded(constraint_table(t))
+    # by priority; the first one's discount holds for the whole union
+    constraints = {"wetland": 80.0, "flood": 40.0}
+    lots = lot_rings(t).withColumn("gross_acres", G.acres(F.col("ring")))
+    overlaps = M.constraint_overlaps(lots, constraint_polygons(t), list(constraints), 100.0)
+    return rounded(M.env_constraint(lots, overlaps, next(iter(constraints.values()))))
 
 
 CORE_NUMS = (

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landspan.functions import expr as X
+from landspan.operators import spatial as S
 from landspan.operators.spatial import BOX
 from landspan.plans import assessor as P
 from landspan.plans import classify as K
 from landspan.queries.analysis import num, nums, same
 from landspan.queries.binding import Tables, ctes
 from landspan.queries.registry import query, rd, rds, rounded
-from landspan.queries.spatial import MEET, OVERLAP
+from landspan.queries.spatial import HOLE_OVERLAP, MEET, OVERLAP, ell, ell_overlap, framed
 
 CODES = ["10X", "A1A", "MP0", "MX1", "D00", "45", "Z9", "I1", "", "20A", "AE0", "A30", "AG1", "AH2", "A2B", "AQ0"]
 
@@ -88,13 +89,14 @@ ID = "concat_ws('-', parcel_id, line, supplier, part)"
     ctes("buildings", f=f"SELECT {ID} AS id, xmin, ymin, xmax, ymax FROM buildings WHERE bf_source IS NULL", s=f"SELECT {ID} AS id, xmin + 3e0 AS xmin, ymin, xmax + 3e0 AS xmax, ymax FROM buildings WHERE bf_source IS NOT NULL")
     + f""", e AS (SELECT min(xmin) AS a, min(ymin) AS b, max(xmax) AS c, max(ymax) AS d FROM f)
     SELECT id, 'first' AS origin FROM f UNION ALL SELECT id, 'second' FROM s a, e WHERE a.xmin <= c AND a.xmax >= e.a AND a.ymin <= d AND a.ymax >= e.b
-    AND NOT EXISTS (SELECT 1 FROM f b WHERE abs(a.xmin - b.xmin) < 50 AND {MEET} AND {OVERLAP} > 0.5e0 * (a.xmax - a.xmin) * (a.ymax - a.ymin))""",
+    AND NOT EXISTS (SELECT 1 FROM f b WHERE abs(a.xmin - b.xmin) < 50 AND {MEET} AND {ell_overlap('a', 'b')} > 0.5e0 * 0.75e0 * (a.xmax - a.xmin) * (a.ymax - a.ymin))""",
 )
 def combine_buildings(t: Tables):
     b = t.buildings.withColumn("id", F.expr(ID))
     first = b.where("bf_source IS NULL").select("id", F.lit("first").alias("origin"), *BOX)
     second = b.where("bf_source IS NOT NULL").select("id", F.lit("second").alias("origin"), (F.col("xmin") + 3.0).alias("xmin"), "ymin", (F.col("xmax") + 3.0).alias("xmax"), "ymax")
-    return P.combine_buildings(first, second, 50.0).select("id", "origin")
+    # boxes in the first source, L-shapes in the second
+    return P.combine_buildings(first.withColumn("ring", S.ring_of(first)), ell(second), 50.0).select("id", "origin")
 
 
 CLS = "CASE WHEN class IN ('house', 'apartments') THEN 'residential' WHEN class = 'retail' THEN 'other' WHEN class IS NULL THEN 'mixed' ELSE 'other' END"
@@ -134,7 +136,7 @@ def _floors(cls: str, mixed: str | None = None) -> str:
 STATS = dict(
     lot=LOTS,
     bld=f"SELECT *, {CLS_SQL} AS class_category, (xmax - xmin) * (ymax - ymin) * 10.7639e0 AS sqft FROM buildings",
-    pr=f"SELECT a.apn, b.* EXCLUDE (xmin, ymin, xmax, ymax, x, y, part), {OVERLAP} / ((b.xmax - b.xmin) * (b.ymax - b.ymin)) AS part FROM bld b JOIN lot a ON abs(a.x - b.x) < 100 AND abs(a.y - b.y) < 100 AND {MEET} AND {OVERLAP} > 0",
+    pr=f"SELECT a.apn, b.* EXCLUDE (xmin, ymin, xmax, ymax, x, y, part), {ell_overlap('b', 'a')} / (0.75e0 * (b.xmax - b.xmin) * (b.ymax - b.ymin)) AS part FROM bld b JOIN lot a ON abs(a.x - b.x) < 100 AND abs(a.y - b.y) < 100 AND {MEET} AND {ell_overlap('b', 'a')} > 0",
     bs=f"""SELECT apn, sum(sqft * {_L} * part) AS total_footprint_sqft, count(*) AS building_count, max(height) AS max_height, max(levels) AS max_levels, count(*) FILTER (WHERE bf_source = 'google') AS google_building_count,
       count(*) FILTER (WHERE bf_source = 'microsoft') AS microsoft_building_count, avg(confidence) AS mean_confidence, sum(sqft * part) FILTER (WHERE class_category = 'residential') AS residential_building_sqft,
       sum(sqft * part) FILTER (WHERE class_category <> 'residential') AS non_residential_building_sqft, count(*) FILTER (WHERE class_category = 'residential') AS residential_building_count,
@@ -152,7 +154,7 @@ _ST_ID = "apn building_count max_levels google_building_count microsoft_building
 
 def stats(t: Tables):
     b = classified(t).select("footprint_sqft", "levels", "height", "bf_source", "confidence", "class_category", *BOX)
-    return P.building_stats(lots(t), P.building_pairs(lots(t), b, 100.0))
+    return P.building_stats(lots(t), P.building_pairs(lots(t), ell(b), 100.0))
 
 
 @query("BAS06_building_stats", ctes("parcels", "buildings", **STATS) + f"SELECT {', '.join(_ST_ID)}, {', '.join(num(n, n, 6) for n in _ST_NUM)} FROM st")
@@ -195,17 +197,21 @@ def parcel_block_groups(t: Tables):
 PZO = f"SELECT a.apn, b.geoid, {OVERLAP} AS area, hh, du FROM lot a JOIN zn b ON {MEET} AND {OVERLAP} > 0"
 
 
-@query("BAS11_parcel_zone_overlaps", ctes("parcels", "block_groups", lot=LOTS, **ZONES, pzo=PZO) + f"SELECT apn, geoid, {num('area', 'intersect_area_m2')}, hh, du FROM pzo")
+# zones around a hole
+PZF = f"SELECT a.apn, b.geoid, {OVERLAP} - {HOLE_OVERLAP} AS area, hh, du FROM lot a JOIN zn b ON {MEET} AND {OVERLAP} - {HOLE_OVERLAP} > 1e-6"
+
+
+@query("BAS11_parcel_zone_overlaps", ctes("parcels", "block_groups", lot=LOTS, **ZONES, pzo=PZF) + f"SELECT apn, geoid, {num('area', 'intersect_area_m2')}, hh, du FROM pzo")
 def parcel_zone_overlaps(t: Tables):
-    return rounded(P.parcel_zone_overlaps(lots(t), zones(t), 500.0, ["hh", "du"]))
+    return rounded(P.parcel_zone_overlaps(lots(t), framed(zones(t)), 500.0, ["hh", "du"]))
 
 
 @query(
     "BAS42_training_crosswalk",
-    ctes("parcels", "buildings") + f"SELECT a.parcel_id AS apn, b.parcel_id, {num(f'max({OVERLAP})', 'intersect_area_m2')} FROM parcels a JOIN buildings b ON abs(a.x - b.x) < 100 AND abs(a.y - b.y) < 100 AND {MEET} AND {OVERLAP} > 0 GROUP BY a.parcel_id, b.parcel_id",
+    ctes("parcels", "buildings") + f"SELECT a.parcel_id AS apn, b.parcel_id, {num(f'max({ell_overlap("b", "a")})', 'intersect_area_m2')} FROM parcels a JOIN buildings b ON abs(a.x - b.x) < 100 AND abs(a.y - b.y) < 100 AND {MEET} AND {ell_overlap('b', 'a')} > 0 GROUP BY a.parcel_id, b.parcel_id",
 )
 def training_crosswalk(t: Tables):
-    return rounded(P.crosswalk_pairs(t.buildings, lots(t), 100.0))
+    return rounded(P.crosswalk_pairs(ell(t.buildings), lots(t), 100.0))
 
 
 KNOWN = "SELECT st.apn, x, y, footprint_ratio, building_count, st.lot_size_acres, land_development_category, block_group_geoid, tract_geoid, property_type, coalesce(units, 1) AS units, living_area AS living_sqft, building_sf AS building_sqft FROM st JOIN pbg ON pbg.apn = st.apn JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY apn ORDER BY sale_id) AS rn FROM sales2 WHERE nullif(trim(property_type), '') IS NOT NULL) WHERE rn = 1) s ON s.apn = st.apn WHERE footprint_ratio > 0"

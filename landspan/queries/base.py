@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landspan.functions import expr as X
+from landspan.operators import overlay as O
 from landspan.operators import spatial as S
 from landspan.operators.allocate import SECTORS, SUB_SECTORS
 from landspan.plans import canvas as C
@@ -16,7 +17,7 @@ from landspan.queries.analysis import num, nums, same
 from landspan.queries.assessor import CODES, pick, pick_sql
 from landspan.queries.binding import Tables, ctes
 from landspan.queries.registry import query, rd, rds, rounded
-from landspan.queries.spatial import ENDS, HIT, MEET, PIXELS, boxes, pixels
+from landspan.queries.spatial import ENDS, HIT, IN_FRAME, PIXEL, PIXELS, ell, ell_meets, framed, in_ell, lot_rings, pixels
 
 BOX = list(S.BOX)
 NODES = dict(ends=ENDS, nodes="SELECT x, y FROM ends GROUP BY x, y HAVING count(*) >= 3")
@@ -33,11 +34,11 @@ def intersection_density(t: Tables):
 @query(
     "BAS09_jurisdiction_density",
     ctes("parcels", "block_groups", "roads", **NODES)
-    + f""", a AS (SELECT county_id AS j, sum((xmax - xmin) * (ymax - ymin)) / 2589988.11e0 AS sm FROM block_groups GROUP BY county_id), h AS (SELECT county_id AS j, count(*) AS n FROM nodes a JOIN block_groups b ON {HIT} GROUP BY county_id)
+    + f""", a AS (SELECT county_id AS j, sum((xmax - xmin) * (ymax - ymin) * 0.75e0) / 2589988.11e0 AS sm FROM block_groups GROUP BY county_id), h AS (SELECT county_id AS j, count(*) AS n FROM nodes a JOIN block_groups b ON {IN_FRAME} GROUP BY county_id)
     SELECT parcel_id, coalesce(d, 12.5e0) AS intersection_density FROM parcels LEFT JOIN (SELECT a.j, round(coalesce(n / nullif(sm, 0e0), 0e0), 2) AS d FROM a LEFT JOIN h ON h.j = a.j) x ON x.j = county_id""",
 )
 def jurisdiction_density(t: Tables):
-    areas = t.block_groups.select(F.col("county_id").alias("jurisdiction"), *BOX)
+    areas = framed(t.block_groups.select(F.col("county_id").alias("jurisdiction"), *BOX))
     parcels = t.parcels.select("parcel_id", F.col("county_id").alias("jurisdiction"))
     return L.jurisdiction_density(parcels, areas, S.intersections(t.roads), 500.0)
 
@@ -53,8 +54,8 @@ _LUT = " UNION ALL ".join(
 @query(
     "BAS30_land_use_class",
     ctes("parcels", "blocks", lu=LU, lut=_LUT)
-    + f""", c AS (SELECT * FROM (SELECT parcel_id, b.*, row_number() OVER (PARTITION BY parcel_id ORDER BY (b.xmax - b.xmin) * (b.ymax - b.ymin), b.id) AS rn FROM parcels a JOIN lu b ON {HIT}) WHERE rn = 1),
-    v AS (SELECT * FROM (SELECT parcel_id, b.*, row_number() OVER (PARTITION BY parcel_id ORDER BY (b.xmax - b.xmin) * (b.ymax - b.ymin) DESC, b.id) AS rn FROM parcels a JOIN lu b ON {MEET} WHERE parcel_id NOT IN (SELECT parcel_id FROM c)) WHERE rn = 1),
+    + f""", c AS (SELECT * FROM (SELECT parcel_id, b.*, row_number() OVER (PARTITION BY parcel_id ORDER BY (b.xmax - b.xmin) * (b.ymax - b.ymin), b.id) AS rn FROM parcels a JOIN lu b ON {in_ell('a', 'b')}) WHERE rn = 1),
+    v AS (SELECT * FROM (SELECT parcel_id, b.*, row_number() OVER (PARTITION BY parcel_id ORDER BY (b.xmax - b.xmin) * (b.ymax - b.ymin) DESC, b.id) AS rn FROM parcels a JOIN lu b ON {ell_meets('b', 'a')} WHERE parcel_id NOT IN (SELECT parcel_id FROM c)) WHERE rn = 1),
     u AS (SELECT parcel_id, subtype, class FROM c UNION ALL SELECT parcel_id, subtype, class FROM v)
     SELECT parcel_id, u.subtype, u.class, coalesce(e.category, l.category, 'urban') AS category FROM u LEFT JOIN lut e ON e.subtype = u.subtype AND e.class = u.class LEFT JOIN lut l ON l.subtype = u.subtype AND l.class IS NULL""",
 )
@@ -63,7 +64,7 @@ def land_use_class(t: Tables):
         F.col("geoid").alias("id"), pick(F.col("geoid"), _SUB).alias("subtype"), pick(F.col("size"), _CLS).alias("class"), "xmin", "ymin",
         (F.col("xmin") + (F.col("size") % 7) * 60.0 + 40.0).alias("xmax"), (F.col("ymin") + 300.0).alias("ymax"),
     )
-    return L.land_use_of_parcels(t.parcels, areas, L.land_use_table(t.spark), 200.0)
+    return L.land_use_of_parcels(t.parcels, ell(areas), L.land_use_table(t.spark), 200.0)
 
 
 COVER = [11, 21, 22, 23, 24, 31, 41, 82, 90, 7]
@@ -90,7 +91,7 @@ def cover_pixels(t: Tables):
     SELECT p.parcel_id, {_CATS} AS land_development_category, {num('coalesce(f, 0e0)', 'impervious_fraction', 6)} FROM parcels p LEFT JOIN s ON s.parcel_id = p.parcel_id""",
 )
 def land_cover_class(t: Tables):
-    h = S.zonal_histogram(cover_pixels(t), boxes(t.parcels, "parcel_id"), "parcel_id", 100.0)
+    h = O.zonal_histogram(cover_pixels(t), lot_rings(t), "parcel_id", PIXEL)
     return rounded(L.land_cover_stats(t.parcels, h), 6)
 
 
@@ -101,21 +102,20 @@ def land_cover_class(t: Tables):
 )
 def tree_canopy(t: Tables):
     px = pixels(t, "canopy").withColumn("value", F.col("value") * 3.0)
-    return rounded(L.canopy(t.parcels, S.zonal_mean(px, boxes(t.parcels, "parcel_id"), "parcel_id", 100.0)))
+    return rounded(L.canopy(t.parcels, O.zonal_mean(px, lot_rings(t), "parcel_id", PIXEL)))
 
 
 @query(
     "BAS33_road_lengths",
     ctes("blocks", "roads")
-    + f""", l AS (SELECT geoid, CASE WHEN surface IS NULL OR surface IN ('paved', 'asphalt', 'concrete') THEN 'paved' WHEN surface IN ('unpaved', 'gravel', 'dirt', 'earth', 'ground') THEN 'unpaved' ELSE 'other' END AS k, least(x2, xmax) - greatest(x1, xmin) AS len
-      FROM roads JOIN blocks ON y1 >= ymin AND y1 < ymax AND x2 > xmin AND x1 < xmax), s AS (SELECT geoid, coalesce(sum(CASE WHEN k = 'paved' THEN len END), 0e0) AS p, coalesce(sum(CASE WHEN k = 'unpaved' THEN len END), 0e0) AS u, coalesce(sum(CASE WHEN k = 'other' THEN len END), 0e0) AS o, sum(len) AS t FROM l GROUP BY geoid)
+    + f""", l AS (SELECT geoid, CASE WHEN surface IS NULL OR surface IN ('paved', 'asphalt', 'concrete') THEN 'paved' WHEN surface IN ('unpaved', 'gravel', 'dirt', 'earth', 'ground') THEN 'unpaved' ELSE 'other' END AS k, least(x2, r) - greatest(x1, xmin) AS len
+      FROM roads JOIN (SELECT *, xmin AS l, xmax AS r, ymin AS b, (ymin + ymax) / 2e0 AS t FROM blocks UNION ALL SELECT *, xmin, (xmin + xmax) / 2e0, (ymin + ymax) / 2e0, ymax FROM blocks) q ON y1 >= q.b AND y1 < q.t AND x2 > xmin AND x1 < r), s AS (SELECT geoid, coalesce(sum(CASE WHEN k = 'paved' THEN len END), 0e0) AS p, coalesce(sum(CASE WHEN k = 'unpaved' THEN len END), 0e0) AS u, coalesce(sum(CASE WHEN k = 'other' THEN len END), 0e0) AS o, sum(len) AS t FROM l GROUP BY geoid)
     SELECT b.geoid AS parcel_id, """ + nums(road_paved_length_m="coalesce(p, 0e0)", road_unpaved_length_m="coalesce(u, 0e0)", road_other_length_m="coalesce(o, 0e0)", road_total_length_m="coalesce(t, 0e0)",
-                                            road_impervious_fraction="coalesce(p / nullif(t, 0e0), 0e0)", parcel_area_gross="160000e0 / 4046.86e0") + " FROM blocks b LEFT JOIN s ON s.geoid = b.geoid",
+                                            road_impervious_fraction="coalesce(p / nullif(t, 0e0), 0e0)", parcel_area_gross="120000e0 / 4046.86e0") + " FROM blocks b LEFT JOIN s ON s.geoid = b.geoid",
 )
 def road_lengths(t: Tables):
-    # the upper edge belongs to the next block
-    areas = t.blocks.select(F.col("geoid").alias("parcel_id"), "xmin", "ymin", "xmax", (F.col("ymax") - 1e-9).alias("ymax"))
-    return rounded(L.road_lengths(areas, t.roads, 200.0))
+    # L-shaped blocks; the upper edge belongs to the next one
+    return rounded(L.road_lengths(ell(t.blocks.select(F.col("geoid").alias("parcel_id"), *BOX)), t.roads, 200.0))
 
 
 _LL = "-122e0 + (k % 50) * 0.004e0", "38e0 + (k % 31) * 0.003e0"

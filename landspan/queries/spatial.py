@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landspan.functions import geometry as G
+from landspan.operators import overlay as O
 from landspan.operators import spatial as S
 from landspan.operators.ranking import first_per
 from landspan.params import QUARTER_MILE_M, SQM_PER_ACRE
@@ -43,10 +44,55 @@ WITHIN_HOLE = f"(a.xmin > b.xmin + {_IN[0]} AND a.xmax < b.xmax - {_IN[0]} AND a
 
 def frames(t: Tables):
     """geoid, box and ring of every block around its hole."""
+    return framed(boxes(t.blocks, "geoid"))
+
+
+def ell(df):
+    """``df`` (box columns) with a ring that lacks the box's upper right quarter."""
+    x, y = (F.col("xmin") + F.col("xmax")) / 2.0, (F.col("ymin") + F.col("ymax")) / 2.0
+    corners = [("xmin", "ymin"), ("xmax", "ymin"), ("xmax", y), (x, y), (x, "ymax"), ("xmin", "ymax")]
+    as_column = lambda v: F.col(v) if isinstance(v, str) else v
+    return df.withColumn("ring", F.array(*[G.point(as_column(a), as_column(b)) for a, b in corners]))
+
+
+def framed(df):
+    """``df`` (box columns) with a ring around a hole half as wide and as high."""
     w, h = (F.col("xmax") - F.col("xmin")) / 4.0, (F.col("ymax") - F.col("ymin")) / 4.0
     hole = G.box(F.col("xmin") + w, F.col("ymin") + h, F.col("xmax") - w, F.col("ymax") - h)
     ring = lambda b, shell: F.struct(G.box_ring(b).alias("ring"), F.lit(shell).alias("shell"))
-    return t.blocks.select("geoid", *BOX, G.join_rings(F.array(ring(F.struct(*BOX), True), ring(hole, False))).alias("ring"))
+    return df.withColumn("ring", G.join_rings(F.array(ring(F.struct(*BOX), True), ring(hole, False))))
+
+
+def middle(s: str) -> tuple[str, str]:
+    return f"(({s}.xmin + {s}.xmax) / 2e0)", f"(({s}.ymin + {s}.ymax) / 2e0)"
+
+
+def part_overlap(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> str:
+    """SQL: area that two boxes (xmin, ymin, xmax, ymax) share."""
+    return f"(greatest(0e0, least({a[2]}, {b[2]}) - greatest({a[0]}, {b[0]})) * greatest(0e0, least({a[3]}, {b[3]}) - greatest({a[1]}, {b[1]})))"
+
+
+def ell_overlap(s: str, b: str) -> str:
+    """SQL: area that the L of ``s`` shares with the box of ``b``: its lower half and its upper left quarter."""
+    x, y = middle(s)
+    of = (f"{b}.xmin", f"{b}.ymin", f"{b}.xmax", f"{b}.ymax")
+    return f"({part_overlap((f'{s}.xmin', f'{s}.ymin', f'{s}.xmax', y), of)} + {part_overlap((f'{s}.xmin', y, x, f'{s}.ymax'), of)})"
+
+
+def in_ell(p: str, s: str) -> str:
+    """SQL: the point of ``p`` lies in the L of ``s``."""
+    x, y = middle(s)
+    return f"({p}.x >= {s}.xmin AND {p}.x < {s}.xmax AND {p}.y >= {s}.ymin AND {p}.y < {s}.ymax AND ({p}.x < {x} OR {p}.y < {y}))"
+
+
+def ell_meets(s: str, b: str) -> str:
+    """SQL: the L of ``s`` and the box of ``b`` share a point."""
+    x, y = middle(s)
+    return f"({s}.xmin <= {b}.xmax AND {b}.xmin <= {s}.xmax AND {s}.ymin <= {b}.ymax AND {b}.ymin <= {s}.ymax AND ({b}.xmin <= {x} OR {b}.ymin <= {y}))"
+
+
+#: SQL: the point of ``a`` lies in the frame of ``b``.
+IN_FRAME = f"({HIT} AND NOT (a.x >= b.xmin + (b.xmax - b.xmin) / 4e0 AND a.x < b.xmax - (b.xmax - b.xmin) / 4e0 AND a.y >= b.ymin + (b.ymax - b.ymin) / 4e0 AND a.y < b.ymax - (b.ymax - b.ymin) / 4e0))"
 
 
 def lot_rings(t: Tables):
@@ -59,8 +105,8 @@ def lot_rings(t: Tables):
     + f"SELECT b.geoid, count(*) AS parcels FROM parcels a JOIN blocks b ON {MEET} AND NOT {WITHIN_HOLE} GROUP BY b.geoid",
 )
 def polygons_meet(t: Tables):
-    pairs = S.polygons_meet(lot_rings(t), frames(t), 200.0)
-    return pairs.groupBy(F.col("r.geoid").alias("geoid")).agg(F.count("*").alias("parcels"))
+    pairs = O.meeting(lot_rings(t), frames(t), ["parcel_id"], ["geoid"], 200.0)
+    return pairs.groupBy("geoid").agg(F.count("*").alias("parcels"))
 
 
 @query(
@@ -70,8 +116,8 @@ def polygons_meet(t: Tables):
     WHERE {OVERLAP} - {HOLE_OVERLAP} > 1e-6 GROUP BY b.geoid""",
 )
 def polygon_overlap(t: Tables):
-    pairs = S.ring_overlaps(lot_rings(t), frames(t), 200.0).where("overlap > 1e-6")
-    return pairs.groupBy(F.col("r.geoid").alias("geoid")).agg(rd(F.sum("overlap"), 3).alias("overlap"))
+    pairs = O.overlaps(lot_rings(t), frames(t), ["parcel_id"], ["geoid"], 200.0)
+    return pairs.groupBy("geoid").agg(rd(F.sum("overlap"), 3).alias("overlap"))
 
 
 @query(
@@ -146,6 +192,7 @@ def nearest(t: Tables):
     return out.select("parcel_id", "poi_id", rd("distance").alias("distance"))
 
 
+PIXEL = 25.0
 # 25 m pixels: every line is one pixel of a tile, its part number gives class and value
 PIXELS = """SELECT l_suppkey % 8 AS tile_id, (l_orderkey % 400) * 100e0 + (l_linenumber % 4) * 25e0 + 12.5e0 AS x,
     floor(l_orderkey / 400) * 100e0 + (l_partkey % 4) * 25e0 + 12.5e0 AS y, l_partkey % 5 AS class, l_quantity AS canopy FROM lineitem"""
@@ -164,32 +211,29 @@ def pixels(t: Tables, value: str):
 @query(
     "JOI19_raster_polygon",
     ctes("blocks", px=PIXELS)
-    + f"SELECT b.geoid, count(*) AS pixels, {rds('avg(canopy)')} AS mean FROM px a JOIN blocks b ON {HIT} GROUP BY b.geoid",
+    + f"SELECT b.geoid, count(*) AS pixels, {rds('avg(canopy)')} AS mean FROM px a JOIN blocks b ON {IN_FRAME} GROUP BY b.geoid",
 )
 def raster_polygon(t: Tables):
-    pairs = S.inside(pixels(t, "canopy"), boxes(t.blocks, "geoid"), 200.0)
-    return pairs.groupBy(F.col("r.geoid").alias("geoid")).agg(
-        F.count("*").alias("pixels"), rd(F.avg("l.value")).alias("mean")
-    )
+    pairs = O.zones(pixels(t, "canopy"), frames(t), ["geoid"], PIXEL)
+    return pairs.groupBy("geoid").agg(F.count("*").alias("pixels"), rd(F.avg("value")).alias("mean"))
 
 
 @query(
     "GEO13_zonal_histogram",
     ctes("parcels", px=PIXELS)
-    + f"SELECT b.parcel_id, a.class AS value, count(*) AS pixels FROM px a JOIN parcels b ON abs(b.x - a.x) <= 50 AND {HIT} GROUP BY b.parcel_id, a.class",
+    + f"SELECT b.parcel_id, a.class AS value, count(*) AS pixels FROM px a JOIN parcels b ON abs(b.x - a.x) <= 50 AND {IN_FRAME} GROUP BY b.parcel_id, a.class",
 )
 def zonal_histogram(t: Tables):
-    return S.zonal_histogram(pixels(t, "class"), boxes(t.parcels, "parcel_id"), "parcel_id", 100.0)
+    return O.zonal_histogram(pixels(t, "class"), framed(boxes(t.parcels, "parcel_id")), "parcel_id", PIXEL)
 
 
 @query(
     "GEO14_zonal_mean",
     ctes("block_groups", px=PIXELS)
-    + f"SELECT geoid, {rds('avg(m)')} AS mean FROM (SELECT b.geoid, tile_id, avg(canopy) AS m FROM px a JOIN block_groups b ON {HIT} GROUP BY b.geoid, tile_id) GROUP BY geoid",
+    + f"SELECT geoid, {rds('avg(m)')} AS mean FROM (SELECT b.geoid, tile_id, avg(canopy) AS m FROM px a JOIN block_groups b ON {IN_FRAME} GROUP BY b.geoid, tile_id) GROUP BY geoid",
 )
 def zonal_mean(t: Tables):
-    out = S.zonal_mean(pixels(t, "canopy"), boxes(t.block_groups, "geoid"), "geoid", 500.0)
-    return rounded(out)
+    return rounded(O.zonal_mean(pixels(t, "canopy"), framed(boxes(t.block_groups, "geoid")), "geoid", PIXEL))
 
 
 # --- geometry columns ---------------------------------------------------------
@@ -326,8 +370,7 @@ def intersection_points(t: Tables):
 )
 def line_length_inside(t: Tables):
     # lines on the shared edge of two squares belong to the upper one
-    areas = t.block_groups.select("geoid", "xmin", "ymin", "xmax", (F.col("ymax") - 1e-6).alias("ymax"))
-    pairs = S.lengths_inside(t.roads, areas, 500.0)
+    pairs = S.lengths_inside(t.roads, boxes(t.block_groups, "geoid"), 500.0)
     return pairs.groupBy(F.col("r.geoid").alias("geoid")).agg(rd(F.sum("length"), 3).alias("length"))
 
 
@@ -343,6 +386,45 @@ def constraint_boxes(t: Tables):
     return s.selectExpr("id", "cx - 70e0 AS xmin", "cy - 40e0 AS ymin", "cx + 90e0 AS xmax", "cy + 60e0 AS ymax")
 
 
+# Of each supplier's two overlapping boxes, the first becomes an L and the second a frame; a third is of no listed type.
+_MX, _MY = "(xmin + xmax) / 2e0", "(ymin + ymax) / 2e0"
+_WX, _WY = "(xmax - xmin) / 4e0", "(ymax - ymin) / 4e0"
+_CONS = f"SELECT s_suppkey AS id, kind, cx + d * 30e0 - 70e0 AS xmin, cy + d * 25e0 - 40e0 AS ymin, cx + d * 30e0 + 90e0 AS xmax, cy + d * 25e0 + 60e0 AS ymax FROM (SELECT s_suppkey, {_C[0]} AS cx, {_C[1]} AS cy FROM supplier) s, (VALUES ('wetland', 0), ('flood', 1), ('fault', 2)) k(kind, d)"
+CONS_PARTS = " UNION ALL ".join(
+    f"SELECT {x0} AS xmin, {y0} AS ymin, {x1} AS xmax, {y1} AS ymax FROM con WHERE kind = '{kind}'"
+    for kind, x0, y0, x1, y1 in (
+        ("wetland", "xmin", "ymin", "xmax", _MY), ("wetland", "xmin", _MY, _MX, "ymax"),
+        ("flood", "xmin", "ymin", "xmax", f"ymin + {_WY}"), ("flood", "xmin", f"ymax - {_WY}", "xmax", "ymax"),
+        ("flood", "xmin", f"ymin + {_WY}", f"xmin + {_WX}", f"ymax - {_WY}"), ("flood", f"xmax - {_WX}", f"ymin + {_WY}", "xmax", f"ymax - {_WY}"),
+    )
+)
+#: Area of each parcel that the union of these parts covers, by a grid of all their edges.
+COVERED = """SELECT xs.parcel_id, sum((nx - x) * (ny - y)) AS covered FROM xs JOIN ys ON ys.parcel_id = xs.parcel_id
+    WHERE nx IS NOT NULL AND ny IS NOT NULL AND EXISTS (SELECT 1 FROM pc WHERE pc.parcel_id = xs.parcel_id AND x0 <= x AND x1 >= nx AND y0 <= y AND y1 >= ny) GROUP BY xs.parcel_id"""
+COVER_CTES = dict(
+    con=_CONS,
+    cons=CONS_PARTS,
+    pc="SELECT DISTINCT a.parcel_id, greatest(a.xmin, b.xmin) AS x0, least(a.xmax, b.xmax) AS x1, greatest(a.ymin, b.ymin) AS y0, least(a.ymax, b.ymax) AS y1 FROM parcels a JOIN cons b ON a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax",
+    xs="SELECT parcel_id, x, lead(x) OVER (PARTITION BY parcel_id ORDER BY x) AS nx FROM (SELECT DISTINCT parcel_id, x FROM (SELECT parcel_id, x0 AS x FROM pc UNION ALL SELECT parcel_id, x1 FROM pc))",
+    ys="SELECT parcel_id, y, lead(y) OVER (PARTITION BY parcel_id ORDER BY y) AS ny FROM (SELECT DISTINCT parcel_id, y FROM (SELECT parcel_id, y0 AS y FROM pc UNION ALL SELECT parcel_id, y1 FROM pc))",
+    cov=COVERED,
+)
+
+
+def constraint_polygons(t: Tables):
+    """constraint_type and ring of every constraint polygon."""
+    kind = lambda k: F.col("constraint_type") == k
+    s = t.supplier.select(F.explode(F.array(*[F.struct(F.lit(k).alias("constraint_type"), F.lit(float(d)).alias("d")) for d, k in enumerate(("wetland", "flood", "fault"))])).alias("k"), F.expr(_C[0]).alias("cx"), F.expr(_C[1]).alias("cy"))
+    s = s.selectExpr("k.constraint_type", "cx + k.d * 30e0 - 70e0 AS xmin", "cy + k.d * 25e0 - 40e0 AS ymin", "cx + k.d * 30e0 + 90e0 AS xmax", "cy + k.d * 25e0 + 60e0 AS ymax")
+    return ell(s.where(~kind("flood"))).unionByName(framed(s.where(kind("flood")))).select("constraint_type", "ring")
+
+
+@query("GEO10_polygon_union_overlap", ctes("parcels", **COVER_CTES) + f"SELECT parcel_id, {rds('covered')} AS covered FROM cov")
+def polygon_union_overlap(t: Tables):
+    areas = constraint_polygons(t).where("constraint_type <> 'fault'")
+    return rounded(O.covered(lot_rings(t), areas, ["parcel_id"], 100.0))
+
+
 @query(
     "GEO10_union_overlap",
     ctes("parcels", cons=_UNION)
@@ -467,13 +549,12 @@ def parse_geometry(t: Tables):
     "JOI10_anti_join_overlap",
     ctes("buildings", "parcels")
     + f"""SELECT parcel_id, line, supplier, part FROM buildings b WHERE NOT EXISTS (SELECT 1 FROM parcels a
-    WHERE abs(a.x - b.x) <= 150 AND {MEET} AND {OVERLAP} > 0.5e0 * (b.xmax - b.xmin) * (b.ymax - b.ymin))""",
+    WHERE abs(a.x - b.x) <= 150 AND {MEET} AND {ell_overlap('b', 'a')} > 0.5e0 * 0.75e0 * (b.xmax - b.xmin) * (b.ymax - b.ymin))""",
 )
 def anti_join_overlap(t: Tables):
-    from landspan.operators.spatial import box_overlaps
-
+    # L-shaped buildings of which no lot holds more than half
     keys = ["parcel_id", "line", "supplier", "part"]
-    b = t.buildings.select(*keys, *BOX)
-    pairs = box_overlaps(b, boxes(t.parcels, "parcel_id"), 100.0, levels=1)
-    covered = pairs.where(F.col("overlap") > 0.5 * G.box_area(S.box_of("l"))).select(*["l." + k for k in keys])
+    b = ell(t.buildings.select(*keys, *BOX)).withColumn("own", G.area(F.col("ring")))
+    pairs = S.ring_overlaps(b, boxes(t.parcels, "parcel_id"), 100.0, levels=1)
+    covered = pairs.where(F.col("overlap") > 0.5 * F.col("l.own")).select(*["l." + k for k in keys])
     return b.select(*keys).join(covered, keys, "left_anti")
