@@ -56,7 +56,7 @@ def box_ring(b: Column) -> Column:
 
 def ring_box(ring: Column) -> Column:
     """GEO03: envelope."""
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    xs, ys = ring["x"], ring["y"]  # of all points
     return box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
@@ -277,15 +277,14 @@ def _back(es: Column) -> Column:
     return F.transform(es, lambda e: F.struct(e["q"].alias("p"), e["p"].alias("q")))
 
 
-def outline(ring: Column) -> Column:
-    """The edges without bridges, which are walked both ways."""
-    return bind(edges(ring), lambda es: F.array_except(es, _back(es)))
+def following(ring: Column) -> Column:
+    """The next point of each point."""
+    return F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
 
 
-def ring_starts(ring: Column) -> Column:
-    """A corner of each of the rings that were joined: the first point and the ends of bridges."""
-    ends = bind(edges(ring), lambda es: F.transform(F.array_intersect(es, _back(es)), lambda e: e["q"]))
-    return F.array_distinct(F.concat(F.slice(ring, 1, 1), ends))
+def is_bridged(ring: Column) -> Column:
+    """Whether several rings were joined: only then the first point comes again."""
+    return F.array_position(F.slice(ring, 2, F.size(ring)), F.get(ring, F.lit(0))) > 0
 
 
 def rings_meet(a: Column, b: Column) -> Column:
@@ -302,8 +301,13 @@ def rings_meet(a: Column, b: Column) -> Column:
         )
         return near & (F.signum(s1) * F.signum(s2) <= 0) & (F.signum(t1) * F.signum(t2) <= 0)
 
+    # the edges without bridges, which are walked both ways, and a corner of each of the joined rings
+    def outline(r: Column) -> Column:
+        return bind(edges(r), lambda es: F.array_except(es, _back(es)))
+
     def held(r: Column, by: Column) -> Column:
-        return F.exists(ring_starts(r), lambda p: point_in_ring(p["x"], p["y"], by))
+        ends = bind(edges(r), lambda es: F.transform(F.array_intersect(es, _back(es)), lambda e: e["q"]))
+        return F.exists(F.concat(F.slice(r, 1, 1), ends), lambda p: point_in_ring(p["x"], p["y"], by))
 
     crossing = bind(outline(b), lambda fs: F.exists(outline(a), lambda e: F.exists(fs, lambda f: touch(e, f))))
     return F.coalesce(crossing | held(a, b) | held(b, a), F.lit(False))

@@ -48,20 +48,31 @@ def _y_at(x: Column, e: str = "") -> Column:
     return F.when(x == x0, y0).when(x == x1, y1).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
 
 
-def _upright(polygons: DataFrame, keys: Sequence[str], ring: str, cell: float) -> DataFrame:
-    """One row per edge that is not vertical, left end first; ``w`` is +1 where the polygon lies above it."""
-    rings = polygons.select(*keys, F.col(ring).alias("_ring")).where(F.size("_ring") >= 3)
-    rings = rings.withColumn("_turn", F.signum(G.signed_area(F.col("_ring")))).where("_turn <> 0")
-    box = G.ring_box(F.col("_ring"))
-    tall = _floor(box["ymin"], cell) < _floor(box["ymax"], cell)
-    e = rings.select(*keys, "_turn", tall.alias("_tall"), F.explode(G.edges(F.col("_ring"))).alias("e"))
-    p, q = F.col("e.p"), F.col("e.q")
-    right = p["x"] < q["x"]
-    pick = lambda a, b, n: F.when(right, a[n]).otherwise(b[n])
-    return e.where(p["x"] != q["x"]).select(
-        *keys, "_tall", pick(p, q, "x").alias("x0"), pick(p, q, "y").alias("y0"), pick(q, p, "x").alias("x1"), pick(q, p, "y").alias("y1"),
-        (F.when(right, 1).otherwise(-1) * F.col("_turn")).cast("int").alias("w"),
-    )
+def _edges(polygons: DataFrame, keys: Sequence[str], ring: str, **more: Column) -> DataFrame:
+    """One row per edge _p -> _q of every ring, with ``more`` about the ring, in generated code."""
+    rings = polygons.where(F.size(ring) >= 3).select(*keys, *[c.alias(n) for n, c in more.items()], F.col(ring).alias("_ring"))
+    return rings.select(*keys, *more, F.inline(F.arrays_zip("_ring", G.following(F.col("_ring")))).alias("_p", "_q"))
+
+
+def _left_to_right(p: Column, q: Column) -> list[Column]:
+    """x0, y0, x1, y1 of an edge, the left end first."""
+    right = p["x"] <= q["x"]
+    return [F.when(right, a[n]).otherwise(b[n]).alias(n + i) for a, b, i in ((p, q, "0"), (q, p, "1")) for n in "xy"]
+
+
+def _upright(polygons: DataFrame, keys: Sequence[str], ring: str, cell: float, turned: bool) -> DataFrame:
+    """One row per edge that is not vertical; ``w`` is +1 where the ring runs to the right.
+
+    With ``turned`` rings that run clockwise change their sign, so that +1 means that the
+    polygon lies above.  ``_tall`` tells whether a ring reaches over a grid line.
+    """
+    low, high = (f(F.col(ring)["y"]) for f in (F.array_min, F.array_max))
+    tall = _floor(low, cell) < _floor(high, cell)
+    turn = F.signum(G.signed_area(F.col(ring))).cast("int") if turned else F.lit(1)
+    e = _edges(polygons, keys, ring, _turn=turn, _tall=tall)
+    p, q = F.col("_p"), F.col("_q")
+    w = F.when(p["x"] < q["x"], F.col("_turn")).otherwise(-F.col("_turn"))
+    return e.where(p["x"] != q["x"]).select(*keys, "_tall", *_left_to_right(p, q), w.alias("w")).where("w <> 0")
 
 
 def _pieces(edges: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
@@ -87,13 +98,14 @@ def _pieces(edges: DataFrame, keys: Sequence[str], cell: float) -> DataFrame:
     return rows.select(*own, *CELL, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")).where("x0 < x1")
 
 
-def strips(polygons: DataFrame, keys: Sequence[str], cell: float, ring: str = "ring") -> DataFrame:
+def strips(polygons: DataFrame, keys: Sequence[str], cell: float, ring: str = "ring", turned: bool = False) -> DataFrame:
     """Prepared polygons: ``keys``, cell, edge (x0 < x1) and ``w``; see the module's text.
 
-    Without keys all polygons are one, whose ``w`` add up.
+    ``turned`` makes all ``w`` of one sign whichever way a ring runs; sums over one polygon
+    need it not.  Without keys all polygons are one, whose ``w`` add up.
     """
     keys = list(keys)
-    pieces = _pieces(_upright(polygons, keys, ring, cell), keys, cell)
+    pieces = _pieces(_upright(polygons, keys, ring, cell, turned), keys, cell)
     # where the number of edges below changes along x, and by how much, per cell that the change lies in
     ends = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("w").alias("d")), F.struct(F.col("x1").alias("x"), (-F.col("w")).alias("d"))))
     steps = pieces.where("_tall").select(*keys, *CELL, ends.alias("s")).select(*keys, *CELL, "s.x", "s.d")
@@ -108,7 +120,7 @@ def strips(polygons: DataFrame, keys: Sequence[str], cell: float, ring: str = "r
 
 
 def _meeting_edges(a: DataFrame, b: DataFrame, cell: float, keys: Sequence[str]) -> DataFrame:
-    """Sum of ``w w'`` times the area above both edges inside their cell, by ``keys``; b's columns are named ``r_*``."""
+    """``overlap`` by ``keys``: the sum of ``w w'`` times the area above both edges inside their cell; b's columns become ``r_*``."""
     b = b.withColumnsRenamed({n: "r_" + n for n in (*CELL, *EDGE, "w")})
     both = a.join(b, (F.col("_cx") == F.col("r__cx")) & (F.col("_cy") == F.col("r__cy")) & (F.col("x0") < F.col("r_x1")) & (F.col("r_x0") < F.col("x1")))
     both = both.withColumns({"_l": F.greatest("x0", "r_x0"), "_r": F.least("x1", "r_x1")})
@@ -119,7 +131,7 @@ def _meeting_edges(a: DataFrame, b: DataFrame, cell: float, keys: Sequence[str])
     # mean of the positive part of a difference that runs from dl to dr
     over = F.when((dl >= 0) & (dr >= 0), (dl + dr) / 2).when((dl <= 0) & (dr <= 0), 0.0).otherwise(high * high / (2 * F.abs(dl - dr)))
     above = (r - l) * ((F.col("_cy") + 1) * cell - (F.col("_fl") + F.col("_fr")) / 2 - over)
-    return both.groupBy(*keys).agg(F.sum(F.col("w") * F.col("r_w") * above).alias("overlap"))
+    return both.groupBy(*keys).agg(F.abs(F.sum(F.col("w") * F.col("r_w") * above)).alias("overlap"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], cell: float, least: float = 1e-6) -> DataFrame:
@@ -139,7 +151,7 @@ def dissolved(areas: DataFrame, cell: float) -> DataFrame:
     tells what is covered.  Equal edges, as of copies or of neighbours that share a side,
     are summed up first.
     """
-    e = strips(areas, [], cell).groupBy(*CELL, *EDGE).agg(F.sum("w").alias("w")).where("w <> 0")
+    e = strips(areas, [], cell, turned=True).groupBy(*CELL, *EDGE).agg(F.sum("w").alias("w")).where("w <> 0")
     e = cut(e)
     b = e.withColumnsRenamed({n: "r_" + n for n in (*CELL, *EDGE, "w")})
     on = (F.col("_cx") == F.col("r__cx")) & (F.col("_cy") == F.col("r__cy")) & (F.col("x0") < F.col("r_x1")) & (F.col("r_x0") < F.col("x1"))
@@ -180,13 +192,18 @@ def union_area(areas: DataFrame, cell: float) -> DataFrame:
 # --- polygons that meet ------------------------------------------------------------
 
 
+def _bridges(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges of bridged rings without direction, and how often they are walked one way more than the other (``d``)."""
+    p, q = F.col("_p"), F.col("_q")
+    both = edges.where("_bridged").groupBy(*keys, F.least(p, q).alias("_p"), F.greatest(p, q).alias("_q"))
+    return both.agg(F.sum(F.when(p < q, 1).otherwise(-1)).alias("d"))
+
+
 def _outline(polygons: DataFrame, keys: Sequence[str], cell: float, ring: str) -> DataFrame:
     """Edges of the outlines, dealt to every cell they may touch; bridges between rings are no edges."""
-    e = polygons.where(F.size(ring) > 0).select(*keys, F.explode(G.outline(F.col(ring))).alias("e"))
-    p, q = F.col("e.p"), F.col("e.q")
-    right = p["x"] <= q["x"]
-    pick = lambda a, b, n: F.when(right, a[n]).otherwise(b[n])
-    e = e.select(*keys, pick(p, q, "x").alias("x0"), pick(p, q, "y").alias("y0"), pick(q, p, "x").alias("x1"), pick(q, p, "y").alias("y1"))
+    e = _edges(polygons, keys, ring, _bridged=G.is_bridged(F.col(ring)))
+    e = e.where("NOT _bridged").select(*keys, "_p", "_q").unionByName(_bridges(e, keys).where("d <> 0").drop("d"))
+    e = e.select(*keys, *_left_to_right(F.col("_p"), F.col("_q")))
     e = e.withColumn("_cx", F.explode(F.sequence(_floor(F.col("x0"), cell), _floor(F.col("x1"), cell))))
     a, b = F.greatest("x0", F.col("_cx") * cell), F.least("x1", (F.col("_cx") + 1) * cell)
     one = F.col("x0") == F.col("x1")
@@ -197,6 +214,13 @@ def _outline(polygons: DataFrame, keys: Sequence[str], cell: float, ring: str) -
     return e.withColumn("_cy", F.explode(F.sequence(_floor(low, cell), _floor(high, cell))))
 
 
+def _corners(polygons: DataFrame, keys: Sequence[str], ring: str) -> DataFrame:
+    """x, y of a corner of each of a polygon's rings: the first point, and the ends of bridges."""
+    first = polygons.where(F.size(ring) >= 3).select(*keys, F.get(F.col(ring), F.lit(0)).alias("c"))
+    ends = _bridges(_edges(polygons, keys, ring, _bridged=G.is_bridged(F.col(ring))), keys).where("d = 0")
+    return first.unionByName(ends.select(*keys, F.explode(F.array("_p", "_q")).alias("c"))).select(*keys, "c.x", "c.y").distinct()
+
+
 def holds(points: DataFrame, polygons: DataFrame, point_keys: Sequence[str], polygon_keys: Sequence[str], cell: float, ring: str = "ring") -> DataFrame:
     """JOI16: points (x, y) in prepared polygons, by the few edges of the point's own cell; half open as ``point_in_ring``."""
     p = points.select(*point_keys, F.col("x").alias("_x"), F.col("y").alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
@@ -228,12 +252,9 @@ def meeting(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_k
     touch = (side("", "r_", "0") * side("", "r_", "1") <= 0) & (side("r_", "", "0") * side("r_", "", "1") <= 0)
     found = a.join(b, on & touch).select(*left_keys, *right_keys)
 
-    def corners(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return polygons.where(F.size(ring) > 0).select(*keys, F.explode(G.ring_starts(F.col(ring))).alias("_p")).select(*keys, "_p.x", "_p.y")
-
     both = [*left_keys, *right_keys]
-    found = found.unionByName(holds(corners(left, left_keys), right, left_keys, right_keys, cell, ring).select(*both))
-    found = found.unionByName(holds(corners(right, right_keys), left, right_keys, left_keys, cell, ring).select(*both))
+    found = found.unionByName(holds(_corners(left, left_keys, ring), right, left_keys, right_keys, cell, ring).select(*both))
+    found = found.unionByName(holds(_corners(right, right_keys, ring), left, right_keys, left_keys, cell, ring).select(*both))
     return found.distinct()
 
 
@@ -251,11 +272,10 @@ def pixel_runs(polygons: DataFrame, keys: Sequence[str], pixel: float, ring: str
     ``point_in_ring``: centres on a left or lower border are inside.
     """
     keys = list(keys)
-    rings = polygons.where(F.size(ring) >= 3).select(*keys, F.explode(G.edges(F.col(ring))).alias("e"))
-    p, q = F.col("e.p"), F.col("e.q")
+    p, q = F.col("_p"), F.col("_q")
     line = lambda y: F.ceil(y / pixel - 0.5).cast("bigint")  # noqa: E731  the first row whose centres are at y or above
-    e = rings.where(p["y"] != q["y"]).select(
-        *keys, "e", F.explode(F.sequence(line(F.least(p["y"], q["y"])), line(F.greatest(p["y"], q["y"])))).alias("row")
+    e = _edges(polygons, keys, ring).where(p["y"] != q["y"]).select(
+        *keys, "_p", "_q", F.explode(F.sequence(line(F.least(p["y"], q["y"])), line(F.greatest(p["y"], q["y"])))).alias("row")
     )
     y = (F.col("row") + 0.5) * pixel
     e = e.where(((p["y"] > y) != (q["y"] > y)))

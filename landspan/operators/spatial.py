@@ -253,16 +253,6 @@ def box_overlaps(
     return box_join(left, right, cell, levels).withColumn("overlap", overlap).where("overlap > 0")
 
 
-def ring_overlaps(left: DataFrame, right: DataFrame, cell: float, levels: int = 2) -> DataFrame:
-    """GEO02: pairs of polygons of any shape (a ring, or boxes) with their ``overlap`` area, pair by pair.
-
-    For small polygons against small ones; ``overlay.overlaps`` cuts large ones up first.
-    """
-    l, r = (with_ring_box(ringed(side)) for side in (left, right))
-    overlap = G.overlap_area(F.col("l.ring"), F.col("r.ring"))
-    return only_positive(box_join(l, r, cell, levels), "overlap", overlap)
-
-
 def only_positive(pairs: DataFrame, name: str, measure: Column) -> DataFrame:
     """Add a costly measure and keep rows above 0, computing it once per row.
 

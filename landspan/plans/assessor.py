@@ -123,8 +123,9 @@ def combine_buildings(first: DataFrame, second: DataFrame, cell: float) -> DataF
     window = spatial_extent(spatial.ringed(first))
     second = second.withColumn("_w", window).where(G.boxes_meet(G.ring_box(spatial.ring_of(second)), F.col("_w"))).drop("_w")
     own = spatial.ringed(second).select("id", "ring").withColumn("_own", G.area(F.col("ring")))
-    pairs = spatial.ring_overlaps(own, spatial.ringed(first).select("ring"), cell)
-    covered = pairs.where(F.col("overlap") > F.col("l._own") * 0.5).select("l.id").distinct()
+    others = spatial.ringed(first).select(F.col("id").alias("_other"), "ring")
+    pairs = overlay.overlaps(own, others, ["id", "_own"], ["_other"], cell)
+    covered = pairs.where(F.col("overlap") > F.col("_own") * 0.5).select("id").distinct()
     return first.unionByName(second.join(covered, "id", "left_anti"), allowMissingColumns=True)
 
 
@@ -221,9 +222,12 @@ def building_stats(parcels: DataFrame, pairs: DataFrame) -> DataFrame:
 def building_pairs(parcels: DataFrame, buildings: DataFrame, cell: float) -> DataFrame:
     """BAS06: parcel x building pairs with the building's share on the parcel; rings or boxes on either side."""
     keep = [n for n in buildings.columns if n not in (*spatial.BOX, "ring")]
-    own = spatial.ringed(buildings).select(*keep, "ring").withColumn("_own", G.area(F.col("ring")))
-    pairs = spatial.ring_overlaps(own, spatial.ringed(parcels).select("apn", "ring"), cell)
-    return pairs.select("r.apn", *["l." + n for n in keep], (F.col("overlap") / F.col("l._own")).alias("overlap_ratio"))
+    # numbered once, for good, so that only the number travels with the edges
+    own = cut(spatial.ringed(buildings).select(*keep, "ring", F.monotonically_increasing_id().alias("_building")))
+    pairs = overlay.overlaps(own.select("_building", "ring"), spatial.ringed(parcels).select("apn", "ring"), ["_building"], ["apn"], cell)
+    return own.withColumn("_own", G.area(F.col("ring"))).join(pairs, "_building").select(
+        "apn", *keep, (F.col("overlap") / F.col("_own")).alias("overlap_ratio")
+    )
 
 
 def sqft_by_type(stats: DataFrame) -> DataFrame:
@@ -270,10 +274,11 @@ def parcel_zone_overlaps(parcels: DataFrame, zones: DataFrame, cell: float, keep
 
 def crosswalk_pairs(targets: DataFrame, parcels: DataFrame, cell: float) -> DataFrame:
     """BAS42: unique (parcel_id, apn) pairs with their largest overlap; rings or boxes on either side."""
-    pairs = spatial.ring_overlaps(
-        spatial.ringed(targets).select("parcel_id", "ring"), spatial.ringed(parcels).select("apn", "ring"), cell
-    )
-    return pairs.groupBy("l.parcel_id", "r.apn").agg(F.max("overlap").alias("intersect_area_m2"))
+    # an id may have several polygons, told apart by their rings
+    own = spatial.ringed(targets).select("parcel_id", "ring").withColumn("_ring", F.xxhash64("ring"))
+    own = own.dropDuplicates(["parcel_id", "_ring"])
+    pairs = overlay.overlaps(own, spatial.ringed(parcels).select("apn", "ring"), ["parcel_id", "_ring"], ["apn"], cell)
+    return pairs.groupBy("parcel_id", "apn").agg(F.max("overlap").alias("intersect_area_m2"))
 
 
 # --- imputation from similar parcels -------------------------------------------------------

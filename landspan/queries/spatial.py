@@ -555,6 +555,6 @@ def anti_join_overlap(t: Tables):
     # L-shaped buildings of which no lot holds more than half
     keys = ["parcel_id", "line", "supplier", "part"]
     b = ell(t.buildings.select(*keys, *BOX)).withColumn("own", G.area(F.col("ring")))
-    pairs = S.ring_overlaps(b, boxes(t.parcels, "parcel_id"), 100.0, levels=1)
-    covered = pairs.where(F.col("overlap") > 0.5 * F.col("l.own")).select(*["l." + k for k in keys])
+    pairs = O.overlaps(b, lot_rings(t).withColumnRenamed("parcel_id", "lot"), [*keys, "own"], ["lot"], 100.0)
+    covered = pairs.where(F.col("overlap") > 0.5 * F.col("own")).select(*keys)
     return b.select(*keys).join(covered, keys, "left_anti")
