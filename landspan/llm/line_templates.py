@@ -2,24 +2,26 @@
 
 Every line is parsed to a fixed depth: first by its number of tokens, then by its leading
 tokens, where a token with a digit is a variable field.  The leaf that it reaches holds
-lines of one shape.  The leaf's most widespread line is the pattern of its template: lines
-that agree with it in at least ``SIMILAR`` of their tokens belong to that template (where
-they differ is a variable field), any other line is a template of its own.
-
-A template recurs if it stands in different surroundings: in at least ``MIN_CONTEXTS``
-documents and between as many different pairs of leaves (more for lines of few tokens,
-which also agree by chance), and between at least half as many as it has documents.  Boilerplate and
-shared passages do; lines of copied documents keep their neighbours, so copies are left to
-the operators that look for them.  All lines of recurring templates are dropped.
+lines of one shape, of any number of templates.  Two lines of a leaf are of one template
+if they agree in at least ``SIMILAR`` of their tokens.  The tokens behind the leading ones
+are cut into one block more than may differ, so that two such lines have a block in common;
+under each block the most widespread line (then the first found) is the pattern, and a line
+takes the most widespread pattern that it agrees with, else itself.  Where lines differ from
+their pattern is a variable field.
+
+A template recurs if it stands in at least ``MIN_DOCS`` different texts, and in more if it
+has few tokens, which agree by chance: tokens times texts must reach ``LEAST_TOKENS``.
+Copies of a text count once, however many there are, and what a pair of texts shares is left
+to the operators that look for near copies.  All lines of recurring templates are dropped.
 
 Every line travels as a few hashes; token lists are fetched only for leaves that recur.
 A template with very many lines is only counted, in partial sums.
 
 Defined results: a null text has no lines and stays null; an empty text is one line
 without tokens.  Lines with fewer than ``MIN_TOKENS`` tokens are always kept.  A document
-that loses all its lines keeps an empty text.  Rows that repeat an id and text count as
-one document and lose the same lines; rows without ``doc_id`` are treated by their text
-alike.  Other columns pass through unchanged.
+that loses all its lines keeps an empty text.  Rows that repeat an id and text lose the
+same lines, as do rows without ``doc_id`` with equal texts.  Among equally widespread lines
+the one with the smallest (doc_id, line) is the pattern.  Other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ from landspan.llm.text import BLANK, fold, words
 DEPTH = 3
 SIMILAR = 0.8
 MIN_TOKENS = 3
-MIN_CONTEXTS = 3
-#: Lines of few tokens need at least this many tokens in all their contexts together.
-CONTEXT_TOKENS = 24
-#: Rows sent to every task at most: documents with a few line numbers each.
-FEW_ROWS = 500_000
+MIN_DOCS = 3
+#: Tokens that the lines of a recurring template hold together, one line for each text.
+LEAST_TOKENS = 24
+#: Lines (a few numbers each) that are sent to every task at most.
+FEW_LINES = 500_000
 VARIABLE = "<*>"
 
 
@@ -51,30 +53,13 @@ def folded_lines() -> Column:
 
 
 def parsed(documents: DataFrame) -> DataFrame:
-    """_doc, line, tokens (number), leaf, body, context: hashes of each line, its leaf and its neighbours' leaves."""
-    lines = F.transform(folded_lines(), tokens)
-    shape = F.transform(
-        F.col("lines"),
-        lambda t: F.struct(
-            F.size(t).alias("tokens"),
-            F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"),
-            F.xxhash64(t).alias("body"),
-        ),
-    )
+    """doc_id, _doc, _text, line, tokens (number), leaf, body: hashes of each row, its text, each line and its leaf."""
+    shape = lambda t: F.struct(F.size(t).alias("tokens"), F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"), F.xxhash64(t).alias("body"))
     return (
         numbered(documents)
         .where("text is not null")
-        .select("_doc", lines.alias("lines"))
-        .select("_doc", shape.alias("s"))
-        .select("_doc", "s", F.posexplode("s").alias("line", "one"))
-        .select(
-            "_doc",
-            "line",
-            "one.tokens",
-            "one.leaf",
-            "one.body",
-            F.xxhash64(F.get(F.col("s"), F.col("line") - 1)["leaf"], F.lit(0), F.get(F.col("s"), F.col("line") + 1)["leaf"]).alias("context"),
-        )
+        .select("doc_id", "_doc", F.xxhash64("text").alias("_text"), F.posexplode(F.transform(folded_lines(), lambda x: shape(tokens(x)))).alias("line", "one"))
+        .select("doc_id", "_doc", "_text", "line", "one.*")
     )
 
 
@@ -82,51 +67,59 @@ def numbered(documents: DataFrame) -> DataFrame:
     return documents.withColumn("_doc", F.xxhash64("doc_id", "text"))
 
 
-def enough(n: Column) -> Column:
-    return n >= F.greatest(F.lit(MIN_CONTEXTS), F.ceil(F.lit(CONTEXT_TOKENS) / F.col("tokens")))
+def enough(docs: Column) -> Column:
+    return docs >= F.greatest(F.lit(MIN_DOCS), F.ceil(F.lit(LEAST_TOKENS) / F.col("tokens")))
+
+
+def blocks(t: Column) -> Column:
+    """Hashes of the blocks into which the tokens behind the leading ones are cut: one more than may differ."""
+    rest = F.size(t) - DEPTH
+    n = F.size(t) - F.ceil(SIMILAR * F.size(t)) + 1
+    edge = lambda j: F.floor(j * rest / n).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.xxhash64(j, F.slice(t, DEPTH + 1 + edge(j), edge(j + 1) - edge(j))))
 
 
 def templates(documents: DataFrame, lines: DataFrame) -> DataFrame:
-    """leaf, body, template (hash of the pattern), pattern: of every line of the leaves that may recur."""
+    """leaf, body, template (the body of its pattern) of every line of the leaves that may recur."""
     shared = (
         lines.where(F.col("tokens") >= MIN_TOKENS)
         .groupBy("leaf", "tokens")
-        .agg(F.countDistinct("context").alias("contexts"))
-        .where(enough(F.col("contexts")))
+        .agg(F.countDistinct("_text").alias("docs"))
+        .where(enough(F.col("docs")))
     )
     shared = save(shared, "leaves")
-    # where each distinct line of those leaves is found first, and its tokens from there
+    # how widespread each distinct line of those leaves is, and where it is found first
     spread = (
         lines.join(shared.select("leaf"), "leaf", "left_semi")
         .groupBy("leaf", "body")
-        .agg(F.countDistinct("_doc").alias("docs"), F.min(F.struct("_doc", "line")).alias("at"))
-        .select("leaf", "body", "docs", "at._doc", "at.line")
+        .agg(F.countDistinct("_text").alias("docs"), F.min(F.struct("doc_id", "line", "_doc")).alias("at"))
     )
-    spread = save(spread, "bodies")
-    wanted = save(spread.groupBy("_doc").agg(F.collect_list(F.struct("line", "leaf", "body", "docs")).alias("wanted")), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW_ROWS else wanted
+    spread = save(spread.select("leaf", "body", F.struct((-F.col("docs")).alias("less"), "at.doc_id", "at.line", "body").alias("order"), "at._doc", "at.line"), "bodies")
+    wanted = save(spread.groupBy("_doc").agg(F.collect_list(F.struct("line", "leaf", "body", "order")).alias("wanted")), "wanted")
+    wanted = F.broadcast(wanted) if spread.count() <= FEW_LINES else wanted
     known = (
         numbered(documents.where("text is not null").select("doc_id", "text"))
         .join(wanted, "_doc")
         .dropDuplicates(["_doc"])
         .select(folded_lines().alias("ls"), F.explode("wanted").alias("w"))
-        .select("w.leaf", "w.body", "w.docs", tokens(F.get(F.col("ls"), F.col("w.line"))).alias("t"))
+        .select("w.leaf", "w.body", "w.order", tokens(F.get(F.col("ls"), F.col("w.line"))).alias("t"))
     )
     known = save(known, "lines")
-    pattern = known.groupBy("leaf").agg(F.min(F.struct(-F.col("docs"), F.col("t"))).alias("p")).select("leaf", F.col("p.t").alias("pattern"))
+    filed = known.select("leaf", "body", F.explode(blocks(F.col("t"))).alias("block"))
+    first = known.select("leaf", "order", F.explode(blocks(F.col("t"))).alias("block")).groupBy("leaf", "block")
+    first = first.agg(F.min("order").alias("order"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    tried = filed.join(first, ["leaf", "block"]).where("order.body <> body").select("leaf", "body", "order").distinct()
+    pattern = known.select("leaf", F.col("body").alias("of"), F.col("t").alias("pattern"))
+    both = tried.join(known.select("leaf", "body", "t"), ["leaf", "body"]).join(pattern.withColumnRenamed("leaf", "l"), (F.col("leaf") == F.col("l")) & (F.col("order.body") == F.col("of")))
     agree = F.size(F.filter(F.zip_with("t", "pattern", lambda a, b: a == b), lambda x: x))
-    mine = F.when(agree >= SIMILAR * F.size("t"), F.col("pattern")).otherwise(F.col("t"))
-    return known.join(pattern, "leaf").select("leaf", "body", mine.alias("pattern")).withColumn("template", F.xxhash64("pattern"))
+    best = both.where(agree >= SIMILAR * F.size("t")).groupBy("leaf", "body").agg(F.min("order").alias("best"))
+    return known.select("leaf", "body").join(best, ["leaf", "body"], "left").select("leaf", "body", F.coalesce("best.body", "body").alias("template"))
 
 
 def recurring(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """leaf, template, docs, contexts of the templates that recur."""
-    return (
-        lines.join(found.select("leaf", "body", "template"), ["leaf", "body"])
-        .groupBy("leaf", "template", "tokens")
-        .agg(F.countDistinct("_doc").alias("docs"), F.countDistinct("context").alias("contexts"))
-        .where(enough(F.least("docs", "contexts")) & (2 * F.col("contexts") >= F.col("docs")))
-    )
+    """leaf, template, docs of the templates that recur."""
+    of = lines.join(found, ["leaf", "body"]).groupBy("leaf", "template", "tokens")
+    return of.agg(F.countDistinct("_text").alias("docs")).where(enough(F.col("docs")))
 
 
 def drops(documents: DataFrame) -> DataFrame:
@@ -142,7 +135,8 @@ def drops(documents: DataFrame) -> DataFrame:
 def cleaned(documents: DataFrame) -> DataFrame:
     """``documents`` with recurring lines dropped, and with ``_n_lines`` and ``_dropped`` (line numbers)."""
     gone = drops(documents)
-    gone = F.broadcast(gone) if gone.count() <= FEW_ROWS else gone
+    few = (gone.agg(F.sum(F.size("_dropped"))).first()[0] or 0) <= FEW_LINES
+    gone = F.broadcast(gone) if few else gone
     split = F.split("text", "\n")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
     out = numbered(documents).join(gone, "_doc", "left").drop("_doc")

@@ -93,9 +93,9 @@ def segments(sized: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     rows = (
         sized.where("size > 0")
         .join(F.broadcast(counts), "number")  # a row per source; a shuffle by source would be as uneven as they are
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "row"), F.col("buckets")).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "digest"), F.col("buckets")).cast("int"))
     )
-    laid = running(rows, "number", "size", "bucket", ["doc_id", "row"], "begin")
+    laid = running(rows, "number", "size", "bucket", ["doc_id", "digest", "row"], "begin")
     length = F.lit(block_words).cast("long")
     first, last = F.floor(F.col("begin") / length), F.floor((F.col("begin") + F.col("size") - 1) / length)
     cut = laid.withColumn("block", F.explode(F.sequence(first, last)))
@@ -167,10 +167,9 @@ def slots(src: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHA
 
 def mix(documents: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, plan, segments): the sized rows with their targets; which block fills which slot; what blocks hold."""
-    rows = save(
-        documents.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("row", F.monotonically_increasing_id()),
-        "sizes",
-    )
+    # places follow from id and text alone; the row's number only joins, and tells equal rows apart
+    sized = documents.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("digest"))
+    rows = save(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
     src = save(targets(rows), "targets")
     if (n := src.count()) > MOST_SOURCES:
         raise ValueError(f"{n} sources; at most {MOST_SOURCES} fit the driver and a broadcast")

@@ -28,21 +28,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 B = "\\x20\\x09-\\x0D"
+NEED = "greatest(3, ceil(24.0 / tokens))"
 SQL_1 = f"""
-WITH d AS (SELECT doc_id, text, string_split(regexp_replace({FOLDED}, '[^{B}]*[0-9][^{B}]*', '<*>', 'g'), chr(10)) AS ls FROM documents),
-l0 AS (SELECT doc_id, unnest(range(len(ls))) AS line, regexp_extract_all(unnest(ls), '[^{B}]+') AS t FROM d),
-l1 AS (SELECT *, len(t) AS tokens, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf, array_to_string(t, ' ') AS body FROM l0),
-l AS (SELECT *, coalesce(lag(leaf) OVER w, '') || chr(10) || coalesce(lead(leaf) OVER w, '') AS context
-      FROM l1 WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
-shared AS (SELECT leaf, tokens FROM l WHERE tokens >= 3 GROUP BY 1, 2
-           HAVING count(DISTINCT context) >= greatest(3, ceil(24.0 / tokens))),
-known AS (SELECT leaf, body, any_value(t) AS t, count(DISTINCT doc_id) AS docs FROM l JOIN shared USING (leaf) GROUP BY 1, 2),
-pat AS (SELECT DISTINCT leaf, first_value(t) OVER (PARTITION BY leaf ORDER BY docs DESC, t) AS p FROM known),
-tmpl AS (SELECT leaf, body, CASE WHEN len(list_filter(list_zip(t, p), lambda x: x[1] = x[2])) >= 0.8 * len(t) THEN p ELSE t END AS template
-         FROM known JOIN pat USING (leaf)),
-rec AS (SELECT leaf, template FROM l JOIN tmpl USING (leaf, body) GROUP BY leaf, template, tokens
-        HAVING least(count(DISTINCT context), count(DISTINCT doc_id)) >= greatest(3, ceil(24.0 / tokens))
-           AND 2 * count(DISTINCT context) >= count(DISTINCT doc_id)),
+WITH d AS (SELECT doc_id, text, md5(text) AS tx, string_split(regexp_replace({FOLDED}, '[^{B}]*[0-9][^{B}]*', '<*>', 'g'), chr(10)) AS ls FROM documents),
+l0 AS (SELECT doc_id, tx, unnest(range(len(ls))) AS line, regexp_extract_all(unnest(ls), '[^{B}]+') AS t FROM d WHERE text IS NOT NULL),
+l AS (SELECT *, len(t) AS tokens, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf, array_to_string(t, ' ') AS body FROM l0),
+shared AS (SELECT leaf FROM l WHERE tokens >= 3 GROUP BY leaf, tokens HAVING count(DISTINCT tx) >= {NEED}),
+known AS (SELECT leaf, body, any_value(t) AS t, {{'less': -count(DISTINCT tx), 'at': min({{'d': doc_id, 'l': line}}), 'body': body}} AS o FROM l JOIN shared USING (leaf) GROUP BY leaf, body),
+cut AS (SELECT *, unnest(range(len(t) - ceil(0.8e0 * len(t))::BIGINT + 1)) AS j, len(t) - ceil(0.8e0 * len(t))::BIGINT + 1 AS n FROM known),
+blk AS (SELECT *, t[4 + (j * (len(t) - 3)) // n : 3 + ((j + 1) * (len(t) - 3)) // n] AS b FROM cut),
+grp AS (SELECT leaf, j, b, min(o) AS p FROM blk GROUP BY leaf, j, b HAVING count(*) > 1),
+tried AS (SELECT DISTINCT blk.leaf, blk.body, blk.t, p FROM blk JOIN grp ON grp.leaf = blk.leaf AND grp.j = blk.j AND grp.b = blk.b AND p.body <> blk.body),
+best AS (SELECT x.leaf, x.body, min(p) AS p FROM tried x JOIN known y ON y.leaf = x.leaf AND y.body = p.body
+         WHERE len(list_filter(list_zip(x.t, y.t), lambda v: v[1] = v[2])) >= 0.8e0 * len(x.t) GROUP BY x.leaf, x.body),
+tmpl AS (SELECT known.leaf, known.body, coalesce(p.body, known.body) AS template FROM known LEFT JOIN best ON best.leaf = known.leaf AND best.body = known.body),
+rec AS (SELECT leaf, template FROM l JOIN tmpl USING (leaf, body) GROUP BY leaf, template, tokens HAVING count(DISTINCT tx) >= {NEED}),
 gone AS (SELECT doc_id, line FROM l JOIN tmpl USING (leaf, body) JOIN rec USING (leaf, template)),
 g AS (SELECT doc_id, list(line ORDER BY line) AS xs FROM gone GROUP BY 1)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS n_lines, coalesce(len(xs), 0) AS n_dropped, coalesce(array_to_string(xs, ','), '') AS dropped,

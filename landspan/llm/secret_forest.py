@@ -32,7 +32,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -59,6 +61,8 @@ FIT_ROWS = 20_000
 WORD_DOCS, WORD_LETTERS, PIECE = 3, 4, 12
 #: Words, or candidates, sent to every task at most.
 FEW_ROWS = 500_000
+#: Bits per word of the dictionary that tell most other pieces apart, and bits at most (32 MB).
+BITS_PER_WORD, MOST_BITS = 16, 1 << 28
 #: Words that a task counts before their counts travel.
 COUNT_WORDS = 500_000
 TREES, DEPTH, SEED, THRESHOLD = 40, 8, 7, 0.5
@@ -160,21 +164,46 @@ FOUND_DDL = (
 )
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pieces of a candidate that may be a word."""
-    for batch in batches:
-        low, piece = [], []
-        for x in batch.column(0).to_pylist():
-            # a piece of letters: words of the dictionary hold nothing else
-            mine = {
-                r[i : i + n]
-                for r in re.findall(r"[^\W\d_]+", x)
-                for i in range(len(r) - WORD_LETTERS + 1)
-                for n in range(WORD_LETTERS, min(PIECE, len(r) - i) + 1)
-            }
-            low += [x] * len(mine)
-            piece += mine
-        yield pa.RecordBatch.from_arrays([pa.array(low, pa.string()), pa.array(piece, pa.string())], ["low", "word"])
+def word_bits(words: DataFrame) -> np.ndarray:
+    """Bits at the hashes of the words, about ``BITS_PER_WORD`` for each and ``MOST_BITS`` at most: no word is missed."""
+    slots = 1 << 15
+    while slots < min(MOST_BITS, BITS_PER_WORD * words.count()):
+        slots *= 2
+    slot = F.pmod(F.xxhash64("word"), F.lit(slots)) + 1
+    parts = words.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros((slots >> 15, 1 << 12), np.uint8)
+    for r in parts.toArrow().to_pylist():
+        out[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _pieces(bits: np.ndarray):
+    """The pieces of a candidate that may be words: those whose hash has its bit."""
+    last = len(bits) * 8 - 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bits.tobytes()
+
+        def maybe(piece: str) -> bool:
+            slot = xxhash.xxh64_intdigest(piece.encode(), 42) & last  # the seed of Spark's xxhash64
+            return bool(held[slot >> 3] >> (slot & 7) & 1)
+
+        for batch in batches:
+            low, piece = [], []
+            for x in batch.column(0).to_pylist():
+                # a piece of letters: words of the dictionary hold nothing else
+                mine = {
+                    r[i : i + n]
+                    for r in re.findall(r"[^\W\d_]+", x)
+                    for i in range(len(r) - WORD_LETTERS + 1)
+                    for n in range(WORD_LETTERS, min(PIECE, len(r) - i) + 1)
+                }
+                mine = [w for w in mine if maybe(w)]
+                low += [x] * len(mine)
+                piece += mine
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.string()), pa.array(piece, pa.string())], ["low", "word"])
+
+    return work
 
 
 def _word_features(pairs: dict[str, float]):
@@ -205,7 +234,7 @@ def candidates(documents: DataFrame, pairs: dict[str, float], dictionary: DataFr
     found = save(rows.mapInArrow(_found, FOUND_DDL), "found")
     words = small(dictionary, few)
     low = found.select("low").distinct()
-    pieces = low.mapInArrow(_pieces, "low string, word string").join(words, "word", "left_semi")
+    pieces = low.mapInArrow(_pieces(word_bits(dictionary)), "low string, word string").join(words, "word", "left_semi")
     of_word = low.join(pieces.groupBy("low").agg(F.collect_set("word").alias("parts")), "low", "left")
     of_word = small(save(of_word.mapInArrow(_word_features(pairs), "low string, likely double, covered double"), "found_words"), few)
     out = found.join(of_word, "low")

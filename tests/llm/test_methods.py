@@ -112,6 +112,35 @@ def test_boilerplate_goes_and_copies_stay(spark):
         assert out[i] == "\n".join(x for x in t.split("\n") if x != passage and not x.startswith("Page"))
 
 
+def test_lines_recur_by_texts_alone(spark):
+    """What a rule on surroundings would keep: inner and outer lines, framed passages, passages that one text has in many copies."""
+    rng = random.Random(5)
+    v = vocabulary(rng)
+    line = lambda n: " ".join(rng.choice(v) for _ in range(n))
+    plate, framed, copied = [line(9), line(10), line(11)], line(30), line(25)
+    texts = ["\n".join([line(8), *plate, line(8)]) for _ in range(30)]
+    texts += ["\n".join([line(8), "", framed, "", line(8)]) for _ in range(30)]
+    texts += ["\n".join([line(8), copied, line(8)]) for _ in range(10)] + ["\n".join([line(8), copied, line(7)])] * 25
+    # two templates under the same leading words, each with a name as its field
+    head = " ".join(line(3).split())
+    one, two = line(7), line(7)
+    names = [f"{rng.choice(v)}{rng.choice(v)}" for _ in range(40)]
+    texts += ["\n".join([line(8), f"{head} {n} {tail}"]) for tail in (one, two) for n in names]
+    gone = {*plate, framed, copied}
+    out = {r["doc_id"]: r["text"] for r in line_templates.cleaned(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert out[i] == "\n".join(x for x in t.split("\n") if x not in gone and not x.startswith(head + " "))
+
+
+def test_ties_of_patterns_do_not_depend_on_the_split(spark):
+    rng = random.Random(6)
+    v = vocabulary(rng)
+    head, tail = "a b c", " ".join(rng.choice(v) for _ in range(9))
+    texts = [f"{head} {rng.choice(v)} {tail}\n{rng.choice(v)} {i % 7}" for i in range(60)]
+    got = [sorted(map(str, line_templates.cleaned(frame(spark, texts).repartition(n)).collect())) for n in (1, 7)]
+    assert got[0] == got[1]
+
+
 # ---- 3
 
 
@@ -398,6 +427,15 @@ def test_proximity(spark):
 # ---- 9
 
 
+def test_mix_does_not_depend_on_the_split(spark):
+    rng = random.Random(3)
+    v = vocabulary(rng)
+    texts = [" ".join(rng.choice(v) for _ in range(rng.randrange(1, 80))) for _ in range(3000)] + ["the same"] * 5
+    df = frame(spark, texts).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 7))
+    got = [sorted(map(tuple, mixing.taken(df.repartition(n, *by)).select("doc_id", "taken").collect())) for n, by in ((1, ()), (9, ("text",)))]
+    assert got[0] == got[1]
+
+
 def brute_targets(sizes):
     names = sorted([s for s in sizes if s is not None]) + ([None] if None in sizes else [])
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
