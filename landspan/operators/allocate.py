@@ -254,11 +254,22 @@ def crosswalk(
 # --- built forms -------------------------------------------------------------------
 
 
-def building_allocation(acres: Column, row_pct, bt: str = "") -> dict[str, Column]:
+NO_SECTORS = "map<string,double>"
+
+
+def _merged(maps: Column) -> Column:
+    """One map with the sums of several, by key."""
+    keys = F.array_distinct(F.flatten(F.transform(maps, lambda m: F.map_keys(m))))
+    total = lambda k: F.aggregate(maps, F.lit(0.0), lambda acc, m: acc + F.coalesce(F.try_element_at(m, k), F.lit(0.0)))
+    return F.map_from_arrays(keys, F.transform(keys, total))
+
+
+def building_allocation(acres: Column, row_pct, bt: str = "", sectors: str | None = None) -> dict[str, Column]:
     """ALC08: everything a building type puts on ``acres``; ``bt`` prefixes its columns.
 
     A missing household size is 2.5 and a missing vacancy 5 percent; 0 counts as
-    missing for both.
+    missing for both.  With ``sectors``, a map column of the building type's shares by
+    sector, ``employment_by_sector`` splits the jobs (an empty map where there are none).
     """
 
     def col(name: str) -> Column:
@@ -297,6 +308,9 @@ def building_allocation(acres: Column, row_pct, bt: str = "") -> dict[str, Colum
         X.positive(bt + "outdoor_water_rate"),
         (site_m2 - ground) * X.or_zero(bt + "irrigable_area_fraction") * col("outdoor_water_rate"),
     ).otherwise(0.0)
+    by_sector = {}
+    if sectors:
+        by_sector = {"employment_by_sector": F.coalesce(X.spread_map(jobs, col(sectors)), F.create_map().cast(NO_SECTORS))}
     spaces = (
         X.or_zero(bt + "parking_spaces_per_unit") * units
         + X.or_zero(bt + "parking_spaces_per_1000sqft") * (floor / SQFT_TO_SQM / 1000.0)
@@ -319,15 +333,16 @@ def building_allocation(acres: Column, row_pct, bt: str = "") -> dict[str, Colum
         "trips_per_day": X.or_zero(units * col("trip_rate_override")),
         "parking_spaces": spaces,
         "parking_area_m2": spaces * known("parking_sqft_per_space", 300.0) * SQFT_TO_SQM,
-    }
+    } | by_sector
 
 
-def place_type_allocation(parcels: DataFrame, mixes: DataFrame, types: DataFrame) -> DataFrame:
+def place_type_allocation(parcels: DataFrame, mixes: DataFrame, types: DataFrame, sectors: str | None = None) -> DataFrame:
     """ALC09: parcel acres after right of way, split over the mix of building types.
 
     ``parcels``: parcel_id, acres, place_type.  ``mixes``: place_type, type_id,
     percentage, row_pct.  ``types``: type_id and the building type columns.  The
-    breakdown is one struct per building type of the place, in type order.
+    breakdown is one struct per building type of the place, in type order.  With
+    ``sectors`` (see ``building_allocation``) jobs by sector are summed over the types.
     """
     mixes = with_group_totals(mixes, ["place_type"], [F.sum("percentage").alias("_whole")])
     recipe = mixes.join(types, "type_id")
@@ -335,9 +350,10 @@ def place_type_allocation(parcels: DataFrame, mixes: DataFrame, types: DataFrame
     row_pct = F.coalesce(F.nullif(F.col("row_pct"), F.lit(0.0)), F.lit(25.0))
     used = F.col("acres") * (1.0 - row_pct / 100.0)
     part = used * X.or_zero(X.ratio("percentage", "_whole"))
-    got = building_allocation(part, F.lit(0.0))
-    names = [n for n in got if n not in ("developable_acres", "row_acres")]
-    rows = rows.withColumns({"_used": used, "_part": part} | {"_o_" + n: got[n] for n in names})
+    got = building_allocation(part, F.lit(0.0), sectors=sectors)
+    names = [n for n in got if n not in ("developable_acres", "row_acres", "employment_by_sector")]
+    rows = rows.withColumns({"_used": used, "_part": part} | {"_o_" + n: got[n] for n in got})
+    by_sector = [_merged(F.collect_list("_o_employment_by_sector")).alias("employment_by_sector")] if sectors else []
     line = F.struct(
         "type_id",
         "percentage",
@@ -352,4 +368,5 @@ def place_type_allocation(parcels: DataFrame, mixes: DataFrame, types: DataFrame
         F.first(F.col("acres") - F.col("_used")).alias("row_acres"),
         *[F.sum("_o_" + n).alias(n) for n in names],
         F.array_sort(F.collect_list(line)).alias("breakdown"),
+        *by_sector,
     )

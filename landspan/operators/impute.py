@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landspan.functions import expr as X
-from landspan.operators.ranking import with_group_totals
+from landspan.session import cut
 
 DIRECT, REGIONAL, NATIONAL = 1, 2, 3
 
@@ -30,33 +30,60 @@ def impute(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
     Tier 0 was known, 1 direct, 2 regional, 3 national, NULL still missing.  Group
     means see what the direct tier filled.
+
+    However many rules there are, the table is read twice: once for all means, once to
+    fill (and twice more for rules that read what other rules fill).  Each row becomes a (rule, group) row per regional rule, summed before it
+    travels; the means come back as one map per group column, joined by the group.
     """
     for rule in rules:
         if rule.column not in df.columns:
             raise ValueError(f"column {rule.column} not found")
-        name = rule.column
-        value = F.col(name)
-        options: list[tuple[int, Column]] = [(0, value)]
-        if rule.strategy <= DIRECT and rule.source in df.columns:
-            options.append((1, F.col(rule.source)))
-        if rule.strategy <= REGIONAL and rule.group in df.columns:
-            seen = F.coalesce(*[o for _, o in options])
-            df = df.withColumn("_seen", seen)
-            df = with_group_totals(
-                df, [rule.group], [F.sum("_seen").alias("_s"), F.count("_seen").alias("_n")]
-            )
-            overall = df.agg(F.avg("_seen").alias("m")).scalar()
-            mean = F.coalesce(X.ratio("_s", "_n"), overall, F.lit(0.0))
-            df = df.withColumn("_mean", mean).drop("_seen", "_s", "_n")
-            options.append((2, F.col("_mean")))
+    for wave in _waves(rules):
+        df = _filled(df, wave)
+    return df
+
+
+def _waves(rules: Sequence[Rule]) -> list[list[Rule]]:
+    """Rules that can be worked out together; one that reads or fills what an earlier one fills comes in a later wave."""
+    out: list[list[Rule]] = []
+    at: dict[str, int] = {}
+    for r in rules:
+        wave = max((at[c] + 1 for c in (r.column, r.source, r.group) if c in at), default=0)
+        out += [[]] * (wave + 1 - len(out))
+        out[wave] = [*out[wave], r]
+        at[r.column] = wave
+    return out
+
+
+def _filled(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    columns = set(df.columns)
+    direct = {r.column: [(0, F.col(r.column))] + ([(1, F.col(r.source))] if r.strategy <= DIRECT and r.source in columns else []) for r in rules}
+    regional = [(i, r) for i, r in enumerate(rules) if r.strategy <= REGIONAL and r.group in columns]
+    means = {}
+    if regional:
+        seen = lambda r: F.coalesce(*[o.cast("double") for _, o in direct[r.column]])
+        cells = [F.struct(F.lit(i).alias("rule"), F.col(r.group).cast("string").alias("group"), seen(r).alias("seen")) for i, r in regional]
+        sums = df.select(F.inline(F.array(*cells))).groupBy("rule", "group").agg(F.sum("seen").alias("s"), F.count("seen").alias("n"))
+        # a row per rule and group is left; the first row of its map is the rule's overall mean
+        sums = cut(sums)
+        overall = {r["rule"]: r["m"] for r in sums.groupBy("rule").agg(X.ratio(F.sum("s"), F.sum("n")).alias("m")).collect()}
+        for group in dict.fromkeys(r.group for _, r in regional):
+            of = [i for i, r in regional if r.group == group]
+            some = sums.where(F.col("rule").isin(of) & (F.col("n") > 0)).groupBy("group")
+            some = some.agg(F.map_from_entries(F.collect_list(F.struct("rule", F.col("s") / F.col("n")))).alias("_m_" + group))
+            some = some.withColumnRenamed("group", "_g_" + group)
+            df = df.join(some, F.col(group).cast("string").eqNullSafe(F.col("_g_" + group)), "left")
+            means |= {i: F.coalesce(F.try_element_at("_m_" + group, F.lit(i)), F.lit(overall.get(i)).cast("double"), F.lit(0.0)) for i in of}
+    filled = {}
+    for i, rule in enumerate(rules):
+        options = [*direct[rule.column]]
+        if i in means:
+            options.append((2, means[i]))
         if rule.default is not None:
             options.append((3, F.lit(float(rule.default))))
-        tier = X.ladder([(o.isNotNull(), t) for t, o in options])
-        df = df.withColumns(
-            {name: F.coalesce(*[o.cast("double") for _, o in options]), name + "_tier": tier}
-        )
-        df = df.drop("_mean")
-    return df
+        filled[rule.column] = F.coalesce(*[o.cast("double") for _, o in options])
+        filled[rule.column + "_tier"] = X.ladder([(o.isNotNull(), t) for t, o in options])
+    return df.withColumns(filled).drop(*[p + r.group for _, r in regional for p in ("_m_", "_g_")])
 
 
 def tier_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:

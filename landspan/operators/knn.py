@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from landspan.operators.ranking import top_per
 from landspan.session import cut
 
-PER_CELL = 32
-
 
 def nearest_k(
     queries: DataFrame,
@@ -34,63 +33,90 @@ def nearest_k(
     Points with equal ``same`` columns are interchangeable, so only the k lowest ids
     of them are kept from the start.
 
-    Cells start small enough to hold about 32 points of a key and double for the
-    queries that did not yet find k points within one cell size.  The last round's
-    cells are as wide as the window, so every query ends with its full answer and
-    nobody is compared with a whole hot key unless its window holds all of it.
+    A pyramid holds the number of points per cell on every level, cells halving from the
+    window down.  Each query starts on the finest level on which its own small cell holds
+    k points: these lie within one cell size of that level, so no farther point and no
+    cell but the neighbouring ones can matter, however dense or thin the place is.  One
+    round answers all queries but those whose near points fail ``ok``; they go on at half
+    the level.  Level 0's cells are as wide as the window, so every query ends with its
+    full answer.
     """
     if same:
         points = top_per(points, [*keys, *same], [F.asc(pid)], k)
+    # a cell's diagonal, so many levels down, is at most a cell size up here
+    down = math.ceil(math.log2(math.sqrt(len(dims))))
     sizes = points.groupBy(*keys).agg(F.count("*").alias("_n"))
-    wanted = F.log2(F.pow(F.col("_n") / PER_CELL, F.lit(1.0 / len(dims))))
-    sizes = sizes.select(*keys, F.greatest(F.ceil(wanted), F.lit(0)).cast("int").alias("_level"))
-    # a query whose key has no points has no neighbours
-    todo = cut(queries.join(sizes, list(keys)))
-    points = cut(points.join(sizes, list(keys)))
-    rounds = (points.agg(F.max("_level")).first()[0] or 0) + 1
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    if not most:
+        return queries.join(points.select(*keys, F.col(pid)), list(keys)).select(qid, pid, F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
+    # twice as deep as evenly spread points would need, for places that are denser
+    top = 2 * max(0, math.ceil(math.log2(max(1.0, most / k)) / len(dims)))
+    cells = ["_c_" + d for d in dims]
+
+    def cell(d: str, level: Column) -> Column:
+        return F.floor(F.col(d) / (F.lit(float(window)) / F.pow(F.lit(2.0), level)))
+
+    points, queries = cut(points), cut(queries.join(sizes.select(*keys), list(keys), "left_semi"))
+    todo = queries.withColumn("_level", F.lit(0)) if not top else _started(queries, points, keys, dims, cells, cell, k, qid, top, down)
     found = None
-    for r in range(rounds):
-        level = F.greatest(F.col("_level") - r, F.lit(0))
-        size = F.lit(float(window)) / F.pow(F.lit(2.0), level)
-        q = todo.withColumns({"_size": size, "_last": level == 0})
+    while True:
+        size = F.lit(float(window)) / F.pow(F.lit(2.0), F.col("_level"))
+        q = todo.withColumn("_size", size)
         for d in dims:
-            here = F.floor(F.col(d) / F.col("_size"))
-            q = q.withColumn("_c_" + d, F.explode(F.sequence(here - 1, here + 1)))
-        p = points.withColumn("_size", size)
+            at = F.floor(F.col(d) / F.col("_size"))
+            q = q.withColumn("_c_" + d, F.explode(F.sequence(at - 1, at + 1)))
+        # points are repeated for the levels that their key's queries are on
+        used = todo.select(*keys, "_level").distinct()
+        p = points.join(used, list(keys)).withColumn("_size", size)
         p = p.withColumns({"_c_" + d: F.floor(F.col(d) / F.col("_size")) for d in dims}).drop("_size")
         q, p = q.alias("q"), p.alias("p")
         on = None
-        for n in [*keys, *["_c_" + d for d in dims]]:
-            same = F.col("q." + n) == F.col("p." + n)
-            on = same if on is None else on & same
+        for n in [*keys, "_level", *cells]:
+            equal = F.col("q." + n) == F.col("p." + n)
+            on = equal if on is None else on & equal
         square = F.lit(0.0)
         for d in dims:
             apart = F.col("q." + d) - F.col("p." + d)
-            on = on & (F.abs(apart) <= window)
+            on = on & (F.abs(apart) <= F.col("q._size"))
             square = square + apart * apart
+        # above level 0 only what lies within a cell size (rounding aside) is sure to be complete
+        on = on & ((F.col("q._level") == 0) | (square <= F.col("q._size") * F.col("q._size") * (1 + 1e-9)))
         if ok is not None:
             on = on & ok
         pairs = q.join(p, on).select(
             F.col("q." + qid).alias(qid),
             F.col("p." + pid).alias(pid),
             (F.sqrt(square) if gap is None else gap).alias("distance"),
+            "q._level",
             "q._size",
-            "q._last",
         )
-        best = cut(top_per(pairs, [qid], [F.asc("distance"), F.asc(pid)], k, "rank"))
-        done = (
-            best.groupBy(qid)
-            .agg(
-                F.count_if(F.col("distance") <= F.col("_size")).alias("_sure"),
-                F.max("_last").alias("_last"),
-            )
-            .where((F.col("_sure") >= k) | F.col("_last"))
-            .select(qid)
-        )
-        kept = best.join(done, qid, "left_semi").select(qid, pid, "distance", "rank")
-        found = kept if found is None else found.unionByName(kept)
-        if r + 1 < rounds:
-            todo = cut(todo.where(level > 0).join(done, qid, "left_anti"))
-            if todo.isEmpty():
-                break
-    return found
+        best = top_per(pairs, [qid], [F.asc("distance"), F.asc(pid)], k, "rank")
+        if ok is None:
+            done = best  # the pyramid has counted k points within reach
+        else:
+            best = cut(best)
+            full = best.groupBy(qid).agg(F.count_if(F.col("distance") <= F.col("_size")).alias("_k"), F.max("_level").alias("_l")).where((F.col("_k") >= k) | (F.col("_l") == 0))
+            done = best.join(full.select(qid), qid, "left_semi")
+        done = done.select(qid, pid, "distance", "rank")
+        found = done if found is None else found.unionByName(done)
+        if ok is None:
+            return found
+        todo = cut(todo.where("_level > 0").join(full.select(qid), qid, "left_anti").withColumn("_level", F.floor(F.col("_level") / 2).cast("int")))
+        if todo.isEmpty():
+            return found
+
+
+def _started(
+    queries: DataFrame, points: DataFrame, keys: Sequence[str], dims: Sequence[str], cells: list[str],
+    cell: Callable[[str, Column], Column], k: int, qid: str, top: int, down: int,
+) -> DataFrame:
+    """The queries with the finest ``_level`` on which k points lie in their own cell ``down`` levels deeper."""
+    fine = points.select(*keys, *[cell(d, F.lit(top + down)).alias("_c_" + d) for d in dims]).groupBy(*keys, *cells).agg(F.count("*").alias("_n"))
+    levels = F.explode(F.sequence(F.lit(1), F.lit(top)))
+    up = F.pow(F.lit(2.0), F.lit(top) - F.col("_level"))
+    pyramid = fine.withColumn("_level", levels).withColumns({c: F.floor(F.col(c) / up) for c in cells})
+    pyramid = pyramid.groupBy(*keys, "_level", *cells).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k).drop("_n")
+    here = queries.select(qid, *keys, *dims, levels.alias("_level"))
+    here = here.withColumns({"_c_" + d: cell(d, F.col("_level") + down) for d in dims})
+    start = here.join(pyramid, [*keys, "_level", *cells], "left_semi").groupBy(qid).agg(F.max("_level").alias("_level"))
+    return cut(queries.join(start, qid, "left").withColumn("_level", F.coalesce("_level", F.lit(0))))

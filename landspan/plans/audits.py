@@ -69,8 +69,8 @@ def at_most(df: DataFrame, part: str, whole: str, tolerance: float = 1e-9) -> Da
 
 
 def proportions(df: DataFrame, parts: Sequence[str], tolerance: float = 0.01) -> DataFrame:
-    """Shares that do not add up to 1."""
-    whole = reduce(lambda a, b: a + b, [F.col(p) for p in parts])
+    """Shares that do not add up to 1; a missing share is 0."""
+    whole = reduce(lambda a, b: a + b, [X.or_zero(p) for p in parts])
     return df.withColumn("_sum", whole).where(F.abs(F.col("_sum") - 1.0) > tolerance)
 
 

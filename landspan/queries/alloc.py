@@ -119,6 +119,36 @@ def building_type(t: Tables):
     return rounded(j.select("parcel_id", *[v.alias(k) for k, v in got.items()]))
 
 
+# shares by sector of every building type; every seventh type has none
+_SHARES = "id % 5", "id % 3"
+_SECTOR = {"emp_retail": _SHARES[0], "emp_office": _SHARES[1]}
+
+
+def with_sectors(bt):
+    r, o = (F.expr(f"cast({x} AS double)") for x in _SHARES)
+    shares = F.create_map(F.lit("retail"), r, F.lit("office"), o)
+    return bt.withColumn("jobs_by_sector", F.when(F.col("id") % 7 != 0, shares))
+
+
+def by_sector(m="employment_by_sector"):
+    return [F.coalesce(F.try_element_at(m, F.lit(s)), F.lit(0.0)).alias("emp_" + s) for s in ("retail", "office")]
+
+
+def _sector_sql(share: str) -> str:
+    return f"CASE WHEN employment > 0 AND type_id % 7 <> 0 AND ({_SHARES[0]} + {_SHARES[1]}) > 0 THEN employment * (({share}) * 1e0 / ({_SHARES[0]} + {_SHARES[1]})) ELSE 0e0 END".replace("id %", "type_id %").replace("type_type_id", "type_id")
+
+
+@query(
+    "ALC08_jobs_by_sector",
+    ctes("parcels", "built_forms", bt=BT_SQL, j="SELECT *, id AS type_id FROM parcels JOIN bt ON key = built_form_key", o=_bt_sql("gross_acres", "25e0", "j"))
+    + "SELECT parcel_id, " + ", ".join(num(_sector_sql(v), k) for k, v in _SECTOR.items()) + " FROM o",
+)
+def building_type_sectors(t: Tables):
+    j = t.parcels.join(with_sectors(building_types(t)).withColumnRenamed("key", "built_form_key"), "built_form_key")
+    got = A.building_allocation(F.col("gross_acres"), F.lit(25.0), sectors="jobs_by_sector")
+    return rounded(j.select("parcel_id", got["employment_by_sector"].alias("employment_by_sector")).select("parcel_id", *by_sector()))
+
+
 @query(
     "PRJ09_jobs_by_sector",
     ctes("parcels", "built_forms")
@@ -163,6 +193,7 @@ _MIX = "SELECT concat('Brand#', cast(1 + (id * 5) % 25 AS string)) AS place_type
         building_footprint_m2="ground", water_indoor_l="CASE WHEN indoor_water_rate > 0 THEN population * indoor_water_rate * 365e0 ELSE 0e0 END",
         water_outdoor_l="water_outdoor_l", electricity_kwh="coalesce(floor_area_m2 * electricity_eui, 0e0)", gas_kwh="coalesce(floor_area_m2 * gas_eui, 0e0)",
         trips_per_day="coalesce(dwelling_units * trip_rate_override, 0e0)", parking_spaces="spaces", parking_area_m2="parking_area_m2").items())
+    + ", " + ", ".join(num(f"sum({_sector_sql(v)})", k, 3) for k, v in _SECTOR.items())
     + f", string_agg(concat(cast(type_id AS varchar), ':', cast(cast(floor(part * 1e4 + 0.5e0) AS bigint) AS varchar)), ',' ORDER BY type_id, percentage) AS parts FROM o GROUP BY parcel_id",
 )
 def place_type(t: Tables):
@@ -178,8 +209,9 @@ def place_type(t: Tables):
     row = mix.groupBy("place_type").agg(F.max("row_pct0").alias("row_pct"))
     mix = mix.drop("row_pct0").join(row, "place_type")
     parcels = t.parcels.select("parcel_id", F.sqrt(F.col("gross_acres") + 0.003).alias("acres"), F.col("built_form_key").alias("place_type"))
-    types = building_types(t).withColumnRenamed("id", "type_id").drop("key")
-    out = A.place_type_allocation(parcels, mix, types)
+    types = with_sectors(building_types(t)).withColumnRenamed("id", "type_id").drop("key")
+    out = A.place_type_allocation(parcels, mix, types, "jobs_by_sector")
+    out = out.select("*", *by_sector()).drop("employment_by_sector")
     part = F.transform(
         "breakdown",
         lambda b: F.concat(b["type_id"].cast("string"), F.lit(":"), F.floor(b["acres"] * 1e4 + 0.5).cast("string")),

@@ -13,6 +13,7 @@ from landspan.queries.analysis import num, nums, same
 from landspan.queries.binding import Tables, ctes
 from landspan.queries.registry import query, rd, rds, rounded
 from landspan.queries.spatial import HOLE_OVERLAP, MEET, OVERLAP, ell, ell_overlap, framed
+from landspan.session import cut
 
 CODES = ["10X", "A1A", "MP0", "MX1", "D00", "45", "Z9", "I1", "", "20A", "AE0", "A30", "AG1", "AH2", "A2B", "AQ0"]
 
@@ -219,9 +220,9 @@ KNOWN = "SELECT st.apn, x, y, footprint_ratio, building_count, st.lot_size_acres
 SALES2 = "SELECT * EXCLUDE (property_type), CASE WHEN apn % 3 = 0 THEN property_type END AS property_type FROM sales"
 
 
-def known(t: Tables):
+def known(t: Tables, st=None):
     sales = t.sales.withColumn("property_type", F.when(F.col("apn") % 3 == 0, F.col("property_type")))
-    return P.sales_features(stats(t), block_groups(t), sales, ["sale_id"])
+    return P.sales_features(stats(t) if st is None else st, block_groups(t), sales, ["sale_id"])
 
 
 @query(
@@ -260,7 +261,8 @@ _ALLC = ctes("parcels", "buildings", "block_groups", "sales", **STATS, **ZONES,
 
 
 def imputed(t: Tables):
-    return P.impute_from_similar(stats(t), block_groups(t), known(t))
+    st = cut(stats(t))  # both sides are made from it
+    return P.impute_from_similar(st, block_groups(t), known(t, st))
 
 
 @query("BAS13_knn_imputation", _ALLC + f" SELECT apn, imputed_from_tier, neighbor_count, imputed_property_type, {same('imputed_units imputed_living_sqft imputed_building_sqft')} FROM im")

@@ -64,10 +64,20 @@ breaks_query("STA04_logarithmic_breaks", "logarithmic", f"SELECT i, {num('CASE i
 breaks_query("STA05_std_breaks", "std_deviation", f"SELECT i, {num('m + (i - 2) * sd', 'edge', 2)} FROM {_LH}", 2)
 
 
-@query("STA06_natural_breaks")
+# every way to cut the ten bins into four classes, and the cheapest
+_BINS = f"""b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+    x AS (SELECT cast(floor((o_totalprice - lo) / (hi * (1 + 1e-10) - lo) * 10) AS bigint) + 1 AS bin, lo, hi FROM orders, b),
+    h AS (SELECT row_number() OVER (ORDER BY bin) AS i, (lo + (hi - lo) / 10 * (bin - 1) + lo + (hi - lo) / 10 * bin) / 2e0 AS v, count(*) AS n FROM x GROUP BY bin, lo, hi),
+    m AS (SELECT max(i) AS m FROM h),
+    seg AS (SELECT a.i AS f, z.i AS t, sum(c.n * c.v * c.v) - sum(c.n * c.v) * sum(c.n * c.v) / sum(c.n) AS cost FROM h a JOIN h z ON a.i <= z.i JOIN h c ON c.i BETWEEN a.i AND z.i GROUP BY 1, 2),
+    cuts AS (SELECT p.t AS e1, q.t AS e2, r.t AS e3, m, p.cost + q.cost + r.cost + s.cost AS cost FROM m, seg p JOIN seg q ON q.f = p.t + 1 JOIN seg r ON r.f = q.t + 1 JOIN seg s ON s.f = r.t + 1 WHERE p.f = 1 AND s.t = m),
+    top AS (SELECT * FROM cuts ORDER BY cost LIMIT 1)"""
+
+
+@query("STA06_natural_breaks", f"WITH {_BINS} SELECT k AS i, {num('v', 'edge')} FROM top, (VALUES (0), (1), (2), (3), (4)) e(k) JOIN h ON h.i = CASE k WHEN 0 THEN 1 WHEN 1 THEN e1 WHEN 2 THEN e2 WHEN 3 THEN e3 ELSE m END")
 def natural_breaks(t: Tables):
     edges = ST.breaks(t.orders, "o_totalprice", "natural_breaks", 4)
-    return t.spark.createDataFrame([(i, float(e)) for i, e in enumerate(edges)], "i bigint, edge double")
+    return rounded(t.spark.createDataFrame([(i, float(e)) for i, e in enumerate(edges)], "i int, edge double"))
 
 
 MANUAL = [1000.0, 100000.0, 200000.0, 450000.0]
@@ -344,18 +354,21 @@ def audit_ranges(t: Tables):
 @audit(
     "AUD03_row_identities",
     ctes("base") + "SELECT 'subtype_sum' AS audit, count(*) AS violations FROM base WHERE abs(coalesce(dwelling_units_sf_ll, 0e0) + dwelling_units_sf_sl + dwelling_units_attached_sf + dwelling_units_mf_5p - dwelling_units_total) > 0.01e0 "
-    "UNION ALL SELECT 'at_most', count(*) FROM base WHERE households > population + 1e-9 UNION ALL SELECT 'proportions', count(*) FROM base WHERE abs(households / 100e0 + 0.95e0 - 1e0) > 0.01e0 UNION ALL SELECT 'one_hot', count(*) FROM base WHERE dwelling_units_sf_sl > 0 AND dwelling_units_mf_5p > 0 "
-    "UNION ALL SELECT 'fiscal', 0 UNION ALL SELECT 'sectors', 0",
+    "UNION ALL SELECT 'at_most', count(*) FROM base WHERE households > population + 1e-9 UNION ALL SELECT 'proportions', count(*) FROM base WHERE abs(coalesce(nullif(households, 0e0) / 100e0, 0e0) + 0.95e0 - 1e0) > 0.01e0 UNION ALL SELECT 'one_hot', count(*) FROM base WHERE dwelling_units_sf_sl > 0 AND dwelling_units_mf_5p > 0 "
+    # every 97th net impact is off by one, and the sectors of every 13th zone
+    "UNION ALL SELECT 'fiscal', count(*) FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT 'sectors', 2 * count(*) FROM supplier WHERE s_suppkey % 13 = 0",
 )
 def audit_row_identities(t: Tables):
     b = t.base
     fiscal = AN.module_table(t, "fiscal_net_impact")
-    jobs = alloc.zone_jobs(t)
+    fiscal = fiscal.withColumn("net_fiscal_impact", F.col("net_fiscal_impact") + F.when(F.col("parcel_id") % 97 == 0, 1.0).otherwise(0.0))
+    off = F.when(F.col("geoid") % 13 == 0, 5.0).otherwise(0.0)
+    jobs = alloc.zone_jobs(t).withColumns({"emp_ret": F.col("emp_ret") + off, "emp_ind": F.col("emp_ind") - off})
     return _counts(
         {
             "subtype_sum": Q.sums_to(b, "dwelling_units_total", ["dwelling_units_sf_ll", "dwelling_units_sf_sl", "dwelling_units_attached_sf", "dwelling_units_mf_5p"], 0.01),
             "at_most": Q.at_most(b, "households", "population"),
-            "proportions": Q.proportions(b.withColumns({"a": F.col("households") / 100.0, "b": F.lit(0.95)}), ["a", "b"]),
+            "proportions": Q.proportions(b.withColumns({"a": F.nullif(F.col("households"), F.lit(0.0)) / 100.0, "b": F.lit(0.95)}), ["a", "b"]),
             "one_hot": Q.one_hot(b, ["dwelling_units_sf_sl", "dwelling_units_mf_5p"]),
             "fiscal": Q.fiscal_identity(fiscal),
             "sectors": Q.sector_identity(jobs),
