@@ -58,7 +58,7 @@ def parsed(documents: DataFrame) -> DataFrame:
     return (
         numbered(documents)
         .where("text is not null")
-        .select("doc_id", "_doc", F.xxhash64("text").alias("_text"), F.posexplode(F.transform(folded_lines(), lambda x: shape(tokens(x)))).alias("line", "one"))
+        .select("doc_id", "_doc", F.xxhash64("text").alias("_text"), F.posexplode(F.transform(F.transform(folded_lines(), tokens), shape)).alias("line", "one"))
         .select("doc_id", "_doc", "_text", "line", "one.*")
     )
 
