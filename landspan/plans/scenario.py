@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landspan.functions import expr as X
@@ -60,6 +60,37 @@ def paint(current: DataFrame, edits: DataFrame) -> DataFrame:
     return kept.unionByName(edits.select(*KEY, "painted_value"))
 
 
+def paint_events(current: DataFrame, edits: DataFrame, at: Column, batch_id: int) -> DataFrame:
+    """SCN02: the log rows of edits, with the value that each cell of ``current`` had before (nothing if unpainted)."""
+    old = current.select(*KEY, F.col("painted_value").alias("old_value"))
+    return edits.select(*KEY, F.col("painted_value").alias("new_value")).join(old, KEY, "left").select(
+        *KEY,
+        "old_value",
+        "new_value",
+        F.lit("paint").alias("op"),
+        F.lit(batch_id).cast("bigint").alias("batch_id"),
+        at.alias("painted_at"),
+    )
+
+
+def with_old_values(log: DataFrame, width: str = "day") -> DataFrame:
+    """SCN02 / SCN05: every event with the value its cell had just before it, whatever the log says.
+
+    An as-of join of the log with itself in two steps: inside pieces of time, and over the
+    last events of the pieces, so that a cell with any number of events is in no one task.
+    A clear leaves no value.
+    """
+    order = ["painted_at", "event_id"]
+    # in a struct, so that no value is told from no event
+    log = log.withColumns({"_piece": F.date_trunc(width, "painted_at"), "_now": F.struct(F.when(F.col("op") != "clear", F.col("new_value")).alias("v"))})
+    pieces = log.groupBy(*KEY, "_piece").agg(F.max_by("_now", F.struct(*order)).alias("_last"))
+    pieces = pieces.select(*KEY, "_piece", F.lag("_last").over(Window.partitionBy(*KEY).orderBy("_piece")).alias("_earlier"))
+    inside = Window.partitionBy(*KEY, "_piece").orderBy(*order)
+    out = log.withColumn("_before", F.lag("_now").over(inside)).join(pieces, [*KEY, "_piece"])
+    old = F.coalesce("_before", "_earlier")["v"]
+    return out.withColumn("old_value", old).drop("_piece", "_now", "_before", "_earlier")
+
+
 def scenario_canvas(base: DataFrame, painted: DataFrame, scenario_id, key: str = "parcel_id") -> DataFrame:
     """SCN01: base table with the scenario's painted values on top, and a flag.
 

@@ -33,6 +33,37 @@ def paint_overlay(t: Tables):
     return C.overlay(log(t)).select(*KEY, "painted_value")
 
 
+_OLD = "lag(CASE WHEN op <> 'clear' THEN new_value END) OVER (PARTITION BY scenario_id, feature_id, column_name ORDER BY painted_at, event_id)"
+
+
+@query("SCN02_old_values", ctes("paint", lg=LOG) + f"SELECT event_id, scenario_id, feature_id, column_name, new_value, op, {_OLD} AS old_value FROM lg")
+def old_values(t: Tables):
+    out = C.with_old_values(t.paint.withColumn("painted_at", F.col("painted_at").cast("timestamp")))
+    return out.select("event_id", *KEY, "new_value", "op", "old_value")
+
+
+@query(
+    "SCN05_undo_by_old_values",
+    ctes("paint", lg0=f"SELECT scenario_id, feature_id, column_name, new_value, op, painted_at, event_id, batch_id, {_OLD} AS old_value FROM paint")
+    + """, lg AS (SELECT scenario_id, feature_id, column_name, new_value, op, painted_at, event_id FROM lg0 UNION ALL SELECT scenario_id, feature_id, column_name, old_value, 'undo', TIMESTAMP '2025-01-01', event_id + 1000000000 FROM lg0 WHERE batch_id % 3 = 0)
+    SELECT scenario_id, feature_id, column_name, painted_value FROM (""" + LATEST + ") WHERE op <> 'clear' AND painted_value IS NOT NULL",
+)
+def undo_by_old_values(t: Tables):
+    full = C.with_old_values(t.paint.withColumn("painted_at", F.col("painted_at").cast("timestamp")))
+    after = C.undo(full, F.col("batch_id") % 3 == 0, F.lit("2025-01-01 00:00:00").cast("timestamp"), 1, F.col("event_id") + 1000000000)
+    return C.overlay(after).select(*KEY, "painted_value")
+
+
+_E = "SELECT DISTINCT 1 AS scenario_id, feature_id, 'du' AS column_name, 7.5e0 AS painted_value FROM paint"
+
+
+@query("SCN02_paint_log", ctes("paint", **OVER, ed=_E) + "SELECT ed.scenario_id, ed.feature_id, ed.column_name, ov.painted_value AS old_value, ed.painted_value AS new_value, 'paint' AS op, 77 AS batch_id FROM ed LEFT JOIN ov USING (scenario_id, feature_id, column_name)")
+def paint_log(t: Tables):
+    edits = t.paint.select(F.lit(1).cast("bigint").alias("scenario_id"), "feature_id", F.lit("du").alias("column_name"), F.lit(7.5).alias("painted_value")).distinct()
+    rows = C.paint_events(C.overlay(log(t)), edits, F.current_timestamp(), 77)
+    return rows.select(*KEY, "old_value", "new_value", "op", F.col("batch_id").cast("int").alias("batch_id"))
+
+
 @query(
     "SNK03_paint_upsert",
     ctes("paint", **OVER) + ", e AS (SELECT DISTINCT 1 AS scenario_id, feature_id, 'du' AS column_name, 7.5e0 AS painted_value FROM paint) SELECT scenario_id, feature_id, column_name, painted_value FROM ov WHERE NOT (scenario_id = 1 AND column_name = 'du') UNION ALL SELECT * FROM e",
@@ -209,9 +240,9 @@ def landed_log(t: Tables) -> str:
 
 @query("STR01_continuous_overlay", ctes("paint", **OVER) + "SELECT * FROM ov")
 def continuous_overlay(t: Tables):
-    table = scratch_path(t.spark, "overlay")
-    P.continuous_overlay(P.read_log(t.spark, landed_log(t), 2), table, scratch_path(t.spark, "ckpt")).awaitTermination()
-    return P.read_overlay(t.spark, table)
+    state = scratch_path(t.spark, "overlay")
+    P.continuous_overlay(P.read_log(t.spark, landed_log(t), 2), state).awaitTermination()
+    return P.read_overlay(t.spark, state)
 
 
 @query(

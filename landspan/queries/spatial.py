@@ -9,7 +9,7 @@ from landspan.operators import overlay as O
 from landspan.operators import spatial as S
 from landspan.operators.ranking import first_per
 from landspan.params import QUARTER_MILE_M, SQM_PER_ACRE
-from landspan.queries.binding import Tables, ctes, square
+from landspan.queries.binding import TABLES, Tables, ctes, square
 from landspan.queries.registry import query, rd, rds, rounded
 
 BOX = list(S.BOX)
@@ -439,6 +439,30 @@ def union_overlap(t: Tables):
     return rounded(S.union_overlap(boxes(t.parcels, "parcel_id"), constraint_boxes(t), "parcel_id", 200.0))
 
 
+# every seventh block away from the borders is missing
+_GONE = "p_partkey % 7 = 3 AND p_partkey % 100 BETWEEN 2 AND 97 AND p_partkey >= 200 AND p_partkey <= (SELECT max(p_partkey) FROM part) - 300"
+
+
+@query(
+    "AGG13_dissolve",
+    f"SELECT count(*) * 160000e0 AS area, 1 + (SELECT count(*) FROM part WHERE {_GONE}) AS rings FROM part WHERE NOT ({_GONE})",
+)
+def dissolve(t: Tables):
+    last = t.part.agg(F.max("p_partkey")).scalar()
+    k = F.col("geoid")
+    gone = (k % 7 == 3) & (k % 100).between(2, 97) & (k >= 200) & (k <= last - 300)
+    tiles = boxes(t.blocks, "geoid").withColumn("ring", G.box_ring(F.struct(*BOX))).where(~gone)
+    return O.dissolve(tiles.withColumn("all", F.lit(1)), ["all"]).select("area", "rings")
+
+
+@query("AGG13_union_area", f"WITH b AS ({TABLES['blocks'].sql()}) SELECT {rds('count(*) * 160000e0', 2)} AS area FROM b")
+def union_area(t: Tables):
+    # blocks, and each once more half a block to the left, within the first ones' extent
+    b = boxes(t.blocks, "geoid").withColumn("ring", G.box_ring(F.struct(*BOX)))
+    inner = t.blocks.select("geoid", (F.col("xmin") + 50.0).alias("xmin"), "ymin", (F.col("xmax") - 50.0).alias("xmax"), "ymax")
+    return rounded(O.union_area(b.unionByName(inner.select(*boxes(inner, "geoid").columns).withColumn("ring", G.box_ring(F.struct(*BOX)))), 1000.0), 2)
+
+
 @query(
     "GEO11_hull_buffer",
     """WITH p AS (SELECT l_suppkey AS k, max(l_quantity) AS q, min(l_quantity) AS q0, max(l_linenumber) AS n, min(l_linenumber) AS n0, count(*) AS c FROM lineitem GROUP BY l_suppkey)

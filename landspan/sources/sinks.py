@@ -33,15 +33,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 BUCKET = "_bucket_of_"
-#: Rows of a new table that one bucket holds, about.
-BUCKET_ROWS = 1_000
+#: Rows that one bucket holds, about; a table with more times as many is dealt anew.
+BUCKET_ROWS, GROWN = 250_000, 4
 
 
 def upsert(new: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str] = (), rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """SNK03: replace rows by unique key, add the others.
 
-    The table is partitioned by a hash bucket of the key; its first load sets how many
-    there are, and the partition column's name keeps the number.  Only buckets that the
+    The table is partitioned by a hash bucket of the key, and the partition column's name
+    keeps their number.  Buckets hold about ``rows_per_bucket`` rows; once they hold
+    ``GROWN`` times as many on average, the table is dealt into more of them, which costs a
+    rewrite each time the table has grown so much.  Otherwise only buckets that the
     new rows fall into are read and rewritten (dynamic partition overwrite swaps them in
     on commit), so the cost follows the new rows and not the table.  Of new rows with one
     key the last by ``newest`` counts, by all their columns where that is not given.
@@ -64,12 +66,20 @@ def upsert(new: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str]
         kept = old.where(F.col(column).isin(touched)).join(new.select(*keys), list(keys), "left_anti")
         rows = kept.unionByName(new, allowMissingColumns=True)
     (
-        rows.write.mode("overwrite")
+        rows.repartition(column)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(column)
         .parquet(path)
     )
-    return spark.read.parquet(path).drop(column)
+    table = spark.read.parquet(path).drop(column)
+    n = table.count()  # of the files' footers
+    if n <= GROWN * rows_per_bucket * buckets:
+        return table
+    more = f"{BUCKET}{-(-n // rows_per_bucket)}"
+    whole = cut(table).withColumn(more, F.pmod(F.xxhash64(*keys), F.lit(-(-n // rows_per_bucket))).cast("int"))
+    whole.repartition(more).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(more).parquet(path)
+    return spark.read.parquet(path).drop(more)
 
 
 DEFAULT_PART = "default"

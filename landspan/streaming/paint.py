@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from landspan.plans import scenario
-from landspan.sources import sinks
 
 EVENT_SCHEMA = (
     "event_id bigint, scenario_id bigint, feature_id bigint, column_name string, "
@@ -24,43 +23,48 @@ def read_log(spark: SparkSession, path: str, files_per_trigger: int | None = Non
 
 
 LAST = ["painted_at", "event_id"]
+#: The state lives on disk, and its files hold what is in them.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
-def continuous_overlay(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """STR01: keep the last event of every cell in a table.
+def continuous_overlay(events: DataFrame, checkpoint: str) -> StreamingQuery:
+    """STR01: keep the last event of every cell as keyed state, without expiry.
 
-    Each micro batch is reduced to one event per cell and upserted; an older event that
-    arrives late never replaces a newer one.  Replaying a batch gives the same table,
-    so a restart after a lost executor or driver is safe.
+    A micro batch touches the cells it paints and no others; an older event that arrives
+    late loses against the newer one in the state.  The state's own log makes restarts
+    exact.  ``read_overlay`` reads the state as a table; there is no second copy.
     """
-
-    def apply(batch: DataFrame, _batch_id: int) -> None:
-        newest = F.max_by(F.struct("new_value", "op"), F.struct(*LAST))
-        last = batch.where(F.col("column_name").isin(list(scenario.PAINTABLE))).groupBy(*scenario.KEY).agg(
-            newest.alias("e"), F.max(F.struct(*LAST)).alias("t")
-        ).select(*scenario.KEY, "e.*", "t.*")
-        if sinks.exists(batch.sparkSession, table):
-            old = batch.sparkSession.read.parquet(table).select(
-                *scenario.KEY, F.struct(*LAST).alias("_old")
-            )
-            last = last.join(old, scenario.KEY, "left").where(
-                F.col("_old").isNull() | (F.struct(*LAST) > F.col("_old"))
-            ).drop("_old")
-        sinks.upsert(last, table, scenario.KEY, LAST)
-
-    return (
-        events.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def read_overlay(spark: SparkSession, table: str) -> DataFrame:
-    """The overlay behind ``continuous_overlay``: cells with a painted value."""
-    t = spark.read.parquet(table)
-    return t.where((F.col("op") != "clear") & F.col("new_value").isNotNull()).select(
-        *scenario.KEY, F.col("new_value").alias("painted_value")
+    spark = events.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        last = F.max_by(F.struct("new_value", "op"), F.struct(*LAST))
+        cells = events.where(F.col("column_name").isin(list(scenario.PAINTABLE))).groupBy(*scenario.KEY).agg(last.alias("e"))
+        # the running query keeps the settings that it started with
+        return (
+            cells.writeStream.outputMode("update")
+            .format("noop")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def read_overlay(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The overlay that ``continuous_overlay`` has left: cells with a painted value."""
+    state = spark.read.format("statestore").load(checkpoint)
+    keys = state.schema["key"].dataType.fieldNames()
+    event = state.schema["value"].dataType.fieldNames()[0]  # of the value and what it was chosen by
+    t = state.select(*[F.col("key")[k].alias(n) for k, n in zip(keys, scenario.KEY)], F.col("value")[event].alias("e"))
+    return t.where((F.col("e.op") != "clear") & F.col("e.new_value").isNotNull()).select(
+        *scenario.KEY, F.col("e.new_value").alias("painted_value")
     )
 
 

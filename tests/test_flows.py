@@ -103,7 +103,7 @@ def test_stream_keeps_newest_event_whatever_the_order(spark, tmp_path):
     log = log_rows(spark, ROWS).select(*[x.split()[0] for x in paint.EVENT_SCHEMA.split(", ")])
     for ids in ([2, 5], [1, 3], [4, 6]):  # older events arrive later
         log.where(F.col("event_id").isin(ids)).coalesce(1).write.mode("append").parquet(source)
-        paint.continuous_overlay(paint.read_log(spark, source), table, str(tmp_path / "ckpt")).awaitTermination()
+        paint.continuous_overlay(paint.read_log(spark, source), table).awaitTermination()
     assert cells(paint.read_overlay(spark, table)) == {(7, "du"): 6.0, (8, "pop"): 9.0}
 
 

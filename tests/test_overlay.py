@@ -147,3 +147,14 @@ def test_length_along_borders_and_through_holes(spark):
         G.segment_length_in(G.point(3, 3), G.point(3, 3), ell),
     ).first()
     assert [round(v, 9) for v in got] == [4.0, 10.0, 0.0, 5.0, 0.0, round(4 * 2**0.5, 9), round(4 * 2**0.5, 9), 0.0]
+
+
+def test_dissolve_walks_rings(spark):
+    # 4 x 4 tiles without one inside, another part elsewhere, and two tiles that touch in a corner
+    tiles = [square(4 * i, 4 * j, 4) for i in range(4) for j in range(4) if (i, j) != (1, 2)] + [square(100, 0, 4)]
+    df = ring_frame(spark, "a", *((1, w) for w in tiles), (2, square(0, 0, 1)), (2, square(1, 1, 1)), (3, FRAME), (None, square(0, 0, 2)))
+    got = {r["a"]: (r["area"], r["perimeter"], r["rings"]) for r in O.dissolve(df, ["a"]).collect()}
+    assert got == {1: (15 * 16 + 16, 64 + 16 + 16, 3), 2: (2, 8, 2), 3: (64, 64, 2), None: (4, 8, 1)}
+    # tiles walked the other way cancel as well
+    turned = df.withColumn("ring", F.when(F.col("ring")[0]["x"] % 8 == 0, F.reverse("ring")).otherwise(F.col("ring")))
+    assert {r["a"]: (r["area"], r["rings"]) for r in O.dissolve(turned.where("a < 3"), ["a"]).collect()} == {1: (256, 3), 2: (2, 2)}
