@@ -30,7 +30,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landspan.llm.deobfuscate import held_out
-from landspan.llm.store import save
+from landspan.llm.store import bounded_batches, save
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}")
 #: Words that often stand before a secret.
@@ -62,9 +63,9 @@ WORD_DOCS, WORD_LETTERS, PIECE = 3, 4, 12
 #: Words, or candidates, sent to every task at most.
 FEW_ROWS = 500_000
 #: Bits per word of the dictionary that tell most other pieces apart, and bits at most (32 MB).
-BITS_PER_WORD, MOST_BITS = 16, 1 << 28
-#: Words that a task counts before their counts travel.
-COUNT_WORDS = 500_000
+BITS_PER_WORD, MOST_BITS = 32, 1 << 28
+#: Words that a task counts at once.
+COUNT_WORDS = 1_000_000
 TREES, DEPTH, SEED, THRESHOLD = 40, 8, 7, 0.5
 FEATURES = ["length", "digits", "upper", "lower", "marks", "changes", "distinct", "likely", "covered", "path_depth", "path_length", "cue", "cue_near", "assigned", "quoted", "before_known", "after_known"]
 
@@ -73,17 +74,20 @@ def kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
-def covered(word: str, dictionary: set[str]) -> float:
-    """Share of the word that dictionary words of at least 4 letters cover, the longest first from the left."""
-    at = done = 0
-    while at < len(word):
-        for n in range(min(PIECE, len(word) - at), WORD_LETTERS - 1, -1):
-            if word[at : at + n] in dictionary:
-                at, done = at + n, done + n
-                break
-        else:
-            at += 1
-    return done / max(1, len(word))
+def covering(word: str, known: Callable[[str], bool]) -> list[str]:
+    """The dictionary words of at least 4 letters that cover the word, the longest first from the left."""
+    out = []
+    for run in re.findall(r"[^\W\d_]+", word):  # words hold nothing but letters
+        at = 0
+        while at <= len(run) - WORD_LETTERS:
+            for n in range(min(PIECE, len(run) - at), WORD_LETTERS - 1, -1):
+                if known(run[at : at + n]):
+                    out.append(run[at : at + n])
+                    at += n
+                    break
+            else:
+                at += 1
+    return out
 
 
 def beside(text: str, start: int, end: int) -> tuple[str, str]:
@@ -118,6 +122,10 @@ def features(text: str, start: int, end: int, path: str) -> list[float]:
     ]
 
 
+#: One of these, whatever the case, is part of all that FORMATS or ASSIGNED match.
+TRIGGERS = ("akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "aiza", "token", "password", "passwd", "pwd", "secret", "apikey", "api_key")
+
+
 def secret_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the findings that a known format marks as secrets."""
     return [m.span(1) if m.group(1) else m.span() for m in FORMATS.finditer(text)]
@@ -131,7 +139,8 @@ def assigned_spans(text: str) -> list[tuple[int, int]]:
 
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, known) of all candidates; ``known``: 1 if a format marks it, -1 if it is assigned and none does, else 0."""
-    marked, assigned = secret_spans(text), assigned_spans(text)
+    low = text.casefold()
+    marked, assigned = (secret_spans(text), assigned_spans(text)) if any(t in low for t in TRIGGERS) else ([], [])
     every = sorted({m.span() for m in CANDIDATE.finditer(text)} | {*marked, *assigned}, key=lambda s: (s[0], -s[1]))
     out, last = [], 0
     for a, b in every:
@@ -165,58 +174,66 @@ FOUND_DDL = (
 
 
 def word_bits(words: DataFrame) -> np.ndarray:
-    """Bits at the hashes of the words, about ``BITS_PER_WORD`` for each and ``MOST_BITS`` at most: no word is missed."""
+    """Bits at two hashes of each word, about ``BITS_PER_WORD`` for each word and ``MOST_BITS`` at most: no word is missed."""
     slots = 1 << 15
     while slots < min(MOST_BITS, BITS_PER_WORD * words.count()):
         slots *= 2
-    slot = F.pmod(F.xxhash64("word"), F.lit(slots)) + 1
-    parts = words.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    h = F.xxhash64("word")
+    both = F.explode(F.array(*(F.pmod(x, F.lit(slots)) + 1 for x in (h, F.shiftright(h, 32))))).alias("slot")
+    parts = words.select(both).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     out = np.zeros((slots >> 15, 1 << 12), np.uint8)
     for r in parts.toArrow().to_pylist():
         out[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
 
-def _pieces(bits: np.ndarray):
-    """The pieces of a candidate that may be words: those whose hash has its bit."""
+def _word_features(pairs: dict[str, float], bits: np.ndarray):
+    """Of every distinct candidate (low, and the pieces that are ``no`` words) how likely its characters follow each other, and what covers it.
+
+    A piece counts as a word if the bits say so and it is not known to be none.
+    """
     last = len(bits) * 8 - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bits.tobytes()
 
         def maybe(piece: str) -> bool:
-            slot = xxhash.xxh64_intdigest(piece.encode(), 42) & last  # the seed of Spark's xxhash64
-            return bool(held[slot >> 3] >> (slot & 7) & 1)
+            h = xxhash.xxh64_intdigest(piece.encode(), 42)  # the seed of Spark's xxhash64
+            a, b = h & last, h >> 32 & last
+            return bool(held[a >> 3] >> (a & 7) & 1 and held[b >> 3] >> (b & 7) & 1)
 
         for batch in batches:
-            low, piece = [], []
-            for x in batch.column(0).to_pylist():
-                # a piece of letters: words of the dictionary hold nothing else
-                mine = {
-                    r[i : i + n]
-                    for r in re.findall(r"[^\W\d_]+", x)
-                    for i in range(len(r) - WORD_LETTERS + 1)
-                    for n in range(WORD_LETTERS, min(PIECE, len(r) - i) + 1)
-                }
-                mine = [w for w in mine if maybe(w)]
-                low += [x] * len(mine)
-                piece += mine
-            yield pa.RecordBatch.from_arrays([pa.array(low, pa.string()), pa.array(piece, pa.string())], ["low", "word"])
+            low, no = (c.to_pylist() for c in batch.columns)
+            likely = [sum(pairs.get(x[i : i + 2], -9.0) for i in range(len(x) - 1)) / max(1, len(x) - 1) for x in low]
+            parts = [covering(x, (lambda p, n=n: p not in n and maybe(p)) if n else maybe) for x, n in zip(low, no)]
+            cover = [sum(map(len, p)) / max(1, len(x)) for x, p in zip(low, parts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(likely, pa.float64()), pa.array(cover, pa.float64()), pa.array(parts, pa.list_(pa.string()))], ["low", "likely", "covered", "parts"])
 
     return work
 
 
-def _word_features(pairs: dict[str, float]):
-    """Of every distinct candidate, how likely its characters follow each other and how much of it words cover."""
+def word_features(low: DataFrame, pairs: dict[str, float], dictionary: DataFrame, few: int) -> DataFrame:
+    """low, likely, covered of every distinct candidate; ``covered`` is exact.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low, parts = (c.to_pylist() for c in batch.columns)
-            likely = [sum(pairs.get(x[i : i + 2], -9.0) for i in range(len(x) - 1)) / max(1, len(x) - 1) for x in low]
-            cover = [covered(x, set(p or ())) for x, p in zip(low, parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(likely, pa.float64()), pa.array(cover, pa.float64())], ["low", "likely", "covered"])
-
-    return work
+    Candidates are covered by the bits; the words so used are looked up in the dictionary,
+    and candidates with one that is none are covered again without it, until all are words.
+    """
+    work = _word_features(pairs, word_bits(dictionary))
+    todo, done = low.select("low", F.array().cast("array<string>").alias("no")), None
+    while True:
+        tried = save(todo.mapInArrow(work, "low string, likely double, covered double, parts array<string>"), "covered")
+        used = tried.select("low", F.explode("parts").alias("word"))
+        false = save(used.select("word").distinct().join(small(dictionary, few), "word", "left_anti"), "no_words")
+        wrong = save(used.join(small(false, few), "word").groupBy("low").agg(F.collect_set("word").alias("more")), "wrong")
+        if wrong.isEmpty():
+            good = tried
+        else:
+            good = tried.join(small(wrong, few).select("low"), "low", "left_anti")
+        good = good.select("low", "likely", "covered")
+        done = good if done is None else done.unionByName(good)
+        if wrong.isEmpty():
+            return done
+        todo = todo.join(wrong, "low").select("low", F.array_union("no", "more").alias("no"))
 
 
 def small(df: DataFrame, few: int) -> DataFrame:
@@ -234,9 +251,7 @@ def candidates(documents: DataFrame, pairs: dict[str, float], dictionary: DataFr
     found = save(rows.mapInArrow(_found, FOUND_DDL), "found")
     words = small(dictionary, few)
     low = found.select("low").distinct()
-    pieces = low.mapInArrow(_pieces(word_bits(dictionary)), "low string, word string").join(words, "word", "left_semi")
-    of_word = low.join(pieces.groupBy("low").agg(F.collect_set("word").alias("parts")), "low", "left")
-    of_word = small(save(of_word.mapInArrow(_word_features(pairs), "low string, likely double, covered double"), "found_words"), few)
+    of_word = small(save(word_features(low, pairs, dictionary, few), "found_words"), few)
     out = found.join(of_word, "low")
     for side in ("before", "after"):
         near = found.select(F.col(side).alias("word")).distinct().join(words, "word", "left_semi")
@@ -248,23 +263,27 @@ def candidates(documents: DataFrame, pairs: dict[str, float], dictionary: DataFr
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def counted():
+    texts: list[list[str]] = []
+
+    def counted() -> pa.RecordBatch:
+        n, docs = Counter(chain.from_iterable(texts)), Counter(chain.from_iterable(map(set, texts)))
+        texts.clear()
         return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[w] for w in n], pa.int64())], ["word", "n", "docs"])
 
-    n, docs = Counter(), Counter()
+    size = 0
     for batch in batches:
         for text in batch.column(0):
-            here = Counter(re.findall(r"[^\W\d_]+", (text.as_py() or "").lower()))
-            n.update(here)
-            docs.update(here.keys())
-            if len(n) >= COUNT_WORDS:
+            texts.append(re.findall(r"[^\W\d_]+", (text.as_py() or "").lower()))
+            size += len(texts[-1])
+            if size >= COUNT_WORDS:
                 yield counted()
-                n, docs = Counter(), Counter()
+                size = 0
     yield counted()
 
 
 def background(documents: DataFrame) -> tuple[dict[str, float], DataFrame]:
     """Log probabilities of letter pairs, and the dictionary (word), of all documents."""
+    bounded_batches(documents.sparkSession)
     words = documents.select("text").mapInArrow(_count_words, "word string, n long, docs long")
     words = save(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "words")
     at = F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i")

@@ -424,6 +424,25 @@ def test_proximity(spark):
     assert positional_index.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).where("contaminated").count() == 0
 
 
+def test_bits_miss_no_word_and_covers_are_exact(spark, monkeypatch):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randrange(4, 9))) for _ in range(3000)})
+    low = ["".join(rng.choice([*words, "zzzz", "-7_"]) for _ in range(4)) + str(i) for i in range(400)] + ["", "--", "abc"]
+    dictionary = spark.createDataFrame([(w,) for w in words], "word string")
+    df = spark.createDataFrame([(x,) for x in low], "low string").distinct()
+    want = {x: sum(map(len, secret_forest.covering(x, set(words).__contains__))) / max(1, len(x)) for x in low}
+    for per_word in (32, 2):  # with few bits many pieces pass that are no words
+        monkeypatch.setattr(secret_forest, "BITS_PER_WORD", per_word)
+        got = {r["low"]: r["covered"] for r in secret_forest.word_features(df, {}, dictionary, 500_000).collect()}
+        assert got == want and 0 < sum(got.values()) < len(got)
+
+
+def test_triggers_are_in_all_that_the_formats_match():
+    for t in ("AKIA" + "A" * 16, "ghu_" + "a" * 36, "xoxb-" + "1" * 12, "AIza" + "x" * 35, "\u017fecret=abcdefabcdef", "API_KEY: 'abcdefabcdef'", "apikey=abcdefabcdef", "to\u212aen=abcdefabcdef"):
+        found = secret_forest.FORMATS.search(t) or secret_forest.ASSIGNED.search(t)
+        assert found and [s for s in secret_forest.spans(t) if s[2]]
+
+
 # ---- 9
 
 
