@@ -55,7 +55,8 @@ def assessor_parcels(raw: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
     Rows without a lot size are sub-units: they become one parcel per 8-character
     prefix, whose area is the hull of their centres grown by 5 m (a 30 m disc around
     the centre for fewer than 3), with the most frequent codes.  Other rows keep the
-    largest lot per number; ``tie`` breaks equal lots.
+    largest lot per number; ``tie`` breaks equal lots.  ``x``, ``y`` are the lot's centre,
+    or the centroid of the ``hull`` (a ring, null for lots) of the merged centres.
 
     ``raw``: apn, lotsize (sqft), landuse, zone, jurisdiction, x, y (centre, metres).
     """
@@ -68,14 +69,17 @@ def assessor_parcels(raw: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
     big = G.buffered_hull_area(F.col("hull"), SUB_UNIT_BUFFER_M)
     disc = F.pi() * FEW_UNITS_BUFFER_M * FEW_UNITS_BUFFER_M
     merged = merged.select(
-        "prefix", (F.when(F.col("n") >= 3, big).otherwise(disc) / SQM_PER_ACRE).alias("lot_size_acres")
-    )
+        "prefix",
+        (F.when(F.col("n") >= 3, big).otherwise(disc) / SQM_PER_ACRE).alias("lot_size_acres"),
+        "hull",
+        G.centroid(F.col("hull")).alias("centre"),
+    ).select("*", "centre.x", "centre.y").drop("centre")
     for n in labels:
         merged = merged.join(ranking.modes(units, ["prefix"], n, n), "prefix", "left")
     merged = merged.withColumn("apn", F.concat("prefix", F.lit("0000"))).drop("prefix")
     lots = ranking.first_per(
         raw.where(has_lot), ["apn"], [F.desc("lotsize"), *[F.asc(t) for t in tie]]
-    ).select("apn", (F.col("lotsize") / SQFT_PER_ACRE).alias("lot_size_acres"), *labels)
+    ).select("apn", (F.col("lotsize") / SQFT_PER_ACRE).alias("lot_size_acres"), *labels, "x", "y", F.lit(None).cast(G.RING).alias("hull"))
     both = lots.unionByName(merged.select(lots.columns))
     return both.withColumn("land_development_category", land_category(F.col("landuse")))
 
@@ -275,9 +279,9 @@ def parcel_zone_overlaps(parcels: DataFrame, zones: DataFrame, cell: float, keep
 def crosswalk_pairs(targets: DataFrame, parcels: DataFrame, cell: float) -> DataFrame:
     """BAS42: unique (parcel_id, apn) pairs with their largest overlap; rings or boxes on either side."""
     # an id may have several polygons, told apart by their rings
-    own = spatial.ringed(targets).select("parcel_id", "ring").withColumn("_ring", F.xxhash64("ring"))
-    own = own.dropDuplicates(["parcel_id", "_ring"])
-    pairs = overlay.overlaps(own, spatial.ringed(parcels).select("apn", "ring"), ["parcel_id", "_ring"], ["apn"], cell)
+    own = spatial.ringed(targets).select("parcel_id", "ring").withColumn("_shape", F.xxhash64("ring"))
+    own = own.dropDuplicates(["parcel_id", "_shape"])
+    pairs = overlay.overlaps(own, spatial.ringed(parcels).select("apn", "ring"), ["parcel_id", "_shape"], ["apn"], cell)
     return pairs.groupBy("parcel_id", "apn").agg(F.max("overlap").alias("intersect_area_m2"))
 
 

@@ -202,16 +202,22 @@ def embedding_features(embeddings: DataFrame, apns: DataFrame, k: int = COMPONEN
     return out.join(apns.select("parcel_id", "apn").distinct(), "parcel_id", "left"), model
 
 
-def search(train: DataFrame, target: str, e: Encoding, grid: Mapping[str, Sequence], folds: int = 3) -> tuple[dict, float]:
-    """ML11: cross-validated search by root mean square error: best setting and score."""
-    model = GBTRegressor(labelCol=target, seed=SEED, maxIter=5)
+def search(
+    train: DataFrame, target: str, e: Encoding, grid: Mapping[str, Sequence], folds: int = 3, rounds: int = 100, parallelism: int = 4
+) -> tuple[dict, float]:
+    """ML11: cross-validated search by root mean square error: best setting and score.
+
+    ``grid``: values of any parameters of the boosted trees; those of ``maxIter`` come
+    before ``rounds``.  Settings are fitted ``parallelism`` at a time.
+    """
+    model = GBTRegressor(labelCol=target, seed=SEED, maxIter=rounds)
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(getattr(model, name), list(values))
     maps = builder.build()
     pipe = Pipeline(stages=[VectorAssembler(inputCols=e.columns, outputCol="features"), model])
     cv = CrossValidator(
-        estimator=pipe, estimatorParamMaps=maps, numFolds=folds, seed=SEED, parallelism=2,
+        estimator=pipe, estimatorParamMaps=maps, numFolds=folds, seed=SEED, parallelism=parallelism,
         evaluator=RegressionEvaluator(labelCol=target, metricName="rmse"),
     )
     fitted = cv.fit(encode(train, e))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landspan.functions import expr as X
+from landspan.operators import spatial
 from landspan.session import cut
 
 MIN_DISTANCE = 1e-10
@@ -35,6 +36,16 @@ def _result(zones: DataFrame, by_origin: DataFrame, by_dest: DataFrame) -> DataF
     )
 
 
+def pairs_within(places: DataFrame, reach_km: float) -> DataFrame:
+    """JOI20: the OD table (origin, dest, network_distance_km) of all places at most ``reach_km`` apart, each with itself too.
+
+    A self join on grid cells as wide as the reach, so the work follows the pairs that
+    there are and not the square of the places.  ``places``: parcel_id, x, y in km.
+    """
+    near = spatial.near(places.select("parcel_id", "x", "y"), places.select("parcel_id", "x", "y"), reach_km)
+    return near.select(F.col("l.parcel_id").alias("origin"), F.col("r.parcel_id").alias("dest"), F.col("distance").alias("network_distance_km"))
+
+
 def gravity(od: DataFrame, zones: DataFrame, decay: float = 2.0) -> DataFrame:
     """TRN01 over an OD table (origin, dest, network_distance_km).
 

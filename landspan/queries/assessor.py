@@ -53,14 +53,16 @@ _CAT = """CASE WHEN left(landuse, 2) IN ('10','11','12','13','14','15','16','17'
 @query(
     "BAS01_assessor_parcels",
     f"""WITH r AS ({RAW_PARCELS}), su AS (SELECT *, left(apn, 8) AS prefix FROM r WHERE lotsize IS NULL OR lotsize <= 0), {_mode_cte('landuse')}, {_mode_cte('zone')}, {_mode_cte('jurisdiction')},
-    h AS (SELECT prefix, sum(n) AS n, count(*) AS c, max(x) - min(x) AS w, max(y) - min(y) AS h FROM (SELECT prefix, x, y, count(*) AS n FROM su GROUP BY prefix, x, y) GROUP BY prefix),
+    h AS (SELECT prefix, sum(n) AS n, count(*) AS c, max(x) - min(x) AS w, max(y) - min(y) AS h, avg(x) AS x, avg(y) AS y FROM (SELECT prefix, x, y, count(*) AS n FROM su GROUP BY prefix, x, y) GROUP BY prefix),
     hp AS (SELECT *, CASE WHEN c = 4 THEN w * h WHEN c = 3 THEN w * h / 2 ELSE 0e0 END AS a, CASE WHEN c = 4 THEN 2 * (w + h) WHEN c = 3 THEN w + h + sqrt(w * w + h * h) ELSE 2 * sqrt(w * w + h * h) END AS p FROM h),
-    u AS (SELECT hp.prefix || '0000' AS apn, CASE WHEN n >= 3 THEN a + p * 5e0 + pi() * 25e0 ELSE pi() * 900e0 END / 4046.86e0 AS lot_size_acres, landuse, zone, jurisdiction FROM hp LEFT JOIN m_landuse USING (prefix) LEFT JOIN m_zone USING (prefix) LEFT JOIN m_jurisdiction USING (prefix)
-      UNION ALL SELECT apn, lotsize / 43560e0, landuse, zone, jurisdiction FROM (SELECT *, row_number() OVER (PARTITION BY apn ORDER BY lotsize DESC, l_partkey, l_suppkey) AS rn FROM r WHERE lotsize > 0) WHERE rn = 1)
-    SELECT apn, {num('lot_size_acres', 'lot_size_acres', 6)}, landuse, zone, jurisdiction, {_CAT} AS land_development_category FROM u""",
+    u AS (SELECT hp.prefix || '0000' AS apn, CASE WHEN n >= 3 THEN a + p * 5e0 + pi() * 25e0 ELSE pi() * 900e0 END / 4046.86e0 AS lot_size_acres, landuse, zone, jurisdiction, x, y, c AS corners FROM hp LEFT JOIN m_landuse USING (prefix) LEFT JOIN m_zone USING (prefix) LEFT JOIN m_jurisdiction USING (prefix)
+      UNION ALL SELECT apn, lotsize / 43560e0, landuse, zone, jurisdiction, x, y, NULL FROM (SELECT *, row_number() OVER (PARTITION BY apn ORDER BY lotsize DESC, l_partkey, l_suppkey) AS rn FROM r WHERE lotsize > 0) WHERE rn = 1)
+    SELECT apn, {num('lot_size_acres', 'lot_size_acres', 6)}, landuse, zone, jurisdiction, {num('x', 'x', 6)}, {num('y', 'y', 6)}, corners::INTEGER AS corners, {_CAT} AS land_development_category FROM u""",
 )
 def assessor_parcels(t: Tables):
-    return rounded(P.assessor_parcels(raw_parcels(t), ["l_partkey", "l_suppkey"]), 6)
+    out = P.assessor_parcels(raw_parcels(t), ["l_partkey", "l_suppkey"])
+    corners = F.when(F.col("hull").isNotNull(), F.size("hull"))
+    return rounded(out.withColumn("corners", corners).drop("hull"), 6)
 
 
 SALE_DEDUP = """SELECT apn, living_area AS actual_living_sqft, building_sf AS actual_building_sqft, property_type, lot_size_acres AS sales_lot_size_acres, units FROM (SELECT *, row_number() OVER (PARTITION BY apn ORDER BY

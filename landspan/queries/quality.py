@@ -310,7 +310,7 @@ def embedding_dedup(t: Tables):
 @query("ML11_parameter_search")
 def parameter_search(t: Tables):
     train = training(t)
-    best, score = ml.search(train, "du_detsf_sl", ml.learn_encoding(train), {"maxDepth": [2, 3]}, folds=2)
+    best, score = ml.search(train, "du_detsf_sl", ml.learn_encoding(train), {"maxDepth": [2, 4], "stepSize": [0.1, 0.3], "subsamplingRate": [0.8]}, folds=3, rounds=8)
     return t.spark.createDataFrame([(str(best), float(score))], "setting string, rmse double")
 
 
@@ -451,10 +451,17 @@ def audit_form_tiers(t: Tables):
     )
 
 
-@audit("AUD08_case_tables", "SELECT n_nationkey, n_regionkey, 2 AS expected_n_regionkey FROM nation WHERE n_regionkey IS DISTINCT FROM 2 AND n_nationkey < 3 UNION ALL SELECT 99, NULL, 2")
+@audit(
+    "AUD08_case_tables",
+    # every order is a case whose status is expected to be that of its priority; one in ten cases has no order
+    "SELECT k AS o_orderkey, s AS o_orderstatus, e AS expected_o_orderstatus FROM (SELECT o_orderkey AS k, o_orderstatus AS s, CASE WHEN o_orderpriority = '1-URGENT' THEN 'F' WHEN o_orderpriority = '2-HIGH' THEN NULL ELSE 'O' END AS e FROM orders WHERE o_orderkey % 10 <> 0) WHERE s IS DISTINCT FROM e "
+    "UNION ALL SELECT -o_orderkey - 1, NULL, CASE WHEN o_orderpriority = '1-URGENT' THEN 'F' WHEN o_orderpriority = '2-HIGH' THEN NULL ELSE 'O' END FROM orders WHERE o_orderkey % 10 = 0",
+)
 def audit_case_tables(t: Tables):
-    cases = t.spark.createDataFrame([(i, 2) for i in (0, 1, 2, 99)], "n_nationkey int, n_regionkey int")
-    return Q.expected_rows(t.nation, cases, ["n_nationkey"], ["n_regionkey"])
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    expected = F.when(p == "1-URGENT", "F").when(p == "2-HIGH", None).otherwise("O")
+    cases = t.orders.select(F.when(k % 10 == 0, -k - 1).otherwise(k).alias("o_orderkey"), expected.alias("o_orderstatus"))
+    return Q.expected_rows(t.orders, cases, ["o_orderkey"], ["o_orderstatus"])
 
 
 # --- the function surface --------------------------------------------------------------------

@@ -256,11 +256,15 @@ def constraint_stream(t: Tables):
     return t.spark.read.parquet(blocked).select(*cols).unionByName(t.spark.read.parquet(warned).select(*cols))
 
 
-@query("STR03_edit_activity")
+@query(
+    "STR03_edit_activity",
+    # a bucket is closed once the newest event is two hours past its end
+    ctes("paint") + "SELECT scenario_id, strftime(b, '%Y-%m-%d %H:%M') AS bucket, n AS edits FROM (SELECT scenario_id, date_trunc('hour', painted_at) AS b, count(*) AS n FROM paint GROUP BY 1, 2), (SELECT max(painted_at) AS newest FROM paint) WHERE b + INTERVAL 3 HOUR <= newest",
+)
 def edit_activity(t: Tables):
     path = scratch_path(t.spark, "activity")
     P.write_activity(P.read_log(t.spark, landed_log(t)), path, scratch_path(t.spark, "ckpt")).awaitTermination()
-    return t.spark.read.parquet(path)
+    return t.spark.read.parquet(path).select("scenario_id", F.date_format("bucket", "yyyy-MM-dd HH:mm").alias("bucket"), "edits")
 
 
 @query("STR03_edit_activity_batch", ctes("paint") + "SELECT scenario_id, strftime(date_trunc('hour', painted_at), '%Y-%m-%d %H:%M') AS bucket, count(*) AS edits FROM paint GROUP BY 1, 2")
@@ -328,7 +332,19 @@ ALL_PAIRS = (
 )
 
 
-@query("JOI20_all_pairs", ALL_PAIRS)
+def places(t: Tables):
+    return t.supplier.selectExpr(*_Z.removeprefix("SELECT ").removesuffix(" FROM supplier").split(", "))
+
+
 @query("TRN02_gravity_all_pairs", ALL_PAIRS)
 def gravity_all_pairs(t: Tables):
-    return rounded(T.gravity_all(t.supplier.selectExpr(*_Z.removeprefix("SELECT ").removesuffix(" FROM supplier").split(", ")), tile=256))
+    # several tiles even on the smallest tables
+    return rounded(T.gravity_all(places(t), tile=32))
+
+
+_NEAR = f"""WITH z AS ({_Z}), p AS (SELECT a.parcel_id AS o, b.parcel_id AS t, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM z a JOIN z b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 12.5e0 * 12.5e0)"""
+
+
+@query("JOI20_bounded_pairs", _NEAR + f" SELECT o AS origin, t AS dest, {rds('d', 6)} AS network_distance_km FROM p")
+def bounded_pairs(t: Tables):
+    return rounded(T.pairs_within(places(t), 12.5), 6)

@@ -13,7 +13,7 @@ ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
 # no SQL says the same: samples, models, iterative breaks, a stream's closed windows
 ROWS_ONLY = {
-    "STR03_edit_activity", "ML03_du_regressor", "ML04_sqft_regressor",
+    "ML03_du_regressor", "ML04_sqft_regressor",
     "ML05_jobs_regressor", "ML06_transfer", "ML08_holdout_r2", "ML10_embedding_features", "ML11_parameter_search",
 }
 
