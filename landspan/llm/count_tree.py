@@ -94,7 +94,7 @@ def _points(frequent: np.ndarray, groups: int, percent: int):
     def packed(counts: np.ndarray, m: int) -> pa.Array:
         width = 2 * len(counts) // max(m, 1)
         ends = pa.py_buffer((np.arange(m + 1) * width).astype(np.int32))
-        return pa.Array.from_buffers(pa.binary(), m, [None, ends, pa.py_buffer(np.minimum(counts, 65535).astype("<u2"))])
+        return pa.Array.from_buffers(pa.binary(), m, [None, ends, pa.py_buffer(np.minimum(counts, FULL).astype("<u2"))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,14 +161,28 @@ def _counts(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u2").reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint16)
 
 
+#: A count that is held as the largest number may be larger, so it bounds nothing.
+FULL, NO_BOUND = 65535, 1 << 62
+
+
+def _most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bound of the shared shingles, point by point: the sum of coordinate minima."""
+    least = np.minimum(a, b)
+    return np.where((least >= FULL).any(axis=-1), NO_BOUND, least.sum(axis=-1, dtype=np.int64))
+
+
+def _reaches(most: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``n`` shingles together that share ``most`` at most can be similar."""
+    return (most == NO_BOUND) | ((100 + percent) * np.minimum(most, NO_BOUND >> 8) >= percent * n)
+
+
 def _can_link(percent: int):
     """Keep rows (…, n_a, n_b, point_a, point_b) whose points allow the similarity."""
 
     def work(batches):
         for pdf in batches:
             a, b = _counts(pdf["point_a"]), _counts(pdf["point_b"])
-            most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-            ok = (100 + percent) * most >= percent * (pdf["n_a"].to_numpy() + pdf["n_b"].to_numpy())
+            ok = _reaches(_most_shared(a, b), pdf["n_a"].to_numpy() + pdf["n_b"].to_numpy(), percent)
             yield pdf.loc[ok, ["a", "b"]]
 
     return work
@@ -242,14 +256,12 @@ def _may_link(percent: int):
                 one = r.ids_2 is None
                 a, n, la = _counts(r.points_1), np.asarray(r.ns_1), np.asarray(r.labels_1)
                 b, m, lb = (a, n, la) if one else (_counts(r.points_2), np.asarray(r.ns_2), np.asarray(r.labels_2))
-                corner = np.minimum(a.max(axis=0), b.max(axis=0)).sum(dtype=np.int64)
-                if (100 + percent) * int(corner) < percent * int(n.min() + m.min()):
+                if not _reaches(_most_shared(a.max(axis=0), b.max(axis=0)), n.min() + m.min(), percent):
                     continue  # no point of one box can link with one of the other
                 left, right = np.zeros(len(n), bool), np.zeros(len(m), bool)
                 for x in range(len(n)):
                     y = np.flatnonzero((la[x] != lb) & (100 * np.minimum(n[x], m) >= percent * np.maximum(n[x], m)))
-                    most = np.minimum(a[x], b[y]).sum(axis=1, dtype=np.int64)
-                    y = y[(100 + percent) * most >= percent * (n[x] + m[y])]
+                    y = y[_reaches(_most_shared(a[x], b[y]), n[x] + m[y], percent)]
                     left[x], right[y] = left[x] or len(y) > 0, True
                 if one:
                     left |= right

@@ -144,3 +144,27 @@ def test_language(docs, none):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (1, 6, 7)} == {"en"}
     assert {r["lang_pred"] for r in language_bits.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language_bits.identify(none).count() == 0
+
+
+def test_pipeline(spark, docs, none, labels, items, tmp_path):
+    """Nulls, repeated ids, clashing columns and empty tables pass through all stages."""
+    import corpus_pipeline
+
+    for name, table in (("rows", docs), ("none", none)):
+        sf = str(tmp_path / name)
+        table.repartition(2).write.parquet(f"{sf}/documents.parquet")
+        labels.withColumn("toxic", F.lit(0)).write.parquet(f"{sf}/labels.parquet")  # nothing is learned, nothing rejected
+        items.where("item_id is null or item_id <> 1").write.parquet(f"{sf}/benchmark.parquet")
+        kept = spark.read.parquet(f"{sf}/documents.parquet")
+        columns = kept.columns
+        for at, (stage, fn) in enumerate(corpus_pipeline.STAGES):
+            kept = fn(spark, kept, sf)
+            if at + 1 < len(corpus_pipeline.STAGES):
+                assert kept.columns == columns, stage
+        assert {"doc_id", "taken"} <= set(kept.columns)
+        got = sorted((r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()), key=str)
+        if name == "none":
+            assert got == []
+        else:
+            # 7 and the row without id hold an item; 2 is linked to 1, the smaller id; nothing else goes
+            assert [i for i in got if i is not None] == [1, 3, 4, 5, 6]

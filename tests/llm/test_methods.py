@@ -17,7 +17,7 @@ from landspan.llm import (
 )
 
 SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-TABLES = ("documents", "labels", "benchmark")
+TABLES = ("documents", "labels", "benchmark", "embeddings")
 
 
 def vocabulary(rng, n=400):
@@ -424,6 +424,12 @@ def test_proximity(spark):
     assert positional_index.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).where("contaminated").count() == 0
 
 
+def test_full_counts_bound_nothing():
+    a, b = np.array([[65535, 3]], np.uint16), np.array([[65535, 1], [7, 1]], np.uint16)
+    assert count_tree._reaches(count_tree._most_shared(a, b), np.array([10**9, 10**9]), 75).tolist() == [True, False]
+    assert count_tree._reaches(count_tree._most_shared(a[0], b[1]), np.int64(18), 75)
+
+
 def test_bits_miss_no_word_and_covers_are_exact(spark, monkeypatch):
     rng = random.Random(8)
     words = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randrange(4, 9))) for _ in range(3000)})
