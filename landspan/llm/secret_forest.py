@@ -60,8 +60,6 @@ CLOSING = ".:!?"
 FIT_ROWS = 20_000
 #: Documents that hold a word of the dictionary, and its letters, at least; letters of a piece, at most.
 WORD_DOCS, WORD_LETTERS, PIECE = 3, 4, 12
-#: Words, or candidates, sent to every task at most.
-FEW_ROWS = 500_000
 #: Bits per word of the dictionary that tell most other pieces apart, and bits at most (32 MB).
 BITS_PER_WORD, MOST_BITS = 32, 1 << 28
 #: Words that a task counts at once.
@@ -212,7 +210,7 @@ def _word_features(pairs: dict[str, float], bits: np.ndarray):
     return work
 
 
-def word_features(low: DataFrame, pairs: dict[str, float], dictionary: DataFrame, few: int) -> DataFrame:
+def word_features(low: DataFrame, pairs: dict[str, float], dictionary: DataFrame) -> DataFrame:
     """low, likely, covered of every distinct candidate; ``covered`` is exact.
 
     Candidates are covered by the bits; the words so used are looked up in the dictionary,
@@ -223,12 +221,12 @@ def word_features(low: DataFrame, pairs: dict[str, float], dictionary: DataFrame
     while True:
         tried = save(todo.mapInArrow(work, "low string, likely double, covered double, parts array<string>"), "covered")
         used = tried.select("low", F.explode("parts").alias("word"))
-        false = save(used.select("word").distinct().join(small(dictionary, few), "word", "left_anti"), "no_words")
-        wrong = save(used.join(small(false, few), "word").groupBy("low").agg(F.collect_set("word").alias("more")), "wrong")
+        false = save(used.select("word").distinct().join(dictionary, "word", "left_anti"), "no_words")
+        wrong = save(used.join(false, "word").groupBy("low").agg(F.collect_set("word").alias("more")), "wrong")
         if wrong.isEmpty():
             good = tried
         else:
-            good = tried.join(small(wrong, few).select("low"), "low", "left_anti")
+            good = tried.join(wrong.select("low"), "low", "left_anti")
         good = good.select("low", "likely", "covered")
         done = good if done is None else done.unionByName(good)
         if wrong.isEmpty():
@@ -236,12 +234,7 @@ def word_features(low: DataFrame, pairs: dict[str, float], dictionary: DataFrame
         todo = todo.join(wrong, "low").select("low", F.array_union("no", "more").alias("no"))
 
 
-def small(df: DataFrame, few: int) -> DataFrame:
-    """``df``, sent to every task if it has at most ``few`` rows."""
-    return F.broadcast(df) if df.count() <= few else df
-
-
-def candidates(documents: DataFrame, pairs: dict[str, float], dictionary: DataFrame, path: str = "source", few: int = FEW_ROWS) -> DataFrame:
+def candidates(documents: DataFrame, pairs: dict[str, float], dictionary: DataFrame, path: str = "source") -> DataFrame:
     """doc_id, start, length, finding, known, undecided, features of every candidate.
 
     ``known``: a format marks it as a secret; ``undecided``: it is assigned and no format says anything.
@@ -249,13 +242,12 @@ def candidates(documents: DataFrame, pairs: dict[str, float], dictionary: DataFr
     where = F.col(path).cast("string") if path in documents.columns else F.lit("")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), "text")
     found = save(rows.mapInArrow(_found, FOUND_DDL), "found")
-    words = small(dictionary, few)
     low = found.select("low").distinct()
-    of_word = small(save(word_features(low, pairs, dictionary, few), "found_words"), few)
+    of_word = save(word_features(low, pairs, dictionary), "found_words")
     out = found.join(of_word, "low")
     for side in ("before", "after"):
-        near = found.select(F.col(side).alias("word")).distinct().join(words, "word", "left_semi")
-        near = small(save(near.select(F.col("word").alias(side), F.lit(1.0).alias(f"{side}_known")), f"found_{side}"), few)
+        near = found.select(F.col(side).alias("word")).distinct().join(dictionary, "word", "left_semi")
+        near = save(near.select(F.col("word").alias(side), F.lit(1.0).alias(f"{side}_known")), f"found_{side}")
         out = out.join(near, side, "left")
     put = {"likely": F.col("likely"), "covered": F.col("covered")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("before_known", "after_known")}
     whole = F.array(*(put.get(name, F.col("features")[i]) for i, name in enumerate(FEATURES)))
