@@ -199,6 +199,67 @@ def multi_family_codes(df: DataFrame, form: str = "built_form_key") -> DataFrame
     return outside_domain(df.where(two.isin("A2", "AT")), form, MULTI_FAMILY)
 
 
+# Use codes and the one form that the code tier may give them.
+CODE_AUDITS = {
+    "A3_to_attsf": (["A3"], K.ATTACHED),
+    "A4_to_detsf": (["A4"], K.SMALL_LOT),
+    "AD_to_undeveloped": (["AD"], K.VACANT),
+    "AE_to_commercial": (["AE"], K.RETAIL),
+    "AF_to_industrial": (["AF"], K.INDUSTRY),
+    "AG_to_agricultural": (["AG"], K.FARM),
+    "AHAJ_to_civic": (["AH", "AJ"], K.CIVIC),
+    "AQ_to_undeveloped": (["AQ"], K.VACANT),
+    "civic_codes": (["GC", "GA", "HJ"], K.CIVIC),
+    "commercial_codes": (["CA", "BA", "BF", "BC", "BB", "BE", "BD", "CG", "MS", "MU", "MP"], K.RETAIL),
+    "industrial_codes": (["IA", "IG", "IB"], K.INDUSTRY),
+}
+FARM_ACRES, LARGE_ACRES, BARE_RATIO = 10.0, 3.0, 0.02
+
+
+def form_rules() -> dict[str, Column]:
+    """AUD07: for each rule whether a row violates it.
+
+    Rows: landuse, lot_size_acres, zone, intersection_density, property_type,
+    sales_lot_size_acres, units, footprint_ratio, and the forms tier0, tier1, tier2, tier3b,
+    tier4 and built_form_key (null where a tier does not speak, which violates nothing).
+    """
+    c = F.col
+    two, lot = F.substring("landuse", 1, 2), c("lot_size_acres")
+    t, n = c("property_type"), X.or_zero("units")
+    single = t.isin("SFR", "Single Family Residence") | t.startswith("Single Family")
+    multi = t.isin("MF", "Multiple Family Residence") | t.startswith("Multiple Family")
+    by_density = F.when(K.dense("intersection_density"), K.SMALL_LOT).otherwise(K.LARGE_LOT)
+    homes = [K.SMALL_LOT, K.LARGE_LOT]
+    farmland = c("zone").contains("A")
+    by_area = X.ladder(
+        [
+            (lot > FARM_ACRES, K.FARM),
+            ((lot > LARGE_ACRES) & farmland, K.FARM),
+            (lot > K.SMALL_LOT_ACRES, K.LARGE_LOT),
+            (lot > 0.01, K.SMALL_LOT),
+        ]
+    )
+    rules = {k: two.isin(codes) & (c("tier0") != form) for k, (codes, form) in CODE_AUDITS.items()}
+    rules |= {
+        "A1_to_detsf": (two == "A1") & (F.coalesce(F.nullif(lot, F.lit(0.0)), F.lit(0.01)) >= K.TINY_LOT_ACRES) & (c("tier0") != by_density),
+        "A2_falls_through": (two == "A2") & ~c("built_form_key").isin(list(MULTI_FAMILY)),
+        "AT_to_mf": (two == "AT") & ~c("built_form_key").isin(list(MULTI_FAMILY)),
+        "mf_unit_boundary": multi & (n >= 2) & (c("tier1") != F.when(n <= 4, K.ATTACHED).otherwise(K.APARTMENTS)),
+        "sfr_lot_boundary": single & (c("tier1") != K.by_lot("sales_lot_size_acres")),
+        "tier2_sfr_lot_bound": c("tier2").isin(homes) & ~F.coalesce(two, F.lit("")).isin("A2", "AT") & (c("tier2") != K.by_lot("lot_size_acres")),
+        "tier3b_footprint_filter": (lot > LARGE_ACRES) & (X.or_zero("footprint_ratio") < BARE_RATIO) & (F.coalesce("tier3b", F.lit("")) != K.FARM),
+        "tier4_area_heuristic": c("tier4") != by_area,
+    }
+    return {k: F.coalesce(v, F.lit(False)) for k, v in rules.items()}
+
+
+def form_violations(df: DataFrame) -> DataFrame:
+    """AUD07: violations per rule of ``form_rules``, all in one pass over the table."""
+    rules = form_rules()
+    counts = df.agg(*[F.count_if(v).alias(k) for k, v in rules.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("audit"), F.col(k).alias("violations")) for k in rules])))
+
+
 def tier_priority(df: DataFrame, sold: DataFrame) -> DataFrame:
     """Retail and industry may not come from another tier where a sale decided."""
     late = df.where(

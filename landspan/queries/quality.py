@@ -451,6 +451,39 @@ def audit_form_tiers(t: Tables):
     )
 
 
+# every eleventh form of each tier is spoiled, in another rhythm for each
+_SPOILED = {"tier0": ("t0", 11), "tier1": ("t1", 7), "tier2": ("t2", 5), "tier3b": ("t3b", 3), "tier4": ("t4", 13)}
+_CODE_SQL = {k: f"left(code, 2) IN ({', '.join(map(repr, codes))}) AND tier0 <> '{form}'" for k, (codes, form) in Q.CODE_AUDITS.items()}
+_MF = ", ".join(map(repr, Q.MULTI_FAMILY))
+_RULE_SQL = _CODE_SQL | {
+    "A1_to_detsf": f"left(code, 2) = 'A1' AND coalesce(nullif(lot, 0e0), 0.01e0) >= 0.08e0 AND tier0 <> CASE WHEN 1e0 / (1e0 + exp(-0.04e0 * (coalesce(d, 225e0) - 225e0))) > 0.5e0 THEN '{K.SMALL_LOT}' ELSE '{K.LARGE_LOT}' END",
+    "A2_falls_through": f"left(code, 2) = 'A2' AND k NOT IN ({_MF})",
+    "AT_to_mf": f"left(code, 2) = 'AT' AND k NOT IN ({_MF})",
+    "mf_unit_boundary": f"(pt = 'MF' OR pt LIKE 'Multiple Family%') AND units >= 2 AND tier1 <> CASE WHEN units <= 4 THEN '{K.ATTACHED}' ELSE '{K.APARTMENTS}' END",
+    "sfr_lot_boundary": f"(pt = 'SFR' OR pt LIKE 'Single Family%') AND tier1 <> CASE WHEN slot < 0.15e0 THEN '{K.SMALL_LOT}' ELSE '{K.LARGE_LOT}' END",
+    "tier2_sfr_lot_bound": f"tier2 IN ('{K.SMALL_LOT}', '{K.LARGE_LOT}') AND left(coalesce(code, ''), 2) NOT IN ('A2', 'AT') AND tier2 <> CASE WHEN lot < 0.15e0 THEN '{K.SMALL_LOT}' ELSE '{K.LARGE_LOT}' END",
+    "tier3b_footprint_filter": f"lot > 3e0 AND fr < 0.02e0 AND coalesce(tier3b, '') <> '{K.FARM}'",
+    "tier4_area_heuristic": f"tier4 <> CASE WHEN lot > 10e0 THEN '{K.FARM}' WHEN lot > 3e0 AND zone LIKE '%A%' THEN '{K.FARM}' WHEN lot > 0.15e0 THEN '{K.LARGE_LOT}' WHEN lot > 0.01e0 THEN '{K.SMALL_LOT}' END",
+}
+
+
+@audit(
+    "AUD07_form_rules",
+    f"WITH c AS ({AS.CLS_ROWS}), f AS (SELECT *, {AS.T0} AS t0, {AS.T1} AS t1, {AS.T2} AS t2, {AS.T3B} AS t3b, {AS.T4} AS t4 FROM c), "
+    f"s AS (SELECT *, {', '.join(f'CASE WHEN {c} IS NOT NULL AND apn % {n} = 0 THEN {K.CIVIC!r} ELSE {c} END AS {t}' for t, (c, n) in _SPOILED.items())} FROM f), "
+    "r AS (SELECT *, coalesce(tier1, tier0, tier2, tier3b, tier4) AS k FROM s) " + " UNION ALL ".join(f"SELECT '{k}' AS audit, count(*) FILTER (WHERE {v}) AS violations FROM r" for k, v in _RULE_SQL.items()),
+)
+def audit_form_rules(t: Tables):
+    f = AS.cls_rows(t).select(
+        "*", K.tier0("code", "d").alias("t0"), K.tier1("pt", "slot", "units").alias("t1"), K.tier2("bc", "lv", "lot").alias("t2"),
+        K.tier3b("lot", "fr").alias("t3b"), K.tier4("lot", "zone", "apn").alias("t4"),
+    )
+    spoiled = {tier: F.when(F.col(c).isNotNull() & (F.col("apn") % n == 0), K.CIVIC).otherwise(F.col(c)) for tier, (c, n) in _SPOILED.items()}
+    names = {"code": "landuse", "lot": "lot_size_acres", "d": "intersection_density", "pt": "property_type", "slot": "sales_lot_size_acres", "fr": "footprint_ratio"}
+    f = f.withColumns(spoiled).withColumnsRenamed(names)
+    return Q.form_violations(f.withColumn("built_form_key", F.coalesce("tier1", "tier0", "tier2", "tier3b", "tier4")))
+
+
 @audit(
     "AUD08_case_tables",
     # every order is a case whose status is expected to be that of its priority; one in ten cases has no order
