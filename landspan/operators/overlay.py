@@ -122,7 +122,7 @@ def strips(polygons: DataFrame, keys: Sequence[str], cell: float, ring: str = "r
 def _meeting_edges(a: DataFrame, b: DataFrame, cell: float, keys: Sequence[str]) -> DataFrame:
     """``overlap`` by ``keys``: the sum of ``w w'`` times the area above both edges inside their cell; b's columns become ``r_*``."""
     b = b.withColumnsRenamed({n: "r_" + n for n in (*CELL, *EDGE, "w")})
-    both = a.join(b, (F.col("_cx") == F.col("r__cx")) & (F.col("_cy") == F.col("r__cy")) & (F.col("x0") < F.col("r_x1")) & (F.col("r_x0") < F.col("x1")))
+    both = a.join(b.hint("merge"), (F.col("_cx") == F.col("r__cx")) & (F.col("_cy") == F.col("r__cy")) & (F.col("x0") < F.col("r_x1")) & (F.col("r_x0") < F.col("x1")))
     both = both.withColumns({"_l": F.greatest("x0", "r_x0"), "_r": F.least("x1", "r_x1")})
     l, r = F.col("_l"), F.col("_r")
     both = both.withColumns({"_fl": _y_at(l, "r_"), "_fr": _y_at(r, "r_"), "_dl": _y_at(l) - _y_at(l, "r_"), "_dr": _y_at(r) - _y_at(r, "r_")})
@@ -159,11 +159,11 @@ def dissolved(areas: DataFrame, cell: float) -> DataFrame:
     on = on & (F.struct(*EDGE) < F.struct(*["r_" + n for n in EDGE]))
     l, r = F.greatest("x0", "r_x0"), F.least("x1", "r_x1")
     f, g = _y_at(l) - _y_at(l, "r_"), _y_at(r) - _y_at(r, "r_")
-    crossings = e.join(b, on & (f * g < 0)).select(*CELL, (l + (r - l) * f / (f - g)).alias("s0"))
+    crossings = e.join(b.hint("merge"), on & (f * g < 0)).select(*CELL, (l + (r - l) * f / (f - g)).alias("s0"))
     ends = e.select(*CELL, F.explode(F.array("x0", "x1")).alias("s0"))
     slabs = ends.unionByName(crossings).distinct().withColumn("s1", F.lead("s0").over(Window.partitionBy(*CELL).orderBy("s0")))
     slabs = slabs.where("s1 IS NOT NULL").withColumnsRenamed({c: "s" + c for c in CELL})
-    inside = e.join(slabs, (F.col("_cx") == F.col("s_cx")) & (F.col("_cy") == F.col("s_cy")) & (F.col("x0") <= F.col("s0")) & (F.col("s1") <= F.col("x1")))
+    inside = e.join(slabs.hint("merge"), (F.col("_cx") == F.col("s_cx")) & (F.col("_cy") == F.col("s_cy")) & (F.col("x0") <= F.col("s0")) & (F.col("s1") <= F.col("x1")))
     inside = inside.select(*CELL, "s0", "s1", _y_at(F.col("s0")).alias("yl"), _y_at(F.col("s1")).alias("yr"), "w")
     # edges in one place within the slab are one
     inside = inside.groupBy(*CELL, "s0", "s1", "yl", "yr").agg(F.sum("w").alias("w")).where("w <> 0")
@@ -275,7 +275,7 @@ def holds(points: DataFrame, polygons: DataFrame, point_keys: Sequence[str], pol
     p = p.withColumns({"p_cx": _floor(F.col("_x"), cell), "p_cy": _floor(F.col("_y"), cell)})
     e = strips(polygons, polygon_keys, cell, ring)
     below = (F.col("x0") <= F.col("_x")) & (F.col("_x") < F.col("x1")) & (_y_at(F.col("_x")) <= F.col("_y"))
-    hits = p.join(e, (F.col("p_cx") == F.col("_cx")) & (F.col("p_cy") == F.col("_cy")) & below)
+    hits = p.join(e.hint("merge"), (F.col("p_cx") == F.col("_cx")) & (F.col("p_cy") == F.col("_cy")) & below)
     return hits.groupBy(*point_keys, *polygon_keys).agg(F.sum("w").alias("_w")).where("_w <> 0").drop("_w")
 
 
@@ -298,7 +298,7 @@ def meeting(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_k
     on = (F.col("_cx") == F.col("r__cx")) & (F.col("_cy") == F.col("r__cy")) & (F.col("x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("x1"))
     on = on & (F.least("y0", "y1") <= F.greatest("r_y0", "r_y1")) & (F.least("r_y0", "r_y1") <= F.greatest("y0", "y1"))
     touch = (side("", "r_", "0") * side("", "r_", "1") <= 0) & (side("r_", "", "0") * side("r_", "", "1") <= 0)
-    found = a.join(b, on & touch).select(*left_keys, *right_keys)
+    found = a.join(b.hint("merge"), on & touch).select(*left_keys, *right_keys)
 
     both = [*left_keys, *right_keys]
     found = found.unionByName(holds(_corners(left, left_keys, ring), right, left_keys, right_keys, cell, ring).select(*both))
@@ -346,7 +346,7 @@ def zones(pixels: DataFrame, polygons: DataFrame, keys: Sequence[str], pixel: fl
     runs = runs.withColumnRenamed("row", "_row")
     p = pixels.withColumns({"_r": _floor(F.col("y"), pixel), "_c": _floor(F.col("x"), pixel)})
     on = (F.col("_r") == F.col("_row")) & (F.floor(F.col("_c") / BLOCK) == F.col("_block")) & F.col("_c").between(F.col("c0"), F.col("c1"))
-    return p.join(runs, on).drop("_r", "_c", "_row", "_block", "c0", "c1")
+    return p.join(runs.hint("merge"), on).drop("_r", "_c", "_row", "_block", "c0", "c1")
 
 
 def zonal_histogram(pixels: DataFrame, polygons: DataFrame, key: str, pixel: float) -> DataFrame:
