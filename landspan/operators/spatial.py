@@ -11,7 +11,7 @@ The results keep the aliases ``l`` and ``r``: refer to ``l.parcel_id``, ``r.geoi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landspan.functions import geometry as G
@@ -165,7 +165,7 @@ def box_join(
         _cell(F.greatest(l["xmin"], r["xmin"]), F.col("l._size")) == F.col("l._cx")
     ) & (_cell(F.greatest(l["ymin"], r["ymin"]), F.col("l._size")) == F.col("l._cy"))
     on = same_cell & owner & G.boxes_meet(l, r)
-    return a.join(b, on if how_far is None else on & how_far)
+    return a.join(b.hint("merge"), on if how_far is None else on & how_far)
 
 
 def inside(points: DataFrame, areas: DataFrame, cell: float, levels: int = 2) -> DataFrame:
@@ -210,39 +210,87 @@ def near_degrees(left: DataFrame, right: DataFrame, radius_m: float) -> DataFram
     return pairs.withColumn("distance", d)
 
 
+#: A cell of left points is settled when so few right points may be the nearest of any of its points.
+FEW_TARGETS = 16
+#: Right cells are so many times smaller than the left cells they are weighed against.
+FINER = 8
+
+
+def _cells_with_box(points: DataFrame, size: float, p: str, *more: Column) -> DataFrame:
+    """Cells (``p``cx, ``p``cy) that hold points, with the tight box of their points and ``more``."""
+    box = [f(c).alias(p + n + c) for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]
+    return points.groupBy(_cell(F.col("x"), size).alias(p + "cx"), _cell(F.col("y"), size).alias(p + "cy")).agg(*box, *more)
+
+
+def _may_be_nearest(px: Column, py: Column) -> Column:
+    """Whether some point of the left box may be as near to the right box as to the point (px, py).
+
+    The square distance to a point less that to a box is convex along each axis, so its
+    largest value lies at the ends of the left box.  Rounding never drops a tie.
+    """
+    gain, scale = F.lit(0.0), F.lit(0.0)
+    for axis, at in (("x", px), ("y", py)):
+        lo, hi = F.col("b_lo" + axis), F.col("b_hi" + axis)
+        ends = []
+        for end in (F.col("a_lo" + axis), F.col("a_hi" + axis)):
+            off = F.greatest(lo - end, end - hi, F.lit(0.0))
+            scale = scale + (end - at) * (end - at)
+            ends.append((end - at) * (end - at) - off * off)
+        gain = gain + F.greatest(*ends)
+    return gain >= -1e-9 * scale
+
+
 def nearest(
     left: DataFrame, right: DataFrame, key: str, target: str, cell: float
 ) -> DataFrame:
     """JOI18 / TRN05: the nearest right point of every left point (ties: lowest target).
 
-    Each round looks ``reach`` far and doubles it for the points that found nothing;
-    what a round finds within its reach is the true nearest.  Rounds end when no
-    point is left or the reach spans both tables, so every point gets its answer.
+    Left and right points are filed in cells, which halve from round to round.  A left cell
+    keeps the right cells that may hold the nearest point of any of its points: those that
+    one known point does not beat everywhere.  So pairs of cells stay few however far the
+    right points are and however dense either side is; once few single points are left
+    (at cells of about ``cell`` or wherever that is), these are compared with each left
+    point.  Right points in one place count once, with the lowest target.
     """
-    right = right.select(F.col(target).alias("_target"), "x", "y")
-    span = left.select("x", "y").unionByName(right.select("x", "y")).agg(
-        F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("d")
-    )
-    widest = span.first()["d"] or 0.0
-    todo = cut(left.select(F.col(key), "x", "y"))
-    found = None
-    reach = cell
+    left = cut(left.select(F.col(key), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL"))
+    right = right.select(F.col(target).alias("_target"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    right = cut(first_per(right.where("x IS NOT NULL AND y IS NOT NULL"), ["x", "y"], [F.asc("_target")]))
+    x, y = F.col("x"), F.col("y")
+    span = left.select("x", "y").unionByName(right.select("x", "y")).agg(F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y)).alias("d")).first()["d"] or 0.0
+    size = float(cell)
+    while size * FINER < span:
+        size *= 2
+    a_cell, b_cell, pivot = ["a_cx", "a_cy"], ["b_cx", "b_cy"], ["p_x", "p_y"]
+    one = Window.partitionBy(*a_cell)
+    far = lambda axis, at: F.greatest(*[(F.col("a_" + n + axis) - at) * (F.col("a_" + n + axis) - at) for n in ("lo", "hi")])
+    kept, found = None, None
     while True:
-        best = first_per(
-            near(todo, right, reach).select(
-                F.col("l." + key).alias(key), F.col("_target").alias(target), "distance"
-            ),
-            [key],
-            [F.asc("distance"), F.asc(target)],
-        )
-        best = cut(best)
-        found = best if found is None else found.unionByName(best)
-        if reach >= widest:
-            return found
-        todo = cut(todo.join(best.select(key), key, "left_anti"))
-        if todo.isEmpty():
-            return found
-        reach *= 2
+        a = _cells_with_box(left, size, "a_")
+        b = _cells_with_box(right, size / FINER, "b_", F.min(F.struct("x", "y", "_target")).alias("_rep"))
+        if kept is None:
+            pairs = a.crossJoin(b)
+        else:
+            up = lambda n: F.floor(F.col(n) / 2).cast("bigint")
+            rest = kept.where("NOT _done").select(*[F.col(c).alias("u" + c) for c in (*a_cell, *b_cell)], *pivot)
+            pairs = a.join(rest.hint("merge"), (up("a_cx") == F.col("ua_cx")) & (up("a_cy") == F.col("ua_cy")))
+            pairs = pairs.join(b.hint("merge"), (up("b_cx") == F.col("ub_cx")) & (up("b_cy") == F.col("ub_cy")))
+            pairs = pairs.where(_may_be_nearest(F.col("p_x"), F.col("p_y"))).drop(*pivot)
+        reach = far("x", F.col("_rep.x")) + far("y", F.col("_rep.y"))
+        pairs = pairs.withColumn("_pivot", F.min(F.struct(reach.alias("d"), F.col("_rep.x").alias("x"), F.col("_rep.y").alias("y"))).over(one))
+        pairs = pairs.withColumns({"p_x": F.col("_pivot.x"), "p_y": F.col("_pivot.y")}).where(_may_be_nearest(F.col("p_x"), F.col("p_y")))
+        point = (F.col("b_lox") == F.col("b_hix")) & (F.col("b_loy") == F.col("b_hiy"))
+        place = (F.col("a_lox") == F.col("a_hix")) & (F.col("a_loy") == F.col("a_hiy"))
+        done = F.min(point).over(one) & (place | (F.count("*").over(one) <= FEW_TARGETS))
+        kept = cut(pairs.select(*a_cell, *b_cell, *pivot, "_rep", done.alias("_done")))
+        state = kept.agg(F.count_if("_done").alias("done"), F.count_if(~F.col("_done")).alias("todo")).first()
+        if state["done"] or found is None:
+            targets = kept.where("_done").select(*a_cell, "_rep.*").select(*a_cell, F.col("x").alias("_x"), F.col("y").alias("_y"), "_target")
+            hits = left.join(targets.hint("merge"), (_cell(x, size) == F.col("a_cx")) & (_cell(y, size) == F.col("a_cy")))
+            hits = hits.select(F.col(key), F.col("_target").alias(target), F.hypot(x - F.col("_x"), y - F.col("_y")).alias("distance"))
+            found = hits if found is None else found.unionByName(hits)
+        if not state["todo"]:
+            return first_per(found, [key], [F.asc("distance"), F.asc(target)])
+        size /= 2
 
 
 def box_overlaps(
@@ -271,8 +319,6 @@ def union_overlap(targets: DataFrame, boxes: DataFrame, key: str, cell: float) -
     state spills, so no group has to fit into memory.  Equal clipped boxes are
     dropped first.
     """
-    from pyspark.sql import Window
-
     l, r = box_of("l"), box_of("r")
     pieces = (
         box_join(targets, boxes, cell, levels=2)
