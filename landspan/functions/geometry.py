@@ -523,14 +523,18 @@ def _points(text: Column, between: str) -> Column:
     """Number pairs of a text as points."""
     return F.transform(
         F.regexp_extract_all(text, F.lit(rf"({NUMBER}{between}{NUMBER})"), F.lit(1)),
-        lambda s: point(F.split(s, between)[0].cast("double"), F.split(s, between)[1].cast("double")),
+        lambda s: bind(F.split(s, between), lambda v: point(v[0].cast("double"), v[1].cast("double"))),
     )
 
 
 def _open(pts: Column) -> Column:
     """Without the closing point."""
-    closed = (F.size(pts) > 1) & (F.try_element_at(pts, F.lit(1)) == F.try_element_at(pts, F.lit(-1)))
-    return F.when(closed, F.slice(pts, 1, F.size(pts) - 1)).otherwise(pts)
+
+    def without_last(p: Column) -> Column:
+        closed = (F.size(p) > 1) & (F.try_element_at(p, F.lit(1)) == F.try_element_at(p, F.lit(-1)))
+        return F.when(closed, F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+
+    return bind(pts, without_last)
 
 
 def join_rings(rings: Column) -> Column:
@@ -547,9 +551,12 @@ def join_rings(rings: Column) -> Column:
             lambda acc, r: F.concat(acc, start, r, F.slice(r, 1, 1)),
         )
 
-    return F.when(
-        F.size(rings) == 1, F.get(rings, F.lit(0))["ring"]
-    ).otherwise(bind(F.transform(rings, turned), walk))
+    def joined(all_rings: Column) -> Column:
+        return F.when(
+            F.size(all_rings) == 1, F.get(all_rings, F.lit(0))["ring"]
+        ).otherwise(bind(F.transform(all_rings, turned), walk))
+
+    return bind(rings, joined)
 
 
 def wkt_ring(wkt: Column) -> Column:

@@ -137,7 +137,8 @@ def parse_all_rings(t: Tables):
 
     wkt = F.format_string("MULTIPOLYGON (((%s), (%s)), ((%s)))", *[text(r, "%s %s", ", ") for r in rings])
     json = F.format_string('{"type": "MultiPolygon", "coordinates": [[[%s], [%s]], [[%s]]]}', *[text(r, "[%s, %s]", ", ") for r in rings])
-    p = t.parcels.select("parcel_id", wkt.alias("wkt"), json.alias("json"))
+    # texts cost far more than the rows they are made from: dealt over all cores
+    p = t.parcels.repartition("parcel_id").select("parcel_id", wkt.alias("wkt"), json.alias("json"))
     return p.select(
         "parcel_id",
         rd(G.area(G.wkt_ring(F.col("wkt"))), 3).alias("wkt_area"),
