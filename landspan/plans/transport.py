@@ -91,13 +91,17 @@ def gravity(od: DataFrame, zones: DataFrame, decay: float = 2.0) -> DataFrame:
 # --- all places against all places (TRN02) -------------------------------------
 
 TILE = 1024
+#: Tiles grow with the table, so that about so many are enough, up to so many rows each.
+TILES, LARGEST_TILE = 64, 4096
+#: Pairs that a kernel works on at a time.
+PAIRS = 1 << 19
 
 
-def _tiles(zones: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
-    """Zones in tiles of about ``tile`` rows, numbered by a hash of the id."""
-    n_tiles = zones.agg(
-        F.greatest(F.ceil(F.count("*") / tile), F.lit(1)).cast("int").alias("n")
-    ).scalar()
+def _tiles(zones: DataFrame, tile: int) -> DataFrame:
+    """Zones in tiles of ``tile`` rows or more, numbered by a hash of the id."""
+    n = F.count("*")
+    rows = F.least(F.greatest(n / TILES, F.lit(tile)), F.lit(max(tile, LARGEST_TILE)))
+    n_tiles = zones.agg(F.greatest(F.ceil(n / rows), F.lit(1)).cast("int").alias("n")).scalar()
     return zones.withColumn("_n", n_tiles).withColumn(
         "tile", F.pmod(F.xxhash64("parcel_id"), F.col("_n").cast("bigint")).cast("int")
     )
@@ -125,7 +129,7 @@ def gravity_all(zones: DataFrame, decay: float = 2.0, tile: int = TILE) -> DataF
     """TRN02: the gravity model over straight-line distances of all places.
 
     ``zones`` holds parcel_id, x, y, trips, emp, du.  The work is n squared by
-    definition; the data moved is n squared / tile rows.
+    definition; the data moved is n times the tiles.
     """
     zones = zones.select(
         "parcel_id", "x", "y", X.or_zero("trips").alias("trips"), "emp", "du",
@@ -133,21 +137,32 @@ def gravity_all(zones: DataFrame, decay: float = 2.0, tile: int = TILE) -> DataF
     )
     tiled = _tiles(zones, tile)
 
+    def distances(mine, others):
+        """Rows of ``mine`` a few at a time, their distances to ``others`` and these to the power of -decay."""
+        import numpy as np
+
+        x, y = others.x.to_numpy()[None, :], others.y.to_numpy()[None, :]
+        step = max(1, PAIRS // len(others))
+        for i in range(0, len(mine), step):
+            at = slice(i, i + step)
+            dx, dy = mine.x.to_numpy()[at, None] - x, mine.y.to_numpy()[at, None] - y
+            square = dx * dx + dy * dy
+            d = np.sqrt(square)
+            with np.errstate(divide="ignore"):
+                pull = 1.0 / square if decay == 2.0 else d ** (-decay)
+            yield at, d, np.where(d > MIN_DISTANCE, pull, 0.0)
+
     def from_origin(mine, others):
         import numpy as np
         import pandas as pd
 
         if mine.empty or others.empty:
             return pd.DataFrame({"parcel_id": [], "pull": [], "pull_km": []})
-        d = np.hypot(
-            mine.x.to_numpy()[:, None] - others.x.to_numpy()[None, :],
-            mine.y.to_numpy()[:, None] - others.y.to_numpy()[None, :],
-        )
-        with np.errstate(divide="ignore"):
-            pull = np.where(d > MIN_DISTANCE, d ** (-decay), 0.0) * others.attraction.to_numpy()
-        return pd.DataFrame(
-            {"parcel_id": mine.parcel_id, "pull": pull.sum(axis=1), "pull_km": (pull * d).sum(axis=1)}
-        )
+        pulls, kms = np.empty(len(mine)), np.empty(len(mine))
+        for at, d, pull in distances(mine, others):
+            pull *= others.attraction.to_numpy()
+            pulls[at], kms[at] = pull.sum(axis=1), (pull * d).sum(axis=1)
+        return pd.DataFrame({"parcel_id": mine.parcel_id, "pull": pulls, "pull_km": kms})
 
     cols = ["parcel_id", "x", "y", "attraction", "tile", "_n"]
     sums = _pair_sums(
@@ -168,12 +183,9 @@ def gravity_all(zones: DataFrame, decay: float = 2.0, tile: int = TILE) -> DataF
 
         if mine.empty or others.empty:
             return pd.DataFrame({"parcel_id": [], "inbound": []})
-        d = np.hypot(
-            mine.x.to_numpy()[:, None] - others.x.to_numpy()[None, :],
-            mine.y.to_numpy()[:, None] - others.y.to_numpy()[None, :],
-        )
-        with np.errstate(divide="ignore"):
-            got = np.where(d > MIN_DISTANCE, d ** (-decay), 0.0) @ others.per_pull.to_numpy()
+        got = np.empty(len(mine))
+        for at, _, pull in distances(mine, others):
+            got[at] = pull @ others.per_pull.to_numpy()
         return pd.DataFrame({"parcel_id": mine.parcel_id, "inbound": got * mine.attraction.to_numpy()})
 
     inbound = _pair_sums(tiled.select(cols), factor, to_dest, "parcel_id bigint, inbound double")
