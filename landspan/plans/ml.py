@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from landspan.functions import expr as X
 from landspan.operators.ranking import first_per
+from landspan.session import cut
 from landspan.sources import sinks
 
 DU_TARGETS = ("du_detsf_sl", "du_detsf_ll", "du_attsf", "du_mf2to4", "du_mf5p")
@@ -26,7 +29,7 @@ NUMERIC = (
     "intersection_density", "highway_intersection_density", "path_intersection_density",
 )
 LEAST_ROWS, TOP_CODES, TWEEDIE_POWER, SEED = 100, 20, 1.3, 42
-COMPONENTS = 32
+COMPONENTS, PARALLEL = 32, 4
 
 
 def training_set(reference: DataFrame, crosswalk: DataFrame, parcels: DataFrame, features: Mapping[str, DataFrame], targets: Sequence[str]) -> DataFrame:
@@ -43,7 +46,8 @@ def training_set(reference: DataFrame, crosswalk: DataFrame, parcels: DataFrame,
     numeric = [n for n in out.columns if n in NUMERIC or n.startswith("pc_")]
     filled = {n: F.coalesce(F.col(n).cast("double"), F.lit(1.0 if n == "max_levels" else 0.0)) for n in numeric}
     filled["land_development_category"] = F.coalesce("land_development_category", F.lit("standard"))
-    return out.withColumns(filled)
+    # the encoding, the fingerprint and every model read these rows again: the joins run once
+    return cut(out.withColumns(filled))
 
 
 @dataclass(frozen=True)
@@ -118,12 +122,18 @@ def regressor(target: str, kind: str = "trees", **options):
 
 
 def fit(train: DataFrame, targets: Sequence[str], e: Encoding, kind: str = "trees", **options) -> PipelineModel | None:
-    """ML03-ML05: one model per target on the same features; None below 100 rows."""
+    """ML03-ML05: one model per target on the same features; None below 100 rows.
+
+    A fit reads its rows many times, so features and targets are written once.  The models
+    know nothing of each other and are fitted ``PARALLEL`` at a time.
+    """
     if train.limit(LEAST_ROWS).count() < LEAST_ROWS:
         return None
-    stages = [VectorAssembler(inputCols=e.columns, outputCol="features")]
-    stages += [regressor(t, kind, **options) for t in targets]
-    return Pipeline(stages=stages).fit(encode(train, e))
+    assembler = VectorAssembler(inputCols=e.columns, outputCol="features")
+    rows = cut(assembler.transform(encode(train, e)).select("features", *targets))
+    fit_one = inheritable_thread_target(train.sparkSession)(lambda t: regressor(t, kind, **options).fit(rows))
+    with ThreadPool(PARALLEL) as pool:
+        return PipelineModel([assembler, *pool.map(fit_one, targets, chunksize=1)])
 
 
 def predict(
