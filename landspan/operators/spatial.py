@@ -11,6 +11,8 @@ The results keep the aliases ``l`` and ``r``: refer to ``l.parcel_id``, ``r.geoi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from landspan.session import cut
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 HOT_ROWS = 200_000
+#: Pairs of rows of a cell that meet in one part of it, and the most tasks that parts are dealt to.
+HOT_PAIRS, MOST_TASKS = 1 << 24, 8_192
 FEW_CELLS = 16
 
 
@@ -106,27 +110,40 @@ def _levels_used(sides: list[DataFrame], sizes: list[float]) -> int:
     return (both.agg(F.max("h")).first()[0] or 0) + 1
 
 
-def _hot_cells(side: DataFrame, hot_rows: int, name: str) -> DataFrame:
-    """Cells with more than ``hot_rows`` rows of one side, and into how many parts they are cut."""
-    counts = side.groupBy(*CELL).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-    return counts.select(*CELL, F.ceil(F.col("_n") / hot_rows).cast("bigint").alias(name))
+def _hot_cells(a: DataFrame, b: DataFrame, hot_rows: int) -> DataFrame:
+    """Cells with many rows of a side or many pairs, and into how many parts each side is cut (``_na``, ``_nb``)."""
+    a, b = (side.groupBy(*CELL).agg(F.count("*").alias(n)) for side, n in ((a, "_a"), (b, "_b")))
+    one = F.lit(1).cast("bigint")
+    both = a.join(b, CELL, "full").select(*CELL, F.coalesce("_a", one).alias("_a"), F.coalesce("_b", one).alias("_b"))
+    both = both.withColumn("_pairs", F.col("_a").cast("double") * F.col("_b")).where((F.col("_a") > hot_rows) | (F.col("_b") > hot_rows) | (F.col("_pairs") > HOT_PAIRS))
+
+    def parts(own: str, other: str) -> Column:
+        rows = F.least(F.lit(float(hot_rows)), F.greatest(F.lit(math.sqrt(HOT_PAIRS)), HOT_PAIRS / F.col(other)))
+        return F.ceil(F.col(own) / rows).cast("bigint")
+
+    return both.select(*CELL, parts("_a", "_b").alias("_na"), parts("_b", "_a").alias("_nb"))
 
 
 def _cut_hot(a: DataFrame, b: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with parts ``_pa`` and ``_pb``: a left row has one part and goes to all parts of the right, and so on.
 
-    The part follows from the row itself, so a rerun of a lost task repeats it.
+    The part follows from the row itself, so a rerun of a lost task repeats it.  Both sides
+    are dealt by cell and part to as many tasks as there are parts, since the work is in the
+    pairs and not in the size of the rows.
     """
-    hot = cut(_hot_cells(a, hot_rows, "_na").join(_hot_cells(b, hot_rows, "_nb"), CELL, "full"))
-    if hot.isEmpty():
+    hot = cut(_hot_cells(a, b, hot_rows))
+    n = hot.agg(F.sum(F.col("_na") * F.col("_nb"))).first()[0]
+    if not n:
         return a, b
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n, MOST_TASKS))
     out = []
     for side, own, other in ((a, "a", "b"), (b, "b", "a")):
         h = F.xxhash64(*[n for n, t in side.dtypes if "map<" not in t])
         side = side.join(hot, CELL, "left")
         mine, theirs = (F.coalesce(F.col(f"_n{x}"), F.lit(1).cast("bigint")) for x in (own, other))
         parts = F.explode(F.sequence(F.lit(0).cast("bigint"), theirs - 1))
-        out.append(side.withColumn(f"_p{own}", F.pmod(h, mine)).withColumn(f"_p{other}", parts).drop("_na", "_nb"))
+        side = side.withColumn(f"_p{own}", F.pmod(h, mine)).withColumn(f"_p{other}", parts).drop("_na", "_nb")
+        out.append(side.repartition(tasks, *CELL, "_pa", "_pb"))
     return out[0], out[1]
 
 
@@ -144,9 +161,9 @@ def box_join(
     With ``levels`` > 1 boxes too large for the cell live on cells 16 times as wide;
     levels nobody lives on are dropped.  ``points`` says that left boxes are points.
 
-    Hot cells are found by a count of each side's rows per cell; there can be at most
-    rows / hot_rows of them.  Either side's rows of such a cell are cut into parts and
-    meet every part of the other side.
+    Hot cells are found by a count of each side's rows per cell: those with more than
+    ``hot_rows`` rows of a side, or with more than ``HOT_PAIRS`` pairs.  Either side's rows
+    of such a cell are cut into parts and meet every part of the other side.
     """
     sizes = [cell * COARSER**i for i in range(levels)]
     if levels > 1:
@@ -210,6 +227,74 @@ def near_degrees(left: DataFrame, right: DataFrame, radius_m: float) -> DataFram
     return pairs.withColumn("distance", d)
 
 
+#: Cells with so few pairs of points are not divided any further.
+FEW_PAIRS = 64
+
+
+def totals_near_degrees(left: DataFrame, right: DataFrame, key: str, values: list[str], radius_m: float) -> DataFrame:
+    """JOI17 on longitude / latitude, summed up: per ``key`` the ``values`` of all right points within ``radius_m``.
+
+    Pairs are counted in cells that halve from round to round: where all points of two cells
+    are near each other the right cell's sums stand for its points, where none are the cells
+    part, and only cells on the rim of the circle go on, down to single points.  Keys with
+    no near point have no row.
+    """
+    located = "x IS NOT NULL AND y IS NOT NULL"
+    left = cut(left.select(key, "x", "y").where(located))
+    # points in one place are one with the sum of their values
+    sums = [F.sum(v).alias(v) for v in values]
+    right = cut(right.where(located).groupBy("x", "y").agg(*sums))
+    lat = radius_m / 110_574.0
+    size = 2 * lat
+    a, b = _cells_with_box(left, size, "a_"), _cells_with_box(right, size, "b_")
+    highest = F.greatest(F.abs("b_loy"), F.abs("b_hiy"))
+    lon = lat / F.greatest(F.cos(F.radians(F.least(highest + lat, F.lit(89.9)))), F.lit(1e-3))
+    boxed = lambda df, p, x, y: df.withColumns({"xmin": F.col(p + "lox") - x, "xmax": F.col(p + "hix") + x, "ymin": F.col(p + "loy") - y, "ymax": F.col(p + "hiy") + y}).select(p + "cx", p + "cy", *BOX)
+    a_cell, b_cell = ["a_cx", "a_cy"], ["b_cx", "b_cy"]
+    rest = box_join(boxed(a, "a_", F.lit(0.0), F.lit(0.0)), boxed(b, "b_", lon, F.lit(lat)), size, 2).select(*["l." + c for c in a_cell], *["r." + c for c in b_cell])
+    col = lambda p, n, axis: F.col(f"{p}_{n}{axis}")
+    square = lambda degrees: F.pow(F.sin(F.radians(degrees) / 2.0), F.lit(2.0))
+
+    def apart(gap: bool) -> Column:
+        """Least or largest haversine of points of the two cells."""
+        x, y = ((F.greatest(col("b", "lo", d) - col("a", "hi", d), col("a", "lo", d) - col("b", "hi", d), F.lit(0.0)) if gap else F.greatest(col("b", "hi", d) - col("a", "lo", d), col("a", "hi", d) - col("b", "lo", d))) for d in "xy")
+        cosine = F.lit(1.0)
+        for p in "ab":
+            lo, hi = F.abs(col(p, "lo", "y")), F.abs(col(p, "hi", "y"))
+            least = F.when(col(p, "lo", "y") * col(p, "hi", "y") <= 0, 0.0).otherwise(F.least(lo, hi))
+            cosine = cosine * F.cos(F.radians(F.greatest(lo, hi) if gap else least))
+        h = square(y) + cosine * square(x)
+        # beyond half a turn the haversine falls again
+        return F.when(x > 180.0, F.lit(1.0)).otherwise(h)
+
+    limit = math.sin(radius_m / 6371008.8 / 2.0) ** 2
+    place = lambda p: (col(p, "lo", "x") == col(p, "hi", "x")) & (col(p, "lo", "y") == col(p, "hi", "y"))
+    single = (F.col("a_n") * F.col("b_n") <= FEW_PAIRS) | (place("a") & place("b"))
+    state = F.when(apart(True) > limit * (1 + 1e-9), "none").when(apart(False) < limit * (1 - 1e-9), "all").when(single, "single").otherwise("some")
+    found = None
+    up = lambda n: F.floor(F.col(n) / 2).cast("bigint")
+    while True:
+        size /= 2
+        a = _cells_with_box(left, size, "a_", F.count("*").alias("a_n"))
+        b = _cells_with_box(right, size, "b_", F.count("*").alias("b_n"), *sums)
+        rest = rest.withColumnsRenamed({c: "u" + c for c in (*a_cell, *b_cell)})
+        pairs = a.join(rest.hint("merge"), (up("a_cx") == F.col("ua_cx")) & (up("a_cy") == F.col("ua_cy")))
+        pairs = pairs.join(b.hint("merge"), (up("b_cx") == F.col("ub_cx")) & (up("b_cy") == F.col("ub_cy")))
+        kept = cut(pairs.select(*a_cell, *b_cell, *values, state.alias("_state")).where("_state <> 'none'"))
+        here = (_cell(F.col("x"), size) == F.col("a_cx")) & (_cell(F.col("y"), size) == F.col("a_cy"))
+        whole = kept.where("_state = 'all'").groupBy(*a_cell).agg(*sums)
+        hits = left.join(whole.hint("merge"), here).select(key, *values)
+        ends = kept.where("_state = 'single'").select(*a_cell, *b_cell)
+        points = right.withColumnsRenamed({"x": "_x", "y": "_y"}).withColumns({"_bx": _cell(F.col("_x"), size), "_by": _cell(F.col("_y"), size)})
+        ends = ends.join(points.hint("merge"), (F.col("b_cx") == F.col("_bx")) & (F.col("b_cy") == F.col("_by")))
+        near_by = G.haversine_m(F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= radius_m
+        hits = hits.unionByName(left.join(ends.hint("merge"), here & near_by).select(key, *values))
+        found = hits if found is None else found.unionByName(hits)
+        rest = kept.where("_state = 'some'").select(*a_cell, *b_cell)
+        if rest.isEmpty():
+            return found.groupBy(key).agg(*sums)
+
+
 #: A cell of left points is settled when so few right points may be the nearest of any of its points.
 FEW_TARGETS = 16
 #: Right cells are so many times smaller than the left cells they are weighed against.

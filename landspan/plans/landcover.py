@@ -198,10 +198,9 @@ def food_index(parcels: DataFrame, shops: DataFrame, radius_m: float = 1000.0) -
 
     ``parcels`` and ``shops`` have x, y in degrees; shops carry is_healthy, is_unhealthy.
     """
-    pairs = spatial.near_degrees(parcels.select("parcel_id", "x", "y"), shops, radius_m)
-    counts = pairs.groupBy("l.parcel_id").agg(
-        F.count_if("r.is_healthy").alias("healthy_count"), F.count_if("r.is_unhealthy").alias("unhealthy_count")
-    )
+    flags = ["is_healthy", "is_unhealthy"]
+    one_each = shops.select("x", "y", *[F.when(F.col(f), 1).otherwise(0).cast("bigint").alias(f.replace("is_", "") + "_count") for f in flags])
+    counts = spatial.totals_near_degrees(parcels, one_each, "parcel_id", ["healthy_count", "unhealthy_count"], radius_m)
     zero = F.lit(0).cast("bigint")
     both = F.col("healthy_count") + F.col("unhealthy_count")
     return parcels.select("parcel_id").join(counts, "parcel_id", "left").select(

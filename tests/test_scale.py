@@ -83,3 +83,29 @@ def test_training_rows_are_joined_once(spark):
     assert "Join" not in plan(out)
     row = out.first()
     assert (row["apn"], row["du"], row["lot_size_acres"], row["land_development_category"]) == (7, 3.0, 2.5, "standard")
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_totals_near_degrees(spark, dense):
+    rnd = random.Random(3)
+    spot = lambda: (-122 + rnd.randrange(6) * 0.004, 38 + rnd.randrange(6) * 0.003) if dense else (-122 + rnd.uniform(0, 0.06), 38 + rnd.uniform(0, 0.05))
+    left = [(i // 2, *spot()) for i in range(120)] + [(900, None, 38.0), (901, 10.0, 38.0)]
+    right = [(*spot(), i % 2, 1) for i in range(300)] + [(None, 38.0, 1, 1)]
+    a, b = spark.createDataFrame(left, "k long, x double, y double"), spark.createDataFrame(right, "x double, y double, v long, n long")
+    got = S.totals_near_degrees(a, b, "k", ["v", "n"], 1000.0)
+    pairs = a.crossJoin(b.withColumnsRenamed({"x": "p", "y": "q"})).where(G.haversine_m(F.col("x"), F.col("y"), F.col("p"), F.col("q")) <= 1000.0)
+    want = pairs.groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_cells_are_cut_by_their_pairs(spark, monkeypatch):
+    # few rows but many pairs in one cell
+    monkeypatch.setattr(S, "HOT_PAIRS", 100)
+    a, b = (spark.range(n).select(F.col("id").alias("k"), (F.col("id") / 1000).alias("x"), F.lit(0.0).alias("y")) for n in (40, 90))
+    sides = [S._spread(S.with_point_box(df), [5.0], True) for df in (a, b)]
+    one, two = S._cut_hot(*sides, S.HOT_ROWS)
+    parts = ["_pa", "_pb"]
+    counts = one.groupBy(*parts).count().join(two.groupBy(*parts).agg(F.count("*").alias("m")), parts)
+    assert counts.agg(F.sum(F.col("count") * F.col("m"))).first()[0] == 40 * 90
+    assert counts.agg(F.max(F.col("count") * F.col("m"))).first()[0] < 1000
+    assert S.near(a, b, 5.0).count() == 40 * 90
