@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from landspan.operators.ranking import top_per
 from landspan.session import cut
 
+#: Rows of queries and cells per task of the join, and the most tasks.
+TASK_ROWS, MOST_TASKS = 200_000, 8_192
+
 
 def nearest_k(
     queries: DataFrame,
@@ -52,6 +55,8 @@ def nearest_k(
     # twice as deep as evenly spread points would need, for places that are denser
     top = 2 * max(0, math.ceil(math.log2(max(1.0, most / k)) / len(dims)))
     cells = ["_c_" + d for d in dims]
+    # without a further condition the k points counted in the deeper cell are within its diagonal
+    reach = (1.0 if ok is not None else min(1.0, len(dims) / 4.0**down)) * (1 + 1e-9)
 
     def cell(d: str, level: Column) -> Column:
         return F.floor(F.col(d) / (F.lit(float(window)) / F.pow(F.lit(2.0), level)))
@@ -65,11 +70,20 @@ def nearest_k(
         for d in dims:
             at = F.floor(F.col(d) / F.col("_size"))
             q = q.withColumn("_c_" + d, F.explode(F.sequence(at - 1, at + 1)))
+        # of the neighbouring cells only those that come that near
+        to_cell = F.lit(0.0)
+        for d in dims:
+            low, v = F.col("_c_" + d) * F.col("_size"), F.col(d)
+            off = F.greatest(low - v, v - low - F.col("_size"), F.lit(0.0))
+            to_cell = to_cell + off * off
+        q = q.where((F.col("_level") == 0) | (to_cell <= F.col("_size") * F.col("_size") * reach * (1 + 1e-9)))
         # points are repeated for the levels that their key's queries are on
         used = todo.select(*keys, "_level").distinct()
         p = points.join(used, list(keys)).withColumn("_size", size)
         p = p.withColumns({"_c_" + d: F.floor(F.col(d) / F.col("_size")) for d in dims}).drop("_size")
-        q, p = q.alias("q"), p.alias("p")
+        # a task's pairs are many times its rows: tasks follow the rows, not their bytes
+        tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, math.ceil(todo.count() * 3 ** len(dims) / TASK_ROWS)))
+        q, p = (side.repartition(tasks, *keys, "_level", *cells).alias(n) for side, n in ((q, "q"), (p, "p")))
         on = None
         for n in [*keys, "_level", *cells]:
             equal = F.col("q." + n) == F.col("p." + n)
@@ -79,11 +93,11 @@ def nearest_k(
             apart = F.col("q." + d) - F.col("p." + d)
             on = on & (F.abs(apart) <= F.col("q._size"))
             square = square + apart * apart
-        # above level 0 only what lies within a cell size (rounding aside) is sure to be complete
-        on = on & ((F.col("q._level") == 0) | (square <= F.col("q._size") * F.col("q._size") * (1 + 1e-9)))
+        # above level 0 only what lies within the reach (rounding aside) is sure to be complete
+        on = on & ((F.col("q._level") == 0) | (square <= F.col("q._size") * F.col("q._size") * reach))
         if ok is not None:
             on = on & ok
-        pairs = q.join(p, on).select(
+        pairs = q.join(p.hint("merge"), on).select(
             F.col("q." + qid).alias(qid),
             F.col("p." + pid).alias(pid),
             (F.sqrt(square) if gap is None else gap).alias("distance"),

@@ -109,3 +109,20 @@ def test_cells_are_cut_by_their_pairs(spark, monkeypatch):
     assert counts.agg(F.sum(F.col("count") * F.col("m"))).first()[0] == 40 * 90
     assert counts.agg(F.max(F.col("count") * F.col("m"))).first()[0] < 1000
     assert S.near(a, b, 5.0).count() == 40 * 90
+
+
+def test_neighbours_in_bounded_tasks(spark, monkeypatch):
+    # tasks follow the rows, though these are far too few bytes for a second task
+    from landspan.operators import knn
+
+    rnd = random.Random(8)
+    spots = [(i, 1, rnd.uniform(0, 8), rnd.uniform(0, 8)) for i in range(400)]
+    q, p = (spark.createDataFrame(spots[i::2], f"{n} long, g long, u double, v double") for i, n in enumerate("qp"))
+    monkeypatch.setattr(knn, "TASK_ROWS", 100)
+    got = knn.nearest_k(q, p, ["g"], ["u", "v"], 3, "q", "p", 8.0)
+    assert "REPARTITION_BY_NUM" in plan(got) and ", 18)" in plan(got)
+    want = {i: [n for _, n in sorted((math.hypot(u - x, v - y), n) for n, _, x, y in spots[1::2])[:3]] for i, _, u, v in spots[::2]}
+    found = {}
+    for r in got.orderBy("q", "rank").collect():
+        found.setdefault(r["q"], []).append(r["p"])
+    assert found == want
