@@ -55,8 +55,6 @@ def nearest_k(
     # twice as deep as evenly spread points would need, for places that are denser
     top = 2 * max(0, math.ceil(math.log2(max(1.0, most / k)) / len(dims)))
     cells = ["_c_" + d for d in dims]
-    # without a further condition the k points counted in the deeper cell are within its diagonal
-    reach = (1.0 if ok is not None else min(1.0, len(dims) / 4.0**down)) * (1 + 1e-9)
 
     def cell(d: str, level: Column) -> Column:
         return F.floor(F.col(d) / (F.lit(float(window)) / F.pow(F.lit(2.0), level)))
@@ -76,7 +74,7 @@ def nearest_k(
             low, v = F.col("_c_" + d) * F.col("_size"), F.col(d)
             off = F.greatest(low - v, v - low - F.col("_size"), F.lit(0.0))
             to_cell = to_cell + off * off
-        q = q.where((F.col("_level") == 0) | (to_cell <= F.col("_size") * F.col("_size") * reach * (1 + 1e-9)))
+        q = q.where((F.col("_level") == 0) | (to_cell <= F.col("_size") * F.col("_size") * (1 + 2e-9)))
         # points are repeated for the levels that their key's queries are on
         used = todo.select(*keys, "_level").distinct()
         p = points.join(used, list(keys)).withColumn("_size", size)
@@ -93,8 +91,8 @@ def nearest_k(
             apart = F.col("q." + d) - F.col("p." + d)
             on = on & (F.abs(apart) <= F.col("q._size"))
             square = square + apart * apart
-        # above level 0 only what lies within the reach (rounding aside) is sure to be complete
-        on = on & ((F.col("q._level") == 0) | (square <= F.col("q._size") * F.col("q._size") * reach))
+        # above level 0 only what lies within a cell size (rounding aside) is sure to be complete
+        on = on & ((F.col("q._level") == 0) | (square <= F.col("q._size") * F.col("q._size") * (1 + 1e-9)))
         if ok is not None:
             on = on & ok
         pairs = q.join(p.hint("merge"), on).select(
