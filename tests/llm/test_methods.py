@@ -253,6 +253,17 @@ def test_toxic_documents_are_found_also_in_disguise(spark):
     assert sum(got[i]["predicted"] == (i % 4 == 0) for i in held) >= 0.97 * len(held)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    n = 60_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("row "), "id").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 9 == 0).cast("int").alias("toxic"))
+    want = {i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2}
+    for most in (0, n):  # joined by a shuffle, and not
+        got = deobfuscate.training(docs, labels, "toxic", 2, 4, broadcast_ids=most).select("key", "label").collect()
+        assert len(got) == len(want) and {r["key"] for r in got} == want
+        assert all(r["label"] == (r["key"] % 9 == 0) for r in got)
+
+
 # ---- 5
 
 
