@@ -1,12 +1,10 @@
 """Language-model scores by a hierarchical Pitman-Yor process.
 
 Words are drawn in restaurants.  The root restaurant serves every word; its base is
-uniform over the training vocabulary and one unknown word.  Each word that makes up at
-least ``1 / CONTEXTS`` of the training tokens is a context with a restaurant of its own,
-which seats the words that follow it and orders new dishes from the root, the parent that
-all contexts share.  So a context's tables are the root's customers, beside the words that
-follow a word without a restaurant (and a document's first word).  The number of contexts
-is at most ``CONTEXTS`` by construction, whatever the corpus.
+uniform over the training vocabulary and one unknown word.  Each training word is a
+context with a restaurant of its own, which seats the words that follow it and orders new
+dishes from the root, the parent that all contexts share.  So a context's tables are the
+root's customers, beside a document's first word, which follows nothing.
 
 Seating is sampled by Gibbs sweeps: given all other dishes' tables, the customers of a
 dish are seated one after another, at an old table or a new one, by the Chinese-restaurant
@@ -15,9 +13,12 @@ rule.  A word's probability is averaged over the seatings of the sweeps after th
 
 Everything about one word, its dishes in all contexts and at the root, lies in one bucket
 by the word's hash.  Counts are summed per chunk of documents before they travel, so a hot
-word is at most ``CONTEXTS`` dishes.  Between sweeps only totals per context travel.
-Chunks send each distinct (context, word) pair once and get its probability back; they add
-up the documents.
+word comes once per chunk and context.  Chunks are dealt to the buckets once, with each
+distinct (context, word) pair once, and get its probability back; they add up the documents.
+
+Totals per context are added up in the bucket of the context's own word.  A bucket asks
+there once for all contexts of its dishes; between sweeps only the numbers of those
+contexts travel whose tables can change.  The driver sees sums over everything.
 
 Defined results: a null or empty text is one end token.  Rows without ``doc_id`` are
 training rows (nothing holds them out) and are scored.  Repeated rows are counted as often
@@ -27,7 +28,9 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,15 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landspan.llm.deobfuscate import held_out
-from landspan.llm.store import save
+from landspan.llm.store import bounded_batches, save_dealt
 from landspan.llm.text import hashes, mix, runs, slices, spans
 
-CONTEXTS = 10_000
 SWEEPS, BURN_IN = 4, 2
 #: Words of the documents that a chunk holds, about.
 CHUNK_WORDS = 2 << 20
-#: Words counted together before their counts travel.
-COUNT_WORDS = 4 << 20
 #: The end of a document, as a word's hash.
 END = np.uint64(0x656E642E656E642E)
 STRENGTH = 1.0
@@ -66,78 +66,75 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def pack(a: np.ndarray) -> bytes:
-    return zstandard.compress(a.tobytes(), 1)
+    """Compressed by planes: first the lowest byte of all values, then the next."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
 
 
 def unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), kind)
-
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
-# ---- counts -------------------------------------------------------------------------
 
+def pack_rising(a: np.ndarray) -> bytes:
+    """Sorted values by their steps."""
+    return pack(np.diff(a, prepend=a.dtype.type(0)))
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def counted(parts):
-        word, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    held, size = [], 0
-    for batch in batches:
-        for _, data, offsets in slices(batch.column(0), batch.column(0)):
-            held.append(tokens(data, offsets)[1])
-            size += len(held[-1])
-            if size >= COUNT_WORDS:
-                yield counted(held)
-                held, size = [], 0
-    if held:
-        yield counted(held)
+def unpack_rising(b: bytes, kind) -> np.ndarray:
+    return np.cumsum(unpack(b, kind), dtype=kind)
 
 
-def vocabulary(train: DataFrame) -> DataFrame:
-    """word (hash), n: how often each training token occurs."""
-    return save(train.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+# ---- counts -------------------------------------------------------------------------
 
 
-def _payloads(contexts: np.ndarray, buckets: int, chunk_words: int):
+def _payloads(buckets: int, chunk_words: int):
     """Batches (doc_id, held, text) to one row per chunk and bucket.
 
-    ``word``, ``context``, ``seen``: the chunk's distinct pairs whose word is in the bucket, in
-    that order, with their counts in training documents; ``docs``, ``doc``, ``times``: in how
-    many documents each pair occurs, in which and how often.  One row of each chunk also
-    lists its documents: ``ids``, ``held`` and ``sizes``.
+    ``word`` and its ``pairs``, ``context``, ``seen``: the chunk's distinct pairs whose word is in
+    the bucket, in that order, with their counts in training documents; a context is a place in
+    ``follows``, or -1 for none.  ``docs``, ``doc``, ``times``: in how many documents each pair occurs, in
+    which and how often.  One row of each chunk also lists its documents: ``ids``, ``held`` and
+    ``sizes``.
     """
-    width = len(contexts) + 1
 
     def close(chunk: int, ids: list, held: list, sizes: list, words: list) -> pa.RecordBatch:
-        held_, size, word = np.concatenate(held), np.concatenate(sizes), np.concatenate(words)
+        held_, size = np.concatenate(held), np.concatenate(sizes)
         m = len(size)
-        doc = np.repeat(np.arange(m), size)
-        context = np.zeros(len(word), np.int64)
-        if len(contexts):
-            at = np.minimum(np.searchsorted(contexts, word[:-1]), len(contexts) - 1)
-            context[1:] = np.where(contexts[at] == word[:-1], at + 1, 0)
-        context[np.cumsum(size)[:-1]] = 0  # a document's first word follows nothing
-        vocab, number = np.unique(word, return_inverse=True)
-        key, times = np.unique((number * width + context) * m + doc, return_counts=True)
-        pair, in_doc = key // m, key % m
+        vocab, number = np.unique(np.concatenate(words), return_inverse=True)
+        words.clear()  # arrays as long as the chunk go as soon as they can
+        width = len(vocab) + 1
+        place = number * width
+        place[1:] += number[:-1] + 1
+        first = np.cumsum(size)[:-1]
+        place[first] = number[first] * width  # a document's first word follows nothing
+        del number
+        pairs, place = np.unique(place, return_inverse=True)
+        place *= m
+        place += np.repeat(np.arange(m, dtype=np.int32), size)
+        key, times = np.unique(place, return_counts=True)
+        del place
+        pair, in_doc = key // m, (key % m).astype(np.int32)
+        del key
         begin = runs(pair)
         seen = np.add.reduceat(times * ~held_[in_doc], begin)
         docs = np.diff(np.append(begin, len(pair)))
-        pair = pair[begin]
-        pair_word, pair_context = vocab[pair // width], (pair % width - 1).astype(np.int32)
+        pair_word, pair_context = vocab[pairs // width], pairs % width
         bucket = (mix(pair_word) % np.uint64(buckets)).astype(np.int32)
         rows = []
         of_time = np.repeat(bucket, docs)
         for b in np.unique(bucket):
             mine, entries = bucket == b, of_time == b
+            used, at = np.unique(pair_context[mine], return_inverse=True)
+            after = used[:1] == 0  # 0 is no context
+            different, each = np.unique(pair_word[mine], return_counts=True)
             rows.append(
                 (
-                    int(b), chunk, pack(pair_word[mine]), pack(pair_context[mine]), pack(seen[mine].astype(np.int32)),
-                    pack(docs[mine].astype(np.int32)), pack(in_doc[entries].astype(np.int32)), pack(times[entries].astype(np.int32)),
+                    int(b), chunk, pack_rising(different), pack(each.astype(np.int32)), pack((at - after.sum()).astype(np.int32)), pack_rising(vocab[used[after.sum() :] - 1]),
+                    pack(seen[mine].astype(np.int32)), pack(docs[mine].astype(np.int32)), pack(in_doc[entries].astype(np.int32)), pack(times[entries].astype(np.int32)),
                     None, None, None,
                 )
             )
-        rows[0] = (*rows[0][:8], [x for part in ids for x in part], pack(held_.astype(np.uint8)), pack(size.astype(np.int64)))
+        rows[0] = (*rows[0][:10], [x for part in ids for x in part], pack(held_.astype(np.uint8)), pack(size.astype(np.int64)))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PAYLOAD)], schema=PAYLOAD)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,33 +164,64 @@ def _payloads(contexts: np.ndarray, buckets: int, chunk_words: int):
 
 PAYLOAD = pa.schema(
     [("bucket", pa.int32()), ("chunk", pa.int64())]
-    + [(c, pa.binary()) for c in ("word", "context", "seen", "docs", "doc", "times")]
+    + [(c, pa.binary()) for c in ("word", "pairs", "context", "follows", "seen", "docs", "doc", "times")]
     + [("ids", pa.list_(pa.int64())), ("held", pa.binary()), ("sizes", pa.binary())]
 )
 PAYLOAD_DDL = (
-    "bucket int, chunk long, word binary, context binary, seen binary, docs binary, doc binary, times binary, "
+    "bucket int, chunk long, word binary, pairs binary, context binary, follows binary, seen binary, docs binary, doc binary, times binary, "
     "ids array<long>, held binary, sizes binary"
 )
 
 
-def _dishes(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, context, customers) of all training pairs of a bucket, sorted."""
-    word = np.concatenate([unpack(x, np.uint64) for x in rows["word"]])
-    context = np.concatenate([unpack(x, np.int32) for x in rows["context"]])
-    seen = np.concatenate([unpack(x, np.int32) for x in rows["seen"]]).astype(np.int64)
-    keep = seen > 0
-    word, context, seen = word[keep], context[keep], seen[keep]
-    if not len(word):
-        return word, context, seen
-    order = np.lexsort((context, word))
-    word, context, seen = word[order], context[order], seen[order]
-    begin = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]))))
-    return word[begin], context[begin], np.add.reduceat(seen, begin)
+def _words(word: bytes, pairs: bytes) -> np.ndarray:
+    """The words of a payload row's pairs."""
+    return np.repeat(unpack_rising(word, np.uint64), unpack(pairs, np.int32))
+
+
+def _places(contexts: np.ndarray) -> Callable[[bytes, bytes], np.ndarray]:
+    """A function from a payload row's ``context`` and ``follows`` to places in ``contexts``, -1 for none."""
+    order = np.argsort(contexts)
+
+    def places(context: bytes, follows: bytes) -> np.ndarray:
+        at = order[np.searchsorted(contexts, unpack_rising(follows, np.uint64), sorter=order)]
+        return np.append(at, -1)[unpack(context, np.int32)].astype(np.int32)  # -1 is the last
+
+    return places
+
 
+def _part(contexts: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each context's own word, where its totals are added up."""
+    return (mix(contexts) % np.uint64(buckets)).astype(np.int32)
 
-def _bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    word, context, customers = _dishes(rows)
-    return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "word": [pack(word)], "context": [pack(context)], "customers": [pack(customers)]})
+
+def _bucket(buckets: int):
+    """Payload rows of a bucket to its training pairs, sorted, and all its contexts by part and hash."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        contexts = np.unique(np.concatenate([unpack_rising(x, np.uint64) for x in rows["follows"]]))
+        contexts = contexts[np.argsort(_part(contexts, buckets), kind="stable")]
+        places = _places(contexts)
+        word = np.concatenate([_words(w, n) for w, n in zip(rows["word"], rows["pairs"])])
+        context = np.concatenate([places(c, f) for c, f in zip(rows["context"], rows["follows"])])
+        seen = np.concatenate([unpack(x, np.int32) for x in rows["seen"]]).astype(np.int64)
+        keep = seen > 0
+        word, context, seen = word[keep], context[keep], seen[keep]
+        order = np.lexsort((context, word))
+        word, context, seen = word[order], context[order], seen[order]
+        if len(word):
+            begin = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]))))
+            word, context, seen = word[begin], context[begin], np.add.reduceat(seen, begin)
+        return pd.DataFrame(
+            {
+                "bucket": rows["bucket"].iloc[:1], "word": [pack_rising(word)], "context": [pack(context)], "customers": [pack(seen)],
+                "contexts": [pack(contexts)], "n_words": [len(runs(word))], "n_train": [int(seen.sum())],
+            }
+        )
+
+    return work
+
+
+DISHES = "bucket int, word binary, context binary, customers binary, contexts binary, n_words long, n_train long"
 
 
 # ---- seating ------------------------------------------------------------------------
@@ -221,7 +249,10 @@ def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random
 
 
 class Totals:
-    """Sums over all buckets, one set per sweep: what a bucket must know of the others."""
+    """Sums over all buckets, one set per sweep: what a bucket must know of the others.
+
+    Contexts are numbered as in the bucket.
+    """
 
     def __init__(self, contexts: int, vocabulary: int):
         self.contexts, self.vocabulary = contexts, vocabulary
@@ -265,44 +296,122 @@ def root_share(orders, root, k: float, s: float, totals: Totals):
     return (orders - totals.root_discount * root + base) / (STRENGTH + k)
 
 
-def _sums(totals: Totals, first: bool):
-    """Sums by context of a task's buckets in the last seating: rows (what, context, value)."""
+@dataclass
+class Sweeps:
+    """Sums over everything: the root's customers and tables per sweep, and the discounts."""
+
+    vocabulary: int
+    root: list[tuple[float, float]] = field(default_factory=list)
+    discount: float = 0.5
+    root_discount: float = 0.5
+
+
+def _history(r) -> list[np.ndarray]:
+    """What a bucket was told so far: numbers of the contexts whose tables can change, customers, tables per sweep.
 
-    def work(batches):
-        sums = {"tables": np.zeros(totals.contexts), "guests": np.zeros(totals.contexts), "root": np.zeros(2), "ones": np.zeros(3), "root_ones": np.zeros(3)}
+    The first sweep's tables are of all contexts, the others' of those that can change.
+    """
+    known = [unpack(x, np.int64) for x in (r.history if r.history is not None else [])]
+    told = sorted(r.replies if r.replies is not None else [], key=lambda x: x["part"])
+    column = lambda c: np.concatenate([unpack(x[c], np.int64) for x in told] or [np.zeros(0, np.int64)])
+    if known:
+        return [*known, column("tables")]
+    number = np.concatenate([np.cumsum(unpack(x["number"], np.int64)) for x in told] or [np.zeros(0, np.int64)])
+    guests, tables = column("guests"), column("tables")
+    return [number[guests > tables], guests, tables]
+
+
+def _local(history: list[np.ndarray], sweeps: Sweeps) -> Totals:
+    """The totals of a bucket's contexts; contexts with one customer a dish keep their tables."""
+    _, guests, first, *later = history
+    totals = Totals(len(guests), sweeps.vocabulary)
+    totals.guests, totals.root, totals.tables = guests.astype(float), sweeps.root, [first]
+    totals.discount, totals.root_discount = sweeps.discount, sweeps.root_discount
+    for values in later:
+        totals.tables.append(first.copy())
+        totals.tables[-1][guests > first] = values
+    return totals
+
+
+def _seat(sweeps: Sweeps, buckets: int):
+    """Seat a bucket once more: one row of its state and sums, and one message to each part of its contexts."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                word, context, customers = unpack(r.word, np.uint64), unpack(r.context, np.int32), unpack(r.customers, np.int64)
+                word, context, customers = unpack_rising(r.word, np.uint64), unpack(r.context, np.int32), unpack(r.customers, np.int64)
+                contexts = unpack(r.contexts, np.uint64)
+                first = not sweeps.root
+                history = [] if first else _history(r)
+                totals = Totals(len(contexts), sweeps.vocabulary) if first else _local(history, sweeps)
                 *_, (tables, orders, root) = seatings(r.bucket, word, context, customers, totals)
                 own = context >= 0
-                sums["root"] += (orders.sum(), root.sum())
-                sums["tables"] += np.bincount(context[own], tables[own], minlength=totals.contexts)
+                add = lambda x: np.bincount(context[own], x[own], minlength=len(contexts)).astype(np.int64)
+                laid, part = add(tables), _part(contexts, buckets)
+                ones = [float(x) for n in (1, 2) for x in ((customers[own] == n).sum(), (orders == n).sum())]
+                out = [(r.bucket, None, [pack(x) for x in history], None, None, None, float(orders.sum()), float(root.sum()), *ones)]
                 if first:
-                    sums["guests"] += np.bincount(context[own], customers[own], minlength=totals.contexts)
-                    sums["ones"] += [(customers[own] == n).sum() for n in range(3)]
-                    sums["root_ones"] += [(orders == n).sum() for n in range(3)]
-        out = [(what, n, v[n]) for what, v in sums.items() for n in np.flatnonzero(v)]
-        yield pd.DataFrame(out, columns=["what", "context", "value"]).astype({"what": "str", "context": "int32", "value": "float64"})
+                    keys, guests = contexts, add(customers)
+                else:
+                    live = history[1] > history[2]
+                    keys, laid, part, guests = history[0], laid[live], part[live], None
+                begin = runs(part)
+                for a, b in zip(begin, np.append(begin[1:], len(part))):
+                    key = keys[a:b] if first else np.diff(keys[a:b], prepend=0)
+                    out.append((r.bucket, int(part[a]), None, pack(key), pack(guests[a:b]) if first else None, pack(laid[a:b]), *[0.0] * 6))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in SEATED.split(", ")]).astype({"part": "Int32"})
+
+    return work
+
+
+SEATED = (
+    "bucket int, part int, history array<binary>, keys binary, guests binary, tables binary, "
+    "customers_ double, tables_ double, ones double, root_ones double, twos double, root_twos double"
+)
+
+
+def _add_up(first: bool):
+    """Messages of all buckets to one part, answered with the sums: numbers and customers at first, then tables."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        laid = [unpack(x, np.int64) for x in rows["tables"]]
+        if first:
+            keys = [unpack(x, np.uint64) for x in rows["keys"]]
+            number = np.unique(np.concatenate(keys), return_inverse=True)[1]
+            at = np.split(number, np.cumsum([len(k) for k in keys])[:-1])
+        else:
+            at = [np.cumsum(unpack(x, np.int64)) for x in rows["keys"]]
+        every = np.concatenate(at)
+        total = lambda x: np.bincount(every, np.concatenate(x)).astype(np.int64)  # noqa: E731  exact below 2^53
+        tables = total(laid)
+        out = {"bucket": rows["bucket"], "part": rows["part"], "number": None, "guests": None, "tables": [pack(tables[i]) for i in at]}
+        if first:
+            guests = total([unpack(x, np.int64) for x in rows["guests"]])
+            out |= {"number": [pack(np.diff(i, prepend=0)) for i in at], "guests": [pack(guests[i]) for i in at]}
+        return pd.DataFrame(out)
 
     return work
 
 
-def sweep(dishes: DataFrame, totals: Totals) -> None:
-    """Seat all buckets once more and add up the result."""
-    first = not totals.root
-    # a task per core adds up its buckets before anything travels
-    cores = dishes.sparkSession.sparkContext.defaultParallelism
-    rows = dishes.coalesce(cores).mapInPandas(_sums(totals, first), "what string, context int, value double")
-    got: dict[str, dict[int, float]] = {}
-    for r in rows.groupBy("what", "context").agg(F.sum("value").alias("value")).collect():  # a few per context
-        got.setdefault(r["what"], {})[r["context"]] = r["value"]
-    at = lambda what, n: np.array([got.get(what, {}).get(i, 0.0) for i in range(n)])
-    totals.tables.append(at("tables", totals.contexts))
-    totals.root.append(tuple(at("root", 2)))
-    if first:
-        totals.guests = at("guests", totals.contexts)
-        share = lambda w: min(0.95, max(0.05, w.get(1, 0) / max(1.0, w.get(1, 0) + 2 * w.get(2, 0))))
-        totals.discount, totals.root_discount = share(got.get("ones", {})), share(got.get("root_ones", {}))
+def seated(dishes: DataFrame, sweeps: Sweeps, n: int, buckets: int) -> DataFrame:
+    """``dishes`` with each bucket's history and replies after a first seating and ``n`` sweeps."""
+    told = dishes
+    for sweep in range(n + 1):
+        out = save_dealt(told.mapInPandas(_seat(sweeps, buckets), SEATED), "seats", "bucket", buckets)
+        state = out.where("part IS NULL")
+        sums = state.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in ("customers_", "tables_", "ones", "root_ones", "twos", "root_twos"))).first()
+        sweeps.root.append((sums[0], sums[1]))
+        if not sweep:
+            share = lambda one, two: min(0.95, max(0.05, one / max(1.0, one + 2 * two)))
+            sweeps.discount, sweeps.root_discount = share(sums[2], sums[4]), share(sums[3], sums[5])
+        replies = (
+            out.where("part IS NOT NULL").select("bucket", "part", "keys", "guests", "tables")
+            .groupBy("part").applyInPandas(_add_up(not sweep), "bucket int, part int, number binary, guests binary, tables binary")
+            .groupBy("bucket").agg(F.collect_list(F.struct("part", "number", "guests", "tables")).alias("replies"))
+        )
+        # dealt by bucket as the dishes are, so only the replies travel
+        told = dishes.join(state.select("bucket", "history").hint("merge"), "bucket").join(replies.hint("merge"), "bucket", "left")
+    return told
 
 
 # ---- scores -------------------------------------------------------------------------
@@ -316,8 +425,8 @@ def _probabilities(bucket: int, dishes, totals: Totals, burn_in: int):
     count = np.add.reduceat(customers, begin) if len(begin) else np.zeros(0, np.int64)
     width = totals.contexts + 1
     key = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(word)))) * width + context + 1
-    samples = list(seatings(bucket, word, context, customers, totals))[:-1]  # the last has no totals yet
-    samples = list(zip(samples, totals.root, totals.tables))[burn_in:]
+    samples = islice(seatings(bucket, word, context, customers, totals), burn_in, len(totals.root))  # a later one has no totals yet
+    samples = list(zip(samples, totals.root[burn_in:], totals.tables[burn_in:]))
 
     def ask(w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(vocab, w), max(len(vocab) - 1, 0))
@@ -340,15 +449,18 @@ def _probabilities(bucket: int, dishes, totals: Totals, burn_in: int):
     return ask
 
 
-def _answers(totals: Totals, n_train: int, burn_in: int):
-    """Payload rows of a bucket to sums per document of its chunks."""
+def _answers(sweeps: Sweeps, n_train: int, burn_in: int):
+    """Payload rows of a bucket, and its dishes with what it was told, to sums per document of its chunks."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        ask = _probabilities(int(rows["bucket"].iloc[0]), _dishes(rows), totals, burn_in)
+    def work(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        mine = next(told.itertuples(index=False))
+        dishes = unpack_rising(mine.word, np.uint64), unpack(mine.context, np.int32), unpack(mine.customers, np.int64)
+        ask = _probabilities(int(mine.bucket), dishes, _local(_history(mine), sweeps), burn_in)
+        places = _places(unpack(mine.contexts, np.uint64))
         out = []
         for r in rows.itertuples(index=False):
-            p, c = ask(unpack(r.word, np.uint64), unpack(r.context, np.int32))
-            base = np.log10((c + PSEUDO) / (n_train + PSEUDO * (totals.vocabulary + 1)))
+            p, c = ask(_words(r.word, r.pairs), places(r.context, r.follows))
+            base = np.log10((c + PSEUDO) / (n_train + PSEUDO * (sweeps.vocabulary + 1)))
             docs, doc, times = unpack(r.docs, np.int32), unpack(r.doc, np.int32), unpack(r.times, np.int32)
             seen, at = np.unique(doc, return_inverse=True)
             add = lambda x: pack(np.bincount(at, np.repeat(x, docs) * times, minlength=len(seen)))
@@ -379,28 +491,21 @@ def _documents(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def score(documents: DataFrame, contexts: int = CONTEXTS, sweeps: int = SWEEPS, burn_in: int = BURN_IN, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def score(documents: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(0, 10).alias("held"), "text")
-    words = vocabulary(docs.where(~F.col("held")))
-    n_words, n_train = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # at most ``contexts`` words can be that frequent
-    frequent = words.where(F.col("n") * contexts >= n_train).select("word").collect() if contexts else []
-    frequent = np.sort(np.array([r["word"] for r in frequent], np.int64).view(np.uint64))
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = save(docs.mapInArrow(_payloads(frequent, buckets, chunk_words), PAYLOAD_DDL), "pairs")
-    dishes = save(
-        pairs.select("bucket", "word", "context", "seen")
-        .groupBy("bucket")
-        .applyInPandas(_bucket, "bucket int, word binary, context binary, customers binary"),
-        "dishes",
-    )
-    totals = Totals(len(frequent), n_words)
-    for _ in range(sweeps + 1):
-        sweep(dishes, totals)
-    answers = pairs.groupBy("bucket").applyInPandas(
-        _answers(totals, n_train, burn_in),
+    pairs = docs.mapInArrow(_payloads(buckets, chunk_words), PAYLOAD_DDL).repartition(buckets, "bucket")
+    pairs = save_dealt(pairs, "pairs", "bucket", buckets)
+    dishes = pairs.select("bucket", "word", "pairs", "context", "follows", "seen").groupBy("bucket").applyInPandas(_bucket(buckets), DISHES)
+    dishes = save_dealt(dishes, "dishes", "bucket", buckets)
+    n_words, n_train = dishes.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_train"))).first()
+    shared = Sweeps(n_words)
+    told = seated(dishes, shared, sweeps, buckets)
+    answers = pairs.drop("seen").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(
+        _answers(shared, n_train, burn_in),
         "chunk long, doc binary, score binary, base binary, known binary, ids array<long>, held binary, sizes binary",
     )
     out = answers.groupBy("chunk").applyInPandas(

@@ -196,6 +196,74 @@ def test_base_scores_and_held_out_gain(spark):
     assert sum(r["score"] > r["base_score"] for r in held) > 0.9 * len(held)
 
 
+def test_rare_words_are_contexts(spark):
+    rng, parts = random.Random(7), [8, 30]
+    v = vocabulary(rng, 40)
+    held = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    train = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 10]
+    rows = [(train[i], " ".join(rng.choice(v) for _ in range(300))) for i in range(100)]
+    # two in 30 000 tokens: too rare to be a context if that took one in 10 000
+    rows += [(train[i], "seldom follower") for i in (100, 101)]
+    words = sorted({w for _, t in rows for w in t.split()}) + ["unseen"]
+    rows += [(held[i], f"seldom {w}") for i, w in enumerate(words)] + [(held[len(words)], "seldom"), (held[len(words) + 1], "unseen follower")]
+    got = []
+    for n in parts:
+        got.append({r["doc_id"]: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), chunk_words=4_000).collect()})
+    assert all(math.isclose(got[0][i]["score"], r["score"], rel_tol=1e-9) for i, r in got[1].items())
+    at = {w: got[0][held[i]]["score"] for i, w in enumerate(words)}
+    assert at["follower"] > max(at[w] for w in v) + 0.5
+    # the same model without Spark, from other random draws
+    brute = _brute_pitman_yor([(i, t.split()) for i, t in rows if i in set(train)])
+    for i, t in rows[102:]:
+        assert math.isclose(got[0][i]["score"], brute(t.split()), abs_tol=0.2), t
+
+
+def _brute_pitman_yor(docs, sweeps=5):
+    """The same model by seating every customer alone, with plain dictionaries; a function from words to log10 p."""
+    rng = np.random.default_rng(3)
+    pairs, vocab = Counter(), set()
+    for _, ws in docs:
+        for a, b in zip([None, *ws], [*ws, "\n"]):
+            pairs[a, b] += 1
+            vocab.add(b)
+    own = {p: c for p, c in pairs.items() if p[0] is not None}
+    d = min(0.95, max(0.05, sum(c == 1 for c in own.values()) / max(1, sum(c == 1 for c in own.values()) + 2 * sum(c == 2 for c in own.values()))))
+    tables = {p: 1 if p in own else c for p, c in pairs.items()}
+    root_d, root, samples = None, dict.fromkeys(vocab, 1), []
+    for sweep in range(sweeps):
+        orders, of, guests = Counter(), Counter(), Counter()
+        for (a, b), t in tables.items():
+            orders[b] += t
+            if a is not None:
+                of[a] += t
+                guests[a] += pairs[a, b]
+        if root_d is None:
+            ones, twos = sum(c == 1 for c in orders.values()), sum(c == 2 for c in orders.values())
+            root_d = min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
+        k, s = sum(orders.values()), sum(root.values())
+        base = (1 + root_d * s) / (len(vocab) + 1)
+        share = lambda b, o=orders, r=dict(root), k=k, base=base: (o[b] - root_d * r.get(b, 0) + base) / (1 + k)
+        if sweep >= 2:
+            samples.append((dict(tables), of, guests, share))
+        for (a, b), c in own.items():
+            tables[a, b] = int(pitman_yor.seat(np.array([c]), np.array([(1 + d * of[a]) * share(b)]), d, rng)[0])
+        root = {b: int(pitman_yor.seat(np.array([orders[b]]), np.array([base]), root_d, rng)[0]) for b in vocab}
+
+    def score(ws):
+        total = 0.0
+        for a, b in zip([None, *ws], [*ws, "\n"]):
+            ps = []
+            for t, of, guests, share in samples:
+                p = share(b)
+                if a is not None:
+                    p = ((pairs[a, b] - d * t[a, b] if (a, b) in pairs else 0) + (1 + d * of[a]) * p) / (1 + guests[a])
+                ps.append(p)
+            total += math.log10(sum(ps) / len(ps))
+        return total
+
+    return score
+
+
 # ---- 4
 
 
