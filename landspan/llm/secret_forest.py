@@ -31,7 +31,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -222,16 +221,16 @@ def word_features(low: DataFrame, pairs: dict[str, float], dictionary: DataFrame
         tried = save(todo.mapInArrow(work, "low string, likely double, covered double, parts array<string>"), "covered")
         used = tried.select("low", F.explode("parts").alias("word"))
         false = save(used.select("word").distinct().join(dictionary, "word", "left_anti"), "no_words")
-        wrong = save(used.join(false, "word").groupBy("low").agg(F.collect_set("word").alias("more")), "wrong")
+        wrong = save(used.join(false.hint("merge"), "word").groupBy("low").agg(F.collect_set("word").alias("more")), "wrong")
         if wrong.isEmpty():
             good = tried
         else:
-            good = tried.join(wrong.select("low"), "low", "left_anti")
+            good = tried.join(wrong.select("low").hint("merge"), "low", "left_anti")
         good = good.select("low", "likely", "covered")
         done = good if done is None else done.unionByName(good)
         if wrong.isEmpty():
             return done
-        todo = todo.join(wrong, "low").select("low", F.array_union("no", "more").alias("no"))
+        todo = todo.join(wrong.hint("merge"), "low").select("low", F.array_union("no", "more").alias("no"))
 
 
 def candidates(documents: DataFrame, pairs: dict[str, float], dictionary: DataFrame, path: str = "source") -> DataFrame:
@@ -244,7 +243,8 @@ def candidates(documents: DataFrame, pairs: dict[str, float], dictionary: DataFr
     found = save(rows.mapInArrow(_found, FOUND_DDL), "found")
     low = found.select("low").distinct()
     of_word = save(word_features(low, pairs, dictionary), "found_words")
-    out = found.join(of_word, "low")
+    # as many candidates as documents: by one plan at every size, so that disk grows as the input does
+    out = found.join(of_word.hint("merge"), "low")
     for side in ("before", "after"):
         near = found.select(F.col(side).alias("word")).distinct().join(dictionary, "word", "left_semi")
         near = save(near.select(F.col("word").alias(side), F.lit(1.0).alias(f"{side}_known")), f"found_{side}")
@@ -255,21 +255,20 @@ def candidates(documents: DataFrame, pairs: dict[str, float], dictionary: DataFr
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts: list[list[str]] = []
+    n, docs, size = Counter(), Counter(), 0
 
     def counted() -> pa.RecordBatch:
-        n, docs = Counter(chain.from_iterable(texts)), Counter(chain.from_iterable(map(set, texts)))
-        texts.clear()
         return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[w] for w in n], pa.int64())], ["word", "n", "docs"])
 
-    size = 0
     for batch in batches:
         for text in batch.column(0):
-            texts.append(re.findall(r"[^\W\d_]+", (text.as_py() or "").lower()))
-            size += len(texts[-1])
+            words = re.findall(r"[^\W\d_]+", (text.as_py() or "").lower())
+            n.update(words)  # a word's repeats are not held
+            docs.update(set(words))
+            size += len(words)
             if size >= COUNT_WORDS:
                 yield counted()
-                size = 0
+                n, docs, size = Counter(), Counter(), 0
     yield counted()
 
 

@@ -2,11 +2,13 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -617,3 +619,25 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert set(kept["decontamination"]) == set(kept["ngram_jaccard_join"]) - {303}
     mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["size"] for r in mixed} == {i: len(t.split()) for i, t in kept["decontamination"].items()}
+
+
+def test_words_are_counted_without_holding_their_repeats():
+    texts = pa.RecordBatch.from_arrays([pa.array(["common words stand here " * 25_000] * 2 + ["here", None])], ["text"])
+    list(secret_forest._count_words(iter([texts])))
+    tracemalloc.start()
+    one = list(secret_forest._count_words(iter([texts.slice(0, 1)])))
+    single = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    every = list(secret_forest._count_words(iter([texts] * 4)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert one[0].to_pylist()[0] == {"word": "common", "n": 25_000, "docs": 1}
+    assert {(r["word"], r["n"], r["docs"]) for r in every[0].to_pylist()} == {("common", 200_000, 8), ("words", 200_000, 8), ("stand", 200_000, 8), ("here", 200_004, 12)}
+    assert peak < 2 * single
+
+
+def test_candidates_meet_their_words_by_the_same_plan_at_every_size(spark):
+    docs = frame(spark, ["password = hunter2 and extraordinarily long", "token: abcdefgh1234"])
+    low = spark.createDataFrame([("a", 1.0)], "word string, n double")
+    out = secret_forest.candidates(docs, {}, low.select("word"))
+    assert "SortMergeJoin [low#" in out._jdf.queryExecution().executedPlan().toString()
