@@ -31,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -100,38 +101,33 @@ def _payloads(buckets: int, chunk_words: int):
     def close(chunk: int, ids: list, held: list, sizes: list, words: list) -> pa.RecordBatch:
         held_, size = np.concatenate(held), np.concatenate(sizes)
         m = len(size)
-        vocab, number = np.unique(np.concatenate(words), return_inverse=True)
+        every = np.concatenate(words)
         words.clear()  # arrays as long as the chunk go as soon as they can
+        vocab = np.unique(every)
+        number = np.searchsorted(vocab, every).astype(np.int32)
+        del every
         width = len(vocab) + 1
-        place = number * width
-        place[1:] += number[:-1] + 1
-        first = np.cumsum(size)[:-1]
-        place[first] = number[first] * width  # a document's first word follows nothing
-        del number
-        pairs, place = np.unique(place, return_inverse=True)
-        place *= m
-        place += np.repeat(np.arange(m, dtype=np.int32), size)
-        key, times = np.unique(place, return_counts=True)
-        del place
-        pair, in_doc = key // m, (key % m).astype(np.int32)
-        del key
-        begin = runs(pair)
-        seen = np.add.reduceat(times * ~held_[in_doc], begin)
-        docs = np.diff(np.append(begin, len(pair)))
-        pair_word, pair_context = vocab[pairs // width], pairs % width
-        bucket = (mix(pair_word) % np.uint64(buckets)).astype(np.int32)
+        before = np.append(np.int32(0), number[:-1] + 1)
+        before[np.cumsum(size)[:-1]] = 0  # a document's first word follows nothing
+        document = np.repeat(np.arange(m, dtype=np.int32), size)
+        bucket = (mix(vocab) % np.uint64(buckets)).astype(np.int32)[number]
+        order = np.argsort(bucket, kind="stable")
+        begin = runs(bucket[order])
         rows = []
-        of_time = np.repeat(bucket, docs)
-        for b in np.unique(bucket):
-            mine, entries = bucket == b, of_time == b
-            used, at = np.unique(pair_context[mine], return_inverse=True)
+        for mine in np.split(order, begin[1:]):
+            pairs, at = np.unique(number[mine].astype(np.int64) * width + before[mine], return_inverse=True)
+            key, times = np.unique(at * m + document[mine], return_counts=True)
+            pair, in_doc = key // m, (key % m).astype(np.int32)
+            first = runs(pair)
+            seen = np.add.reduceat(times * ~held_[in_doc], first)
+            docs = np.diff(np.append(first, len(pair)))
+            used, at = np.unique(pairs % width, return_inverse=True)
             after = used[:1] == 0  # 0 is no context
-            different, each = np.unique(pair_word[mine], return_counts=True)
+            different, each = np.unique(vocab[pairs // width], return_counts=True)
             rows.append(
                 (
-                    int(b), chunk, pack_rising(different), pack(each.astype(np.int32)), pack((at - after.sum()).astype(np.int32)), pack_rising(vocab[used[after.sum() :] - 1]),
-                    pack(seen[mine].astype(np.int32)), pack(docs[mine].astype(np.int32)), pack(in_doc[entries].astype(np.int32)), pack(times[entries].astype(np.int32)),
-                    None, None, None,
+                    int(bucket[mine[0]]), chunk, pack_rising(different), pack(each.astype(np.int32)), pack((at - after.sum()).astype(np.int32)), pack_rising(vocab[used[after.sum() :] - 1]),
+                    pack(seen.astype(np.int32)), pack(docs.astype(np.int32)), pack(in_doc), pack(times.astype(np.int32)), None, None, None,
                 )
             )
         rows[0] = (*rows[0][:10], [x for part in ids for x in part], pack(held_.astype(np.uint8)), pack(size.astype(np.int64)))
@@ -197,13 +193,19 @@ def _part(contexts: np.ndarray, buckets: int) -> np.ndarray:
 def _bucket(buckets: int):
     """Payload rows of a bucket to its training pairs, sorted, and all its contexts by part and hash."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        contexts = np.unique(np.concatenate([unpack_rising(x, np.uint64) for x in rows["follows"]]))
+    def work(rows: pa.Table) -> pa.Table:
+        each = lambda *names: zip(*((x.as_py() for x in rows[c]) for c in names))  # noqa: E731  one row leaves Arrow memory at a time
+        contexts, more = np.zeros(0, np.uint64), []
+        for (follows,) in each("follows"):
+            more.append(unpack_rising(follows, np.uint64))
+            if sum(map(len, more)) > len(contexts):
+                contexts, more = np.unique(np.concatenate([contexts, *more])), []
+        contexts = np.unique(np.concatenate([contexts, *more]))
         contexts = contexts[np.argsort(_part(contexts, buckets), kind="stable")]
         places = _places(contexts)
-        word = np.concatenate([_words(w, n) for w, n in zip(rows["word"], rows["pairs"])])
-        context = np.concatenate([places(c, f) for c, f in zip(rows["context"], rows["follows"])])
-        seen = np.concatenate([unpack(x, np.int32) for x in rows["seen"]]).astype(np.int64)
+        word = np.concatenate([_words(w, n) for w, n in each("word", "pairs")])
+        context = np.concatenate([places(c, f) for c, f in each("context", "follows")])
+        seen = np.concatenate([unpack(x, np.int32) for (x,) in each("seen")]).astype(np.int64)
         keep = seen > 0
         word, context, seen = word[keep], context[keep], seen[keep]
         order = np.lexsort((context, word))
@@ -211,12 +213,13 @@ def _bucket(buckets: int):
         if len(word):
             begin = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]))))
             word, context, seen = word[begin], context[begin], np.add.reduceat(seen, begin)
-        return pd.DataFrame(
+        return pa.table(
             {
-                "bucket": rows["bucket"].iloc[:1], "word": [pack_rising(word)], "context": [pack(context)], "customers": [pack(seen)],
-                "contexts": [pack(contexts)], "n_words": [len(runs(word))], "n_train": [int(seen.sum())],
+                "bucket": rows["bucket"].slice(0, 1),
+                **{c: pa.array([x], pa.binary()) for c, x in zip(("word", "context", "customers", "contexts"), (pack_rising(word), pack(context), pack(seen), pack(contexts)))},
+                **{c: pa.array([x], pa.int64()) for c, x in (("n_words", len(runs(word))), ("n_train", int(seen.sum())))},
             }
-        )
+        )
 
     return work
 
@@ -452,20 +455,23 @@ def _probabilities(bucket: int, dishes, totals: Totals, burn_in: int):
 def _answers(sweeps: Sweeps, n_train: int, burn_in: int):
     """Payload rows of a bucket, and its dishes with what it was told, to sums per document of its chunks."""
 
-    def work(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        mine = next(told.itertuples(index=False))
+    def work(rows: pa.Table, told: pa.Table) -> pa.Table:
+        mine = SimpleNamespace(**told.to_pylist()[0])
         dishes = unpack_rising(mine.word, np.uint64), unpack(mine.context, np.int32), unpack(mine.customers, np.int64)
-        ask = _probabilities(int(mine.bucket), dishes, _local(_history(mine), sweeps), burn_in)
+        ask = _probabilities(mine.bucket, dishes, _local(_history(mine), sweeps), burn_in)
         places = _places(unpack(mine.contexts, np.uint64))
         out = []
-        for r in rows.itertuples(index=False):
-            p, c = ask(_words(r.word, r.pairs), places(r.context, r.follows))
+        for i in range(rows.num_rows):  # one row's pairs at a time leave Arrow memory
+            r = {c: rows[c][i].as_py() for c in ("word", "pairs", "context", "follows", "docs", "doc", "times")}
+            p, c = ask(_words(r["word"], r["pairs"]), places(r["context"], r["follows"]))
             base = np.log10((c + PSEUDO) / (n_train + PSEUDO * (sweeps.vocabulary + 1)))
-            docs, doc, times = unpack(r.docs, np.int32), unpack(r.doc, np.int32), unpack(r.times, np.int32)
+            docs, doc, times = unpack(r["docs"], np.int32), unpack(r["doc"], np.int32), unpack(r["times"], np.int32)
             seen, at = np.unique(doc, return_inverse=True)
             add = lambda x: pack(np.bincount(at, np.repeat(x, docs) * times, minlength=len(seen)))
-            out.append((r.chunk, pack(seen.astype(np.int32)), add(np.log10(p)), add(base), add(c > 0), r.ids, r.held, r.sizes))
-        return pd.DataFrame(out, columns=["chunk", "doc", "score", "base", "known", "ids", "held", "sizes"])
+            out.append((pack(seen.astype(np.int32)), add(np.log10(p)), add(base), add(c > 0)))
+        sums = [pa.array(list(x), pa.binary()) for x in zip(*out)] or [pa.array([], pa.binary())] * 4
+        passed = {c: rows[c] for c in ("chunk", "ids", "held", "sizes")}
+        return pa.table(passed | dict(zip(("doc", "score", "base", "known"), sums)))
 
     return work
 
@@ -499,12 +505,12 @@ def score(documents: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, ch
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = docs.mapInArrow(_payloads(buckets, chunk_words), PAYLOAD_DDL).repartition(buckets, "bucket")
     pairs = save_dealt(pairs, "pairs", "bucket", buckets)
-    dishes = pairs.select("bucket", "word", "pairs", "context", "follows", "seen").groupBy("bucket").applyInPandas(_bucket(buckets), DISHES)
+    dishes = pairs.select("bucket", "word", "pairs", "context", "follows", "seen").groupBy("bucket").applyInArrow(_bucket(buckets), DISHES)
     dishes = save_dealt(dishes, "dishes", "bucket", buckets)
     n_words, n_train = dishes.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_train"))).first()
     shared = Sweeps(n_words)
     told = seated(dishes, shared, sweeps, buckets)
-    answers = pairs.drop("seen").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(
+    answers = pairs.drop("seen").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
         _answers(shared, n_train, burn_in),
         "chunk long, doc binary, score binary, base binary, known binary, ids array<long>, held binary, sizes binary",
     )

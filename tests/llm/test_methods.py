@@ -641,3 +641,22 @@ def test_candidates_meet_their_words_by_the_same_plan_at_every_size(spark):
     low = spark.createDataFrame([("a", 1.0)], "word string, n double")
     out = secret_forest.candidates(docs, {}, low.select("word"))
     assert "SortMergeJoin [low#" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_chunk_is_packed_bucket_by_bucket(monkeypatch):
+    """What a chunk holds at once is a few arrays of its tokens, and buckets come in order with all their pairs."""
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("", (), {"partitionId": staticmethod(lambda: 0)}))
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 2000) % 50_000) for _ in range(150)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(150), pa.int64()), pa.array([i % 10 == 0 for i in range(150)]), pa.array(texts)], ["doc_id", "held", "text"])
+    work = pitman_yor._payloads(16, 1 << 30)
+    list(work(iter([rows.slice(0, 1)])))
+    tracemalloc.start()
+    (out,) = work(rows.slice(i, 5) for i in range(0, 150, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["bucket"].to_pylist() == sorted(set(out["bucket"].to_pylist()))
+    assert sum(int(pitman_yor.unpack(x.as_py(), np.int32).sum()) for x in out["times"]) == 150 * 2001
+    found = pitman_yor._bucket(16)(pa.Table.from_batches([out.slice(0, 1)]))
+    assert found["n_train"][0].as_py() == pitman_yor.unpack(out["seen"][0].as_py(), np.int32).sum()
+    assert peak < 52 * 150 * 2001
