@@ -17,8 +17,10 @@ the box of each.
 Links are found in two passes.  First each cell compares its documents with its smallest
 one, which ties a group of near copies together with as many pairs as documents.  Then, in
 cells whose documents are not all connected yet, leaves whose boxes can reach the
-similarity are joined, point by point where nothing connects them yet.  A pair that the
-bound lets through is verified on the full shingle sets.  What comes out connects all that
+similarity are joined, point by point where nothing connects them yet.  Chance fills the
+few groups of a long document evenly, so pairs are then held against fine points, which
+have as many groups as the document has shingles and are far smaller than its text.  A pair
+that the bound lets through is verified on the full shingle sets.  What comes out connects all that
 is connected, with at most a link per document and pair of leaves; no pair is skipped but
 those that the bound rules out or that are connected already.
 
@@ -41,6 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landspan.llm.graph import components
+from landspan.llm.pitman_yor import pack, unpack
 from landspan.llm.store import save
 from landspan.llm.text import C, hashes, mix, runs, slices, spans
 
@@ -55,6 +58,8 @@ FEW_IDS = 1_000_000
 SAMPLE_DOCS = 20_000
 FREQUENT_IN_SAMPLE = 8
 MOST_FREQUENT = 200_000
+#: Counts of fine points that are compared at once.
+AT_ONCE = 4 << 20
 #: Documents of a block, about; pairs are verified by pairs of blocks.
 BLOCK = 256
 
@@ -277,6 +282,61 @@ def _may_link(percent: int):
     return work
 
 
+WANTED = "leader long, leaf_1 int, leaf_2 int, leaf int, id long, n long, label long"
+
+
+def _fine(groups: int):
+    """Batches (id, text) to (id, size, fine): counts in a power of two of groups, as many as shingles or more."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, data, offsets in slices(batch.column(0), batch.column(1)):
+                row, value = shingles(data, offsets)
+                size, fine = [], []
+                for own in np.split(value, np.searchsorted(row, np.arange(1, len(ids)))):
+                    width = 1 << (max(groups, len(own)) - 1).bit_length()
+                    size.append(len(own))
+                    fine.append(pack(np.minimum(np.bincount((own % np.uint64(width)).astype(np.int64), minlength=width), FULL).astype("<u2")))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(fine, pa.binary())], ["id", "size", "fine"])
+
+    return work
+
+
+def _folded(point: np.ndarray, width: int) -> np.ndarray:
+    """A fine point's counts in fewer groups."""
+    return np.minimum(point.reshape(-1, width).sum(axis=0, dtype=np.int64), FULL).astype(np.uint16)
+
+
+def _may_link_finely(percent: int):
+    """Documents of two leaves (leader, leaf_1, leaf_2, leaf, id, n, label, size, fine) to those that fine points leave a partner.
+
+    Points are compared in the groups of the one that has fewer.
+    """
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        n, size, side, label = (rows[c].to_numpy() for c in ("n", "size", "leaf", "label"))
+        one = rows["leaf_1"].iloc[0] == rows["leaf_2"].iloc[0]
+        points = [unpack(x, np.uint16) for x in rows["fine"]]
+        width = np.array([len(p) for p in points])
+        keep = np.zeros(len(rows), bool)
+        for w in np.unique(width):
+            mine = np.flatnonzero(width == w)
+            fits = (width >= w) & (100 * n >= percent * n[mine].min()) & (percent * n <= 100 * n[mine].max())
+            step = max(1, AT_ONCE // int(w))
+            others = np.flatnonzero(fits)
+            for part in np.split(others, np.arange(step, len(others), step)):
+                held = np.stack([_folded(points[y], w) for y in part])
+                for x in mine:
+                    near = (label[part] != label[x]) & (one | (side[part] != side[x]))
+                    near &= 100 * np.minimum(n[x], n[part]) >= percent * np.maximum(n[x], n[part])
+                    y = part[near]
+                    y = y[_reaches(_most_shared(points[x], held[near]), size[x] + size[y], percent)]
+                    keep[x], keep[y] = keep[x] or len(y) > 0, True
+        return rows.loc[keep, [c.split()[0] for c in WANTED.split(", ")]].drop_duplicates()
+
+    return work
+
+
 def _leaf_links(percent: int, groups: int):
     """Documents of two leaves (leader, leaf_1, leaf_2, leaf, id, n, label, text) to links that connect what is connected.
 
@@ -316,6 +376,14 @@ def _leaf_links(percent: int, groups: int):
     return work
 
 
+def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, text of the documents whose ``id`` is wanted."""
+    ids = wanted.select("id").distinct()
+    return documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(
+        F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi"
+    )
+
+
 def links(documents: DataFrame, pts: DataFrame, percent: int = PERCENT, leaf: int = LEAF, groups: int = GROUPS) -> DataFrame:
     """a, b: links between representatives (the smallest id of equal sets) that connect all that are connected."""
     first = pts.where("n > 0").groupBy("digest_1", "digest_2", "n").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -364,15 +432,12 @@ def links(documents: DataFrame, pts: DataFrame, percent: int = PERCENT, leaf: in
     several = packed.join(packed.where("leaf = 1").select("leader"), "leader", "left_semi")
     meet = F.expr(f"leaf_1 < leaf_2 and 100 * ns_1[size(ns_1) - 1] >= {percent} * ns_2[0]")
     tiles = side(1, several).join(side(2, several), "leader").where(meet).unionByName(alone)
-    wanted = save(
-        tiles.mapInPandas(_may_link(percent), "leader long, leaf_1 int, leaf_2 int, leaf int, id long, n long, label long"), "wanted"
-    )
-    ids = wanted.select("id").distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(
-        F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi"
-    )
-    rows = wanted.join(texts.dropDuplicates(["id"]), "id")
-    rest = rows.groupBy("leader", "leaf_1", "leaf_2").applyInPandas(_leaf_links(percent, groups), "a long, b long")
+    wanted = save(tiles.mapInPandas(_may_link(percent), WANTED), "wanted")
+    tile = ["leader", "leaf_1", "leaf_2"]
+    fine = _texts(documents, wanted).mapInArrow(_fine(groups), "id long, size long, fine binary")
+    wanted = save(wanted.join(fine, "id").groupBy(*tile).applyInPandas(_may_link_finely(percent), WANTED), "wanted")
+    rows = wanted.join(_texts(documents, wanted).dropDuplicates(["id"]), "id")
+    rest = rows.groupBy(*tile).applyInPandas(_leaf_links(percent, groups), "a long, b long")
     return found.unionByName(save(rest, "rest"))
 
 

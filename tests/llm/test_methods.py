@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -421,6 +422,38 @@ def test_components_are_exact(spark, seed, monkeypatch):
     assert all(roots[r["a"]] == roots[r["b"]] for r in found)
 
 
+def test_texts_of_unrelated_long_documents_do_not_travel(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    long = [[f"w{rng.randrange(10**6)}" for _ in range(6000 + 40 * i)] + passage for i in range(6)]
+    long.append([*long[3][:-300], *passage])
+    docs, saved, save = frame(spark, [" ".join(x) for x in long]), [], count_tree.save
+    monkeypatch.setattr(count_tree, "save", lambda df, name: saved.append((name, save(df, name))) or saved[-1][1])
+    found = count_tree.links(docs, count_tree.points(docs)).collect()
+    assert {(r["a"], r["b"]) for r in found} == {(3, 6)}
+    assert {r["id"] for r in [df for name, df in saved if name == "wanted"][-1].collect()} <= {3, 6}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_fine_points_keep_all_that_link(seed):
+    rng = np.random.default_rng(seed)
+    sets = [rng.integers(0, 2**63, rng.integers(5, 60)).astype(np.uint64) for _ in range(8)]
+    for _ in range(60):
+        old = sets[rng.integers(len(sets))]
+        sets.append(np.concatenate([old[rng.random(len(old)) > rng.random() * 0.3], rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)]))
+    sets = [np.unique(x) for x in sets if len(x)]
+    width = [1 << (max(8, len(x)) - 1).bit_length() for x in sets]
+    fine = [count_tree.pack(np.bincount((x % np.uint64(w)).astype(np.int64), minlength=w).astype("<u2")) for x, w in zip(sets, width)]
+    n, ids = [len(x) for x in sets], np.arange(len(sets))
+    for leaf_2 in (0, 1):
+        leaf = ids % (leaf_2 + 1)
+        rows = pd.DataFrame({"leader": 0, "leaf_1": 0, "leaf_2": leaf_2, "leaf": leaf, "id": ids, "n": n, "label": ids // 3, "size": n, "fine": fine})
+        got = set(count_tree._may_link_finely(75)(rows)["id"])
+        similar = lambda a, b: 100 * (k := len(np.intersect1d(a, b))) >= 75 * (len(a) + len(b) - k)
+        linked = {i for i in ids for j in ids if i // 3 != j // 3 and (not leaf_2 or leaf[i] != leaf[j]) and similar(sets[i], sets[j])}
+        assert linked and linked <= got < set(ids)
+
+
 def test_bound_never_rules_out_a_link():
     texts = near_copies(5, 80)
     row, value = count_tree.shingles(*batch(texts))
