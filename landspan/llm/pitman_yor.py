@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landspan.llm.deobfuscate import held_out
-from landspan.llm.store import bounded_batches, save_dealt
+from landspan.llm.store import bounded_batches, give_back, giving_back, save_dealt
 from landspan.llm.text import hashes, mix, runs, slices, spans
 
 SWEEPS, BURN_IN = 4, 2
@@ -151,9 +151,11 @@ def _payloads(buckets: int, chunk_words: int):
                 at += m
                 if total >= chunk_words:
                     yield close(chunk, ids, held, sizes, words)
+                    give_back()
                     ids, held, sizes, words, total, chunk = [], [], [], [], 0, chunk + 1
         if ids:
             yield close(chunk, ids, held, sizes, words)
+            give_back()
 
     return work
 
@@ -190,6 +192,19 @@ def _part(contexts: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(contexts) % np.uint64(buckets)).astype(np.int32)
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, context, seen) of all parts, each pair once, sorted."""
+    word, context, seen = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
+    order = np.lexsort((context, word))
+    word, context, seen = word[order], context[order], seen[order]
+    del order
+    if len(word):
+        begin = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]))))
+        word, context, seen = word[begin], context[begin], np.add.reduceat(seen, begin)
+    return word, context, seen
+
+
 def _bucket(buckets: int):
     """Payload rows of a bucket to its training pairs, sorted, and all its contexts by part and hash."""
 
@@ -203,16 +218,14 @@ def _bucket(buckets: int):
         contexts = np.unique(np.concatenate([contexts, *more]))
         contexts = contexts[np.argsort(_part(contexts, buckets), kind="stable")]
         places = _places(contexts)
-        word = np.concatenate([_words(w, n) for w, n in each("word", "pairs")])
-        context = np.concatenate([places(c, f) for c, f in each("context", "follows")])
-        seen = np.concatenate([unpack(x, np.int32) for (x,) in each("seen")]).astype(np.int64)
-        keep = seen > 0
-        word, context, seen = word[keep], context[keep], seen[keep]
-        order = np.lexsort((context, word))
-        word, context, seen = word[order], context[order], seen[order]
-        if len(word):
-            begin = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]))))
-            word, context, seen = word[begin], context[begin], np.add.reduceat(seen, begin)
+        pairs, more = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)), []
+        for w, n, c, f, s in each("word", "pairs", "context", "follows", "seen"):
+            seen = unpack(s, np.int32).astype(np.int64)
+            keep = seen > 0
+            more.append((_words(w, n)[keep], places(c, f)[keep], seen[keep]))
+            if sum(len(x[0]) for x in more) > len(pairs[0]):  # chunks repeat pairs, so not all are held at once
+                pairs, more = _summed([pairs, *more]), []
+        word, context, seen = _summed([pairs, *more])
         return pa.table(
             {
                 "bucket": rows["bucket"].slice(0, 1),
@@ -221,7 +234,7 @@ def _bucket(buckets: int):
             }
         )
 
-    return work
+    return giving_back(work)
 
 
 DISHES = "bucket int, word binary, context binary, customers binary, contexts binary, n_words long, n_train long"
@@ -339,30 +352,35 @@ def _local(history: list[np.ndarray], sweeps: Sweeps) -> Totals:
 def _seat(sweeps: Sweeps, buckets: int):
     """Seat a bucket once more: one row of its state and sums, and one message to each part of its contexts."""
 
+    def seat_one(r) -> pd.DataFrame:
+        word, context, customers = unpack_rising(r.word, np.uint64), unpack(r.context, np.int32), unpack(r.customers, np.int64)
+        contexts = unpack(r.contexts, np.uint64)
+        first = not sweeps.root
+        history = [] if first else _history(r)
+        totals = Totals(len(contexts), sweeps.vocabulary) if first else _local(history, sweeps)
+        for tables, orders, root in seatings(r.bucket, word, context, customers, totals):
+            pass  # the last counts
+        own = context >= 0
+        add = lambda x: np.bincount(context[own], x[own], minlength=len(contexts)).astype(np.int64)
+        laid, part = add(tables), _part(contexts, buckets)
+        ones = [float(x) for n in (1, 2) for x in ((customers[own] == n).sum(), (orders == n).sum())]
+        out = [(r.bucket, None, [pack(x) for x in history], None, None, None, float(orders.sum()), float(root.sum()), *ones)]
+        if first:
+            keys, guests = contexts, add(customers)
+        else:
+            live = history[1] > history[2]
+            keys, laid, part, guests = history[0], laid[live], part[live], None
+        begin = runs(part)
+        for a, b in zip(begin, np.append(begin[1:], len(part))):
+            key = keys[a:b] if first else np.diff(keys[a:b], prepend=0)
+            out.append((r.bucket, int(part[a]), None, pack(key), pack(guests[a:b]) if first else None, pack(laid[a:b]), *[0.0] * 6))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SEATED.split(", ")]).astype({"part": "Int32"})
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                word, context, customers = unpack_rising(r.word, np.uint64), unpack(r.context, np.int32), unpack(r.customers, np.int64)
-                contexts = unpack(r.contexts, np.uint64)
-                first = not sweeps.root
-                history = [] if first else _history(r)
-                totals = Totals(len(contexts), sweeps.vocabulary) if first else _local(history, sweeps)
-                *_, (tables, orders, root) = seatings(r.bucket, word, context, customers, totals)
-                own = context >= 0
-                add = lambda x: np.bincount(context[own], x[own], minlength=len(contexts)).astype(np.int64)
-                laid, part = add(tables), _part(contexts, buckets)
-                ones = [float(x) for n in (1, 2) for x in ((customers[own] == n).sum(), (orders == n).sum())]
-                out = [(r.bucket, None, [pack(x) for x in history], None, None, None, float(orders.sum()), float(root.sum()), *ones)]
-                if first:
-                    keys, guests = contexts, add(customers)
-                else:
-                    live = history[1] > history[2]
-                    keys, laid, part, guests = history[0], laid[live], part[live], None
-                begin = runs(part)
-                for a, b in zip(begin, np.append(begin[1:], len(part))):
-                    key = keys[a:b] if first else np.diff(keys[a:b], prepend=0)
-                    out.append((r.bucket, int(part[a]), None, pack(key), pack(guests[a:b]) if first else None, pack(laid[a:b]), *[0.0] * 6))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in SEATED.split(", ")]).astype({"part": "Int32"})
+                yield seat_one(r)
+                give_back()
 
     return work
 
@@ -393,7 +411,7 @@ def _add_up(first: bool):
             out |= {"number": [pack(np.diff(i, prepend=0)) for i in at], "guests": [pack(guests[i]) for i in at]}
         return pd.DataFrame(out)
 
-    return work
+    return giving_back(work)
 
 
 def seated(dishes: DataFrame, sweeps: Sweeps, n: int, buckets: int) -> DataFrame:
@@ -473,7 +491,7 @@ def _answers(sweeps: Sweeps, n_train: int, burn_in: int):
         passed = {c: rows[c] for c in ("chunk", "ids", "held", "sizes")}
         return pa.table(passed | dict(zip(("doc", "score", "base", "known"), sums)))
 
-    return work
+    return giving_back(work)
 
 
 def _documents(rows: pd.DataFrame) -> pd.DataFrame:

@@ -693,3 +693,27 @@ def test_a_chunk_is_packed_bucket_by_bucket(monkeypatch):
     found = pitman_yor._bucket(16)(pa.Table.from_batches([out.slice(0, 1)]))
     assert found["n_train"][0].as_py() == pitman_yor.unpack(out["seen"][0].as_py(), np.int32).sum()
     assert peak < 52 * 150 * 2001
+
+
+def test_a_bucket_holds_a_repeated_pair_once():
+    """The chunks of a bucket repeat their pairs, and the bucket's memory does not grow with the repeats."""
+    rng = np.random.default_rng(5)
+    word = np.sort(rng.integers(0, 2**63, 20_000).astype(np.uint64))
+    follows = np.sort(rng.integers(0, 2**63, 500).astype(np.uint64))
+    row = {
+        "bucket": 3, "word": pitman_yor.pack_rising(word), "pairs": pitman_yor.pack(np.ones(len(word), np.int32)),
+        "context": pitman_yor.pack((np.arange(len(word)) % 501 - 1).astype(np.int32)), "follows": pitman_yor.pack_rising(follows),
+        "seen": pitman_yor.pack(np.full(len(word), 2, np.int32)),
+    }
+
+    def peak(n):
+        rows = pa.Table.from_pylist([row] * n)
+        tracemalloc.start()
+        found = pitman_yor._bucket(16)(rows)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found["n_train"][0].as_py() == 2 * n * len(word) and found["n_words"][0].as_py() == len(word)
+        return most
+
+    peak(1)
+    assert peak(40) < 3 * peak(2)
