@@ -60,14 +60,19 @@ def _left_to_right(p: Column, q: Column) -> list[Column]:
     return [F.when(right, a[n]).otherwise(b[n]).alias(n + i) for a, b, i in ((p, q, "0"), (q, p, "1")) for n in "xy"]
 
 
+def is_tall(ring: Column, cell: float) -> Column:
+    """Whether a ring reaches over a grid line upwards."""
+    low, high = (f(ring["y"]) for f in (F.array_min, F.array_max))
+    return _floor(low, cell) < _floor(high, cell)
+
+
 def _upright(polygons: DataFrame, keys: Sequence[str], ring: str, cell: float, turned: bool) -> DataFrame:
     """One row per edge that is not vertical; ``w`` is +1 where the ring runs to the right.
 
     With ``turned`` rings that run clockwise change their sign, so that +1 means that the
     polygon lies above.  ``_tall`` tells whether a ring reaches over a grid line.
     """
-    low, high = (f(F.col(ring)["y"]) for f in (F.array_min, F.array_max))
-    tall = _floor(low, cell) < _floor(high, cell)
+    tall = is_tall(F.col(ring), cell)
     turn = F.signum(G.signed_area(F.col(ring))).cast("int") if turned else F.lit(1)
     e = _edges(polygons, keys, ring, _turn=turn, _tall=tall)
     p, q = F.col("_p"), F.col("_q")
@@ -143,6 +148,13 @@ def overlaps(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_
     return found.where(F.col("overlap") > least)
 
 
+def overlaps_of_low(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], cell: float, least: float = 1e-6) -> DataFrame:
+    """``overlaps`` where no left polygon ``is_tall``: these are read once, since nothing of them lies below another cell."""
+    edges = _pieces(_upright(left, left_keys, "ring", cell, False), left_keys, cell).drop("_tall")
+    found = _meeting_edges(edges, strips(right, right_keys, cell), cell, [*left_keys, *right_keys])
+    return found.where(F.col("overlap") > least)
+
+
 def dissolved(areas: DataFrame, cell: float) -> DataFrame:
     """The union of polygons as prepared edges: ``w`` is +1 where it begins and -1 where it ends, upwards.
 

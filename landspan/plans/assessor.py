@@ -224,12 +224,21 @@ def building_stats(parcels: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def building_pairs(parcels: DataFrame, buildings: DataFrame, cell: float) -> DataFrame:
-    """BAS06: parcel x building pairs with the building's share on the parcel; rings or boxes on either side."""
+    """BAS06: parcel x building pairs with the building's share on the parcel; rings or boxes on either side.
+
+    What is known of a building travels with its edges, so that buildings are neither
+    written nor joined again; only those that reach over a line of the grid are written.
+    """
     keep = [n for n in buildings.columns if n not in (*spatial.BOX, "ring")]
-    # numbered once, for good, so that only the number travels with the edges
-    own = cut(spatial.ringed(buildings).select(*keep, "ring", F.monotonically_increasing_id().alias("_building")))
-    pairs = overlay.overlaps(own.select("_building", "ring"), spatial.ringed(parcels).select("apn", "ring"), ["_building"], ["apn"], cell)
-    return own.withColumn("_own", G.area(F.col("ring"))).join(pairs, "_building").select(
+    own = spatial.ringed(buildings).select(*keep, "ring", G.area(F.col("ring")).alias("_own"), F.monotonically_increasing_id().alias("_building"))
+    lots = spatial.ringed(parcels).select("apn", "ring")
+    keys, low = ["_building", "_own", *keep], F.coalesce(~overlay.is_tall(F.col("ring"), cell), F.lit(False))
+    pairs = overlay.overlaps_of_low(own.where(low), lots, keys, ["apn"], cell)
+    # strips reads them twice, so they are numbered for good
+    tall = cut(own.where(~low))
+    if not tall.isEmpty():
+        pairs = pairs.unionByName(overlay.overlaps(tall, lots, keys, ["apn"], cell))
+    return pairs.select(
         "apn", *keep, (F.col("overlap") / F.col("_own")).alias("overlap_ratio")
     )
 

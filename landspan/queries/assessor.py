@@ -262,8 +262,11 @@ IMPUTED = ", " + ",\n".join(
 _ALLC = ctes("parcels", "buildings", "block_groups", "sales", **STATS, **ZONES, pbg=PBG, sales2=SALES2, kn=KNOWN) + IMPUTED
 
 
+SIMILAR = ["apn", "x", "y", "lot_size_acres", "land_development_category", "building_count", "footprint_ratio"]
+
+
 def imputed(t: Tables, st=None):
-    st = cut(stats(t)) if st is None else st  # both sides are made from it
+    st = cut(stats(t).select(*SIMILAR)) if st is None else st  # both sides are made from it
     return P.impute_from_similar(st, block_groups(t), known(t, st))
 
 
@@ -281,7 +284,7 @@ def knn_imputation(t: Tables):
     CASE WHEN r > 0 AND l > 0 THEN 'overture_with_levels' WHEN r > 0 THEN 'overture_flat' WHEN al > 0 THEN 'assessor_sales' WHEN il > 0 THEN 'footprint_imputed' END AS data_source FROM j""",
 )
 def authoritative_areas(t: Tables):
-    st = cut(stats(t))
+    st = cut(stats(t).select(*SIMILAR, "residential_building_sqft", "non_residential_building_sqft", "max_levels"))
     return rounded(P.authoritative_areas(st, P.dedupe_sales(t.sales, ["sale_id"]), imputed(t, st)))
 
 

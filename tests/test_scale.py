@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from landspan.functions import geometry as G
 from landspan.operators import overlay as O
 from landspan.operators import spatial as S
+from landspan.plans import assessor as A
 from landspan.plans import ml
 from landspan.plans import transport as T
+from landspan.session import cut
 
 
 def plan(df) -> str:
@@ -126,3 +128,31 @@ def test_neighbours_in_bounded_tasks(spark, monkeypatch):
     for r in got.orderBy("q", "rank").collect():
         found.setdefault(r["q"], []).append(r["p"])
     assert found == want
+
+
+def test_shuffles_go_with_what_is_written(spark):
+    files = lambda: {f.getName() for f in _disk(spark) if f.getName().startswith("shuffle_")}
+    before = files()
+    kept = cut(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() <= before
+    assert sorted(r["count"] for r in kept.collect()) == [142] * 1 + [143] * 6
+
+
+def _disk(spark):
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_buildings_travel_once(spark, monkeypatch):
+    # rings across lines of the grid, a copy, rows of nulls; what is written is only what reaches over a line upwards
+    ring = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    point = "array<struct<x:double,y:double>>"
+    rows = [("a", None, ring(1.0, 1.0, 2.0, 2.0)), ("a", None, ring(1.0, 1.0, 2.0, 2.0)), (None, 2.0, ring(8.0, 3.0, 4.0, 1.0)), ("c", 3.0, ring(4.0, 7.0, 2.0, 6.0)), ("d", 4.0, None)]
+    buildings = spark.createDataFrame(rows, f"kind string, levels double, ring {point}")
+    lots = spark.createDataFrame([(1, ring(0.0, 0.0, 10.0, 10.0)), (2, ring(10.0, 0.0, 10.0, 10.0)), (3, ring(0.0, 10.0, 10.0, 10.0))], f"apn long, ring {point}")
+    written = []
+    monkeypatch.setattr(A, "cut", lambda df: written.append(df.where("ring IS NOT NULL").count()) or cut(df))
+    got = A.building_pairs(lots, buildings, 10.0)
+    assert written == [1]
+    found = sorted((r["apn"], str(r["kind"]), r["levels"], round(r["overlap_ratio"], 9)) for r in got.collect())
+    assert found == sorted([(1, "a", None, 1.0), (1, "a", None, 1.0), (1, "None", 2.0, 0.5), (2, "None", 2.0, 0.5), (1, "c", 3.0, 0.5), (3, "c", 3.0, 0.5)], key=lambda r: (r[0], r[1]))
