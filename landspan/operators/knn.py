@@ -13,6 +13,10 @@ from landspan.session import cut
 
 #: Rows of queries and cells per task of the join, and the most tasks.
 TASK_ROWS, MOST_TASKS = 200_000, 8_192
+#: A key whose pairs are at most so many times its rows is answered by all of them.
+FEW = 96
+#: Pairs of a task, and of a key that is not cut into parts.
+TASK_PAIRS, KEY_PAIRS = 2_000_000, 20_000_000
 
 
 def nearest_k(
@@ -36,7 +40,8 @@ def nearest_k(
     Points with equal ``same`` columns are interchangeable, so only the k lowest ids
     of them are kept from the start.
 
-    A pyramid holds the number of points per cell on every level, cells halving from the
+    Keys with few points or few queries compare all of them (``nearest_of_all``).  For the others a
+    pyramid holds the number of points per cell on every level, cells halving from the
     window down.  Each query starts on the finest level on which its own small cell holds
     k points: these lie within one cell size of that level, so no farther point and no
     cell but the neighbouring ones can matter, however dense or thin the place is.  One
@@ -46,12 +51,80 @@ def nearest_k(
     """
     if same:
         points = top_per(points, [*keys, *same], [F.asc(pid)], k)
+    sizes = cut(_sizes(queries, points, keys))
+    few = (F.col("_n") * F.col("_m") <= FEW * (F.col("_n") + F.col("_m"))) & ((F.col("_n") <= 2 * FEW) | (F.col("_n") * F.col("_m") <= KEY_PAIRS))
+    most = sizes.where(~few).agg(F.max("_n")).first()[0]
+    if not most:
+        return nearest_of_all(queries, points, keys, dims, k, qid, pid, window, ok, gap, sizes)
+    small, sizes = sizes.where(few), sizes.where(~few)
+    near = None
+    if not small.isEmpty():
+        own, theirs = (side.join(small.select(*keys), list(keys), "left_semi") for side in (queries, points))
+        near = nearest_of_all(own, theirs, keys, dims, k, qid, pid, window, ok, gap, small)
+        points = points.join(sizes.select(*keys), list(keys), "left_semi")
+    found = _by_pyramid(queries, points, keys, dims, k, qid, pid, window, ok, gap, sizes, most)
+    # an id that is asked for in keys of both kinds
+    return found if near is None else top_per(near.unionByName(found).drop("rank"), [qid], [F.asc("distance"), F.asc(pid)], k, "rank")
+
+
+def _sizes(queries: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Points ``_n`` and queries ``_m`` of the keys that have both."""
+    n, m = (side.groupBy(*keys).agg(F.count("*").alias(name)) for side, name in ((points, "_n"), (queries, "_m")))
+    return n.join(m, list(keys))
+
+
+def few_pairs(queries: DataFrame, points: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether all pairs within the keys are few for the rows that there are."""
+    n, m = (side.groupBy(*keys).agg(F.count("*").alias(name)) for side, name in ((points, "_n"), (queries, "_m")))
+    both = n.join(m, list(keys), "full")
+    pairs, rows = both.agg(F.sum(F.col("_n").cast("double") * F.col("_m")), F.sum(F.coalesce("_n", F.lit(0)) + F.coalesce("_m", F.lit(0)))).first()
+    return (pairs or 0.0) <= FEW * (rows or 0)
+
+
+def nearest_of_all(
+    queries: DataFrame, points: DataFrame, keys: Sequence[str], dims: Sequence[str], k: int, qid: str, pid: str,
+    window: float, ok: Column | None = None, gap: Column | None = None, sizes: DataFrame | None = None,
+) -> DataFrame:
+    """``nearest_k`` by all pairs of a key; rows travel once, whatever their number of neighbours.
+
+    A query id may stand in several keys.  Of a key with very many pairs the side with more rows
+    is cut into parts that meet all rows of the other.
+    """
+    sizes = _sizes(queries, points, keys) if sizes is None else sizes
+    pairs = F.col("_n").cast("double") * F.col("_m")
+    parts = F.ceil(pairs / KEY_PAIRS).cast("int")
+    total, split = sizes.agg(F.sum(pairs), F.max(parts)).first()
+    on_keys = list(keys)
+    if (split or 1) > 1:
+        cuts = sizes.select(*keys, parts.alias("_parts"), (F.col("_m") >= F.col("_n")).alias("_cut"))
+        every = F.sequence(F.lit(0), F.col("_parts") - 1)
+        one = lambda n: F.array(F.pmod(F.xxhash64(n), F.col("_parts")).cast("int"))
+        queries = queries.join(cuts, list(keys)).withColumn("_part", F.explode(F.when(F.col("_cut"), one(qid)).otherwise(every)))
+        points = points.join(cuts, list(keys)).withColumn("_part", F.explode(F.when(F.col("_cut"), every).otherwise(one(pid))))
+        on_keys.append("_part")
+    tasks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, math.ceil((total or 0) / TASK_PAIRS)))
+    q, p = (side.repartition(tasks, *on_keys).alias(n) for side, n in ((queries, "q"), (points, "p")))
+    on = None
+    for n in on_keys:
+        equal = F.col("q." + n) == F.col("p." + n)
+        on = equal if on is None else on & equal
+    square = F.lit(0.0)
+    for d in dims:
+        apart = F.col("q." + d) - F.col("p." + d)
+        on = on & (F.abs(apart) <= F.lit(float(window)))
+        square = square + apart * apart
+    found = q.join(p.hint("merge"), on if ok is None else on & ok).select(
+        F.col("q." + qid).alias(qid), F.col("p." + pid).alias(pid), (F.sqrt(square) if gap is None else gap).alias("distance")
+    )
+    return top_per(found, [qid], [F.asc("distance"), F.asc(pid)], k, "rank")
+
+
+def _by_pyramid(
+    queries: DataFrame, points: DataFrame, keys: Sequence[str], dims: Sequence[str], k: int, qid: str, pid: str,
+    window: float, ok: Column | None, gap: Column | None, sizes: DataFrame, most: int,
+) -> DataFrame:
     # a cell's diagonal, so many levels down, is at most a cell size up here
     down = math.ceil(math.log2(math.sqrt(len(dims))))
-    sizes = points.groupBy(*keys).agg(F.count("*").alias("_n"))
-    most = sizes.agg(F.max("_n")).first()[0] or 0
-    if not most:
-        return queries.join(points.select(*keys, F.col(pid)), list(keys)).select(qid, pid, F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
     # twice as deep as evenly spread points would need, for places that are denser
     top = 2 * max(0, math.ceil(math.log2(max(1.0, most / k)) / len(dims)))
     cells = ["_c_" + d for d in dims]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from landspan.functions import expr as X
 from landspan.functions import geometry as G
 from landspan.operators import overlay, ranking, spatial
-from landspan.operators.knn import nearest_k
+from landspan.operators.knn import few_pairs, nearest_k, nearest_of_all
 from landspan.params import SQFT_PER_ACRE, SQM_PER_ACRE, SQM_TO_SQFT
 from landspan.session import cut
 
@@ -336,17 +336,24 @@ def _tier(unknown: DataFrame, known: DataFrame, keys: list[str], tier: int, near
     for f in FEATURES:
         same = (F.col("q._s_" + f) > 0) | (F.col("q." + f) == F.col("p." + f))
         ok = same if ok is None else ok & same
-    group = list(keys)
+    if unknown.isEmpty():
+        return unknown.select("apn", F.col("apn").alias("neighbour"), F.lit(tier).alias("tier"))
+    group, search = list(keys), nearest_k
     if near:
-        # the key is also the 5 km cell; points are repeated to the cells around theirs
+        # the key is also the 5 km cell; one side is repeated to the cells around its own
         def cell(name: str) -> Column:
             return F.floor(F.col(name) / COUNTY_REACH_M)
 
-        unknown = unknown.withColumns({"_gx": cell("x"), "_gy": cell("y")})
-        known_z = scaled(known)
-        for g, n in (("_gx", "x"), ("_gy", "y")):
-            known_z = known_z.withColumn(g, F.explode(F.sequence(cell(n) - 1, cell(n) + 1)))
+        def in_cells(df: DataFrame, around: bool) -> DataFrame:
+            for g, n in (("_gx", "x"), ("_gy", "y")):
+                df = df.withColumn(g, F.explode(F.sequence(cell(n) - 1, cell(n) + 1)) if around else cell(n))
+            return df
+
         group += ["_gx", "_gy"]
+        # few queries go to the points, else the points to them, which the pyramid needs
+        few = few_pairs(in_cells(unknown.select(*keys, "x", "y"), True), in_cells(known.select(*keys, "x", "y"), False), group)
+        unknown, known_z = in_cells(unknown, few), in_cells(scaled(known), not few)
+        search = nearest_of_all if few else nearest_k
         ok = ok & (
             F.hypot(F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")) <= COUNTY_REACH_M
         )
@@ -356,16 +363,15 @@ def _tier(unknown: DataFrame, known: DataFrame, keys: list[str], tier: int, near
     for f in FEATURES:
         z = X.or_zero(X.ratio(F.col("q." + f) - F.col("p." + f), "q._s_" + f))
         square = square + z * z
-    cols = [*group, *FEATURES, *["z_" + f for f in FEATURES], *["_s_" + f for f in FEATURES], "x", "y"]
-    if unknown.isEmpty():
-        return unknown.select("apn", F.col("apn").alias("neighbour"), F.lit(tier).alias("tier"))
-    pairs = nearest_k(
-        scaled(unknown).select("apn", *cols),
+    cols = [*group, *FEATURES, *["z_" + f for f in FEATURES], *["x", "y"][: 2 * near]]
+    pairs = search(
+        scaled(unknown).select("apn", *cols, *["_s_" + f for f in FEATURES]),
         known_z.select(F.col("apn").alias("neighbour"), *cols),
         group, ["z_" + f for f in FEATURES], NEIGHBOURS, "apn", "neighbour", WINDOW_SIGMAS, ok,
-        gap=F.sqrt(square), same=None if near else FEATURES,
+        gap=F.sqrt(square), **({} if near else {"same": FEATURES}),
     )
-    return pairs.select("apn", "neighbour", F.lit(tier).alias("tier"))
+    # read twice: by the next tier and by the result
+    return cut(pairs.select("apn", "neighbour")).withColumn("tier", F.lit(tier))
 
 
 def impute_from_similar(stats: DataFrame, zones: DataFrame, known: DataFrame) -> DataFrame:
@@ -377,7 +383,8 @@ def impute_from_similar(stats: DataFrame, zones: DataFrame, known: DataFrame) ->
     zone = latest_zone(zones).select("apn", "block_group_geoid", "tract_geoid")
     # both sides are read by every tier and round: write them once
     features = ["apn", "land_development_category", *FEATURES, "x", "y"]
-    known = cut(known)
+    own = ["property_type", "units", "living_sqft", "building_sqft"]
+    known = cut(known.select(*features, "block_group_geoid", "tract_geoid", *own))
     unknown = stats.where("footprint_ratio > 0").select(*features).join(zone, "apn")
     unknown = cut(unknown.join(known.select("apn"), "apn", "left_anti"))
     cat = "land_development_category"
@@ -388,9 +395,7 @@ def impute_from_similar(stats: DataFrame, zones: DataFrame, known: DataFrame) ->
         got = _tier(unknown, known, keys, tier, near)
         pairs = got if pairs is None else pairs.unionByName(got)
         unknown = cut(unknown.join(got.select("apn"), "apn", "left_anti"))
-    n = known.select(
-        F.col("apn").alias("neighbour"), "property_type", "units", "living_sqft", "building_sqft"
-    )
+    n = known.select(F.col("apn").alias("neighbour"), *own)
     near_rows = pairs.join(n, "neighbour")
     # at most five rows per parcel
     return near_rows.groupBy("apn").agg(

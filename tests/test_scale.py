@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +157,56 @@ def test_buildings_travel_once(spark, monkeypatch):
     assert written == [1]
     found = sorted((r["apn"], str(r["kind"]), r["levels"], round(r["overlap_ratio"], 9)) for r in got.collect())
     assert found == sorted([(1, "a", None, 1.0), (1, "a", None, 1.0), (1, "None", 2.0, 0.5), (2, "None", 2.0, 0.5), (1, "c", 3.0, 0.5), (3, "c", 3.0, 0.5)], key=lambda r: (r[0], r[1]))
+
+
+def test_neighbours_of_small_keys_travel_once(spark, monkeypatch):
+    from landspan.operators import knn
+
+    rnd = random.Random(4)
+    spot = lambda i, g: (i, g, rnd.uniform(0, 8), rnd.uniform(0, 8))
+    # few of both, few queries of many points, many of both, a null key, one side only
+    q = [spot(i, g) for i, g in enumerate([1] * 20 + [2] * 3 + [3] * 150 + [None, 4])]
+    p = [spot(i, g) for i, g in enumerate([1] * 30 + [2] * 300 + [3] * 250 + [None, 5])]
+    queries, points = (spark.createDataFrame(rows, f"{n} long, g long, u double, v double") for rows, n in ((q, "q"), (p, "p")))
+    even = (F.col("q.q") + F.col("p.p")) % 2 == 0
+
+    def near(of, among):
+        found = {}
+        got = knn.nearest_k(of, among, ["g"], ["u", "v"], 4, "q", "p", 2.0, even)
+        for r in got.orderBy("q", "rank").collect():
+            found.setdefault(r["q"], []).append(r["p"])
+        return got, found
+
+    want = {}
+    for i, g, u, v in q:
+        hits = sorted((math.hypot(u - x, v - y), n) for n, h, x, y in p if g is not None and h == g and abs(u - x) <= 2 and abs(v - y) <= 2 and (i + n) % 2 == 0)
+        want |= {i: [n for _, n in hits[:4]]} if hits else {}
+    small = queries.where("g < 3"), points.where("g < 3")
+    assert "Generate" not in plan(knn.nearest_k(*small, ["g"], ["u", "v"], 4, "q", "p", 2.0))  # no copies for neighbouring cells
+    for few in (0, 40, 96, 10_000):  # the pyramid alone, both, all pairs alone
+        monkeypatch.setattr(knn, "FEW", few)
+        assert near(queries, points)[1] == want
+    monkeypatch.setattr(knn, "KEY_PAIRS", 100)  # keys in parts
+    got, found = near(queries, points)
+    assert found == want and "_part" in plan(got)
+
+
+@pytest.mark.parametrize("few", [0, 96])
+def test_imputed_from_the_county(spark, monkeypatch, few):
+    # no block group or tract in common: only what is within 5 km counts, however the sides meet
+    from landspan.operators import knn
+
+    monkeypatch.setattr(knn, "FEW", few)
+    rnd = random.Random(6)
+    lots = [(i, "urban", rnd.uniform(0.1, 0.9), rnd.randrange(1, 5), rnd.uniform(0.1, 2), rnd.uniform(-9000, 9000), rnd.uniform(-9000, 9000)) for i in range(150)]
+    stats = spark.createDataFrame(lots, "apn long, land_development_category string, footprint_ratio double, building_count long, lot_size_acres double, x double, y double")
+    zones = spark.createDataFrame([(i, 2020, f"g{i}", f"t{i}") for i in range(150)], "apn long, data_year int, block_group_geoid string, tract_geoid string")
+    sold = spark.createDataFrame([(i, "House", 1 + i, 10.0 * i, 20.0 * i) for i in range(120)], "apn long, property_type string, units long, living_area double, building_sf double")
+    got = A.impute_from_similar(stats, zones, A.sales_features(stats, zones, sold)).collect()
+    sigma = [statistics.pstdev(r[c] for r in lots[:120]) for c in (2, 3, 4)]
+    want = {}
+    for u in lots[120:]:
+        z = lambda k: [(u[c] - k[c]) / s for c, s in zip((2, 3, 4), sigma)]
+        near = sorted((math.sqrt(sum(d * d for d in z(k))), k[0]) for k in lots[:120] if math.hypot(u[5] - k[5], u[6] - k[6]) <= 5000 and max(map(abs, z(k))) <= 3)
+        want |= {u[0]: statistics.median(10.0 * k for _, k in near[:5])} if near else {}
+    assert {r["apn"]: r["imputed_living_sqft"] for r in got} == want and {r["imputed_from_tier"] for r in got} == {3}
