@@ -31,6 +31,7 @@ def nearest_k(
     ok: Column | None = None,
     gap: Column | None = None,
     same: Sequence[str] | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """The k nearest points of each query within its key; ties go to the lowest ``pid``.
 
@@ -40,8 +41,8 @@ def nearest_k(
     Points with equal ``same`` columns are interchangeable, so only the k lowest ids
     of them are kept from the start.
 
-    Keys with few points or few queries compare all of them (``nearest_of_all``).  For the others a
-    pyramid holds the number of points per cell on every level, cells halving from the
+    With ``small`` keys with few points or few queries compare all of them
+    (``nearest_of_all``).  For the others a pyramid holds the number of points per cell on every level, cells halving from the
     window down.  Each query starts on the finest level on which its own small cell holds
     k points: these lie within one cell size of that level, so no farther point and no
     cell but the neighbouring ones can matter, however dense or thin the place is.  One
@@ -51,16 +52,22 @@ def nearest_k(
     """
     if same:
         points = top_per(points, [*keys, *same], [F.asc(pid)], k)
+    if not small:
+        sizes = points.groupBy(*keys).agg(F.count("*").alias("_n"))
+        most = sizes.agg(F.max("_n")).first()[0] or 0
+        if not most:
+            return queries.join(points.select(*keys, F.col(pid)), list(keys)).select(qid, pid, F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
+        return _by_pyramid(queries, points, keys, dims, k, qid, pid, window, ok, gap, sizes, most)
     sizes = cut(_sizes(queries, points, keys))
     few = (F.col("_n") * F.col("_m") <= FEW * (F.col("_n") + F.col("_m"))) & ((F.col("_n") <= 2 * FEW) | (F.col("_n") * F.col("_m") <= KEY_PAIRS))
     most = sizes.where(~few).agg(F.max("_n")).first()[0]
     if not most:
         return nearest_of_all(queries, points, keys, dims, k, qid, pid, window, ok, gap, sizes)
-    small, sizes = sizes.where(few), sizes.where(~few)
+    all_of, sizes = sizes.where(few), sizes.where(~few)
     near = None
-    if not small.isEmpty():
-        own, theirs = (side.join(small.select(*keys), list(keys), "left_semi") for side in (queries, points))
-        near = nearest_of_all(own, theirs, keys, dims, k, qid, pid, window, ok, gap, small)
+    if not all_of.isEmpty():
+        own, theirs = (side.join(all_of.select(*keys), list(keys), "left_semi") for side in (queries, points))
+        near = nearest_of_all(own, theirs, keys, dims, k, qid, pid, window, ok, gap, all_of)
         points = points.join(sizes.select(*keys), list(keys), "left_semi")
     found = _by_pyramid(queries, points, keys, dims, k, qid, pid, window, ok, gap, sizes, most)
     # an id that is asked for in keys of both kinds

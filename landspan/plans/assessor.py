@@ -338,7 +338,7 @@ def _tier(unknown: DataFrame, known: DataFrame, keys: list[str], tier: int, near
         ok = same if ok is None else ok & same
     if unknown.isEmpty():
         return unknown.select("apn", F.col("apn").alias("neighbour"), F.lit(tier).alias("tier"))
-    group, search = list(keys), nearest_k
+    group, few = list(keys), False
     if near:
         # the key is also the 5 km cell; one side is repeated to the cells around its own
         def cell(name: str) -> Column:
@@ -353,7 +353,6 @@ def _tier(unknown: DataFrame, known: DataFrame, keys: list[str], tier: int, near
         # few queries go to the points, else the points to them, which the pyramid needs
         few = few_pairs(in_cells(unknown.select(*keys, "x", "y"), True), in_cells(known.select(*keys, "x", "y"), False), group)
         unknown, known_z = in_cells(unknown, few), in_cells(scaled(known), not few)
-        search = nearest_of_all if few else nearest_k
         ok = ok & (
             F.hypot(F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")) <= COUNTY_REACH_M
         )
@@ -364,14 +363,16 @@ def _tier(unknown: DataFrame, known: DataFrame, keys: list[str], tier: int, near
         z = X.or_zero(X.ratio(F.col("q." + f) - F.col("p." + f), "q._s_" + f))
         square = square + z * z
     cols = [*group, *FEATURES, *["z_" + f for f in FEATURES], *["x", "y"][: 2 * near]]
-    pairs = search(
+    pairs = (nearest_of_all if few else nearest_k)(
         scaled(unknown).select("apn", *cols, *["_s_" + f for f in FEATURES]),
         known_z.select(F.col("apn").alias("neighbour"), *cols),
         group, ["z_" + f for f in FEATURES], NEIGHBOURS, "apn", "neighbour", WINDOW_SIGMAS, ok,
-        gap=F.sqrt(square), **({} if near else {"same": FEATURES}),
+        gap=F.sqrt(square), **({} if few else {"same": None if near else FEATURES, "small": True}),
     )
-    # read twice: by the next tier and by the result
-    return cut(pairs.select("apn", "neighbour")).withColumn("tier", F.lit(tier))
+    # read twice: by the next tier and by the result; under names of their own, since a written
+    # column that is only an alias of one by its name keeps what was known of that one, which unions trip over
+    pairs = cut(pairs.select(F.col("apn").alias("_apn"), F.col("neighbour").alias("_neighbour")))
+    return pairs.select(F.col("_apn").alias("apn"), F.col("_neighbour").alias("neighbour"), F.lit(tier).alias("tier"))
 
 
 def impute_from_similar(stats: DataFrame, zones: DataFrame, known: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def test_neighbours_of_small_keys_travel_once(spark, monkeypatch):
 
     def near(of, among):
         found = {}
-        got = knn.nearest_k(of, among, ["g"], ["u", "v"], 4, "q", "p", 2.0, even)
+        got = knn.nearest_k(of, among, ["g"], ["u", "v"], 4, "q", "p", 2.0, even, small=True)
         for r in got.orderBy("q", "rank").collect():
             found.setdefault(r["q"], []).append(r["p"])
         return got, found
@@ -182,7 +182,7 @@ def test_neighbours_of_small_keys_travel_once(spark, monkeypatch):
         hits = sorted((math.hypot(u - x, v - y), n) for n, h, x, y in p if g is not None and h == g and abs(u - x) <= 2 and abs(v - y) <= 2 and (i + n) % 2 == 0)
         want |= {i: [n for _, n in hits[:4]]} if hits else {}
     small = queries.where("g < 3"), points.where("g < 3")
-    assert "Generate" not in plan(knn.nearest_k(*small, ["g"], ["u", "v"], 4, "q", "p", 2.0))  # no copies for neighbouring cells
+    assert "Generate" not in plan(knn.nearest_k(*small, ["g"], ["u", "v"], 4, "q", "p", 2.0, small=True))  # no copies for neighbouring cells
     for few in (0, 40, 96, 10_000):  # the pyramid alone, both, all pairs alone
         monkeypatch.setattr(knn, "FEW", few)
         assert near(queries, points)[1] == want
@@ -202,7 +202,9 @@ def test_imputed_from_the_county(spark, monkeypatch, few):
     stats = spark.createDataFrame(lots, "apn long, land_development_category string, footprint_ratio double, building_count long, lot_size_acres double, x double, y double")
     zones = spark.createDataFrame([(i, 2020, f"g{i}", f"t{i}") for i in range(150)], "apn long, data_year int, block_group_geoid string, tract_geoid string")
     sold = spark.createDataFrame([(i, "House", 1 + i, 10.0 * i, 20.0 * i) for i in range(120)], "apn long, property_type string, units long, living_area double, building_sf double")
-    got = A.impute_from_similar(stats, zones, A.sales_features(stats, zones, sold)).collect()
+    imputed = A.impute_from_similar(stats, zones, A.sales_features(stats, zones, sold))
+    got = imputed.collect()
+    assert imputed.select("apn", "imputed_units").count() == len(imputed.select("apn", "imputed_units").collect()) == len(got)
     sigma = [statistics.pstdev(r[c] for r in lots[:120]) for c in (2, 3, 4)]
     want = {}
     for u in lots[120:]:
